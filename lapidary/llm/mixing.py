@@ -86,7 +86,8 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     tickets = parts.select("source", F.explode(F.sequence(F.col("low") + F.col("part") * cut, F.col("low") + F.least(F.col("quota"), (F.col("part") + 1) * cut) - 1)).alias("ticket"))
     spark = df.sparkSession
     drawn = spark.range(slots_n).select(F.col("id").alias("slot"), F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(max(1, slots_n))).alias("ticket"))
-    drawn = drawn.join(tickets, "ticket").select("slot", "source")
+    # Spark guesses an exploded table to be as small as its source, and would broadcast it
+    drawn = drawn.join(saved(tickets, "mix-tickets").hint("merge"), "ticket").select("slot", "source")
     drawn = saved(running(drawn, ["source"], ["slot"], F.lit(1), "j"), "mix-drawn")
     have = drawn.groupBy("source").agg(F.count("*").alias("have")).withColumnRenamed("source", "_s")
     short = sources.join(have, _same("source", "_s"), "left").select("source", "quota", "blocks", F.coalesce("have", F.lit(0)).cast("long").alias("have"))
@@ -95,17 +96,17 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     one = F.lit(1)
     over = running(known.where("j >= quota").select("slot", one.alias("_one")), ["_one"], ["slot"], one, "r").select("r", "slot")
     missing = short.where("have < quota").select("source", "blocks", F.explode(F.sequence("have", F.col("quota") - 1)).alias("j"))
-    missing = running(missing.withColumn("_one", one), ["_one"], ["source", "j"], one, "r").select("r", "source", "j", "blocks")
-    slots = kept.unionByName(over.join(missing, "r").select("slot", "source", "j", "blocks"))
+    missing = running(saved(missing.withColumn("_one", one), "mix-missing"), ["_one"], ["source", "j"], one, "r").select("r", "source", "j", "blocks")
+    slots = kept.unionByName(over.join(missing.hint("merge"), "r").select("slot", "source", "j", "blocks"))
 
     # each source's blocks in the order of a hash; draw j takes the block of rank j mod blocks
     parts = sources.where("blocks > 0").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(blocks - 1) div {cut}"))))
     parts = parts.repartition(F.col("source"), F.col("part"))
     numbers = parts.select("source", F.explode(F.sequence(F.col("part") * cut, F.least(F.col("blocks"), (F.col("part") + 1) * cut) - 1)).alias("block"))
     numbers = numbers.withColumn("_at", F.xxhash64(F.lit(seed + 1), "source", "block"))
-    ranked = running(numbers, ["source"], ["_at", "block"], one, "rank").select(F.col("source").alias("_s"), "block", "rank")
+    ranked = running(saved(numbers, "mix-blocks"), ["source"], ["_at", "block"], one, "rank").select(F.col("source").alias("_s"), "block", "rank")
     slots = slots.withColumns({"pass": F.expr("j div blocks"), "_rank": F.expr("j % blocks")})
-    slots = slots.join(ranked, _same("source", "_s") & (F.col("_rank") == F.col("rank")))
+    slots = slots.join(ranked.hint("merge"), _same("source", "_s") & (F.col("_rank") == F.col("rank")))
     slots = slots.select(F.expr(f"slot div {shard}").alias("shard"), "slot", "source", "pass", "block")
     return Mix(placed.select("doc_id", "source", "size", "start", "_at"), sources, slots)
 
@@ -117,7 +118,7 @@ def taken_words(m: Mix, block: int = BLOCK) -> DataFrame:
     first, last = F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}")
     cover = full.withColumn("b", F.explode(F.sequence(first, last)))
     overlap = F.least(F.col("start") + F.col("size"), (F.col("b") + 1) * block) - F.greatest(F.col("start"), F.col("b") * block)
-    cover = cover.withColumn("overlap", overlap).join(uses, _same("source", "_s") & (F.col("b") == F.col("_b")), "left")
+    cover = cover.withColumn("overlap", overlap).join(uses.hint("merge"), _same("source", "_s") & (F.col("b") == F.col("_b")), "left")
     taken = cover.groupBy("doc_id", "source", "size", "start", "_at").agg(F.sum(F.col("overlap") * F.coalesce("uses", F.lit(0))).alias("taken"))
     taken = taken.select("doc_id", "source", "size", "taken")
     blank = m.documents.where("size = 0").select("doc_id", "source", "size", F.lit(0).cast("long").alias("taken"))
