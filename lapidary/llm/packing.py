@@ -22,6 +22,8 @@ always parts words of this tokenizer, so a text's ids are those of its words, on
 from __future__ import annotations
 
 import bisect
+import itertools
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -29,45 +31,108 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import running, saved
+from .common import running, saved, slices
 
-CAPACITY, END_ID, TOKENIZER, KEPT_WORDS = 4096, 1, "word_bpe_49k.json", 300_000
+CAPACITY, END_ID, TOKENIZER, KEPT_WORDS, SLICE_BYTES = 4096, 1, "word_bpe_49k.json", 800_000, 1 << 20
+
+
+class Ragged:
+    """Arrays of token ids by number, in one array that doubles as it fills."""
+
+    def __init__(self) -> None:
+        self.n = self.size = 0
+        self.at, self.length, self.ids = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32)
+
+    def add(self, ids: np.ndarray, lengths: np.ndarray) -> None:
+        n, size = self.n + len(lengths), self.size + len(ids)
+        while n > len(self.at):
+            self.at, self.length = np.resize(self.at, 2 * len(self.at)), np.resize(self.length, 2 * len(self.length))
+        while size > len(self.ids):
+            self.ids = np.resize(self.ids, 2 * len(self.ids))
+        self.at[self.n : n], self.length[self.n : n] = self.size + np.cumsum(lengths) - lengths, lengths
+        self.ids[self.size : size] = ids
+        self.n, self.size = n, size
+
+    def get(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all codes, one after another, and how many each has."""
+        lengths = self.length[code]
+        shift = self.at[code] - (np.cumsum(lengths) - lengths)
+        return self.ids[np.arange(int(lengths.sum())) + np.repeat(shift, lengths)], lengths
 
 
 class Words:
-    """Token ids of texts, word by word; the table of known words is emptied when it is full."""
+    """Token ids of texts from tables of known words and of known units (a word's runs of letters, digits and marks, as the
+    tokenizer parts them); the tables are emptied when full. Words beyond Latin letters go to the tokenizer whole."""
+
+    UNITS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")  # the tokenizer file's own pattern, a fixed value
+    PLAIN = re.compile("[!-;=-~\u00a1-\u00ac\u00ae-\u024f]*")  # unchanged by NFC, lower-cased alike by Python; no "<"
 
     def __init__(self, path: str, most: int = KEPT_WORDS) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[str, int] = {}
-        self.at, self.length, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
-
-    def encode(self, text: str) -> np.ndarray:
-        words = text.replace("\n", " ").replace("\t", " ").split(" ")  # not split(): it also parts at U+001C to U+001F
-        place = self.place
-        new = list(dict.fromkeys(w for w in words if w not in place))
-        if new:
-            if len(place) + len(new) > self.most:
-                self.clear()
-                place, new = self.place, list(dict.fromkeys(words))
-            found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(new, add_special_tokens=False)]
-            lengths = np.array([len(x) for x in found], np.int64)
-            self.at = np.concatenate([self.at, len(self.ids) + np.cumsum(lengths) - lengths])
-            self.length = np.concatenate([self.length, lengths])
-            self.ids = np.concatenate([self.ids, *found])
-            place.update(zip(new, range(len(place), len(place) + len(new)), strict=True))
-        code = np.fromiter((place[w] for w in words), np.int64, len(words))
-        lengths = self.length[code]
-        total = int(lengths.sum())
-        return self.ids[np.arange(total) + np.repeat(self.at[code] - (np.cumsum(lengths) - lengths), lengths)]
+        self.words: dict[str, int] = {}
+        self.units: dict[str, int] = {}
+        self.word_ids, self.unit_ids = Ragged(), Ragged()
+
+    def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.fromiter(itertools.chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found))
+
+    def _learn_units(self, new: list[str]) -> None:
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, np.uint32)
+        last = np.flatnonzero(self.ends[ids])
+        lengths = np.diff(last, prepend=-1)
+        if len(last) != len(new) or not len(ids) or last[-1] != len(ids) - 1:
+            ids, lengths = self._whole(new)
+        self.units.update(zip(new, range(len(self.units), len(self.units) + len(new)), strict=True))
+        self.unit_ids.add(ids, lengths)
+
+    def _learn(self, new: list[str]) -> None:
+        plain = [w for w in new if self.PLAIN.fullmatch(w)]
+        parts = [self.UNITS.findall(w.lower()) for w in plain]
+        flat = list(itertools.chain.from_iterable(parts))
+        if unknown := list(dict.fromkeys(u for u in flat if u not in self.units)):
+            self._learn_units(unknown)
+        ids, lengths = self.unit_ids.get(np.fromiter(map(self.units.__getitem__, flat), np.int64, len(flat)))
+        each = np.fromiter(map(len, parts), np.int64, len(parts))
+        total = np.concatenate([[0], np.cumsum(lengths)])
+        upto = np.cumsum(each)
+        self.words.update(zip(plain, range(len(self.words), len(self.words) + len(plain)), strict=True))
+        self.word_ids.add(ids, total[upto] - total[upto - each])
+        if len(plain) < len(new):
+            rest = [w for w in new if w not in self.words]
+            self.words.update(zip(rest, range(len(self.words), len(self.words) + len(rest)), strict=True))
+            self.word_ids.add(*self._whole(rest))
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The token ids of each text."""
+        words: list[str] = []
+        counts = []
+        for t in texts:
+            own = t.replace("\n", " ").replace("\t", " ").split(" ")  # not split(): it also parts at U+001C to U+001F
+            words += own
+            counts.append(len(own))
+        if len(self.words) > self.most or len(self.units) > self.most:
+            self.clear()
+        code = np.fromiter(map(self.words.get, words, itertools.repeat(-1)), np.int64, len(words))
+        if len(missing := np.flatnonzero(code < 0)):
+            lost = [words[i] for i in missing]
+            self._learn(list(dict.fromkeys(lost)))
+            code[missing] = np.fromiter(map(self.words.__getitem__, lost), np.int64, len(lost))
+        ids, lengths = self.word_ids.get(code)
+        total = np.concatenate([[0], np.cumsum(lengths)])
+        return np.split(ids, total[np.cumsum(counts)][:-1])
 
 
 def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, tokenizer: str | None = None) -> DataFrame:
@@ -80,15 +145,16 @@ def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words(tokenizer)
-        for b in batches:
-            out: list[tuple] = []
-            for doc, text in zip(b.column(0), b.column(1), strict=True):
-                ids = np.append(words.encode(text.as_py() or ""), np.uint32(end_id)).astype("<u4")
-                for n, start in enumerate(range(0, len(ids), capacity)):
-                    part = ids[start : start + capacity]
-                    out.append((doc, n, start, len(part), zlib.crc32(part.tobytes())))
-            columns = list(zip(*out, strict=True)) if out else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array([x.as_py() for x in columns[0]], b.schema.field(0).type), pa.array(columns[1], pa.int32()), *[pa.array(c, pa.int64()) for c in columns[2:]]], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        for batch in batches:
+            for b in slices(batch, batch.schema.names[1], SLICE_BYTES):
+                out: list[tuple] = []
+                for doc, own in enumerate(words.encode([t or "" for t in b.column(1).to_pylist()])):
+                    ids = np.append(own, np.uint32(end_id)).astype("<u4")
+                    for n, start in enumerate(range(0, len(ids), capacity)):
+                        part = ids[start : start + capacity]
+                        out.append((doc, n, start, len(part), zlib.crc32(part)))
+                rows = np.array(out, np.int64)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows[:, 0])), pa.array(rows[:, 1], pa.int32()), *[pa.array(rows[:, k]) for k in (2, 3, 4)]], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     kind = dict(df.dtypes)[id_col]
     return df.select(F.col(id_col), F.col(text_col)).mapInArrow(cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")

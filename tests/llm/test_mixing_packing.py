@@ -159,5 +159,17 @@ def test_pieces_match_whole_texts(spark):
         assert at <= 4096
 
 
+def test_words_match_the_tokenizer():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = str(public_tokenizers.path(packing.TOKENIZER))
+    t, w, rng = Tokenizer.from_file(path), packing.Words(path, most=200), random.Random(8)
+    alphabet = "abcXYZéÀßñ'´`.,;<>|_-019 \n\t\r\x0b\x1c\xa0\u00ad½ªµ\u0301ſʼ…Σς東🙂İı"
+    for _ in range(60):
+        texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60))) + rng.choice(["", " don't we'll I'M", "<|endoftext|>", "ab " * 50]) for _ in range(8)]
+        assert [x.tolist() for x in w.encode(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 def test_pack_empty(spark):
     assert packing.pack(packing.pieces(_docs(spark, []))).collect() == []
