@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from .html_text import op10_line_blocks
+from .jaccard_join import op7_jaccard_join
 from .language_id import op3_language_id
 from .mixing import op6_mix_sources
 from .packing import op9_best_fit_packing
+from .suffix_dedup import op2_suffix_dedup
 from .syncmers import op8_closed_syncmers
 from .topk import op5_exact_topk
 from .url_filter import op4_url_lm_ratio
 
-QUERIES = {f.__name__: f for f in (op3_language_id, op4_url_lm_ratio, op5_exact_topk, op6_mix_sources, op8_closed_syncmers, op9_best_fit_packing, op10_line_blocks)}
+QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op3_language_id, op4_url_lm_ratio, op5_exact_topk, op6_mix_sources, op7_jaccard_join, op8_closed_syncmers, op9_best_fit_packing, op10_line_blocks)}
 
 ORACLE_SQL: dict[str, str] = {
     "op5_exact_topk": """
