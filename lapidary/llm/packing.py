@@ -22,6 +22,7 @@ always parts words of this tokenizer, so a text's ids are those of its words, on
 from __future__ import annotations
 
 import bisect
+import functools
 import itertools
 import re
 import zlib
@@ -135,6 +136,12 @@ class Words:
         return np.split(ids, total[np.cumsum(counts)][:-1])
 
 
+@functools.cache
+def words_of(path: str) -> Words:
+    """One table for all tasks of a Python worker."""
+    return Words(path)
+
+
 def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, tokenizer: str | None = None) -> DataFrame:
     """id_col, piece, start, length, ids_crc32 of every document's pieces."""
     if tokenizer is None:
@@ -144,7 +151,7 @@ def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     tokenizer = str(tokenizer)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(tokenizer)
+        words = words_of(tokenizer)
         for batch in batches:
             for b in slices(batch, batch.schema.names[1], SLICE_BYTES):
                 out: list[tuple] = []
