@@ -33,9 +33,9 @@ from pyspark.sql import functions as F
 
 from .common import buffers, dropped, mixed, saved, slices
 
-LENGTH, GRAM, SLICE_BYTES = 100, 32, 1 << 20
+LENGTH, GRAM, SLICE_BYTES = 100, 32, 1 << 18
 #: Stretches in a bucket, suffixes sorted at once, and the size below which a part is sorted by columns.
-BUCKET_ROWS, SORT_ROWS, SMALL = 16_384, 1 << 18, 2_048
+BUCKET_ROWS, SORT_ROWS, SMALL = 8_192, 1 << 16, 2_048
 #: Up to so many documents (16 bytes each) are broadcast to pick texts; more are joined by a shuffle.
 BROADCAST_DOCS = 1_000_000
 
