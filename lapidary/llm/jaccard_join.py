@@ -36,7 +36,7 @@ from .components import components
 WORDS, PERCENT = 5, 75
 #: Documents in the sample that finds frequent shingles, documents there that make one frequent, and how many are kept at most.
 SAMPLE, FREQUENT, MOST_FREQUENT = 4_096, 6, 100_000
-TILE, SLICE_BYTES = 2_048, 1 << 20
+TILE, SLICE_BYTES = 2_048, 1 << 18
 #: Up to so many ids (8 bytes each) are broadcast to pick documents; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 

@@ -38,7 +38,7 @@ CELLS, EFFECTIVE, ALPHA, HOST, DOMAIN, LEAST, MOST_LANGUAGES = 1 << 16, 40.0, 0.
 NOISE = -float(np.log(CELLS))
 #: Country suffix: language (fixed values).
 SUFFIXES = {"at": "de", "ch": "de", "cl": "es", "co": "es", "de": "de", "es": "es", "fr": "fr", "ie": "en", "mx": "es", "uk": "en", "us": "en"}
-_SLICE = 4 << 20
+_SLICE = 1 << 19
 _FOLD = np.full(256, 32, np.uint32)
 _FOLD[128:] = np.arange(128, 256)
 _FOLD[97:123] = np.arange(97, 123)
