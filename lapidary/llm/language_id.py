@@ -62,6 +62,13 @@ def _cells(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return ((((x * np.uint32(31)) ^ y) * np.uint32(2053) ^ z) * np.uint32(2654435761) >> np.uint32(16)).astype(np.int64)[keep], row[:-2][keep]
 
 
+def _letters(column: pa.Array) -> np.ndarray:
+    """Whether each text has a letter."""
+    raw, off = buffers(column)
+    total = np.concatenate([[0], np.cumsum(_FOLD[raw] != 32)])
+    return total[off[1:]] > total[off[:-1]]
+
+
 def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang") -> Model:
     """Trigram counts of all rows with a label; the MOST_LANGUAGES most frequent labels are modelled."""
     rows = labelled.where(F.col(label_col).isNotNull()).select(F.col(label_col).alias("l"), F.lower(F.col(text_col)).alias("t"))
@@ -107,7 +114,7 @@ def _text_evidence(df: DataFrame, model: Model, html: bool) -> DataFrame:
                 ll = mean * (n / (1 + n / EFFECTIVE))[:, None]
                 p = np.exp(ll - ll.max(1, initial=-np.inf, keepdims=True)) if languages else ll
                 p /= np.maximum(p.sum(1, keepdims=True), 1e-300)
-                sound = (n > 0) & (mean.max(1, initial=-np.inf) > NOISE)
+                sound = _letters(t) & ((n == 0) | (mean.max(1, initial=-np.inf) > NOISE))
                 lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * len(languages), pa.int32()), pa.array(x.ravel(), pa.float64()))  # noqa: E731, B023
                 yield pa.RecordBatch.from_arrays([*[b.column(i) for i, f in enumerate(b.schema) if f.name != "_text"], lists(ll), lists(p), pa.array(sound)], names=[*kept, "_ll", "_p", "_sound"])
 
