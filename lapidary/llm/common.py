@@ -30,6 +30,7 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it again: lineage ends here, executors may be lost."""
     path = f"{scratch_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    df.sparkSession._jvm.System.gc()  # shuffle files of finished plans go when the driver collects its garbage
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._lapidary_path = path
     return out

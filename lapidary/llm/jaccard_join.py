@@ -283,9 +283,12 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     frequent = frequent_shingles(rows, rows.select("doc_id").count(), words)
     docs = saved(document_sets(rows, frequent, words, percent), "documents")
     keyed = docs.select("node", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key", F.col("lo").alias("hub"))
-    shared = saved(shared, "shared")
-    met = saved(keyed.join(shared.select("key"), "key", "left_semi").distinct(), "met")
+    # 32 bits tell a key's nodes apart well enough: they change with the key, and linked nodes share many keys
+    tag = F.hash("node", "key")
+    several = saved(keyed.groupBy("key").agg(F.min(tag).alias("lo"), F.max(tag).alias("hi")).where("lo <> hi").select("key"), "several")
+    met = saved(keyed.join(several, "key", "left_semi").distinct(), "met")
+    dropped(several)
+    shared = saved(met.groupBy("key").agg(F.min("node").alias("hub")), "shared")
     nodes = met.select("node").distinct()
     info = docs.select("node", "n", "bits", "doc_id").join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("n", "bits", "doc_id")).alias("i")).select("node", "i.*")
     info = saved(info, "info")
