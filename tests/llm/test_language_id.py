@@ -81,8 +81,8 @@ def test_held_out_accuracy_and_rejection(spark):
     assert len(out) == 205
     assert [r[3] for r in out if r.doc_id >= 1000] == ["und"] * 5
     short = spark.createDataFrame([*rows[400:], (999, "A.", "en", "h", "c")], SCHEMA)
-    out = L.identify(short, model, F.col("text"), F.col("source"), F.col("lang"), keep=["doc_id"]).where("doc_id = 999").collect()
-    assert [r.language for r in out] == ["en"]
+    one = L.identify(short, model, F.col("text"), F.col("source"), F.col("lang"), keep=["doc_id"]).where("doc_id = 999").collect()
+    assert [r.language for r in one] == ["en"]
     assert sum(r[3] == r.lang for r in out if r.doc_id < 1000) >= 190
 
 
