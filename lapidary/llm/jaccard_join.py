@@ -6,7 +6,7 @@ documents link when 100 * |A and B| >= percent * |A or B|. The way there, all of
 1. Equal sets are one node (a 64-bit hash of the set), so that copies are never paired.
 2. Candidates share a key: of n shingles in any fixed order, linked sets share one of the first n - ceil(t n) + 1. The order is by
    hash, with shingles that are frequent in a bounded sample of documents last; the sample only affects speed, as any
-   order is right. Keys of a single node are dropped by an aggregation before any row of two nodes meets.
+   order is right. Keys of a single node are dropped by an aggregation before any row of two nodes meets; of keys with the same nodes one stays.
 3. Each key's least node is its hub; every node is compared with the hub it shares most keys with. What links is
    joined into components. This costs one comparison a node, however large a group of near copies is.
 4. Keys whose nodes still lie in several components become tiles: rows outside the hub's component against all rows, in
@@ -98,8 +98,8 @@ def shingle_sets(column: pa.Array, words: int = WORDS) -> Iterator[np.ndarray]:
 
 
 def bitmap(s: np.ndarray) -> bytes:
-    """A power of two of bits, at least 64 and twice the set's size; a set's bits are its hashes' low ones."""
-    bits = max(64, 1 << int(2 * len(s) - 1).bit_length())
+    """A power of two of bits, at least 64 and the set's size; a set's bits are its hashes' low ones."""
+    bits = max(64, 1 << int(len(s) - 1).bit_length())
     out = np.zeros(bits, np.uint8)
     out[(s & _U(bits - 1)).astype(np.int64)] = 1
     return np.packbits(out, bitorder="little").tobytes()
@@ -235,46 +235,71 @@ def _linked(pairs: DataFrame, info: DataFrame, rows: DataFrame, words: int, perc
     return out
 
 
+def _tile(x: list, y: list, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows (node, n, bits, comp) of x and y that sizes and bitmaps allow and that lie in different components."""
+    found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+    def bands(rows: list) -> dict[int, list]:
+        out: dict[int, list] = {}
+        for r in rows:
+            out.setdefault(len(r[2]), []).append(r)
+        return out
+
+    ys = bands(y)
+    for wx, p in bands(x).items():
+        for wy in (wx // 2, wx, wx * 2):  # sizes of linked sets differ by a third at most, so their bands are the same or next to each other
+            if wy not in ys:
+                continue
+            q, w = ys[wy], min(wx, wy) // 8
+            a, b = _folded(_words_of([r[2] for r in p]), w), _folded(_words_of([r[2] for r in q]), w)
+            (ia, na, ca), (ib, nb, cb) = (np.array([(r[0], r[1], r[3]) for r in rows], np.int64).T for rows in (p, q))
+            step = max(1, (1 << 20) // max(1, b.size))
+            for s in range(0, len(a), step):
+                t = slice(s, s + step)
+                o = most_overlap(a[t, None, :], na[t, None], b[None], nb[None])
+                i, j = np.nonzero(_may_link(na[t, None], nb[None], o, percent) & (ca[t, None] != cb[None]))
+                found_a.append(ia[t][i])
+                found_b.append(ib[j])
+    a, b = np.concatenate(found_a), np.concatenate(found_b)
+    return np.minimum(a, b), np.maximum(a, b)
+
+
 def _tiled(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b, shared) across components that bitmaps allow, from rows (key, node, n, bits, comp, core)."""
+    """Pairs (a, b) across components that bitmaps allow, from rows (key, node, n, bits, comp, core). A tile's rows come sorted, so
+    a task holds one tile at a time."""
     counts = rows.groupBy("key").agg(F.count_if("core").alias("c"), F.count_if(~F.col("core")).alias("r"))
     counts = counts.select("key", F.ceil(F.col("c") / TILE).cast("int").alias("cb"), F.ceil(F.col("r") / TILE).cast("int").alias("rb"))
     rows = rows.join(counts, "key")
-    # outer rows own a block x; against: core blocks (y < cb) and outer blocks (cb <= y)
-    block = F.when(F.col("core"), F.pmod(F.hash("node"), F.col("cb"))).otherwise(F.col("cb") + F.pmod(F.hash("node"), F.col("rb")))
-    rows = rows.withColumn("y", block)
-    all_x = F.sequence(F.lit(0), F.col("rb") - 1)
-    other = rows.withColumn("x", F.explode(all_x)).select("key", "x", "y", "node", "n", "bits", "comp")
-    outer = rows.where(~F.col("core")).withColumn("x", F.col("y") - F.col("cb"))
-    outer = outer.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("cb") + F.col("rb") - 1)))
-    names = ["key", "x", "y", "node", "n", "bits", "comp"]
-    outer = outer.select(*[F.col(c).alias(f"o_{c}") for c in names])
-
-    def tile(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        x.columns = names
-        found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        parts = lambda p: {w: q for w, q in p.groupby(p["bits"].map(len))}
-        xs, ys = parts(x), parts(y)
-        for wx, p in xs.items():
-            for wy, q in ys.items():
-                if not wx // 2 <= wy <= wx * 2:
-                    continue  # sizes of linked sets differ by a third at most, so their bands are the same or next to each other
-                w = min(wx, wy) // 8
-                a, b = _folded(_words_of(p["bits"].tolist()), w), _folded(_words_of(q["bits"].tolist()), w)
-                na, nb = p["n"].to_numpy(np.int64), q["n"].to_numpy(np.int64)
-                ca, cb, ia, ib = p["comp"].to_numpy(), q["comp"].to_numpy(), p["node"].to_numpy(), q["node"].to_numpy()
-                step = max(1, (1 << 20) // max(1, b.size))
-                for s in range(0, len(a), step):
-                    t = slice(s, s + step)
-                    o = most_overlap(a[t, None, :], na[t, None], b[None], nb[None])
-                    i, j = np.nonzero(_may_link(na[t, None], nb[None], o, percent) & (ca[t, None] != cb[None]))
-                    found_a.append(ia[t][i])
-                    found_b.append(ib[j])
-        a, b = np.concatenate(found_a), np.concatenate(found_b)
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
-
-    keys = ["key", "x", "y"]
-    return outer.groupBy(*[f"o_{c}" for c in keys]).cogroup(other.groupBy(*keys)).applyInPandas(tile, "a long, b long").distinct()
+    # outer rows have a block x; against all blocks y: core blocks (y < cb) and outer ones (cb <= y)
+    y = F.when(F.col("core"), F.pmod(F.hash("node"), F.col("cb"))).otherwise(F.col("cb") + F.pmod(F.hash("node"), F.col("rb")))
+    rows = rows.withColumn("y", y)
+    names = ["key", "x", "y", "other", "node", "n", "bits", "comp"]
+    other = rows.withColumns({"x": F.explode(F.sequence(F.lit(0), F.col("rb") - 1)), "other": F.lit(True)}).select(*names)
+    outer = rows.where(~F.col("core")).withColumns({"x": F.col("y") - F.col("cb"), "other": F.lit(False)})
+    outer = outer.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("cb") + F.col("rb") - 1))).select(*names)
+    sorted_rows = outer.unionByName(other).repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "other")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, sides, out = None, ([], []), []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            a, b = np.unique(np.concatenate([np.stack(p, 1) for p in out] or [np.zeros((0, 2), np.int64)]), axis=0).T
+            out.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(a)), pa.array(np.ascontiguousarray(b))], names=["a", "b"])
+
+        for batch in batches:
+            for key, x, y, other, *row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if (key, x, y) != tile:
+                    if all(sides):
+                        out.append(_tile(*sides, percent))
+                    tile, sides = (key, x, y), ([], [])
+                sides[other].append(row)
+            yield from done()
+        if all(sides):
+            out.append(_tile(*sides, percent))
+        yield from done()
+
+    return sorted_rows.mapInArrow(run, "a long, b long").distinct()
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -288,21 +313,25 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     several = saved(keyed.groupBy("key").agg(F.min(tag).alias("lo"), F.max(tag).alias("hi")).where("lo <> hi").select("key"), "several")
     met = saved(keyed.join(several, "key", "left_semi").distinct(), "met")
     dropped(several)
-    shared = saved(met.groupBy("key").agg(F.min("node").alias("hub")), "shared")
+    # keys with the same nodes say the same: one of them stays, with their number
+    alike = met.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("p"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("q"), F.min("node").alias("hub"))
+    shared = saved(alike.groupBy("n", "p", "q").agg(F.min("key").alias("key"), F.count("*").alias("weight"), F.min("hub").alias("hub")).select("key", "weight", "hub"), "shared")
+    every, met = met, saved(met.join(shared.select("key"), "key", "left_semi"), "met")
+    dropped(every)
     nodes = met.select("node").distinct()
     info = docs.select("node", "n", "bits", "doc_id").join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("n", "bits", "doc_id")).alias("i")).select("node", "i.*")
     info = saved(info, "info")
 
-    pairs = met.join(shared, "key").where("node <> hub").groupBy(F.col("hub").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("shared"))
+    pairs = met.join(shared, "key").where("node <> hub").groupBy(F.col("hub").alias("a"), F.col("node").alias("b")).agg(F.sum("weight").alias("shared"))
     best = _bounded(pairs, info, percent).groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b")
     best = saved(best, "best")
     links = _linked(best, info, rows, words, percent)
     comp = components(links)
 
-    joined = met.join(info.select("node", "n", "bits"), "node").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    placed = met.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     hub_comp = shared.join(comp.withColumnRenamed("node", "hub"), "hub", "left").select("key", F.coalesce("comp", "hub").alias("core"))
-    mixed_keys = met.join(comp, "node", "left").groupBy("key").agg(F.min(F.coalesce("comp", "node")).alias("lo"), F.max(F.coalesce("comp", "node")).alias("hi")).where("lo <> hi").select("key")
-    joined = joined.join(mixed_keys, "key", "left_semi").join(hub_comp, "key").withColumn("core", F.col("comp") == F.col("core"))
+    split = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    joined = placed.join(split, "key", "left_semi").join(hub_comp, "key").withColumn("core", F.col("comp") == F.col("core")).join(info.select("node", "n", "bits"), "node")
     again = saved(_tiled(saved(joined, "open"), percent).join(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "again")
     if not again.isEmpty():
         comp = components(links.unionByName(_linked(again, info, rows, words, percent)))
