@@ -326,7 +326,7 @@ def outline_levels(spark, sf):
 
 @query
 def page_headings(spark, sf):
-    rows = _page_lines(spark, sf).withColumn("text", F.expr("CASE WHEN line_no = 2 AND page_no % 40 < 20 THEN concat('Chapter ', page_no, ' begins') ELSE text END"))
+    rows = _page_lines(spark, sf).withColumn("text", F.expr("CASE WHEN line_no = 2 AND page_no % 40 < 20 THEN concat('Chapter ', page_no, ': ', substring(text, 1, 12)) ELSE text END"))
     return structure.page_headings(rows, structure.margin_noise(rows))
 
 
