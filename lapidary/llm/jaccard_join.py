@@ -10,9 +10,10 @@ documents link when 100 * |A and B| >= percent * |A or B|. The way there, all of
 3. Each key's least node is its hub; every node is compared with the hub it shares most keys with. What links is
    joined into components. This costs one comparison a node, however large a group of near copies is.
 4. Keys whose nodes still lie in several components become tiles: rows outside the hub's component against all rows, in
-   blocks of at most TILE rows, split by size band (the power of two of the bitmap). Popcounts of A & ~B and B & ~A bound the overlap from above, for all
-   pairs of a tile at once; pairs within one component are skipped, since they can join nothing.
-5. Pairs that the bound leaves are checked exactly. Links of both rounds give the final components.
+   blocks of at most TILE rows, split by size band (the power of two of the bitmap). Popcounts of A & ~B and B & ~A bound the overlap
+   from above, for all pairs of a tile at once; pairs within one component are skipped, since they can join nothing. Of
+   what the bound leaves, each row's closest in every component is checked exactly and joined first.
+5. Rows that this did not join to a component which holds further pairs for them are checked against all of those.
 
 So every link between different components' nodes is found, and no link can be lost for the components: a pair left out lies within
 one. Defined results: null texts and those without words have an empty set and link with nothing (component_id is their own id); ties need no
@@ -98,8 +99,9 @@ def shingle_sets(column: pa.Array, words: int = WORDS) -> Iterator[np.ndarray]:
 
 
 def bitmap(s: np.ndarray) -> bytes:
-    """A power of two of bits, at least 64 and the set's size; a set's bits are its hashes' low ones."""
-    bits = max(64, 1 << int(len(s) - 1).bit_length())
+    """A power of two of bits: 16 for each element of a small set, 2 of a large one; a set's bits are its hashes' low ones."""
+    n = len(s)
+    bits = max(64, 1 << int(min(16 * n, max(2 * n, 2_048)) - 1).bit_length())
     out = np.zeros(bits, np.uint8)
     out[(s & _U(bits - 1)).astype(np.int64)] = 1
     return np.packbits(out, bitorder="little").tobytes()
@@ -235,9 +237,10 @@ def _linked(pairs: DataFrame, info: DataFrame, rows: DataFrame, words: int, perc
     return out
 
 
-def _tile(x: list, y: list, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows (node, n, bits, comp) of x and y that sizes and bitmaps allow and that lie in different components."""
-    found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+def _tile(x: list, y: list, percent: int, best: bool) -> np.ndarray:
+    """Pairs (a, b, more) of rows (node, n, bits, comp) of x and y that sizes and bitmaps allow and that lie in different components;
+    with best, only a row's closest by the bound in each component, more: there are others."""
+    found = [np.zeros((0, 3), np.int64)]
 
     def bands(rows: list) -> dict[int, list]:
         out: dict[int, list] = {}
@@ -258,48 +261,63 @@ def _tile(x: list, y: list, percent: int) -> tuple[np.ndarray, np.ndarray]:
                 t = slice(s, s + step)
                 o = most_overlap(a[t, None, :], na[t, None], b[None], nb[None])
                 i, j = np.nonzero(_may_link(na[t, None], nb[None], o, percent) & (ca[t, None] != cb[None]))
-                found_a.append(ia[t][i])
-                found_b.append(ib[j])
-    a, b = np.concatenate(found_a), np.concatenate(found_b)
-    return np.minimum(a, b), np.maximum(a, b)
-
-
-def _tiled(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) across components that bitmaps allow, from rows (key, node, n, bits, comp, core). A tile's rows come sorted, so
-    a task holds one tile at a time."""
+                more = np.zeros(len(i), bool)
+                if best and len(i):
+                    close = o[i, j] / (na[t][i] + nb[j] - o[i, j])
+                    order = np.lexsort((-close, cb[j], i))
+                    i, j = i[order], j[order]
+                    first = np.flatnonzero(np.concatenate([[True], (i[1:] != i[:-1]) | (cb[j[1:]] != cb[j[:-1]])]))
+                    more = np.diff(np.append(first, len(i))) > 1
+                    i, j = i[first], j[first]
+                u, v = ia[t][i], ib[j]
+                found.append(np.stack([np.minimum(u, v), np.maximum(u, v), more], 1))
+    return np.concatenate(found)
+
+
+def _tiled(rows: DataFrame, percent: int, best: bool) -> DataFrame:
+    """Pairs (a, b, more) across components that bitmaps allow, from rows (key, node, n, bits, comp, core): those outside the core against
+    all of their key. A key of at most TILE rows is one tile; larger ones are cut into blocks. A tile's rows come sorted, so a task
+    holds one tile at a time."""
     counts = rows.groupBy("key").agg(F.count_if("core").alias("c"), F.count_if(~F.col("core")).alias("r"))
-    counts = counts.select("key", F.ceil(F.col("c") / TILE).cast("int").alias("cb"), F.ceil(F.col("r") / TILE).cast("int").alias("rb"))
+    counts = counts.where("r > 0").select("key", (F.col("c") + F.col("r") <= TILE).alias("small"), F.ceil(F.col("c") / TILE).cast("int").alias("cb"), F.ceil(F.col("r") / TILE).cast("int").alias("rb"))
     rows = rows.join(counts, "key")
-    # outer rows have a block x; against all blocks y: core blocks (y < cb) and outer ones (cb <= y)
-    y = F.when(F.col("core"), F.pmod(F.hash("node"), F.col("cb"))).otherwise(F.col("cb") + F.pmod(F.hash("node"), F.col("rb")))
-    rows = rows.withColumn("y", y)
-    names = ["key", "x", "y", "other", "node", "n", "bits", "comp"]
-    other = rows.withColumns({"x": F.explode(F.sequence(F.lit(0), F.col("rb") - 1)), "other": F.lit(True)}).select(*names)
-    outer = rows.where(~F.col("core")).withColumns({"x": F.col("y") - F.col("cb"), "other": F.lit(False)})
-    outer = outer.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("cb") + F.col("rb") - 1))).select(*names)
-    sorted_rows = outer.unionByName(other).repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "other")
+    # side: 0 outside the core and against itself too (a small key's), 1 outside the core, 2 the other rows of the tile
+    names = ["key", "x", "y", "side", "node", "n", "bits", "comp"]
+    zero = F.lit(0)
+    small = rows.where("small").withColumns({"x": zero, "y": zero, "side": F.when(F.col("core"), 2).otherwise(0)}).select(*names)
+    large = rows.where("NOT small").withColumn("y", F.when(F.col("core"), F.pmod(F.hash("node"), F.col("cb"))).otherwise(F.col("cb") + F.pmod(F.hash("node"), F.col("rb"))))
+    other = large.withColumns({"x": F.explode(F.sequence(zero, F.col("rb") - 1)), "side": F.lit(2)}).select(*names)
+    outer = large.where(~F.col("core")).withColumns({"x": F.col("y") - F.col("cb"), "side": F.lit(1)})
+    outer = outer.withColumn("y", F.explode(F.sequence(zero, F.col("cb") + F.col("rb") - 1))).select(*names)
+    sorted_rows = small.unionByName(outer).unionByName(other).repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tile, sides, out = None, ([], []), []
+        tile, sides, out = None, ([], [], []), []
+
+        def close() -> None:
+            if sides[0]:
+                out.append(_tile(sides[0], sides[0] + sides[2], percent, best))
+            elif sides[1] and sides[2]:
+                out.append(_tile(sides[1], sides[2], percent, best))
 
         def done() -> Iterator[pa.RecordBatch]:
-            a, b = np.unique(np.concatenate([np.stack(p, 1) for p in out] or [np.zeros((0, 2), np.int64)]), axis=0).T
+            pairs = np.concatenate([*out, np.zeros((0, 3), np.int64)])
             out.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(a)), pa.array(np.ascontiguousarray(b))], names=["a", "b"])
+            pairs = pairs[np.lexsort((-pairs[:, 2], pairs[:, 1], pairs[:, 0]))]
+            pairs = pairs[np.concatenate([[True], (pairs[1:, :2] != pairs[:-1, :2]).any(1)])] if len(pairs) else pairs
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy()), pa.array(pairs[:, 2] > 0)], names=["a", "b", "more"])
 
         for batch in batches:
-            for key, x, y, other, *row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for key, x, y, side, *row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if (key, x, y) != tile:
-                    if all(sides):
-                        out.append(_tile(*sides, percent))
-                    tile, sides = (key, x, y), ([], [])
-                sides[other].append(row)
+                    close()
+                    tile, sides = (key, x, y), ([], [], [])
+                sides[side].append(row)
             yield from done()
-        if all(sides):
-            out.append(_tile(*sides, percent))
+        close()
         yield from done()
 
-    return sorted_rows.mapInArrow(run, "a long, b long").distinct()
+    return sorted_rows.mapInArrow(run, "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -328,13 +346,29 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     links = _linked(best, info, rows, words, percent)
     comp = components(links)
 
-    placed = met.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    tested = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+    def placed(comp: DataFrame, core: DataFrame) -> DataFrame:
+        """Rows of the keys whose nodes lie in several components; core: key, core (a component)."""
+        rows = met.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        split = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+        return rows.join(split, "key", "left_semi").join(core, "key").withColumn("core", F.col("comp") == F.col("core")).join(info.select("node", "n", "bits"), "node")
+
     hub_comp = shared.join(comp.withColumnRenamed("node", "hub"), "hub", "left").select("key", F.coalesce("comp", "hub").alias("core"))
-    split = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    joined = placed.join(split, "key", "left_semi").join(hub_comp, "key").withColumn("core", F.col("comp") == F.col("core")).join(info.select("node", "n", "bits"), "node")
-    again = saved(_tiled(saved(joined, "open"), percent).join(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "again")
-    if not again.isEmpty():
-        comp = components(links.unionByName(_linked(again, info, rows, words, percent)))
+    close = saved(_tiled(placed(comp, hub_comp), percent, True).join(tested, ["a", "b"], "left_anti"), "close")
+    links = links.unionByName(_linked(close, info, rows, words, percent))
+    comp = components(links)
+
+    # nodes with further pairs towards a component that their closest one did not link them to: all those pairs
+    side = lambda n: comp.select(F.col("node").alias(n), F.col("comp").alias(f"c{n}"))
+    open_ = close.where("more").join(side("a"), "a", "left").join(side("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
+    open_ = saved(open_.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "open")
+    if not open_.isEmpty():
+        left = placed(comp, met.join(open_, "node", "left_semi").select("key").distinct().withColumn("core", F.lit(0).cast("long")))
+        left = left.drop("core").join(open_.withColumn("open", F.lit(True)), "node", "left").withColumn("core", F.col("open").isNull())
+        again = _tiled(left, percent, False).select("a", "b").join(tested, ["a", "b"], "left_anti").join(close.select("a", "b"), ["a", "b"], "left_anti")
+        links = links.unionByName(_linked(saved(again, "again"), info, rows, words, percent))
+        comp = components(links)
 
     placed = docs.select("doc_id", "node", "n").join(comp, "node", "left")
     placed = placed.withColumn("comp", F.when(F.col("n") > 0, F.coalesce("comp", "node")))
