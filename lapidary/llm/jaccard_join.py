@@ -11,9 +11,10 @@ documents link when 100 * |A and B| >= percent * |A or B|. The way there, all of
    joined into components. This costs one comparison a node, however large a group of near copies is.
 4. Keys whose nodes still lie in several components become tiles: rows outside the hub's component against all rows, in
    blocks of at most TILE rows, split by size band (the power of two of the bitmap). Popcounts of A & ~B and B & ~A bound the overlap
-   from above, for all pairs of a tile at once; pairs within one component are skipped, since they can join nothing. Of
-   what the bound leaves, each row's closest in every component is checked exactly and joined first.
-5. Rows that this did not join to a component which holds further pairs for them are checked against all of those.
+   from above, for all pairs of a tile at once; pairs within one component are skipped, since they can join nothing, and a
+   pair counts in the tile of its first common key only.
+5. Of what the bound leaves, each row's closest is checked exactly and joined first; then, for rows with further pairs, the
+   closest in each component; then, for rows that still have some, all. Each round ends with new components.
 
 So every link between different components' nodes is found, and no link can be lost for the components: a pair left out lies within
 one. Defined results: null texts and those without words have an empty set and link with nothing (component_id is their own id); ties need no
@@ -237,9 +238,16 @@ def _linked(pairs: DataFrame, info: DataFrame, rows: DataFrame, words: int, perc
     return out
 
 
-def _tile(x: list, y: list, percent: int, best: bool) -> np.ndarray:
-    """Pairs (a, b, more) of rows (node, n, bits, comp) of x and y that sizes and bitmaps allow and that lie in different components;
-    with best, only a row's closest by the bound in each component, more: there are others."""
+def _first_common(a: list, b: list) -> int | None:
+    """The least of two sorted arrays' common elements."""
+    other = set(b)
+    return next((k for k in a if k in other), None)
+
+
+def _tile(key: int, x: list, y: list, percent: int, mode: str) -> np.ndarray:
+    """Pairs (a of x, b of y, more) of rows (node, n, bits, comp, keys) that sizes and bitmaps allow, that lie in different components and
+    whose first common key this is. Modes: one, each a's closest by the bound; component, its closest in each component; all.
+    more: a has others."""
     found = [np.zeros((0, 3), np.int64)]
 
     def bands(rows: list) -> dict[int, list]:
@@ -248,64 +256,64 @@ def _tile(x: list, y: list, percent: int, best: bool) -> np.ndarray:
             out.setdefault(len(r[2]), []).append(r)
         return out
 
-    ys = bands(y)
-    for wx, p in bands(x).items():
+    xs, ys = bands(x), bands(y)
+    for wx, p in xs.items():
+        near: list[tuple] = []
         for wy in (wx // 2, wx, wx * 2):  # sizes of linked sets differ by a third at most, so their bands are the same or next to each other
             if wy not in ys:
                 continue
             q, w = ys[wy], min(wx, wy) // 8
             a, b = _folded(_words_of([r[2] for r in p]), w), _folded(_words_of([r[2] for r in q]), w)
-            (ia, na, ca), (ib, nb, cb) = (np.array([(r[0], r[1], r[3]) for r in rows], np.int64).T for rows in (p, q))
+            (na, ca), (nb, cb) = (np.array([(r[1], r[3]) for r in rows], np.int64).T for rows in (p, q))
             step = max(1, (1 << 20) // max(1, b.size))
             for s in range(0, len(a), step):
                 t = slice(s, s + step)
                 o = most_overlap(a[t, None, :], na[t, None], b[None], nb[None])
                 i, j = np.nonzero(_may_link(na[t, None], nb[None], o, percent) & (ca[t, None] != cb[None]))
-                more = np.zeros(len(i), bool)
-                if best and len(i):
-                    close = o[i, j] / (na[t][i] + nb[j] - o[i, j])
-                    order = np.lexsort((-close, cb[j], i))
-                    i, j = i[order], j[order]
-                    first = np.flatnonzero(np.concatenate([[True], (i[1:] != i[:-1]) | (cb[j[1:]] != cb[j[:-1]])]))
-                    more = np.diff(np.append(first, len(i))) > 1
-                    i, j = i[first], j[first]
-                u, v = ia[t][i], ib[j]
-                found.append(np.stack([np.minimum(u, v), np.maximum(u, v), more], 1))
+                close = o[i, j] / (na[t][i] + nb[j] - o[i, j])
+                near += [(u + s, -c, q[v][3], q[v][0]) for u, v, c in zip(i.tolist(), j.tolist(), close.tolist(), strict=True) if _first_common(p[u + s][4], q[v][4]) == key]
+        near.sort()
+        got: dict = {}
+        for u, _, comp, node in near:
+            group = (u,) if mode == "one" else (u, comp) if mode == "component" else (u, node)
+            got.setdefault(group, [p[u][0], node, 0, u])
+            got[group][2] += 1
+        found.append(np.array([(a, b, n > 1) for a, b, n, _ in got.values()], np.int64).reshape(-1, 3))
     return np.concatenate(found)
 
 
-def _tiled(rows: DataFrame, percent: int, best: bool) -> DataFrame:
-    """Pairs (a, b, more) across components that bitmaps allow, from rows (key, node, n, bits, comp, core): those outside the core against
-    all of their key. A key of at most TILE rows is one tile; larger ones are cut into blocks. A tile's rows come sorted, so a task
-    holds one tile at a time."""
+def _tiled(rows: DataFrame, info: DataFrame, percent: int, mode: str) -> DataFrame:
+    """Pairs (a, b, more) across components that bitmaps allow, from rows (key, node, comp, core): those outside the core against all
+    of their key. A key of at most TILE rows is one tile; larger ones are cut into blocks. Sizes and bitmaps (info) join last, so
+    that they move once. A tile's rows come sorted, so a task holds one tile at a time."""
     counts = rows.groupBy("key").agg(F.count_if("core").alias("c"), F.count_if(~F.col("core")).alias("r"))
     counts = counts.where("r > 0").select("key", (F.col("c") + F.col("r") <= TILE).alias("small"), F.ceil(F.col("c") / TILE).cast("int").alias("cb"), F.ceil(F.col("r") / TILE).cast("int").alias("rb"))
     rows = rows.join(counts, "key")
     # side: 0 outside the core and against itself too (a small key's), 1 outside the core, 2 the other rows of the tile
-    names = ["key", "x", "y", "side", "node", "n", "bits", "comp"]
+    names = ["key", "x", "y", "side", "node", "comp"]
     zero = F.lit(0)
-    small = rows.where("small").withColumns({"x": zero, "y": zero, "side": F.when(F.col("core"), 2).otherwise(0)}).select(*names)
-    large = rows.where("NOT small").withColumn("y", F.when(F.col("core"), F.pmod(F.hash("node"), F.col("cb"))).otherwise(F.col("cb") + F.pmod(F.hash("node"), F.col("rb"))))
-    other = large.withColumns({"x": F.explode(F.sequence(zero, F.col("rb") - 1)), "side": F.lit(2)}).select(*names)
-    outer = large.where(~F.col("core")).withColumns({"x": F.col("y") - F.col("cb"), "side": F.lit(1)})
-    outer = outer.withColumn("y", F.explode(F.sequence(zero, F.col("cb") + F.col("rb") - 1))).select(*names)
-    sorted_rows = small.unionByName(outer).unionByName(other).repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+    block = F.when(F.col("core"), F.pmod(F.hash("node"), F.col("cb"))).otherwise(F.col("cb") + F.pmod(F.hash("node"), F.col("rb")))
+    own = F.struct(zero.alias("x"), zero.alias("y"), F.when(F.col("core"), 2).otherwise(0).alias("side"))
+    as_other = F.transform(F.sequence(zero, F.col("rb") - 1), lambda x: F.struct(x.alias("x"), block.alias("y"), F.lit(2).alias("side")))
+    as_outer = F.transform(F.sequence(zero, F.col("cb") + F.col("rb") - 1), lambda y: F.struct((block - F.col("cb")).alias("x"), y.alias("y"), F.lit(1).alias("side")))
+    places = F.when(F.col("small"), F.array(own)).when(F.col("core"), as_other).otherwise(F.concat(as_other, as_outer))
+    dealt = rows.withColumn("p", F.explode(places)).select("key", "p.*", "node", "comp").select(*names)
+    dealt = dealt.join(info.select("node", "n", "bits", "keys"), "node").select(*names[:4], "node", "n", "bits", "comp", "keys")
+    sorted_rows = dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tile, sides, out = None, ([], [], []), []
 
         def close() -> None:
             if sides[0]:
-                out.append(_tile(sides[0], sides[0] + sides[2], percent, best))
+                out.append(_tile(tile[0], sides[0], sides[0] + sides[2], percent, mode))
             elif sides[1] and sides[2]:
-                out.append(_tile(sides[1], sides[2], percent, best))
+                out.append(_tile(tile[0], sides[1], sides[2], percent, mode))
 
-        def done() -> Iterator[pa.RecordBatch]:
+        def done() -> pa.RecordBatch:
             pairs = np.concatenate([*out, np.zeros((0, 3), np.int64)])
             out.clear()
-            pairs = pairs[np.lexsort((-pairs[:, 2], pairs[:, 1], pairs[:, 0]))]
-            pairs = pairs[np.concatenate([[True], (pairs[1:, :2] != pairs[:-1, :2]).any(1)])] if len(pairs) else pairs
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy()), pa.array(pairs[:, 2] > 0)], names=["a", "b", "more"])
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy()), pa.array(pairs[:, 2] > 0)], names=["a", "b", "more"])
 
         for batch in batches:
             for key, x, y, side, *row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
@@ -313,11 +321,11 @@ def _tiled(rows: DataFrame, percent: int, best: bool) -> DataFrame:
                     close()
                     tile, sides = (key, x, y), ([], [], [])
                 sides[side].append(row)
-            yield from done()
+            yield done()
         close()
-        yield from done()
+        yield done()
 
-    return sorted_rows.mapInArrow(run, "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
+    return sorted_rows.mapInArrow(run, "a long, b long, more boolean")
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -338,7 +346,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     dropped(every)
     nodes = met.select("node").distinct()
     info = docs.select("node", "n", "bits", "doc_id").join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("n", "bits", "doc_id")).alias("i")).select("node", "i.*")
-    info = saved(info, "info")
+    info = saved(info.join(met.groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("keys")), "node"), "info")
 
     pairs = met.join(shared, "key").where("node <> hub").groupBy(F.col("hub").alias("a"), F.col("node").alias("b")).agg(F.sum("weight").alias("shared"))
     best = _bounded(pairs, info, percent).groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b")
@@ -346,29 +354,29 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     links = _linked(best, info, rows, words, percent)
     comp = components(links)
 
-    tested = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-
-    def placed(comp: DataFrame, core: DataFrame) -> DataFrame:
-        """Rows of the keys whose nodes lie in several components; core: key, core (a component)."""
-        rows = met.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        split = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-        return rows.join(split, "key", "left_semi").join(core, "key").withColumn("core", F.col("comp") == F.col("core")).join(info.select("node", "n", "bits"), "node")
-
-    hub_comp = shared.join(comp.withColumnRenamed("node", "hub"), "hub", "left").select("key", F.coalesce("comp", "hub").alias("core"))
-    close = saved(_tiled(placed(comp, hub_comp), percent, True).join(tested, ["a", "b"], "left_anti"), "close")
-    links = links.unionByName(_linked(close, info, rows, words, percent))
-    comp = components(links)
-
-    # nodes with further pairs towards a component that their closest one did not link them to: all those pairs
-    side = lambda n: comp.select(F.col("node").alias(n), F.col("comp").alias(f"c{n}"))
-    open_ = close.where("more").join(side("a"), "a", "left").join(side("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
-    open_ = saved(open_.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "open")
-    if not open_.isEmpty():
-        left = placed(comp, met.join(open_, "node", "left_semi").select("key").distinct().withColumn("core", F.lit(0).cast("long")))
-        left = left.drop("core").join(open_.withColumn("open", F.lit(True)), "node", "left").withColumn("core", F.col("open").isNull())
-        again = _tiled(left, percent, False).select("a", "b").join(tested, ["a", "b"], "left_anti").join(close.select("a", "b"), ["a", "b"], "left_anti")
-        links = links.unionByName(_linked(saved(again, "again"), info, rows, words, percent))
-        comp = components(links)
+    ordered = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    tested, open_ = ordered(best), None
+    for mode in ("one", "component", "all"):
+        found = met.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        if open_ is None:  # all but the hub's component
+            core = shared.join(comp.withColumnRenamed("node", "hub"), "hub", "left").select("key", F.coalesce("comp", "hub").alias("of_hub"))
+            found = found.join(core, "key").withColumn("core", F.col("comp") == F.col("of_hub")).drop("of_hub")
+        else:  # rows that had further pairs
+            found = found.join(found.join(open_, "node", "left_semi").select("key").distinct(), "key", "left_semi")
+            found = found.join(open_.withColumn("open", F.lit(True)), "node", "left").withColumn("core", F.col("open").isNull()).drop("open")
+        split = found.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+        found = saved(_tiled(found.join(split, "key", "left_semi"), info, percent, mode), "pairs")
+        pairs = saved(ordered(found).join(tested, ["a", "b"], "left_anti"), "untested")
+        open_ = saved(found.where("more").select(F.col("a").alias("node")).distinct(), "open")
+        dropped(found)
+        if not pairs.isEmpty():
+            new = _linked(pairs, info, rows, words, percent)
+            if not new.isEmpty():
+                links = links.unionByName(new)
+                comp = components(links)
+        tested = tested.unionByName(pairs)
+        if open_.isEmpty():
+            break
 
     placed = docs.select("doc_id", "node", "n").join(comp, "node", "left")
     placed = placed.withColumn("comp", F.when(F.col("n") > 0, F.coalesce("comp", "node")))
