@@ -3,6 +3,7 @@ so adjoining matches are replaced twice) and with recursive queries in place of
 
 from __future__ import annotations
 
+from .plans.render import NOTE
 from .queries import FORM, FUNCTION, KIND, LITERALS, PRIORITY, RELATION, RUBRIC, TITLE
 
 _W = r"[\p{L}\p{N}_]"
@@ -183,7 +184,13 @@ _OUTLINE = (
     "pranges AS (SELECT * FROM ranges WHERE start_page <= end_page)"
 )
 _KEPT = f"{_PARAS}, kept AS (SELECT *, idx - row_number() OVER (PARTITION BY section_no ORDER BY idx) AS island FROM paras WHERE (idx * 7 + section_no) % 4 <> 0), runs AS (SELECT *, dense_rank() OVER (PARTITION BY section_no ORDER BY island) AS run FROM kept)"
-_BASE = "book_id, section_no"
+# sections are numbered over documents with a block of `least` words; those without one of two words are gaps
+_FILES = (
+    f"WITH l AS (SELECT source, doc_id, unnest(string_split(text, chr(10))) AS line FROM documents {{limit}}), p AS (SELECT source, doc_id, {words(normalize('line')).replace('{', '{{').replace('}', '}}')} AS n FROM l), "
+    "s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY doc_id) AS k FROM (SELECT {key} AS book_id, doc_id, count(*) FILTER (n >= 2) AS paragraphs, CAST(sum(n) FILTER (n >= 2) AS BIGINT) AS word_count FROM p WHERE n >= {least} GROUP BY ALL)) WHERE paragraphs > 0), "
+    f"t AS (SELECT s.*, {normalize(TITLE).replace('{', '{{').replace('}', '}}')} AS title FROM s) "
+    f"SELECT book_id, printf('CH%03d', k) AS section_id, title, {kind_by_words('title', 'word_count').replace('{', '{{').replace('}', '}}')} AS kind, paragraphs, word_count FROM t"
+)
 
 ORACLE_SQL: dict[str, str] = {
     "word_count_doc": f"SELECT doc_id, {words('text')} AS words FROM documents",
@@ -356,6 +363,39 @@ ORACLE_SQL: dict[str, str] = {
         f"{_REQS}, s AS (SELECT source AS book_id, 'S' || doc_id // 20 AS section_id FROM documents WHERE doc_id < 120), j AS (SELECT s.book_id, section_id, requirement_id, len(sections) = 0 OR list_contains(sections, section_id) AS fits FROM s JOIN reqs USING (book_id) WHERE len(sections) > 0 OR book_id = 'src6')",
         "SELECT book_id, section_id, requirement_id FROM (SELECT *, bool_or(fits) OVER (PARTITION BY book_id, section_id) AS any_fits FROM j) WHERE fits OR NOT any_fits",
     ),
+    "report_lines": _with(
+        f"{_SECS}, t AS (SELECT book_id, count(*) AS n, CAST(coalesce(sum(word_count) FILTER (kind <> 'exclude'), 0) AS BIGINT) AS inc, CAST(coalesce(sum(word_count) FILTER (kind = 'exclude'), 0) AS BIGINT) AS exc, "
+        "string_agg('| ' || printf('CH%03d', section_no) || ' | ' || replace(title, '|', '\\|') || ' | ' || kind || ' | 1 | ' || word_count || ' |', chr(10) ORDER BY section_no) AS rows FROM secs GROUP BY book_id)",
+        "SELECT book_id, array_to_string(['# Parsed structure: ' || book_id, '', '- Sections: ' || n, '- Included words: ' || inc, '- Excluded words: ' || exc, '', '| Section | Title | Kind | Paragraphs | Words |', '|---|---|---|---:|---:|', rows], chr(10)) || chr(10) AS text FROM t",
+    ),
+    "edition_lines": _with(
+        f"{_BLOCKS}, {_CHOICE}, {_GAPS}, b AS (SELECT c.book_id, c.section_no, c.reading_pos, {strip('substr(d.text, 1, 40)')} AS body, CASE WHEN g.pos % 3 = 0 THEN '*Editorial transition: to ' || c.block_id || '*' || chr(10) || chr(10) ELSE '' END AS bridge, "
+        "c.reading_pos = min(c.reading_pos) OVER (PARTITION BY c.book_id) AS first FROM choice c JOIN documents d USING (doc_id) LEFT JOIN gaps g ON g.book_id = c.book_id AND g.after_id = c.block_id), "
+        "s AS (SELECT book_id, section_no, '## Section ' || section_no || chr(10) || chr(10) || string_agg(CASE WHEN first THEN '' ELSE chr(10) || '* * *' || chr(10) || chr(10) || bridge END || body || chr(10), chr(10) ORDER BY reading_pos) AS t FROM b GROUP BY book_id, section_no), "
+        "e AS (SELECT book_id, string_agg(t, chr(10) ORDER BY section_no) AS t FROM s GROUP BY book_id)",
+        f"SELECT book_id, {_re(chr(39) + '# ' + chr(39) + ' || book_id || chr(10) || chr(10) || ' + chr(39) + '## Condensed reading edition' + chr(39) + ' || chr(10) || chr(10) || ' + chr(39) + NOTE + chr(39) + ' || chr(10) || chr(10) || t', chr(92) + 's+' + chr(92) + 'z', '')} || chr(10) AS text FROM e",
+    ),
+    "qc_additions": _with(
+        f"{_CANDIDATES}, {_BSECS}, {_TARGETS}, {_CAPS}, {_CHOICE}, kept AS (SELECT * FROM choice WHERE doc_id % 5 = 0), "
+        "asked AS (SELECT c.book_id, c.block_id, c.cand_pos AS pos, c.section_no, c.word_count, c.doc_id % 11 = 0 AS safe, CAST(trunc(coalesce(cap, 600) * 1.15::DOUBLE) AS BIGINT) AS cap, CAST(trunc(target * 1.12::DOUBLE) AS BIGINT) AS most, row_number() OVER (PARTITION BY c.book_id ORDER BY c.cand_pos) AS k "
+        "FROM candidates c LEFT JOIN caps USING (book_id, section_no) JOIN targets USING (book_id) WHERE c.doc_id % 4 = 1 AND c.block_id NOT IN (SELECT block_id FROM kept)), "
+        "start_ AS (SELECT book_id, list(w ORDER BY i) AS by_ FROM (SELECT t.book_id, i, CAST(coalesce(sum(k.word_count), 0) AS BIGINT) AS w FROM targets t CROSS JOIN (SELECT unnest(range(6)) AS i) LEFT JOIN kept k ON k.book_id = t.book_id AND k.section_no = i GROUP BY ALL) GROUP BY book_id), "
+        "f AS (SELECT book_id, CAST(0 AS BIGINT) AS k, CAST(NULL AS VARCHAR) AS block_id, CAST(0 AS BIGINT) AS pos, by_, false AS ok FROM start_ UNION ALL "
+        "SELECT f.book_id, a.k, a.block_id, a.pos, CASE WHEN good THEN [CASE WHEN i = a.section_no THEN f.by_[i + 1] + a.word_count ELSE f.by_[i + 1] END FOR i IN range(6)] ELSE f.by_ END, good "
+        "FROM f JOIN asked a ON a.book_id = f.book_id AND a.k = f.k + 1, LATERAL (SELECT list_sum(f.by_) + a.word_count <= a.most AND (f.by_[a.section_no + 1] + a.word_count <= a.cap OR a.safe) AS good))",
+        "SELECT book_id, block_id, pos FROM f WHERE ok",
+        True,
+    ),
+    "epub_sections": _FILES.format(limit="WHERE doc_id < 400", key="source", least=2),
+    "docx_sections": _FILES.format(limit="WHERE doc_id < 400", key="source", least=1),
+    "text_file_sections": _FILES.format(limit="", key="CAST(doc_id AS VARCHAR)", least=2),
+    "model_answers": _with(
+        f"{_PARAS}, r AS (SELECT *, row_number() OVER (PARTITION BY book_id, section_no ORDER BY idx) AS k FROM paras), "
+        "b AS (SELECT book_id, section_no, k, word_count, CAST(1 AS BIGINT) AS chunk, word_count AS used FROM r WHERE k = 1 UNION ALL SELECT r.book_id, r.section_no, r.k, r.word_count, CASE WHEN used + r.word_count > 200 THEN chunk + 1 ELSE chunk END, "
+        "CASE WHEN used + r.word_count > 200 THEN r.word_count ELSE used + r.word_count END FROM b JOIN r ON r.section_no = b.section_no AND r.k = b.k + 1)",
+        "SELECT book_id, section_no * 1000 + chunk AS seq, 'development' AS role, 'S' || section_no || ': ' || count(*) || ' paragraphs' AS contribution FROM b GROUP BY book_id, section_no, chunk",
+        True,
+    ),
     "proposition_supports": _with(
         _REPAIR,
         "SELECT q.book_id, q.requirement_id, coalesce(string_agg(e.source, ',' ORDER BY e.pos), '') AS supports FROM allreqs q LEFT JOIN edges e ON e.book_id = q.book_id AND e.target = q.requirement_id AND e.relation = 'supports' WHERE q.kind = 'major_proposition' GROUP BY ALL",

@@ -11,7 +11,8 @@ from pyspark.sql.window import Window as W
 
 from .functions import rules, text
 from .operators import bridges, graph, scoring, selection, structure
-from .plans import render
+from .plans import provider, render
+from .sources import loaders
 from .sources.html import html_blocks as read_html_blocks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -588,3 +589,87 @@ def edition_lines(spark, sf):
     b = bridges.gaps(c).where("pos % 3 = 0").withColumns({"text": F.concat(F.lit("to "), "after_id"), "necessary": F.lit(True)})
     body = documents(spark, sf).select(F.col("source").alias("book_id"), F.concat(F.lit("K"), "doc_id").alias("block_id"), F.substring("text", 1, 40).alias("text"))
     return render.as_text(render.edition(c.join(body, ["book_id", "block_id"]), titles, b))
+
+
+# files: archives are built from the documents' lines, then read as any other
+
+
+def _archives(spark, sf, kind: str) -> DataFrame:
+    """One EPUB or Word file per source: its documents are sections with the title as heading and lines as paragraphs."""
+    rows = documents(spark, sf).where("doc_id < 400").select("source", F.struct("doc_id", F.expr(TITLE).alias("title"), "text").alias("d"))
+    per = rows.groupBy("source").agg(F.array_sort(F.collect_list("d")).alias("docs"))
+
+    def build(batches):
+        import io
+        import zipfile
+        from xml.sax.saxutils import escape
+
+        import pandas as pd
+
+        for b in batches:
+            out = []
+            for source, docs in zip(b["source"], b["docs"], strict=True):
+                data = io.BytesIO()
+                with zipfile.ZipFile(data, "w") as z:
+                    if kind == "epub":
+                        names = [f"d{d['doc_id']}.xhtml" for d in docs]
+                        items = "".join(f'<item id="{n}" href="{n}" media-type="application/xhtml+xml"/>' for n in names)
+                        refs = "".join(f'<itemref idref="{n}"/>' for n in names)
+                        z.writestr("book.opf", f"<package><metadata><title>{source}</title></metadata><manifest>{items}</manifest><spine>{refs}</spine></package>")
+                        for n, d in zip(names, docs, strict=True):
+                            body = "".join(f"<p>{escape(x)}</p>" for x in d["text"].split("\n"))
+                            z.writestr(n, f"<html><body><h1>{d['title']}</h1>{body}</body></html>")
+                    else:
+                        ns = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+                        p = lambda x, style="": f'<w:p><w:pPr><w:pStyle w:val="{style}"/></w:pPr><w:r><w:t>{escape(x)}</w:t></w:r></w:p>'
+                        body = "".join(p(d["title"], "H") + "".join(p(x) for x in d["text"].split("\n")) for d in docs)
+                        z.writestr("word/document.xml", f"<w:document {ns}><w:body>{body}</w:body></w:document>")
+                        z.writestr("word/styles.xml", f'<w:styles {ns}><w:style w:styleId="H"><w:name w:val="heading 1"/></w:style></w:styles>')
+                out.append((source, source, kind, data.getvalue()))
+            yield pd.DataFrame(out, columns=["book_id", "stem", "format", "content"])
+
+    return per.mapInPandas(build, "book_id string, stem string, format string, content binary")
+
+
+def _parsed_sections(spark, sf, kind: str) -> DataFrame:
+    paras = structure.paragraphs(loaders.blocks_of(loaders.read_archives(_archives(spark, sf, kind))))
+    return structure.sections(paras).select("book_id", "section_id", "title", "kind", "paragraphs", "word_count")
+
+
+@query
+def epub_sections(spark, sf):
+    return _parsed_sections(spark, sf, "epub")
+
+
+@query
+def docx_sections(spark, sf):
+    return _parsed_sections(spark, sf, "docx")
+
+
+@query
+def text_file_sections(spark, sf):
+    """Documents as bytes of text files, with their titles as Markdown headings."""
+    rows = documents(spark, sf).select(F.col("doc_id").cast("string").alias("book_id"), F.lit("md").alias("format"), F.concat(F.lit("## "), F.expr(TITLE), F.lit("\r\n"), F.regexp_replace("text", "\n", "\n\n")).cast("binary").alias("content"))
+    return structure.sections(structure.paragraphs(loaders.read_text(rows))).select("book_id", "section_id", "title", "kind", "paragraphs", "word_count")
+
+
+@query
+def page_book_sections(spark, sf):
+    """Documents as pages of their source: margin noise, headings on pages, ranges, cleaned blocks."""
+    rows = _page_lines(spark, sf).withColumn("text", F.expr("CASE WHEN line_no = 2 AND page_no % 40 < 20 THEN concat('Chapter ', page_no, ': ', substring(text, 1, 12)) ELSE text END"))
+    blocks = rows.groupBy("book_id", "page_no").agg(F.array_sort(F.collect_list(F.struct("line_no", "text"))).alias("all")).select("book_id", "page_no", F.lit(0).alias("block_no"), F.array_join("all.text", "\n").alias("text"))
+    outline = spark.createDataFrame([], "book_id string, pos int, level int, title string, start_page int")
+    last = rows.groupBy("book_id").agg(F.max("page_no").alias("pages"))
+    found = loaders.page_sections(rows, blocks, outline, last)
+    return found.groupBy("book_id", "section_pos", "title").agg(F.count("*").alias("blocks"), F.sum(text.word_count("text")).alias("words"))
+
+
+@query
+def model_answers(spark, sf):
+    """Offline answers to one request per chunk, parsed by schema."""
+    chunks = structure.bins(paras(spark, sf), ["book_id", "section_no"], "idx", "word_count", 200)
+    one = F.struct("idx", text.numbered("P", "idx", 4).alias("paragraph_id"), "word_count")
+    per = chunks.groupBy("book_id", "section_no", "chunk").agg(F.array_sort(F.collect_list(one)).alias("paragraphs"))
+    ask = per.select("book_id", (F.col("section_no") * 1000 + F.col("chunk")).alias("seq"), F.to_json(F.struct(F.concat(F.lit("S"), "section_no").alias("section_id"), "paragraphs")).alias("request"))
+    found = provider.parsed(provider.answers(ask, "analysis", provider.Offline(), 1), "analysis")
+    return found.select("book_id", "seq", "a.role", "a.contribution")
