@@ -11,10 +11,10 @@ documents link when 100 * |A and B| >= percent * |A or B|. The way there, all of
    joined into components. This costs one comparison a node, however large a group of near copies is.
 4. Keys whose nodes still lie in several components become tiles: rows outside the hub's component against all rows, in
    blocks of at most TILE rows, split by size band (the power of two of the bitmap). Popcounts of A & ~B and B & ~A bound the overlap
-   from above, for all pairs of a tile at once; pairs within one component are skipped, since they can join nothing, and a
-   pair counts in the tile of its first common key only.
+   from above, for all pairs of a tile at once; pairs within one component are skipped, since they can join nothing.
 5. Of what the bound leaves, each row's closest is checked exactly and joined first; then, for rows with further pairs, the
-   closest in each component; then, for rows that still have some, all. Each round ends with new components.
+   closest in each component; then, for rows that still have some, all, each in the tile of its pair's first common key. Each
+   round ends with new components.
 
 So every link between different components' nodes is found, and no link can be lost for the components: a pair left out lies within
 one. Defined results: null texts and those without words have an empty set and link with nothing (component_id is their own id); ties need no
@@ -100,9 +100,9 @@ def shingle_sets(column: pa.Array, words: int = WORDS) -> Iterator[np.ndarray]:
 
 
 def bitmap(s: np.ndarray) -> bytes:
-    """A power of two of bits: 16 for each element of a small set, 2 of a large one; a set's bits are its hashes' low ones."""
+    """A power of two of bits: 16 for each element of a small set, one of a large one; a set's bits are its hashes' low ones."""
     n = len(s)
-    bits = max(64, 1 << int(min(16 * n, max(2 * n, 2_048)) - 1).bit_length())
+    bits = max(64, 1 << int(min(16 * n, max(n, 2_048)) - 1).bit_length())
     out = np.zeros(bits, np.uint8)
     out[(s & _U(bits - 1)).astype(np.int64)] = 1
     return np.packbits(out, bitorder="little").tobytes()
@@ -245,9 +245,9 @@ def _first_common(a: list, b: list) -> int | None:
 
 
 def _tile(key: int, x: list, y: list, percent: int, mode: str) -> np.ndarray:
-    """Pairs (a of x, b of y, more) of rows (node, n, bits, comp, keys) that sizes and bitmaps allow, that lie in different components and
-    whose first common key this is. Modes: one, each a's closest by the bound; component, its closest in each component; all.
-    more: a has others."""
+    """Pairs (a of x, b of y, more) of rows (node, n, bits, comp, keys) that sizes and bitmaps allow and that lie in different
+    components. Modes: one, each a's closest by the bound; component, its closest in each component; all, whose first common
+    key this is. more: a has others."""
     found = [np.zeros((0, 3), np.int64)]
 
     def bands(rows: list) -> dict[int, list]:
@@ -258,27 +258,29 @@ def _tile(key: int, x: list, y: list, percent: int, mode: str) -> np.ndarray:
 
     xs, ys = bands(x), bands(y)
     for wx, p in xs.items():
-        near: list[tuple] = []
+        near: list[np.ndarray] = []
         for wy in (wx // 2, wx, wx * 2):  # sizes of linked sets differ by a third at most, so their bands are the same or next to each other
             if wy not in ys:
                 continue
             q, w = ys[wy], min(wx, wy) // 8
             a, b = _folded(_words_of([r[2] for r in p]), w), _folded(_words_of([r[2] for r in q]), w)
-            (na, ca), (nb, cb) = (np.array([(r[1], r[3]) for r in rows], np.int64).T for rows in (p, q))
+            (na, ca), (nb, cb, ib) = np.array([(r[1], r[3]) for r in p], np.int64).T, np.array([(r[1], r[3], r[0]) for r in q], np.int64).T
             step = max(1, (1 << 20) // max(1, b.size))
             for s in range(0, len(a), step):
                 t = slice(s, s + step)
                 o = most_overlap(a[t, None, :], na[t, None], b[None], nb[None])
                 i, j = np.nonzero(_may_link(na[t, None], nb[None], o, percent) & (ca[t, None] != cb[None]))
-                close = o[i, j] / (na[t][i] + nb[j] - o[i, j])
-                near += [(u + s, -c, q[v][3], q[v][0]) for u, v, c in zip(i.tolist(), j.tolist(), close.tolist(), strict=True) if _first_common(p[u + s][4], q[v][4]) == key]
-        near.sort()
-        got: dict = {}
-        for u, _, comp, node in near:
-            group = (u,) if mode == "one" else (u, comp) if mode == "component" else (u, node)
-            got.setdefault(group, [p[u][0], node, 0, u])
-            got[group][2] += 1
-        found.append(np.array([(a, b, n > 1) for a, b, n, _ in got.values()], np.int64).reshape(-1, 3))
+                if mode == "all":
+                    first = [_first_common(p[u + s][4], q[v][4]) == key for u, v in zip(i.tolist(), j.tolist(), strict=True)]
+                    i, j = i[first], j[first]
+                far = -(o[i, j] * 1_000_000 // (na[t][i] + nb[j] - o[i, j]))
+                near.append(np.stack([i + s, cb[j], far, ib[j]], 1))
+        if near and len(n := np.concatenate(near)):
+            columns = {"one": 1, "component": 2, "all": 4}[mode]
+            n = n[np.lexsort((n[:, 3], n[:, 2], n[:, 1], n[:, 0]) if columns > 1 else (n[:, 3], n[:, 2], n[:, 0]))]
+            new = np.flatnonzero(np.concatenate([[True], (n[1:, :columns] != n[:-1, :columns]).any(1)]))
+            more = np.diff(np.append(new, len(n))) > 1
+            found.append(np.stack([np.array([r[0] for r in p], np.int64)[n[new, 0]], n[new, 3], more], 1))
     return np.concatenate(found)
 
 
@@ -298,7 +300,8 @@ def _tiled(rows: DataFrame, info: DataFrame, percent: int, mode: str) -> DataFra
     as_outer = F.transform(F.sequence(zero, F.col("cb") + F.col("rb") - 1), lambda y: F.struct((block - F.col("cb")).alias("x"), y.alias("y"), F.lit(1).alias("side")))
     places = F.when(F.col("small"), F.array(own)).when(F.col("core"), as_other).otherwise(F.concat(as_other, as_outer))
     dealt = rows.withColumn("p", F.explode(places)).select("key", "p.*", "node", "comp").select(*names)
-    dealt = dealt.join(info.select("node", "n", "bits", "keys"), "node").select(*names[:4], "node", "n", "bits", "comp", "keys")
+    keys = F.col("keys") if mode == "all" else F.array().cast("array<long>").alias("keys")
+    dealt = dealt.join(info.select("node", "n", "bits", keys), "node").select(*names[:4], "node", "n", "bits", "comp", "keys")
     sorted_rows = dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
