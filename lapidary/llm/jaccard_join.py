@@ -364,8 +364,10 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         if open_ is None:  # all but the hub's component
             core = shared.join(comp.withColumnRenamed("node", "hub"), "hub", "left").select("key", F.coalesce("comp", "hub").alias("of_hub"))
             found = found.join(core, "key").withColumn("core", F.col("comp") == F.col("of_hub")).drop("of_hub")
-        else:  # rows that had further pairs
-            found = found.join(found.join(open_, "node", "left_semi").select("key").distinct(), "key", "left_semi")
+        else:  # rows that had further pairs, against those whose sizes allow a link to one of a key's
+            found = found.join(info.select("node", F.col("n").cast("long").alias("n")), "node")
+            sizes = found.join(open_, "node", "left_semi").groupBy("key").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+            found = found.join(sizes, "key").where((F.col("n") * 100 >= F.col("low") * percent) & (F.col("n") * percent <= F.col("high") * 100)).drop("n", "low", "high")
             found = found.join(open_.withColumn("open", F.lit(True)), "node", "left").withColumn("core", F.col("open").isNull()).drop("open")
         split = found.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
         found = saved(_tiled(found.join(split, "key", "left_semi"), info, percent, mode), "pairs")
