@@ -4,6 +4,7 @@ scores, titles and requirement graphs are arithmetic on ids, so that their SQL (
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -594,9 +595,12 @@ def edition_lines(spark, sf):
 # files: archives are built from the documents' lines, then read as any other
 
 
-def _archives(spark, sf, kind: str) -> DataFrame:
-    """One EPUB or Word file per source: its documents are sections with the title as heading and lines as paragraphs."""
-    rows = documents(spark, sf).where("doc_id < 400").select("source", F.struct("doc_id", F.expr(TITLE).alias("title"), "text").alias("d"))
+def _archives(spark, sf, kind: str, whole: bool = False) -> DataFrame:
+    """One EPUB or Word file per source, of the documents below 400 as in the SQL, or (whole) one for every 100 ids of a source, of all documents:
+    documents are sections with the title as heading and lines as paragraphs."""
+    d = documents(spark, sf)
+    d = d.withColumn("source", F.concat("source", F.lit("-"), F.expr("doc_id div 100"))) if whole else d.where("doc_id < 400")
+    rows = d.select("source", F.struct("doc_id", F.expr(TITLE).alias("title"), "text").alias("d"))
     per = rows.groupBy("source").agg(F.array_sort(F.collect_list("d")).alias("docs"))
 
     def build(batches):
@@ -607,7 +611,6 @@ def _archives(spark, sf, kind: str) -> DataFrame:
         import pandas as pd
 
         for b in batches:
-            out = []
             for source, docs in zip(b["source"], b["docs"], strict=True):
                 data = io.BytesIO()
                 with zipfile.ZipFile(data, "w") as z:
@@ -625,25 +628,24 @@ def _archives(spark, sf, kind: str) -> DataFrame:
                         body = "".join(p(d["title"], "H") + "".join(p(x) for x in d["text"].split("\n")) for d in docs)
                         z.writestr("word/document.xml", f"<w:document {ns}><w:body>{body}</w:body></w:document>")
                         z.writestr("word/styles.xml", f'<w:styles {ns}><w:style w:styleId="H"><w:name w:val="heading 1"/></w:style></w:styles>')
-                out.append((source, source, kind, data.getvalue()))
-            yield pd.DataFrame(out, columns=["book_id", "stem", "format", "content"])
+                yield pd.DataFrame([(source, source, kind, data.getvalue())], columns=["book_id", "stem", "format", "content"])
 
     return per.mapInPandas(build, "book_id string, stem string, format string, content binary")
 
 
-def _parsed_sections(spark, sf, kind: str) -> DataFrame:
-    paras = structure.paragraphs(loaders.blocks_of(loaders.read_archives(_archives(spark, sf, kind))))
+def _parsed_sections(spark, sf, kind: str, whole: bool = False) -> DataFrame:
+    paras = structure.paragraphs(loaders.blocks_of(loaders.read_archives(_archives(spark, sf, kind, whole))))
     return structure.sections(paras).select("book_id", "section_id", "title", "kind", "paragraphs", "word_count")
 
 
 @query
-def epub_sections(spark, sf):
-    return _parsed_sections(spark, sf, "epub")
+def epub_sections(spark, sf, whole=False):
+    return _parsed_sections(spark, sf, "epub", whole)
 
 
 @query
-def docx_sections(spark, sf):
-    return _parsed_sections(spark, sf, "docx")
+def docx_sections(spark, sf, whole=False):
+    return _parsed_sections(spark, sf, "docx", whole)
 
 
 @query
@@ -673,3 +675,8 @@ def model_answers(spark, sf):
     ask = per.select("book_id", (F.col("section_no") * 1000 + F.col("chunk")).alias("seq"), F.to_json(F.struct(F.concat(F.lit("S"), "section_no").alias("section_id"), "paragraphs")).alias("request"))
     found = provider.parsed(provider.answers(ask, "analysis", provider.Offline(), 1), "analysis")
     return found.select("book_id", "seq", "a.role", "a.contribution")
+
+
+#: NAME_whole reads all documents where the SQL of NAME holds it to some of them.
+WHOLE = ("epub_sections", "docx_sections")
+QUERIES.update({f"{name}_whole": partial(QUERIES[name], whole=True) for name in WHOLE})

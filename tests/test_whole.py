@@ -1,0 +1,33 @@
+"""The _whole queries, over all documents, against the SQL of their namesakes without its cuts, on tables larger than these."""
+
+from __future__ import annotations
+
+import pytest
+
+from lapidary import oracles, queries
+
+SF = "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="module")
+def duck():
+    import duckdb
+
+    con = duckdb.connect()
+    for t in "documents labels".split():
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    return con
+
+
+def same(df, duck, sql):
+    columns = sorted(df.columns)
+    got = sorted((tuple(r[c] for c in columns) for r in df.collect()), key=repr)
+    rel = duck.sql(sql)
+    at = [rel.columns.index(c) for c in columns]
+    assert got == sorted((tuple(r[i] for i in at) for r in rel.fetchall()), key=repr)
+    return len(got)
+
+
+@pytest.mark.parametrize(("name", "least"), [("epub_sections_whole", 2), ("docx_sections_whole", 1)])
+def test_archives_of_all_documents(spark, duck, name, least):
+    assert same(queries.QUERIES[name](spark, SF), duck, oracles._FILES.format(limit="", key="source || '-' || doc_id // 100", least=least)) > 400
