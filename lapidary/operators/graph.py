@@ -26,9 +26,14 @@ def repaired(requirements: DataFrame, relations: DataFrame) -> tuple[DataFrame,
     with none), or from a new requirement if the book has no support at all. New edges say whether they are weak (no overlap)."""
     alone = orphans(requirements, relations)
     support = requirements.where(F.col("kind").isin(*SUPPORT_KINDS)).select("book_id", F.col("pos").alias("s_pos"), F.col("requirement_id").alias("s_id"), F.col("sections").alias("s_sections"), F.col("claims").alias("s_claims"))
-    # within a book: propositions by supports, a few dozen each
-    paired = alone.join(support, "book_id").withColumn("link", support_link_score("sections", "s_sections", "claims", "s_claims"))
-    best = paired.groupBy("book_id", "pos", "requirement_id").agg(F.max_by(F.struct("s_id", "link"), F.struct("link", -F.col("s_pos"))).alias("b"))
+    # within a book: distinct (sections, claims) of propositions by those of supports, the first of each, so that no pairs of rows are made
+    like = ["book_id", "s_sections", "s_claims"]
+    first = support.groupBy(*like).agg(F.min_by("s_id", "s_pos").alias("s_id"), F.min("s_pos").alias("s_pos"))
+    paired = alone.select("book_id", "sections", "claims").distinct().join(first, "book_id").withColumn("link", support_link_score("sections", "s_sections", "claims", "s_claims"))
+    best = paired.groupBy("book_id", "sections", "claims").agg(F.max_by(F.struct("s_id", "link", "s_pos"), F.struct("link", -F.col("s_pos"))).alias("b"))
+    best = best.select(*[F.col(c).alias(f"_{c}") for c in ("book_id", "sections", "claims")], "b")
+    met = alone.join(best, (F.col("book_id") == F.col("_book_id")) & F.col("sections").eqNullSafe(F.col("_sections")) & F.col("claims").eqNullSafe(F.col("_claims")))
+    best = met.groupBy("book_id", "pos", "requirement_id").agg(F.max_by("b", F.struct("b.link", -F.col("b.s_pos"))).alias("b"))
     edges = best.select("book_id", F.col("pos").alias("p"), F.col("b.s_id").alias("source"), F.col("requirement_id").alias("target"), (F.col("b.link") == 0).alias("weak"))
     bare = alone.join(support.select("book_id").distinct(), "book_id", "left_anti").withColumn("new_id", F.concat(F.lit("auto-support-for-"), "requirement_id"))
     edges = edges.unionByName(bare.select("book_id", F.col("pos").alias("p"), F.col("new_id").alias("source"), F.col("requirement_id").alias("target"), F.lit(False).alias("weak")))

@@ -66,8 +66,12 @@ def select_book(blocks: list[dict], goals: list[str], sections: list[dict], targ
     """Chosen block ids in order: required goals, uncovered sections, value, and what is left of the budget."""
     budget = Budget(target, {s["section_no"]: s["cap"] for s in sections if s["cap"] is not None})
     anchors = sorted(blocks, key=lambda b: (-b["utility"], b["word_count"], b["cand_pos"]))
+    tagged: dict[str, list[dict]] = {}
+    for b in anchors:
+        for tag in b["tags"]:
+            tagged.setdefault(tag, []).append(b)
     for goal in goals:
-        budget.first((b for b in anchors if goal in b["tags"]), goal)
+        budget.first(tagged.get(goal, []), goal)
     for s in sections:
         if s["cover"] and not budget.by_section.get(s["section_no"]):
             budget.first(b for b in anchors if b["section_no"] == s["section_no"])

@@ -6,7 +6,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -74,10 +74,10 @@ def secs(spark: SparkSession, sf: str) -> DataFrame:
     return per.join(titles, "section_no").withColumn("kind", rules.section_kind_by_words("title", F.col("word_count")))
 
 
-def blocks(spark: SparkSession, sf: str) -> DataFrame:
-    """Candidate passages: one per document; six sections a book."""
+def blocks(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+    """Candidate passages: one per document; six sections a book. Tags name R0 to R9, as in the SQL, or (whole) ten ids of every 200 documents."""
     d = documents(spark, sf).withColumns({k: F.expr(v).cast("int") for k, v in RUBRIC.items()})
-    tag = lambda when, n: F.when(F.expr(when), F.array(F.concat(F.lit("R"), F.expr(n).cast("string")))).otherwise(F.array().cast("array<string>"))
+    tag = lambda when, n: F.when(F.expr(when), F.array(F.concat(F.lit("R"), F.expr(f"doc_id div 200 * 10 + {n}" if whole else n).cast("string")))).otherwise(F.array().cast("array<string>"))
     return d.select(
         F.col("source").alias("book_id"), F.concat(F.lit("K"), "doc_id").alias("block_id"), F.row_number().over(W.partitionBy("source").orderBy("doc_id")).cast("long").alias("cand_pos"),
         F.expr("(doc_id div 20) % 6").alias("section_no"), F.col("doc_id").alias("first_index"), (F.col("doc_id") + F.expr("doc_id % 45")).alias("last_index"), text.word_count("text").alias("word_count"),
@@ -92,8 +92,8 @@ def priorities(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select(F.col("source").alias("book_id"), F.expr("(doc_id div 20) % 6").alias("section_no"), F.col("doc_id").alias("seq"), F.expr(PRIORITY).alias("priority"))
 
 
-def candidates(spark: SparkSession, sf: str) -> DataFrame:
-    rows = scoring.with_priority(blocks(spark, sf), priorities(spark, sf))
+def candidates(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+    rows = scoring.with_priority(blocks(spark, sf, whole), priorities(spark, sf))
     return rows.withColumn("utility", scoring.utility(F.col("score"), F.col("word_count"), F.col("priority"), F.col("block_function"), F.col("covers"), F.col("terms"), F.col("supports")))
 
 
@@ -106,8 +106,10 @@ def targets(spark: SparkSession, sf: str) -> DataFrame:
     return selection.target_words(block_sections(spark, sf).groupBy("book_id").agg(F.sum("word_count").alias("total_words")), 0.25)
 
 
-def requirements(spark: SparkSession, sf: str) -> DataFrame:
-    d = documents(spark, sf).withColumn("pos", F.expr("doc_id div 20")).where("pos < 10")
+def requirements(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+    """Of the documents below 200, as in the SQL, or (whole) of all."""
+    d = documents(spark, sf).withColumn("pos", F.expr("doc_id div 20"))
+    d = d if whole else d.where("pos < 10")
     claims = F.array(F.concat(F.lit("C"), F.expr("doc_id % 4").cast("string")), F.concat(F.lit("C"), F.expr("pos % 3").cast("string")))
     sections = F.when(F.expr("doc_id % 6 = 0"), F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("S"), F.expr("doc_id % 5").cast("string"))))
     return d.select(
@@ -116,14 +118,23 @@ def requirements(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def relations(spark: SparkSession, sf: str) -> DataFrame:
-    d = documents(spark, sf).withColumn("pos", F.expr("doc_id div 20")).where("pos < 6 AND source <> 'src4'")
-    return d.select(F.col("source").alias("book_id"), "pos", F.concat(F.lit("R"), "pos").alias("source"), F.concat(F.lit("R"), F.expr("(pos * 3 + 7) % 11").cast("string")).alias("target"), F.expr(RELATION).alias("relation"))
+def _spread(expr: str, n: int) -> Column:
+    """Ids of expr modulo n, and those of later positions as far on: the same as without the shift below n."""
+    return F.concat(F.lit("R"), F.expr(f"pos - pos % {n} + ({expr}) % {n}").cast("string"))
 
 
-def path(spark: SparkSession, sf: str) -> DataFrame:
-    d = documents(spark, sf).withColumn("pos", F.expr("doc_id div 20")).where("pos < 5")
-    return d.select(F.col("source").alias("book_id"), "pos", F.concat(F.lit("R"), F.expr("(pos * 4 + 8) % 12").cast("string")).alias("requirement_id"))
+def relations(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+    """Of the documents below 120, as in the SQL, or (whole) of all."""
+    d = documents(spark, sf).withColumn("pos", F.expr("doc_id div 20")).where("source <> 'src4'")
+    d = d if whole else d.where("pos < 6")
+    return d.select(F.col("source").alias("book_id"), "pos", F.concat(F.lit("R"), "pos").alias("source"), _spread("pos * 3 + 7", 11).alias("target"), F.expr(RELATION).alias("relation"))
+
+
+def path(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+    """Of the documents below 100, as in the SQL, or (whole) of all."""
+    d = documents(spark, sf).withColumn("pos", F.expr("doc_id div 20"))
+    d = d if whole else d.where("pos < 5")
+    return d.select(F.col("source").alias("book_id"), "pos", _spread("pos * 4 + 8", 12).alias("requirement_id"))
 
 
 # text functions
@@ -210,13 +221,13 @@ def transition_labels(spark, sf):
 
 
 @query
-def kind_titles(spark, sf):
-    return requirements(spark, sf).select("book_id", "requirement_id", text.kind_title("kind").alias("kind"))
+def kind_titles(spark, sf, whole=False):
+    return requirements(spark, sf, whole).select("book_id", "requirement_id", text.kind_title("kind").alias("kind"))
 
 
 @query
-def link_scores(spark, sf):
-    r = requirements(spark, sf).select("book_id", "pos", "sections", "claims")
+def link_scores(spark, sf, whole=False):
+    r = requirements(spark, sf, whole).select("book_id", "pos", "sections", "claims")
     other = r.select("book_id", (F.col("pos") - 1).alias("pos"), F.col("sections").alias("s2"), F.col("claims").alias("c2"))
     return r.join(other, ["book_id", "pos"]).select("book_id", "pos", text.support_link_score("sections", "s2", "claims", "c2").alias("link"))
 
@@ -412,9 +423,9 @@ def value_pass(spark, sf):
 
 def chosen(spark: SparkSession, sf: str) -> DataFrame:
     s = block_sections(spark, sf).join(_caps(spark, sf), ["book_id", "section_no"], "left").withColumns({"cover": F.lit(True), "included": F.lit(True)})
-    goals = graph.mandatory_order(requirements(spark, sf), path(spark, sf))
-    picked = selection.select(candidates(spark, sf), s, goals, targets(spark, sf))
-    return selection.reading_order(picked.join(candidates(spark, sf), ["book_id", "block_id"]), block_sections(spark, sf))
+    goals = graph.mandatory_order(requirements(spark, sf, whole=True), path(spark, sf, whole=True))
+    picked = selection.select(candidates(spark, sf, whole=True), s, goals, targets(spark, sf))
+    return selection.reading_order(picked.join(candidates(spark, sf, whole=True), ["book_id", "block_id"]), block_sections(spark, sf))
 
 
 @query
@@ -422,9 +433,9 @@ def full_selection(spark, sf):
     return chosen(spark, sf).select("book_id", "block_id", "reading_pos", "protected", F.array_join("protected_for", ",").alias("protected_for"), "target")
 
 
-def _simple_choice(spark, sf):
+def _simple_choice(spark, sf, whole=False):
     """Every third candidate, in reading order, for queries that follow selection."""
-    c = candidates(spark, sf).where("doc_id % 3 <> 1").withColumn("protected_for", F.when(F.expr("doc_id % 7 = 0"), F.array(F.lit("R1"))).otherwise(F.array().cast("array<string>")))
+    c = candidates(spark, sf, whole).where("doc_id % 3 <> 1").withColumn("protected_for", F.when(F.expr("doc_id % 7 = 0"), F.array(F.lit("R1"))).otherwise(F.array().cast("array<string>")))
     return selection.reading_order(c, block_sections(spark, sf))
 
 
@@ -468,9 +479,9 @@ def _proposals(spark, sf):
 
 
 @query
-def transition_accept(spark, sf):
+def transition_accept(spark, sf, whole=False):
     g, p = _proposals(spark, sf)
-    found = bridges.accepted(p, g, requirements(spark, sf))
+    found = bridges.accepted(p, g, requirements(spark, sf, whole))
     return found.select("book_id", "pos", "before_id", "after_id", "text", F.array_join("grounding_blocks", ",").alias("blocks"), F.array_join("grounding_requirements", ",").alias("requirements"))
 
 
@@ -508,59 +519,60 @@ def edition_summary(spark, sf):
 # requirement graph
 
 
-def _ordered(spark, sf):
-    return _simple_choice(spark, sf).withColumn("ord", F.col("reading_pos"))
+def _ordered(spark, sf, whole=False):
+    return _simple_choice(spark, sf, whole).withColumn("ord", F.col("reading_pos"))
 
 
 @query
-def requirement_coverage(spark, sf):
-    found = graph.coverage(_ordered(spark, sf), requirements(spark, sf))
+def requirement_coverage(spark, sf, whole=False):
+    found = graph.coverage(_ordered(spark, sf, whole), requirements(spark, sf, whole))
     return found.select("book_id", "requirement_id", "must", F.array_join("block_ids", ",").alias("block_ids"))
 
 
 @query
-def missing_required(spark, sf):
-    return graph.missing(_ordered(spark, sf).where("doc_id % 9 = 0"), requirements(spark, sf))
+def missing_required(spark, sf, whole=False):
+    return graph.missing(_ordered(spark, sf, whole).where("doc_id % 9 = 0"), requirements(spark, sf, whole))
 
 
 @query
-def support_repair(spark, sf):
-    _, edges = graph.repaired(requirements(spark, sf), relations(spark, sf))
+def support_repair(spark, sf, whole=False):
+    _, edges = graph.repaired(requirements(spark, sf, whole), relations(spark, sf, whole))
     return edges.select("book_id", "pos", "source", "target", "relation", "weak")
 
 
 @query
-def support_synthetic(spark, sf):
-    made, _ = graph.repaired(requirements(spark, sf), relations(spark, sf))
+def support_synthetic(spark, sf, whole=False):
+    made, _ = graph.repaired(requirements(spark, sf, whole), relations(spark, sf, whole))
     return made.where("requirement_id LIKE 'auto%'").select("book_id", "pos", "requirement_id", "kind", "importance", "must")
 
 
 @query
-def support_promote(spark, sf):
-    return graph.promoted(*graph.repaired(requirements(spark, sf), relations(spark, sf))).select("book_id", "requirement_id", "importance", "must")
+def support_promote(spark, sf, whole=False):
+    return graph.promoted(*graph.repaired(requirements(spark, sf, whole), relations(spark, sf, whole))).select("book_id", "requirement_id", "importance", "must")
 
 
 @query
-def map_violations(spark, sf):
-    doubled = requirements(spark, sf).where("pos < 9 OR book_id LIKE '%7'")
+def map_violations(spark, sf, whole=False):
+    doubled = requirements(spark, sf, whole).where("pos % 10 < 9 OR book_id LIKE '%7'")
     doubled = doubled.unionByName(doubled.where("book_id = 'src6' AND pos = 3"))
-    return graph.violations(doubled, relations(spark, sf), path(spark, sf))
+    return graph.violations(doubled, relations(spark, sf, whole), path(spark, sf, whole))
 
 
 @query
-def mandatory_order(spark, sf):
-    return graph.mandatory_order(requirements(spark, sf), path(spark, sf))
+def mandatory_order(spark, sf, whole=False):
+    return graph.mandatory_order(requirements(spark, sf, whole), path(spark, sf, whole))
 
 
 @query
-def section_requirements(spark, sf):
-    s = documents(spark, sf).where("doc_id < 120").select(F.col("source").alias("book_id"), F.concat(F.lit("S"), F.expr("doc_id div 20")).alias("section_id"))
-    return graph.section_requirements(s, requirements(spark, sf).where("size(sections) > 0 OR book_id = 'src6'"))
+def section_requirements(spark, sf, whole=False):
+    d = documents(spark, sf) if whole else documents(spark, sf).where("doc_id < 120")
+    s = d.select(F.col("source").alias("book_id"), F.concat(F.lit("S"), F.expr("doc_id div 20")).alias("section_id"))
+    return graph.section_requirements(s, requirements(spark, sf, whole).where("size(sections) > 0 OR book_id = 'src6'"))
 
 
 @query
-def proposition_supports(spark, sf):
-    found = graph.proposition_supports(*graph.repaired(requirements(spark, sf), relations(spark, sf)))
+def proposition_supports(spark, sf, whole=False):
+    found = graph.proposition_supports(*graph.repaired(requirements(spark, sf, whole), relations(spark, sf, whole)))
     return found.select("book_id", "requirement_id", F.array_join("supports", ",").alias("supports"))
 
 
@@ -678,5 +690,8 @@ def model_answers(spark, sf):
 
 
 #: NAME_whole reads all documents where the SQL of NAME holds it to some of them.
-WHOLE = ("epub_sections", "docx_sections")
+WHOLE = (
+    "kind_titles", "link_scores", "transition_accept", "requirement_coverage", "missing_required", "support_repair", "support_synthetic", "support_promote", "map_violations", "mandatory_order",
+    "section_requirements", "proposition_supports", "epub_sections", "docx_sections",
+)
 QUERIES.update({f"{name}_whole": partial(QUERIES[name], whole=True) for name in WHOLE})
