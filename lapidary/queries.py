@@ -596,11 +596,12 @@ def report_lines(spark, sf):
 
 
 @query
-def edition_lines(spark, sf):
-    c = _simple_choice(spark, sf)
+def edition_lines(spark, sf, whole=False):
+    """Passages are the documents' first 40 characters, as in the SQL, or (whole) their texts."""
+    c = _simple_choice(spark, sf, whole)
     titles = block_sections(spark, sf).withColumn("title", F.concat(F.lit("Section "), "section_no"))
     b = bridges.gaps(c).where("pos % 3 = 0").withColumns({"text": F.concat(F.lit("to "), "after_id"), "necessary": F.lit(True)})
-    body = documents(spark, sf).select(F.col("source").alias("book_id"), F.concat(F.lit("K"), "doc_id").alias("block_id"), F.substring("text", 1, 40).alias("text"))
+    body = documents(spark, sf).select(F.col("source").alias("book_id"), F.concat(F.lit("K"), "doc_id").alias("block_id"), (F.col("text") if whole else F.substring("text", 1, 40)).alias("text"))
     return render.as_text(render.edition(c.join(body, ["book_id", "block_id"]), titles, b))
 
 
@@ -692,6 +693,6 @@ def model_answers(spark, sf):
 #: NAME_whole reads all documents where the SQL of NAME holds it to some of them.
 WHOLE = (
     "kind_titles", "link_scores", "transition_accept", "requirement_coverage", "missing_required", "support_repair", "support_synthetic", "support_promote", "map_violations", "mandatory_order",
-    "section_requirements", "proposition_supports", "epub_sections", "docx_sections",
+    "section_requirements", "proposition_supports", "edition_lines", "epub_sections", "docx_sections",
 )
 QUERIES.update({f"{name}_whole": partial(QUERIES[name], whole=True) for name in WHOLE})

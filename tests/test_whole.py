@@ -56,3 +56,8 @@ def test_graph_of_all_documents(spark, duck, name):
 def test_goals_of_all_documents(spark):
     goals = {g for r in queries.QUERIES["full_selection"](spark, SF).collect() for g in r.protected_for.split(",") if g}
     assert max(int(g[1:]) for g in goals) >= 40
+
+
+def test_edition_of_whole_texts(spark, duck):
+    sql = oracles.ORACLE_SQL["edition_lines"].replace("substr(d.text, 1, 40)", "d.text")
+    assert same(queries.QUERIES["edition_lines_whole"](spark, SF), duck, sql) == 20
