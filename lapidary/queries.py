@@ -343,21 +343,23 @@ def page_headings(spark, sf):
     return structure.page_headings(rows, structure.margin_noise(rows))
 
 
-def _outline(spark, sf):
-    rows = documents(spark, sf).where("doc_id % 60 < 20").select(F.col("source").alias("book_id"), F.col("doc_id").alias("pos"), F.expr("doc_id div 10 + 1").alias("start_page"), F.expr("CASE WHEN doc_id % 7 = 0 THEN doc_id div 10 + 3 END").alias("end_page"), F.expr(TITLE).alias("title"))
+def _outline(spark, sf, whole=False):
+    """Outline entries from a third of the documents, as in the SQL, or (whole) from all."""
+    d = documents(spark, sf) if whole else documents(spark, sf).where("doc_id % 60 < 20")
+    rows = d.select(F.col("source").alias("book_id"), F.col("doc_id").alias("pos"), F.expr("doc_id div 10 + 1").alias("start_page"), F.expr("CASE WHEN doc_id % 7 = 0 THEN doc_id div 10 + 3 END").alias("end_page"), F.expr(TITLE).alias("title"))
     pages = documents(spark, sf).groupBy(F.col("source").alias("book_id")).agg((F.max(F.expr("doc_id div 10")) - 2).alias("pages"))
     return structure.page_ranges(rows, pages)
 
 
 @query
-def page_ranges(spark, sf):
-    return _outline(spark, sf)
+def page_ranges(spark, sf, whole=False):
+    return _outline(spark, sf, whole)
 
 
 @query
-def page_range_join(spark, sf):
+def page_range_join(spark, sf, whole=False):
     rows = documents(spark, sf).select(F.col("source").alias("book_id"), F.expr("doc_id div 10").alias("page_no"), F.col("doc_id").alias("block_no"), "n_chars")
-    return structure.page_blocks(_outline(spark, sf), rows).groupBy("book_id", "section_pos").agg(F.count("*").alias("blocks"), F.sum("n_chars").alias("n_chars"))
+    return structure.page_blocks(_outline(spark, sf, whole), rows).groupBy("book_id", "section_pos").agg(F.count("*").alias("blocks"), F.sum("n_chars").alias("n_chars"))
 
 
 # scores and selection
@@ -434,33 +436,36 @@ def full_selection(spark, sf):
 
 
 def _simple_choice(spark, sf, whole=False):
-    """Every third candidate, in reading order, for queries that follow selection."""
-    c = candidates(spark, sf, whole).where("doc_id % 3 <> 1").withColumn("protected_for", F.when(F.expr("doc_id % 7 = 0"), F.array(F.lit("R1"))).otherwise(F.array().cast("array<string>")))
+    """Two of three candidates in reading order, as in the SQL, or (whole) the operators' own selection, for queries that follow it."""
+    if whole:
+        return chosen(spark, sf)
+    c = candidates(spark, sf).where("doc_id % 3 <> 1").withColumn("protected_for", F.when(F.expr("doc_id % 7 = 0"), F.array(F.lit("R1"))).otherwise(F.array().cast("array<string>")))
     return selection.reading_order(c, block_sections(spark, sf))
 
 
 @query
-def reading_order(spark, sf):
-    return _simple_choice(spark, sf).select("book_id", "block_id", "reading_pos")
+def reading_order(spark, sf, whole=False):
+    return _simple_choice(spark, sf, whole).select("book_id", "block_id", "reading_pos")
 
 
 @query
-def qc_removals(spark, sf):
-    c = _simple_choice(spark, sf)
+def qc_removals(spark, sf, whole=False):
+    c = _simple_choice(spark, sf, whole)
     return selection.review_removals(c, candidates(spark, sf).where("doc_id % 2 = 0").select("book_id", "block_id"))
 
 
 @query
-def qc_additions(spark, sf):
-    kept = _simple_choice(spark, sf).where("doc_id % 5 = 0")
+def qc_additions(spark, sf, whole=False):
+    kept = _simple_choice(spark, sf, whole)
+    kept = kept if whole else kept.where("doc_id % 5 = 0")
     c = candidates(spark, sf).withColumn("protected_for", F.when(F.expr("doc_id % 11 = 0"), F.array(F.lit("R1"))).otherwise(F.array().cast("array<string>")))
     asked = candidates(spark, sf).where("doc_id % 4 = 1").select("book_id", F.col("cand_pos").alias("pos"), "block_id")
     return selection.review_additions(kept, c, asked, _caps(spark, sf), targets(spark, sf)).select("book_id", "block_id", "pos")
 
 
 @query
-def omission_gaps(spark, sf):
-    return bridges.gaps(_simple_choice(spark, sf))
+def omission_gaps(spark, sf, whole=False):
+    return bridges.gaps(_simple_choice(spark, sf, whole))
 
 
 @query
@@ -470,8 +475,8 @@ def turn_gaps(spark, sf):
     return bridges.gaps(rows)
 
 
-def _proposals(spark, sf):
-    g = bridges.gaps(_simple_choice(spark, sf))
+def _proposals(spark, sf, whole=False):
+    g = bridges.gaps(_simple_choice(spark, sf, whole))
     rows = g.withColumns({"n": F.col("pos"), "text": F.concat(F.expr("CASE WHEN pos % 3 = 0 THEN 'Transition: ' ELSE '' END"), F.expr("CASE WHEN pos % 7 = 0 THEN '  ' ELSE concat('leads on to ', after_id) END")), "necessary": F.expr("pos % 5 <> 0"), "grounding_blocks": F.array("after_id", F.lit("K999999")), "grounding_requirements": F.array(F.lit("R1"), F.lit("R77"))})
     late = rows.where("pos % 4 = 1").withColumns({"pos": F.col("pos") + 1000, "text": F.concat(F.col("text"), F.lit(" again"))})
     stray = rows.where("pos % 6 = 1").withColumns({"pos": F.col("pos") + 2000, "after_id": F.lit("K0x")})
@@ -480,38 +485,38 @@ def _proposals(spark, sf):
 
 @query
 def transition_accept(spark, sf, whole=False):
-    g, p = _proposals(spark, sf)
+    g, p = _proposals(spark, sf, whole)
     found = bridges.accepted(p, g, requirements(spark, sf, whole))
     return found.select("book_id", "pos", "before_id", "after_id", "text", F.array_join("grounding_blocks", ",").alias("blocks"), F.array_join("grounding_requirements", ",").alias("requirements"))
 
 
 @query
-def transition_checks(spark, sf):
-    g, p = _proposals(spark, sf)
+def transition_checks(spark, sf, whole=False):
+    g, p = _proposals(spark, sf, whole)
     b = bridges.accepted(p, g)
     checks = b.withColumns({"seq": F.col("pos"), "grounded": F.expr("pos % 4 <> 2"), "new_claim": F.expr("pos % 9 = 1"), "impersonates": F.lit(False), "wordy": F.expr("pos % 13 = 3"), "approved_text": F.concat(F.lit("Editorial transition: "), "text")})
     return bridges.approved(b, checks.where("pos % 8 <> 7"), 5).select("book_id", "pos", "text")
 
 
 @query
-def transition_budget(spark, sf):
-    rows = _simple_choice(spark, sf)
+def transition_budget(spark, sf, whole=False):
+    rows = _simple_choice(spark, sf, whole)
     b = bridges.gaps(rows).withColumn("words", F.expr("pos * 7 % 23 + 5"))
     return bridges.within_budget(b, rows.groupBy("book_id").agg(F.sum("word_count").alias("words")), 0.02).select("book_id", "pos", F.col("words").cast("long").alias("words"))
 
 
 @query
-def section_balance(spark, sf):
+def section_balance(spark, sf, whole=False):
     s = block_sections(spark, sf).select("book_id", "section_no", "word_count")
-    kept = _simple_choice(spark, sf).groupBy("book_id", "section_no").agg(F.sum("word_count").alias("retained"))
+    kept = _simple_choice(spark, sf, whole).groupBy("book_id", "section_no").agg(F.sum("word_count").alias("retained"))
     rows = s.join(kept, ["book_id", "section_no"], "left").withColumn("retained", F.coalesce("retained", F.lit(0)).cast("long"))
     edition = F.sum("retained").over(W.partitionBy("book_id"))
     return rows.select("book_id", "section_no", "retained", F.round(F.col("retained") / F.greatest("word_count", F.lit(1)), 6).alias("of_section"), F.round(F.col("retained") / F.greatest(edition, F.lit(1)), 6).alias("of_edition"))
 
 
 @query
-def edition_summary(spark, sf):
-    c = _simple_choice(spark, sf).groupBy("book_id").agg(F.sum("word_count").alias("selected"), F.count("*").alias("blocks"))
+def edition_summary(spark, sf, whole=False):
+    c = _simple_choice(spark, sf, whole).groupBy("book_id").agg(F.sum("word_count").alias("selected"), F.count("*").alias("blocks"))
     t = block_sections(spark, sf).groupBy("book_id").agg(F.sum("word_count").alias("source_words")).join(targets(spark, sf), "book_id")
     return t.join(c, "book_id").select("book_id", "source_words", "target", "selected", "blocks", F.round(F.col("selected") / F.greatest("source_words", F.lit(1)), 6).alias("share"))
 
@@ -531,7 +536,8 @@ def requirement_coverage(spark, sf, whole=False):
 
 @query
 def missing_required(spark, sf, whole=False):
-    return graph.missing(_ordered(spark, sf, whole).where("doc_id % 9 = 0"), requirements(spark, sf, whole))
+    rows = _ordered(spark, sf, whole)
+    return graph.missing(rows if whole else rows.where("doc_id % 9 = 0"), requirements(spark, sf, whole))
 
 
 @query
@@ -693,6 +699,7 @@ def model_answers(spark, sf):
 #: NAME_whole reads all documents where the SQL of NAME holds it to some of them.
 WHOLE = (
     "kind_titles", "link_scores", "transition_accept", "requirement_coverage", "missing_required", "support_repair", "support_synthetic", "support_promote", "map_violations", "mandatory_order",
-    "section_requirements", "proposition_supports", "edition_lines", "epub_sections", "docx_sections",
+    "section_requirements", "proposition_supports", "page_ranges", "page_range_join", "reading_order", "qc_removals", "qc_additions", "omission_gaps", "transition_checks", "transition_budget", "section_balance",
+    "edition_summary", "edition_lines", "epub_sections", "docx_sections",
 )
 QUERIES.update({f"{name}_whole": partial(QUERIES[name], whole=True) for name in WHOLE})

@@ -19,6 +19,16 @@ def duck():
     return con
 
 
+@pytest.fixture(scope="module")
+def selected(spark, duck):
+    """The selection, made once: a DataFrame, and the table picked for the SQL."""
+    rows = queries.chosen(spark, SF).localCheckpoint()
+    picked = rows.selectExpr("block_id", "reading_pos", "size(protected_for) > 0 AS guarded").toPandas()
+    duck.register("picked", picked)
+    assert 0 < len(picked) < 1000
+    return rows
+
+
 def same(df, duck, sql):
     columns = sorted(df.columns)
     got = sorted((tuple(r[c] for c in columns) for r in df.collect()), key=repr)
@@ -37,6 +47,8 @@ GRAPH = {
     " FROM documents) WHERE pos < 10)": " FROM documents))", "WHERE pos < 6 AND source": "WHERE source", " WHERE pos < 5)": ")", "FROM documents WHERE doc_id < 120)": "FROM documents)", "WHERE pos < 9 OR": "WHERE pos % 10 < 9 OR",
     "'R' || (pos * 3 + 7) % 11": "'R' || (pos - pos % 11 + (pos * 3 + 7) % 11)", "'R' || (pos * 4 + 8) % 12": "'R' || (pos - pos % 12 + (pos * 4 + 8) % 12)", "SELECT book_id, 9 + row_number()": "SELECT book_id, (SELECT max(pos) FROM reqs q WHERE q.book_id = o.book_id) + row_number()",
     "CAST(doc_id % 10 AS VARCHAR)": "CAST(doc_id // 200 * 10 + doc_id % 10 AS VARCHAR)", "CAST(doc_id % 7 AS VARCHAR)": "CAST(doc_id // 200 * 10 + doc_id % 7 AS VARCHAR)",
+    oracles._CHOICE: "choice AS (SELECT b.*, reading_pos, guarded FROM blocks b JOIN picked USING (block_id))", "FROM choice WHERE doc_id % 9 = 0)": "FROM choice)", "FROM choice WHERE doc_id % 5 = 0)": "FROM choice)",
+    "doc_id % 7 <> 0 AND": "NOT guarded AND", " WHERE doc_id % 60 < 20)": ")",
 }
 
 
@@ -49,7 +61,8 @@ def uncut(name):
 
 
 @pytest.mark.parametrize("name", "kind_titles link_scores transition_accept requirement_coverage missing_required support_repair support_synthetic support_promote map_violations mandatory_order section_requirements proposition_supports".split())
-def test_graph_of_all_documents(spark, duck, name):
+def test_graph_of_all_documents(spark, duck, selected, monkeypatch, name):
+    monkeypatch.setattr(queries, "chosen", lambda *_: selected)
     assert same(queries.QUERIES[f"{name}_whole"](spark, SF), duck, uncut(name)) > 0
 
 
@@ -58,6 +71,13 @@ def test_goals_of_all_documents(spark):
     assert max(int(g[1:]) for g in goals) >= 40
 
 
-def test_edition_of_whole_texts(spark, duck):
-    sql = oracles.ORACLE_SQL["edition_lines"].replace("substr(d.text, 1, 40)", "d.text")
+def test_edition_of_whole_texts(spark, duck, selected, monkeypatch):
+    monkeypatch.setattr(queries, "chosen", lambda *_: selected)
+    sql = uncut("edition_lines").replace("substr(d.text, 1, 40)", "d.text")
     assert same(queries.QUERIES["edition_lines_whole"](spark, SF), duck, sql) == 20
+
+
+@pytest.mark.parametrize("name", "page_ranges page_range_join reading_order qc_removals qc_additions omission_gaps transition_checks transition_budget section_balance edition_summary".split())
+def test_outlines_and_what_follows_selection(spark, duck, selected, monkeypatch, name):
+    monkeypatch.setattr(queries, "chosen", lambda *_: selected)
+    assert same(queries.QUERIES[f"{name}_whole"](spark, SF), duck, uncut(name)) > 0
