@@ -12,8 +12,9 @@
    lines at either end without a sentence's end are cut, headings excepted.
 
 Defined results: a null or empty page, or one without text, gives an empty string; markup cut off at the end of a page is dropped; an
-unclosed boilerplate container ends where an article begins. Pages are independent, so ties, repeated rows and empty tables need
-no care; only the id, URL and html columns are read.
+unclosed boilerplate container ends where an article begins. Of elements without text of their own, those without an end tag end
+after their start tag, scripts and the like before the next body, article or main element; the head needs no tags. Pages are
+independent, so ties, repeated rows and empty tables need no care; only the id, URL and html columns are read.
 """
 
 from __future__ import annotations
@@ -34,7 +35,11 @@ _TAG = re.compile(r"""<(?:(?P<comment>!--)|[!?][^>]*+(?:>|\Z)|(?P<end>/?)(?P<nam
 _ATTR = re.compile(r"""([^\s"'<>/=]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
 _BLANK = re.compile(r"\s+")
-_RAW = {"script", "style", "noscript", "template", "textarea", "title", "svg", "math", "iframe", "object", "canvas", "head", "select", "xmp", "noembed", "noframes"}
+_RAW = {"script", "style", "noscript", "template", "textarea", "title", "svg", "math", "iframe", "object", "canvas", "select", "xmp", "noembed", "noframes"}
+#: Of _RAW, those whose content is code or plain text, and those that hold none of their own kind.
+_CODE = {"script", "style", "textarea", "title", "xmp", "noembed", "noframes"}
+_SINGLE = {"select", "iframe", "noscript"}
+_BODY = re.compile(r"<(?:body|article|main)\b", re.I)
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img"}
 _OTHER = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "fieldset"}
@@ -86,6 +91,7 @@ def lines(page: str) -> list[Line]:
     masked = inside = links = headings = 0
     parts: list[str] = []
     linked: list[str] = []
+    unclosed: set[str] = set()  # names of which no end tag is left
 
     def flush() -> None:
         if parts:
@@ -142,15 +148,23 @@ def lines(page: str) -> list[Line]:
         if name in _RAW:
             flush() if name not in ("svg", "math", "canvas", "noscript", "script", "style", "template") else None
             if not m["attrs"].rstrip().endswith("/") or name not in ("svg", "math"):
-                k = re.compile(rf"</{re.escape(name)}\b[^>]*>?", re.I).search(page, at)
-                at = k.end() if k else end
+                if name not in unclosed:
+                    k = re.compile(rf"<(?P<end>/){'?' if name in _SINGLE else ''}{name}\b[^>]*>?", re.I).search(page, at)
+                    if k and k["end"]:
+                        at = k.end()
+                        continue
+                    if not k:
+                        unclosed.add(name)
+                if name in _CODE:
+                    k = _BODY.search(page, at)
+                    at = k.start() if k else end
             continue
         if name not in _INLINE:
             if name == "br":
                 parts.append("\n")
                 continue
             flush()
-        if name in _VOID:
+        if name in _VOID or name == "head":
             continue
         if name in ("article", "main"):
             while masked:  # a boilerplate container that was never closed

@@ -48,3 +48,24 @@ def test_table_cases(spark):
     out = extract(df).collect()
     assert sorted(r.n_chars for r in out) == [0, 1, 1, 399_999]
     assert extract(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<html><head><title>T</title><meta charset=x><style>p{}</style><script>a='<p>no</p>'</script><body><article><p>Body text.</p></article>", "Body text."),
+        ("<head><title>T</title><p>No body tag.</p>", "No body tag."),
+        ("<head><title>T<body><article>Body text</article>", "Body text"),
+        ("<script>if (a < b) x = 1;<article>Body text</article>", "Body text"),
+        *[(f"<{x}><article><p>Body text.</p></article>", "Body text.") for x in ("select", "object", "iframe", "noscript", "svg", "template")],
+        ("<select name=a><article><p>Body text.</p></article><select><option>1</select>", "Body text."),
+        ("<article>a <select><option>1</select>b <script>'<script'</script>c</article>", "a b c"),
+        ("<article>Body<script>cut off", "Body"),
+    ],
+)
+def test_elements_without_end_tag(page, want):
+    assert main_text(page) == want
+
+
+def test_many_unclosed_elements_take_linear_time():
+    assert main_text("<article>" + "<object>x " * 100_000 + "</article>") == ("x " * 100_000).strip()
