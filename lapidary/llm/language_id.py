@@ -34,7 +34,7 @@ from .common import buffers, saved, slices
 from .html_text import main_text
 from .url_filter import host_path
 
-CELLS, EFFECTIVE, ALPHA, HOST, DOMAIN, LEAST, MOST_LANGUAGES = 1 << 16, 40.0, 0.5, 10.0, 20.0, 0.5, 64
+CELLS, EFFECTIVE, ALPHA, HOST, DOMAIN, LEAST, BLOCK = 1 << 16, 40.0, 0.5, 10.0, 20.0, 0.5, 64
 NOISE = -float(np.log(CELLS))
 #: Country suffix: language (fixed values).
 SUFFIXES = {"at": "de", "ch": "de", "cl": "es", "co": "es", "de": "de", "es": "es", "fr": "fr", "ie": "en", "mx": "es", "uk": "en", "us": "en"}
@@ -70,30 +70,43 @@ def _letters(column: pa.Array) -> np.ndarray:
 
 
 def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang") -> Model:
-    """Trigram counts of all rows with a label; the MOST_LANGUAGES most frequent labels are modelled."""
+    """Trigram counts of all rows with a label; every label is modelled. Tasks hold the counts of BLOCK labels or so at a time."""
     rows = labelled.where(F.col(label_col).isNotNull()).select(F.col(label_col).alias("l"), F.lower(F.col(text_col)).alias("t"))
 
+    def sparse(total: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for name, c in total.items():
+            at = np.flatnonzero(c)
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(c[at], pa.int64())], names=["l", "cell", "n"])
+        total.clear()
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         for batch in batches:
             for b in slices(batch, "t", _SLICE):
                 cell, row = _cells(b.column(1))
                 labels = b.column(0).dictionary_encode()
-                names, code = labels.dictionary.to_pylist(), labels.indices.to_numpy()
-                both = np.bincount(code[row] * CELLS + cell, minlength=len(names) * CELLS).reshape(len(names), CELLS)
-                for name, c in zip(names, both, strict=True):
-                    total[name] = total.get(name, 0) + c
-        for name, c in total.items():
-            at = np.flatnonzero(c)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(c[at], pa.int64())], names=["l", "cell", "n"])
+                names, code = labels.dictionary.to_pylist(), labels.indices.to_numpy()[row]
+                for k in range(0, len(names), BLOCK):
+                    some = names[k : k + BLOCK]
+                    mine = slice(None) if len(some) == len(names) else (code >= k) & (code < k + BLOCK)
+                    both = np.bincount((code[mine] - k) * CELLS + cell[mine], minlength=len(some) * CELLS).reshape(len(some), CELLS)
+                    for name, c in zip(some, both, strict=True):
+                        total[name] = total.get(name, 0) + c
+                    if len(total) > BLOCK:
+                        yield from sparse(total)
+        yield from sparse(total)
 
     counts = saved(rows.mapInArrow(count, "l string, cell int, n long").groupBy("l", "cell").agg(F.sum("n").alias("n")), "trigrams")
-    top = [r.l for r in counts.groupBy("l").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "l").limit(MOST_LANGUAGES).collect()]
-    languages = sorted(top)
+    languages = sorted(r.l for r in counts.select("l").distinct().collect())
     c = np.zeros((len(languages), CELLS))
-    for part in counts.where(F.col("l").isin(languages)).toPandas().itertuples(index=False):  # at most CELLS rows a language
-        c[languages.index(part.l), part.cell] = part.n
-    return Model(languages, np.log((c + ALPHA) / (c + ALPHA).sum(1, keepdims=True)) if languages else c)
+    place = {x: i for i, x in enumerate(languages)}
+    for r in counts.groupBy("l").agg(F.collect_list("cell").alias("cells"), F.collect_list("n").alias("ns")).toLocalIterator():  # at most CELLS counts a row
+        c[place[r.l], r.cells] = r.ns
+    if languages:
+        c += ALPHA
+        c /= c.sum(1, keepdims=True)
+        np.log(c, out=c)
+    return Model(languages, c)
 
 
 def _text_evidence(df: DataFrame, model: Model, html: bool) -> DataFrame:
@@ -156,20 +169,21 @@ def identify(df: DataFrame, model: Model, text: Column, host: Column, declared:
     domain_prior = F.transform(F.zip_with("cd", fixed(base), lambda c, g: c + DOMAIN * g), lambda x: x / (total(F.col("cd")) + DOMAIN))
     priors = hosts.join(by_domain, "_domain").select("_host", "ch", domain_prior.alias("pd"))
 
-    def seen(col: str) -> Column:
-        """log P(seen | language) by value, as a map; at most the modelled languages, other and none."""
-        values = [*languages, "other", "none"]
+    def seen(col: str, into: str) -> DataFrame:
+        """log P(seen | language) by value, for a join; the modelled languages, other and none."""
+        values = list(dict.fromkeys([*languages, "other", "none"]))
         found = {r[0]: r for r in rows.groupBy(col).agg(*sums).collect()}
         c = np.array([[float(found[v][f"c{i}"] or 0) if v in found else 0.0 for i in range(m)] for v in values]) + 1.0
         log = np.log(c / c.sum(0, keepdims=True))
-        return F.create_map(*[x for v, row in zip(values, log, strict=True) for x in (F.lit(v), fixed(row))])[F.col(col)]
+        return F.broadcast(df.sparkSession.createDataFrame([(v, row.tolist()) for v, row in zip(values, log, strict=True)], f"{col} string, {into} array<double>"))
 
     own = F.when(F.col("_sound"), F.lit(1.0)).otherwise(F.lit(0.0))
     host_count = F.zip_with("ch", "_p", lambda c, p: F.greatest(c - own * p, F.lit(0.0)))
-    rows = rows.join(priors, "_host").withColumn("_c", host_count)
+    by_declared, by_address = seen("_declared", "_sd"), seen("_address", "_sa")
+    rows = rows.join(priors, "_host").join(by_declared, "_declared").join(by_address, "_address").withColumn("_c", host_count)
     prior = F.zip_with("_c", "pd", lambda c, d: F.log((c + HOST * d) / (total(F.col("_c")) + HOST)))
     add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
-    rows = rows.withColumn("_log", add(add(add(F.col("_ll"), prior), seen("_declared")), seen("_address")))
+    rows = rows.withColumn("_log", add(add(add(F.col("_ll"), prior), F.col("_sd")), F.col("_sa")))
     rows = rows.withColumn("_best", F.array_max("_log"))
     odds = F.aggregate(F.transform("_log", lambda x: F.exp(x - F.col("_best"))), F.lit(0.0), lambda x, y: x + y)
     rows = rows.withColumn("_posterior", 1 / odds)

@@ -97,3 +97,20 @@ def test_pages_of_the_table(spark):
     out = L.op3_language_id(spark, "/root/testdata/sf0.01").collect()
     assert len(out) == 250
     assert sum(r.language == r.declared_language for r in out) >= 0.9 * len(out)
+
+
+def test_more_labels_than_a_block(spark):
+    rng = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = []
+    for k in range(L.BLOCK + 6):
+        name = letters[k // 26] + letters[k % 26]
+        parts = ["".join(rng.choice(letters) for _ in range(4)) for _ in range(6)]
+        rows += [(100 * k + i, " ".join(rng.choice(parts) for _ in range(40 if k else 5)), name, "h", "c") for i in range(3)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    model = L.fit(df)
+    assert model.languages == sorted({r[2] for r in rows})
+    assert np.allclose(np.exp(model.log_p).sum(1), 1)
+    out = L.identify(df, model, F.col("text"), F.col("source"), F.col("lang"), keep=["doc_id", "lang"]).collect()
+    assert len(out) == len(rows)
+    assert all(r.language == r.lang == r.declared_language for r in out)
