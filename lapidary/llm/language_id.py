@@ -100,7 +100,8 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang") ->
     languages = sorted(r.l for r in counts.select("l").distinct().collect())
     c = np.zeros((len(languages), CELLS))
     place = {x: i for i, x in enumerate(languages)}
-    for r in counts.groupBy("l").agg(F.collect_list("cell").alias("cells"), F.collect_list("n").alias("ns")).toLocalIterator():  # at most CELLS counts a row
+    per = saved(counts.groupBy("l").agg(F.collect_list("cell").alias("cells"), F.collect_list("n").alias("ns")), "labels")
+    for r in per.toLocalIterator():  # a job for each partition; at most CELLS counts a row
         c[place[r.l], r.cells] = r.ns
     if languages:
         c += ALPHA
