@@ -1,10 +1,12 @@
-"""Shared helpers: scratch tables in the shared folder, two-level running sums, Arrow text buffers."""
+"""Shared helpers: scratch tables in the shared folder, what Python workers keep, two-level running sums, joins of hot keys, Arrow text buffers."""
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -15,12 +17,20 @@ from pyspark.sql.window import Window as W
 #: White space of the word contracts: space and U+0009..U+000D.
 SPACE = (9, 10, 11, 12, 13, 32)
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes of text that the vectorised functions take at once, but for longer single texts.
+SLICE_BYTES = 1 << 18
+#: Base of the polynomial hashes, odd so that it has an inverse modulo 2**64.
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 1 << 64)
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the session names in spark.checkpoint.dir; a temporary one only if it names none (tests)."""
+    """The shared folder that the session names in spark.checkpoint.dir. A temporary one only if it names none and all runs on this
+    machine (tests): executors elsewhere would not see it."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="lapidary-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -30,7 +40,8 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it again: lineage ends here, executors may be lost."""
     path = f"{scratch_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    df.sparkSession._jvm.System.gc()  # shuffle files of finished plans go when the driver collects its garbage
+    if jvm := getattr(df.sparkSession, "_jvm", None):
+        jvm.System.gc()  # shuffle files of finished plans go when the driver collects its garbage
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._lapidary_path = path
     return out
@@ -46,6 +57,36 @@ def dropped(*tables: DataFrame) -> None:
             p.getFileSystem(conf).delete(p, True)
 
 
+_held: dict[str, Any] = {}
+
+
+def held(name: str, build: Callable[[], Any]) -> Any:
+    """What a Python worker keeps from task to task, one object at a time: a worker serves all stages of a session, so what an earlier
+    one left goes first."""
+    if name not in _held:
+        release()
+        _held[name] = build()
+    return _held[name]
+
+
+def release() -> None:
+    """Frees what the worker keeps."""
+    if _held:
+        _held.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """mapInArrow() of a function that keeps nothing in its worker."""
+
+    def free(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        return run(batches)
+
+    return df.mapInArrow(free, schema)
+
+
 def running(df: DataFrame, keys: list[str], by: list[str], value: Column, into: str, rows_per_slice: int = 50_000) -> DataFrame:
     """Adds `into`: the sum of value over the rows before this one, per keys. The order is (slice, *by), where the slice is a
     hash of `by`: each key is cut into slices of about rows_per_slice rows, summed apart and joined by the slices' own running
@@ -69,6 +110,19 @@ def running(df: DataFrame, keys: list[str], by: list[str], value: Column, into:
     )
 
 
+def spread_join(left: DataFrame, right: DataFrame, key: str, n: str, by: list[str], how: str = "inner") -> DataFrame:
+    """left joined by key with right, a written table of one row a key that says in column n how many rows of left have it. A key with
+    more than a quarter of a shuffle partition's share is dealt over several tasks by a hash of left's columns `by`, right's row going to
+    each. There are at most four such keys a partition, so that their list can be broadcast."""
+    total = right.agg(F.sum(n)).first()[0] or 0
+    share = max(1_000, int(total) // (4 * int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    parts = F.ceil(F.col(n) / share).cast("int")
+    hot = right.where(F.col(n) > share).select(F.col(key).alias("_hot"), parts.alias("_parts"))
+    left = left.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(*by), F.col("_parts")).cast("int"), F.lit(0))).drop("_hot", "_parts")
+    right = right.withColumn("_part", F.explode(F.sequence(F.lit(0), F.when(F.col(n) > share, parts - 1).otherwise(0))))
+    return left.join(right.drop(n), [key, "_part"], how).drop("_part")
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes and the n + 1 offsets of a string or binary Arrow column; nulls count as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -94,6 +148,62 @@ def slices(batch: pa.RecordBatch, column: str, most_bytes: int) -> Iterable[pa.R
         at = end
 
 
+_powers: dict[int, np.ndarray] = {}
+
+
+def power(base: int, n: int) -> np.ndarray:
+    """base**0 .. base**(n - 1) modulo 2**64; tables of a slice's length are kept, longer ones (of a long text) are not."""
+
+    def table(n: int) -> np.ndarray:
+        p = np.full(n, np.uint64(base))
+        p[0] = 1
+        return np.multiply.accumulate(p)
+
+    if n > SLICE_BYTES + 1:
+        return table(n)
+    if base not in _powers:
+        _powers[base] = table(SLICE_BYTES + 1)
+    return _powers[base][:n]
+
+
+def running_hash(raw: np.ndarray) -> np.ndarray:
+    """Prefix sums of a polynomial hash, modulo 2**64; see between()."""
+    total = np.zeros(len(raw) + 1, np.uint64)
+    with np.errstate(over="ignore"):
+        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power(BASE, len(raw)), out=total[1:])
+    return total
+
+
+def between(total: np.ndarray, start: np.ndarray | slice, end: np.ndarray | slice) -> np.ndarray:
+    """The hashes of stretches of the text that running_hash() read, wherever they stand."""
+    with np.errstate(over="ignore"):
+        return (total[end] - total[start]) * power(INVERSE, len(total))[start]
+
+
+def hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The hashes of many stretches that do not overlap, in order: a slice's length of text at a time."""
+    out = np.zeros(len(start), np.uint64)
+    i = 0
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(end, start[i] + SLICE_BYTES, "right")))
+        total = running_hash(raw[start[i] : end[j - 1]])
+        out[i:j] = between(total, start[i:j] - start[i], end[i:j] - start[i])
+        i = j
+    return out
+
+
+def words_at(raw: np.ndarray, offsets: np.ndarray, space: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of each run of bytes that are not space (a mask by byte value); a text's end ends its word."""
+    gap = np.ones(len(raw) + 2, bool)
+    gap[1:-1] = space[raw]
+    word = ~gap[1:-1]
+    begins, ends = word & gap[:-2], word & gap[2:]
+    edge = offsets[1:-1][(offsets[1:-1] > 0) & (offsets[1:-1] < len(raw))]
+    begins[edge] = word[edge]
+    ends[edge - 1] = word[edge - 1]
+    return np.flatnonzero(begins), np.flatnonzero(ends) + 1
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """SplitMix64's finaliser on uint64, elementwise."""
     x = x ^ (x >> np.uint64(30))

@@ -1,18 +1,18 @@
 """Language identification by Bayesian evidence fusion.
 
-Evidence on a row, as log terms for each language:
+The outcomes are the languages and "none of them". Evidence on a row, as log terms for each outcome:
 
-- text: byte trigrams of the lower-cased letters, hashed into 2**16 cells, under a smoothed multinomial for each language. Trigrams
-  are not independent, so n of them count as n / (1 + n / EFFECTIVE);
-- declared language (an html lang attribute or a column) and address (a language code as first path segment, else the language of a
-  country suffix): P(seen | language), Laplace-smoothed, from grouped aggregation of text-only posteriors over all rows;
-- host prior: P(language | host), smoothed towards the host's domain (last two labels), which is smoothed towards all rows;
-  counts are summed text-only posteriors, the row's own left out.
+- text: byte trigrams of the lower-cased letters, hashed into 2**16 cells, under a smoothed multinomial for each language, and under
+  uniform noise for none. Trigrams are not independent, so n of them count as n / (1 + n / EFFECTIVE);
+- declared language (an html lang attribute or a column) and address (a language code as first path segment, else the host's last
+  label, whatever it is): P(seen | outcome), Laplace-smoothed, from grouped aggregation of text-only posteriors over all rows;
+- host prior: P(outcome | host), smoothed towards the host's domain (last two labels), which is smoothed towards all rows;
+  counts are summed text-only posteriors.
 
-The trigram counts cover all labelled rows: partial counts of each task are summed by (language, cell), at most 2**16 rows a
-language. A hot host is pre-aggregated before its shuffle and joined by Spark's skew join. The result is `und` (rejected)
-if there are no letters, if no language explains the text better than uniform noise over the cells, or if the best
-posterior is below `least`.
+A row's own posterior is left out of all counts that it is judged by. The trigram counts cover all labelled rows: partial counts of each
+task are summed by (language, cell), at most 2**16 rows a language. Hosts are pre-aggregated before their shuffle, and a hot host's
+rows are dealt over several tasks. The result is `und` (rejected) if there are no letters, if none of the languages is the best
+outcome, or if the best one's posterior is below `least`.
 
 Defined results: null or empty text is `und`; null hosts form one group; unknown or null declarations count as "other" or
 "none"; without labelled rows all rows are `und`. Repeated rows count as often as they appear. Only columns named in
@@ -30,14 +30,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import buffers, saved, slices
+from .common import buffers, mapped, saved, slices, spread_join
 from .html_text import main_text
 from .url_filter import host_path
 
 CELLS, EFFECTIVE, ALPHA, HOST, DOMAIN, LEAST, BLOCK = 1 << 16, 40.0, 0.5, 10.0, 20.0, 0.5, 64
 NOISE = -float(np.log(CELLS))
-#: Country suffix: language (fixed values).
-SUFFIXES = {"at": "de", "ch": "de", "cl": "es", "co": "es", "de": "de", "es": "es", "fr": "fr", "ie": "en", "mx": "es", "uk": "en", "us": "en"}
+#: Up to so many addresses are broadcast; more are joined by a shuffle.
+BROADCAST_ADDRESSES = 100_000
 _SLICE = 1 << 19
 _FOLD = np.full(256, 32, np.uint32)
 _FOLD[128:] = np.arange(128, 256)
@@ -96,7 +96,7 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang") ->
                         yield from sparse(total)
         yield from sparse(total)
 
-    counts = saved(rows.mapInArrow(count, "l string, cell int, n long").groupBy("l", "cell").agg(F.sum("n").alias("n")), "trigrams")
+    counts = saved(mapped(rows, count, "l string, cell int, n long").groupBy("l", "cell").agg(F.sum("n").alias("n")), "trigrams")
     languages = sorted(r.l for r in counts.select("l").distinct().collect())
     c = np.zeros((len(languages), CELLS))
     place = {x: i for i, x in enumerate(languages)}
@@ -111,10 +111,11 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang") ->
 
 
 def _text_evidence(df: DataFrame, model: Model, html: bool) -> DataFrame:
-    """Adds _ll (effective log-likelihoods), _p (text-only posterior, flat prior) and _sound to df, whose text is in _text."""
+    """Adds _ll (effective log-likelihoods of the languages and of none), _p (text-only posterior, flat prior; zeros without letters) and
+    _letters to df, whose text is in _text."""
     languages, log_p = model
     keep = df.drop("_text")
-    kept = keep.columns
+    kept, m = keep.columns, len(languages) + 1
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,16 +125,16 @@ def _text_evidence(df: DataFrame, model: Model, html: bool) -> DataFrame:
                     t = pa.array([main_text(x.as_py()).lower() for x in t], pa.string())
                 cell, row = _cells(t)
                 n = np.bincount(row, minlength=b.num_rows).astype(float)
-                mean = np.stack([np.bincount(row, p[cell], b.num_rows) for p in log_p], 1) / np.maximum(n, 1)[:, None] if languages else np.zeros((b.num_rows, 0))
-                ll = mean * (n / (1 + n / EFFECTIVE))[:, None]
-                p = np.exp(ll - ll.max(1, initial=-np.inf, keepdims=True)) if languages else ll
+                total = np.stack([*[np.bincount(row, p[cell], b.num_rows) for p in log_p], n * NOISE], 1)
+                ll = total / (1 + n / EFFECTIVE)[:, None]
+                letters = _letters(t)
+                p = np.exp(ll - ll.max(1, keepdims=True)) * letters[:, None]
                 p /= np.maximum(p.sum(1, keepdims=True), 1e-300)
-                sound = _letters(t) & ((n == 0) | (mean.max(1, initial=-np.inf) > NOISE))
-                lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * len(languages), pa.int32()), pa.array(x.ravel(), pa.float64()))  # noqa: E731, B023
-                yield pa.RecordBatch.from_arrays([*[b.column(i) for i, f in enumerate(b.schema) if f.name != "_text"], lists(ll), lists(p), pa.array(sound)], names=[*kept, "_ll", "_p", "_sound"])
+                lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * m, pa.int32()), pa.array(x.ravel(), pa.float64()))  # noqa: E731, B023
+                yield pa.RecordBatch.from_arrays([*[b.column(i) for i, f in enumerate(b.schema) if f.name != "_text"], lists(ll), lists(p), pa.array(letters)], names=[*kept, "_ll", "_p", "_letters"])
 
-    schema = T.StructType([*keep.schema.fields, T.StructField("_ll", T.ArrayType(T.DoubleType())), T.StructField("_p", T.ArrayType(T.DoubleType())), T.StructField("_sound", T.BooleanType())])
-    return df.select(*kept, "_text").mapInArrow(score, schema)
+    schema = T.StructType([*keep.schema.fields, T.StructField("_ll", T.ArrayType(T.DoubleType())), T.StructField("_p", T.ArrayType(T.DoubleType())), T.StructField("_letters", T.BooleanType())])
+    return mapped(df.select(*kept, "_text"), score, schema)
 
 
 def _known(code: Column, languages: list[str]) -> Column:
@@ -142,54 +143,52 @@ def _known(code: Column, languages: list[str]) -> Column:
 
 
 def identify(df: DataFrame, model: Model, text: Column, host: Column, declared: Column | None = None, path: Column | None = None, keep: list[str] | None = None, html: bool = False, least: float = LEAST, into: str = "") -> DataFrame:
-    """The columns named in keep, then language (und: rejected), posterior and declared, for every row."""
-    languages, m = model.languages, len(model.languages)
+    """The columns named in keep, then language (und: rejected), posterior (of the best outcome) and declared_language, for every row."""
+    languages, m = model.languages, len(model.languages) + 1
     keep = keep or []
     none = F.lit(None).cast("string")
-    segment = F.regexp_extract(path, r"^/([A-Za-z]{2})(?:[-_/]|$)", 1) if path is not None else none
-    suffix = F.regexp_extract(F.lower(host), r"\.([a-z]+)$", 1)
-    country = F.create_map(*[F.lit(x) for kv in SUFFIXES.items() for x in kv])[suffix]
-    address = F.when(F.lower(segment).isin(languages), F.lower(segment)).otherwise(country) if languages else none
+    segment = F.lower(F.regexp_extract(path, r"^/([A-Za-z]{2})(?:[-_/]|$)", 1)) if path is not None else none
+    suffix = F.regexp_extract(F.lower(host), r"(\.[^.]+)$", 1)
+    address = F.when(segment.isin(languages), segment).when(suffix != "", suffix).otherwise("none") if languages else none
     rows = df.select(
         F.struct(*[F.col(c) for c in keep]).alias("_keep"), (text if html else F.lower(text)).alias("_text"), F.coalesce(host, F.lit("")).alias("_host"),
-        _known(declared if declared is not None else none, languages).alias("_declared"), _known(address, languages).alias("_address"),
+        _known(declared if declared is not None else none, languages).alias("_declared"), address.alias("_address"),
     )
     rows = rows.withColumn("_domain", F.regexp_extract("_host", r"([^.]+\.)?[^.]*$", 0))
-    if not m:
+    if not languages:
         return rows.select("_keep.*" if keep else F.lit(None).alias("_none"), F.lit("und").alias(f"{into}language"), F.lit(0.0).alias(f"{into}posterior"), F.col("_declared").alias(f"{into}declared_language"))
     rows = saved(_text_evidence(rows, model, html), "evidence")
-    sums = [F.sum(F.when(F.col("_sound"), F.col("_p")[i]).otherwise(0.0)).alias(f"c{i}") for i in range(m)]
+    sums = [F.sum(F.col("_p")[i]).alias(f"c{i}") for i in range(m)]
     array = lambda name: F.array(*[F.coalesce(F.col(f"c{i}"), F.lit(0.0)) for i in range(m)]).alias(name)
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
-    hosts = saved(rows.groupBy("_host", "_domain").agg(*sums).select("_host", "_domain", array("ch")), "hosts")
-    by_domain = hosts.groupBy("_domain").agg(*[F.sum(F.col("ch")[i]).alias(f"c{i}") for i in range(m)]).select("_domain", array("cd"))
-    everything = np.array(by_domain.agg(*[F.sum(F.col("cd")[i]) for i in range(m)]).first(), dtype=object)
-    base = np.array([float(x or 0) + 1 for x in everything])
-    base = base / base.sum()
-    fixed = lambda xs: F.array(*[F.lit(float(x)) for x in xs])
-    domain_prior = F.transform(F.zip_with("cd", fixed(base), lambda c, g: c + DOMAIN * g), lambda x: x / (total(F.col("cd")) + DOMAIN))
-    priors = hosts.join(by_domain, "_domain").select("_host", "ch", domain_prior.alias("pd"))
-
-    def seen(col: str, into: str) -> DataFrame:
-        """log P(seen | language) by value, for a join; the modelled languages, other and none."""
-        values = list(dict.fromkeys([*languages, "other", "none"]))
-        found = {r[0]: r for r in rows.groupBy(col).agg(*sums).collect()}
-        c = np.array([[float(found[v][f"c{i}"] or 0) if v in found else 0.0 for i in range(m)] for v in values]) + 1.0
-        log = np.log(c / c.sum(0, keepdims=True))
-        return F.broadcast(df.sparkSession.createDataFrame([(v, row.tolist()) for v, row in zip(values, log, strict=True)], f"{col} string, {into} array<double>"))
-
-    own = F.when(F.col("_sound"), F.lit(1.0)).otherwise(F.lit(0.0))
-    host_count = F.zip_with("ch", "_p", lambda c, p: F.greatest(c - own * p, F.lit(0.0)))
-    by_declared, by_address = seen("_declared", "_sd"), seen("_address", "_sa")
-    rows = rows.join(priors, "_host").join(by_declared, "_declared").join(by_address, "_address").withColumn("_c", host_count)
-    prior = F.zip_with("_c", "pd", lambda c, d: F.log((c + HOST * d) / (total(F.col("_c")) + HOST)))
+    hosts = saved(rows.groupBy("_host", "_domain").agg(F.count("*").alias("_n"), *sums).select("_host", "_domain", "_n", array("_ch")), "hosts")
+    domains = hosts.groupBy("_domain").agg(*[F.sum(F.col("_ch")[i]).alias(f"c{i}") for i in range(m)]).select("_domain", array("_cd"))
+    priors = saved(hosts.join(domains, "_domain").select("_host", "_n", "_ch", "_cd"), "priors")
+    everything = [float(x or 0) for x in hosts.agg(*[F.sum(F.col("_ch")[i]) for i in range(m)]).first()]
+    addresses = saved(rows.groupBy("_address").agg(*sums).select("_address", array("_ca")), "addresses")
+    n_addresses = addresses.count()
+    counted = {r[0]: [float(x or 0) for x in r[1:]] for r in rows.groupBy("_declared").agg(*sums).collect()}  # the languages, other and none
+    values = [*dict.fromkeys([*languages, "other", "none"])]
+    declarations = df.sparkSession.createDataFrame([(v, counted.get(v, [0.0] * m)) for v in values], "_declared string, _cs array<double>")
+
+    # counts without the row's own: (count of the outcome + a * prior) / (count + a)
+    without = lambda counts: F.zip_with(counts, "_p", lambda c, p: F.greatest(c - p, F.lit(0.0)))
+    fixed = F.array(*[F.lit(x) for x in everything])
+    rows = spread_join(rows, priors, "_host", "_n", ["_keep", "_ll"])
+    rows = rows.join(F.broadcast(addresses) if n_addresses <= BROADCAST_ADDRESSES else addresses, "_address").join(F.broadcast(declarations), "_declared")
+    rows = rows.withColumns({"_all": without(fixed), "_ch": without("_ch"), "_cd": without("_cd"), "_ca": without("_ca"), "_cs": without("_cs")})
+    rows = rows.withColumns({"_sum_all": total(F.col("_all")), "_sum_d": total(F.col("_cd")), "_sum_h": total(F.col("_ch"))})
+    rows = rows.withColumn("_base", F.transform("_all", lambda c: (c + 1.0) / (F.col("_sum_all") + float(m))))
+    rows = rows.withColumn("_pd", F.zip_with("_cd", "_base", lambda c, q: (c + DOMAIN * q) / (F.col("_sum_d") + DOMAIN)))
+    rows = rows.withColumn("_ph", F.zip_with("_ch", "_pd", lambda c, q: F.log((c + HOST * q) / (F.col("_sum_h") + HOST))))
+    seen = lambda counts, kinds: F.zip_with(counts, "_all", lambda c, t: F.log((c + 1.0) / (t + float(kinds))))
     add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
-    rows = rows.withColumn("_log", add(add(add(F.col("_ll"), prior), F.col("_sd")), F.col("_sa")))
+    rows = rows.withColumn("_log", add(add(add("_ll", "_ph"), seen("_ca", n_addresses)), seen("_cs", len(values))))
     rows = rows.withColumn("_best", F.array_max("_log"))
     odds = F.aggregate(F.transform("_log", lambda x: F.exp(x - F.col("_best"))), F.lit(0.0), lambda x, y: x + y)
     rows = rows.withColumn("_posterior", 1 / odds)
-    named = F.element_at(F.array(*[F.lit(x) for x in languages]), F.array_position("_log", F.col("_best")).cast("int"))
-    language = F.when(F.col("_sound") & (F.col("_posterior") >= least), named).otherwise("und")
+    named = F.element_at(F.array(*[F.lit(x) for x in [*languages, "und"]]), F.array_position("_log", F.col("_best")).cast("int"))
+    language = F.when(F.col("_letters") & (F.col("_posterior") >= least), named).otherwise("und")
     return rows.select(*([F.col("_keep")[c].alias(c) for c in keep]), language.alias(f"{into}language"), F.round("_posterior", 6).alias(f"{into}posterior"), F.col("_declared").alias(f"{into}declared_language"))
 
 

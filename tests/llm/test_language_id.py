@@ -45,31 +45,26 @@ def test_posterior_by_brute_force(spark):
     assert np.allclose(np.exp(model.log_p).sum(1), 1)
     out = {r.doc_id: r for r in L.identify(df, model, F.col("text"), F.col("source"), F.col("lang"), keep=["doc_id"]).collect()}
     p, ll = {}, {}
-    for i, text, lang, host, _ in rows:
+    for i, text, *_ in rows:
         cell, _ = L._cells(pa.array([text.lower()]))
-        mean = model.log_p[:, cell].mean(1)
+        mean = np.append(model.log_p[:, cell].mean(1), L.NOISE)
         ll[i] = mean * len(cell) / (1 + len(cell) / L.EFFECTIVE)
         e = np.exp(ll[i] - ll[i].max())
         p[i] = e / e.sum()
-    total = sum(p.values())
-    base = (total + 1) / (total + 1).sum()
-    for i, text, lang, host, _ in rows:
-        same = [j for j, r in enumerate(rows) if r[3] == host]
-        ch = sum(p[j] for j in same) - p[i]
-        cd = sum(p[j] for j in same)  # each host is its own domain of two labels
-        pd = (cd + L.DOMAIN * base) / (cd.sum() + L.DOMAIN)
-        prior = (ch + L.HOST * pd) / (ch.sum() + L.HOST)
-
-        def seen(value, of):
-            c = {v: sum((p[j] for j, r in enumerate(rows) if of(r) == v), np.zeros(3)) for v in [*model.languages, "other", "none"]}
-            return (c[value] + 1) / sum(x + 1 for x in c.values())
-
-        suffix = lambda r: L.SUFFIXES.get(r[3].split(".")[1], "none")
-        if i % 40 == 0:
-            log = ll[i] + np.log(prior) + np.log(seen(lang, lambda r: r[2])) + np.log(seen(suffix(rows[i]), suffix))
-            post = np.exp(log - log.max()) / np.exp(log - log.max()).sum()
-            assert out[i].language == model.languages[int(post.argmax())]
-            assert math.isclose(out[i].posterior, post.max(), abs_tol=2e-6)
+    for i, _, lang, host, _ in rows:
+        if i % 40:
+            continue
+        others = lambda of: sum((p[j] for j, r in enumerate(rows) if j != i and of(r)), np.zeros(4))  # noqa: B023, E731
+        base = (others(lambda r: True) + 1) / (others(lambda r: True).sum() + 4)
+        same = others(lambda r: r[3] == host)
+        pd = (same + L.DOMAIN * base) / (same.sum() + L.DOMAIN)  # each host is its own domain of two labels
+        prior = (same + L.HOST * pd) / (same.sum() + L.HOST)
+        suffix = lambda r: r[3].split(".")[1]
+        seen = lambda of, value, kinds: (others(lambda r: of(r) == value) + 1) / (others(lambda r: True) + kinds)
+        log = ll[i] + np.log(prior) + np.log(seen(lambda r: r[2], lang, 5)) + np.log(seen(suffix, suffix(rows[i]), 3))
+        post = np.exp(log - log.max()) / np.exp(log - log.max()).sum()
+        assert out[i].language == [*model.languages, "und"][int(post.argmax())]
+        assert math.isclose(out[i].posterior, post.max(), abs_tol=2e-6)
 
 
 def test_held_out_accuracy_and_rejection(spark):
