@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each result as Parquet in the shared folder and reads it
 again for the next. All but the last return the columns of documents. A stage without rows gives an empty table. Rows are
-told apart by doc_id and text, so repeated ids are kept apart; null texts are rejected by the first stage.
+told apart by doc_id and text, so repeated ids are kept apart; null texts are rejected by the first stage, as are texts without letters.
 """
 
 from __future__ import annotations
@@ -16,14 +16,20 @@ from lapidary.llm import jaccard_join, language_id, mixing, packing, suffix_dedu
 from lapidary.llm.common import saved
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+#: Up to so many rejected documents (32 bytes each) are broadcast; more are joined by a shuffle.
+BROADCAST_KEYS = 1_000_000
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language: trigrams of the labelled documents, lang as the declared language, source as the host. Texts without
-    letters go, and those that no language explains better than noise; a doubtful language (a word or two) is no reason."""
+    """Documents in a language: trigrams of the labelled documents, lang as the declared language, source as the host. Those whose best outcome
+    over all evidence is no language go; a language that is doubtful between several (a word or two) is no reason. Only keys of the
+    rejected documents are joined with the texts."""
     model = language_id.fit(docs)
-    known = language_id.identify(docs, model, F.col("text"), F.col("source"), F.col("lang"), keep=docs.columns, least=0.0, into="_id_")
-    return known.where(F.col("_id_language") != "und").select(*docs.columns)
+    keys = {f"_{c}": F.xxhash64(c) for c in ("doc_id", "text", "source", "lang")}
+    found = language_id.identify(docs.withColumns(keys), model, F.col("text"), F.col("source"), F.col("lang"), keep=list(keys), least=0.0, into="_id_")
+    gone = saved(found.where("_id_language = 'und'").select(*keys).distinct(), "rejected")
+    few = gone.count() <= BROADCAST_KEYS
+    return docs.withColumns(keys).join(F.broadcast(gone) if few else gone, list(keys), "left_anti").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
