@@ -21,12 +21,12 @@ ORACLE_SQL: dict[str, str] = {
           SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
           FROM embeddings
           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
-        ), s AS (
-          SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+        ), q AS (SELECT DISTINCT vec_id, e FROM v WHERE vec_id % 100 = 0), s AS (
+          SELECT q.vec_id AS query_id, q.e AS qe, c.vec_id AS vec_id,
                  CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
-          FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)
+          FROM q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e)
         ), r AS (
-          SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+          SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id, qe ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
         )
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
 }
