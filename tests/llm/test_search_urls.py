@@ -9,7 +9,7 @@ from lapidary.llm.queries import ORACLE_SQL
 def _brute(rows, k=10):
     ok = [(i, [int(np.floor(1024 * np.float64(np.float32(x)))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []
-    for q, a in ok:
+    for q, a in {(i, tuple(v)): (i, v) for i, v in ok}.values():
         if q % 100 == 0:
             s = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in ok if i != q and len(a) == len(b))[:k]
             out += [(q, r + 1, i, -n) for r, (n, i) in enumerate(s)]
@@ -20,6 +20,7 @@ def test_top_k_is_exact(spark):
     rng = np.random.default_rng(3)
     rows = [(i, rng.normal(size=20).astype(np.float32).tolist()) for i in range(450)]
     rows += [(1000 + i, [0.5] * 20) for i in range(15)] + [(600, None), (700, [float("nan")] + [0.0] * 19), (701, [None] * 20), (800, [1.0] * 3), (801, [0.25] * 3), (None, [1.0] * 3)]
+    rows += [(100, rows[100][1]), (200, rows[7][1]), (33, rows[34][1])]  # repeated ids: the same vector, and unlike ones
     df = spark.createDataFrame([(i, v, "clash") for i, v in rows], "vec_id long, embedding array<float>, score string")
     assert sorted(map(tuple, topk.top_k(df).collect())) == _brute(rows)
     assert topk.top_k(df.limit(0)).collect() == []
@@ -27,7 +28,15 @@ def test_top_k_is_exact(spark):
 
 def test_top_k_large_values():
     q, c = np.array([[2.0**40, 3.0]]), np.array([[2.0**20, 1.0], [2.0**20, 2.0]])
-    assert topk.best(np.array([0]), q, np.array([1, 2]), c, 1)[2].tolist() == [2**60 + 6]
+    assert topk.Bucket(np.array([1, 2]), c).search(np.array([0]), q, 1)[2].tolist() == [2**60 + 6]
+
+
+def test_top_k_in_several_buckets(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BUCKET_ROWS", 40)
+    monkeypatch.setattr(topk, "CHUNK_ROWS", 16)
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=20 if i % 3 else 9).astype(np.float32).tolist()) for i in range(320)]
+    assert sorted(map(tuple, topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect())) == _brute(rows)
 
 
 def test_top_k_sql(spark, tmp_path):
