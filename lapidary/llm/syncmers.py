@@ -1,18 +1,19 @@
 """Document fingerprints from closed syncmers, in DataFrame functions only.
 
-A text's tokens are its words. A k-mer of K = 5 tokens holds four inner substrings (s-mers) of two tokens; it is chosen if the least of
-their hashes stands first or last. Whether a k-mer is chosen depends on nothing outside it, so equal passages have the same
-anchors in every text and positions can be matched; one of two k-mers is chosen on average. Texts below SHORT code
-points are also taken as overlapping pieces of PIECE characters, which tells short texts apart better: two texts are compared by
-these if both are short, else by words. Likeness is the Jaccard coefficient of the sets of chosen k-mers.
+A text's tokens are the pieces of its words, up to PIECE characters each, counted from the word's start; so short texts and words without
+blanks between them have tokens enough, and all texts are taken alike. A k-mer of K = 5 tokens holds four inner substrings
+(s-mers) of two tokens; it is chosen if the least of their hashes stands first or last. Whether a k-mer is chosen depends on nothing
+outside it, so equal passages have the same anchors in every text, at positions that differ by one shift; one of two k-mers is chosen
+on average. Likeness is the Jaccard coefficient of the sets of chosen k-mers.
 
-The fingerprint string lists the chosen k-mers' 32-bit hashes in text order ("w" words, then "c" characters of a
-short text). Neighbours come from cutting the ids' span into even ranges of about BLOCK_ROWS rows: one window per
-range, and a range's last row gets the first row of the next range by a join, so that no window spans the table.
+The fingerprint string lists position:hash (the k-mer's first token, 32 bits) in text order. Neighbours: a bounded sample of the rows'
+places in the order (about PER_BLOCK for each block) gives the blocks' borders, as in a range partitioning, so that neither an
+outlying id nor a repeated one makes a large block; one window per block, and a block's last row gets the first row of the next
+by a join, so that no window spans the table. There are at most four blocks for each shuffle partition.
 
 Defined results: a null text is empty; an empty text has no k-mers, and two such are alike (1.0), while one such and another are not (0.0); a text
-with fewer than K tokens is one k-mer. Repeated ids are ordered by text; null ids come first; a single document is its own next.
-Only the id and text columns are read.
+with fewer than K tokens is one k-mer, as is a longer one of which none is chosen. Repeated ids are ordered by a hash of the text; null
+ids count as the least; a single document is its own next. Only the id and text columns are read.
 """
 
 from __future__ import annotations
@@ -23,8 +24,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-
-K, SHORT, PIECE, BLOCK_ROWS = 5, 600, 6, 2_000
+K, PIECE, BLOCK_ROWS, PER_BLOCK, SEED = 5, 4, 2_000, 20, 8
+TOKEN = rf"[^\x20\x09-\x0D]{{1,{PIECE}}}"
+FINGERPRINT = "array<struct<position:int,hash:int>>"
 
 
 def _chosen(s: Column) -> Callable[[Column], Column]:
@@ -33,59 +35,67 @@ def _chosen(s: Column) -> Callable[[Column], Column]:
 
 
 def _kmer(s: Column) -> Callable[[Column], Column]:
-    return lambda i: F.hash(F.get(s, i), F.get(s, i + 2), F.get(s, i + 3))
+    return lambda i: F.struct(i.alias("position"), F.hash(F.get(s, i), F.get(s, i + 2), F.get(s, i + 3)).alias("hash"))
 
 
 def _with_syncmers(df: DataFrame, text: str, into: str) -> DataFrame:
-    """Adds `into`: a struct of w and c (null for longer texts), arrays of hashes. Each step is a column of its own: lambdas
-    evaluate what they refer to again for each element, unless it is a column."""
-    n = F.char_length(text)
-    c_tokens = F.when((n > 0) & (n < SHORT), F.transform(F.sequence(F.lit(1), F.greatest(n - PIECE + 1, F.lit(1))), lambda i: F.xxhash64(F.substr(text, i, F.lit(PIECE)))))
-    df = df.withColumn("_words", F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != ""))
-    df = df.withColumns({"_wh": F.transform("_words", lambda w: F.xxhash64(w)), "_ch": c_tokens}).drop("_words")
-    for h in ("_wh", "_ch"):
-        df = df.withColumn(f"{h}s", F.zip_with(h, F.slice(h, F.lit(2), F.greatest(F.size(h), F.lit(1))), lambda a, b: F.xxhash64(a, b)))
-    for h in ("_wh", "_ch"):
-        df = df.withColumn(f"{h}i", F.when(F.size(h) >= K, F.filter(F.sequence(F.lit(0), F.size(h) - K), _chosen(F.col(f"{h}s")))))
-    made = []
-    for h, name in (("_wh", "w"), ("_ch", "c")):
-        kmers = F.transform(f"{h}i", _kmer(F.col(f"{h}s")))
-        one = F.when(F.size(h) > 0, F.array(F.hash(h))).otherwise(F.array().cast("array<int>"))
-        made.append(F.when(F.col(h).isNotNull(), F.when(F.size(h) >= K, kmers).otherwise(one)).alias(name))
-    df = df.withColumn(into, F.struct(*made))
-    return df.drop(*[f"{h}{x}" for h in ("_wh", "_ch") for x in ("", "s", "i")])
+    """Adds `into`: positions and hashes of the chosen k-mers. Each step is a column of its own: lambdas evaluate what they refer to again
+    for each element, unless it is a column."""
+    df = df.withColumn("_t", F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda w: F.xxhash64(w)))
+    df = df.withColumn("_s", F.zip_with("_t", F.slice("_t", F.lit(2), F.greatest(F.size("_t"), F.lit(1))), lambda a, b: F.xxhash64(a, b)))
+    df = df.withColumn("_i", F.when(F.size("_t") >= K, F.filter(F.sequence(F.lit(0), F.size("_t") - K), _chosen(F.col("_s")))))
+    one = F.array(F.struct(F.lit(0).alias("position"), F.hash("_t").alias("hash")))
+    made = F.when(F.size("_t") == 0, F.array().cast(FINGERPRINT)).when(F.coalesce(F.size("_i"), F.lit(0)) > 0, F.transform("_i", _kmer(F.col("_s")))).otherwise(one)
+    return df.withColumn(into, made).drop("_t", "_s", "_i")
 
 
 def _likeness(a: str, b: str) -> Column:
-    def jaccard(x: Column, y: Column) -> Column:
-        both, either = F.size(F.array_intersect(x, y)), F.size(F.array_union(x, y))
-        return F.when(either == 0, 1.0).otherwise(both / either)
-
-    by_chars = F.col(f"{a}.c").isNotNull() & F.col(f"{b}.c").isNotNull()
-    return F.when(by_chars, jaccard(F.col(f"{a}.c"), F.col(f"{b}.c"))).otherwise(jaccard(F.col(f"{a}.w"), F.col(f"{b}.w")))
+    x, y = F.col(f"{a}.hash"), F.col(f"{b}.hash")
+    both, either = F.size(F.array_intersect(x, y)), F.size(F.array_union(x, y))
+    return F.when(either == 0, 1.0).otherwise(both / either)
 
 
 def _string(a: str) -> Column:
-    text = lambda x: F.array_join(x.cast("array<string>"), " ")
-    return F.concat(F.lit("w "), text(F.col(f"{a}.w")), F.coalesce(F.concat(F.lit(" c "), text(F.col(f"{a}.c"))), F.lit("")))
+    return F.array_join(F.transform(a, lambda x: F.concat_ws(":", x["position"], x["hash"])), " ")
 
 
 def fingerprint(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, fingerprint and n_kmers of every row."""
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("_text"))
     rows = _with_syncmers(rows, "_text", "_f")
-    return rows.select(F.col("id").alias(id_col), _string("_f").alias("fingerprint"), F.size("_f.w").cast("long").alias("n_kmers"))
+    return rows.select(F.col("id").alias(id_col), _string("_f").alias("fingerprint"), F.size("_f").cast("long").alias("n_kmers"))
+
+
+def _block(rows: DataFrame) -> Column:
+    """The block of a row by its place (o, h, u): the number of borders that are not above it, by binary search in constants."""
+    n = rows.count()
+    blocks = min(max(1, -(-n // BLOCK_ROWS)), 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    if blocks == 1:
+        return F.lit(0)
+    sample = rows.where(F.pmod(F.xxhash64(F.lit(SEED), "o", "h", "u"), F.lit(max(1, n // (PER_BLOCK * blocks)))) == 0).select("o", "h", "u")
+    places = sorted(map(tuple, sample.collect()))  # about PER_BLOCK * blocks rows
+    borders = sorted({places[len(places) * i // blocks] for i in range(1, blocks)}) if places else []
+    number = lambda k: F.split(F.lit(",".join(str(b[k]) for b in borders)), ",").cast("array<bigint>")
+    o, h, u = number(0), number(1), number(2)
+
+    def halved(s: Column, _: Column) -> Column:
+        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        below = (F.get(o, mid) < F.col("o")) | (F.get(o, mid) == F.col("o")) & ((F.get(h, mid) < F.col("h")) | (F.get(h, mid) == F.col("h")) & (F.get(u, mid) <= F.col("u")))
+        right = (s["lo"] < s["hi"]) & below
+        return F.struct(F.when(right, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(right, s["hi"]).otherwise(F.least(mid, s["hi"])).alias("hi"))
+
+    steps = F.sequence(F.lit(1), F.lit(max(1, len(borders).bit_length())))
+    return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.lit(len(borders)).alias("hi")), halved)["lo"]
 
 
 def with_next(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, text, next_text, f and next_f (fingerprints): the next row by id, after the last the first."""
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    a = rows.agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")).first()
-    blocks, lo = max(1, -(-a.n // BLOCK_ROWS)), a.lo or 0
-    width = (((a.hi or 0) - lo) + 1.0) / blocks
-    rows = rows.withColumn("block", F.coalesce(F.floor((F.col("id").cast("double") - lo) / width), F.lit(-1)).cast("long"))
-    within = W.partitionBy("block").orderBy(F.col("id").asc_nulls_first(), "text")
-    first = rows.groupBy("block").agg(F.min(F.struct(F.coalesce("id", F.lit(-(2**63))).alias("i"), "text")).alias("first"))
+    rows = rows.withColumns({"o": F.coalesce("id", F.lit(-(2**63))), "h": F.xxhash64("text"), "u": F.monotonically_increasing_id()})
+    place = ["o", "h", "u"]
+    rows = rows.withColumn("block", _block(rows))
+    within = W.partitionBy("block").orderBy(*place)
+    first = rows.groupBy("block").agg(F.min(F.struct(*place, "text")).alias("first"))
     order = W.orderBy("block")
     following = rows.select("block").distinct()
     following = following.select("block", F.coalesce(F.lead("block").over(order), F.first("block").over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).alias("after"))
