@@ -2,14 +2,19 @@
 
 1. Strip markup: a single pass over the tags turns a page into lines, one for each block-level run of text, with character
    references decoded and white space collapsed. Scripts, styles, the head, comments and hidden elements give no text.
-2. Weigh lines: a line weighs its characters outside links. Lines in containers for something else than the article (nav, footer,
-   aside, form ..., or a class, id or role that names a menu, notice, advert, sidebar, reader comments ...) weigh nothing, as do
-   lines outside the article or main element if the page has one with text.
-3. Sum weights over windows of WINDOW lines. A surge is where the sum rises from nothing, a dive where it is back at
-   nothing, that is, WINDOW lines in a row weigh nothing. Text between a surge and its dive is kept if some window in
-   between reaches `least` characters (any, inside an article element); without such a block, the heaviest one is kept.
-   Lines in between that weigh nothing (an advert among paragraphs) are left out. Outside article elements, short
-   lines at either end without a sentence's end are cut, headings excepted.
+2. Trust lines: a line's trust is 1, times LOW for each container around it that names something else than the article (nav, footer,
+   aside, form ..., or a class, id or role that names a menu, notice, advert, sidebar, reader comments ...), and HIGH times as much
+   inside an article or main element. Names only lower trust; what counts is relative: the page's level is the trust whose lines hold most
+   text (characters outside links, times trust), and lines of at most half the level weigh nothing. So an article element with a fair
+   share of the text outweighs what is around it, a teaser does not, and a page wholly inside a form or a misnamed container keeps its text.
+3. Weigh lines: the characters outside links, none if links hold most of the line; inside an article element all characters, and LEAST
+   at least, as an article's own short lines and links are its text.
+4. Sum weights over windows of WINDOW lines. A surge is where the sum rises from nothing, a dive where it is back at nothing, that is,
+   WINDOW lines in a row weigh nothing. Text between a surge and its dive is kept if some window in between reaches `least`
+   characters; without such a block, the heaviest one is kept. Lines in between that weigh nothing (an advert among paragraphs) are left out.
+5. Outside article elements: a block that reaches less stays if it shares its container with a kept line; short lines at either end of a kept
+   block, without a sentence's end and no headings, go only if they stand in another container than the block's long lines, as do
+   those of a teaser's article element.
 
 Defined results: a null or empty page, or one without text, gives an empty string; markup cut off at the end of a page is dropped; an
 unclosed boilerplate container ends where an article begins. Of elements without text of their own, those without an end tag end
@@ -29,19 +34,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-WINDOW, LEAST, SHORT = 3, 80, 40
+from .common import mapped
+
+WINDOW, LEAST, SHORT, LOW, HIGH = 3, 80, 40, 0.1, 4.0
 
 _TAG = re.compile(r"""<(?:(?P<comment>!--)|[!?][^>]*+(?:>|\Z)|(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)(?:>|\Z)|/?[a-zA-Z][^>]*+(?:>|\Z))""")
 _ATTR = re.compile(r"""([^\s"'<>/=]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
 _BLANK = re.compile(r"\s+")
-_RAW = {"script", "style", "noscript", "template", "textarea", "title", "svg", "math", "iframe", "object", "canvas", "select", "xmp", "noembed", "noframes"}
+_RAW = {"script", "style", "noscript", "template", "textarea", "title", "svg", "annotation", "annotation-xml", "iframe", "object", "canvas", "select", "xmp", "noembed", "noframes"}
 #: Of _RAW, those whose content is code or plain text, and those that hold none of their own kind.
 _CODE = {"script", "style", "textarea", "title", "xmp", "noembed", "noframes"}
 _SINGLE = {"select", "iframe", "noscript"}
 _BODY = re.compile(r"<(?:body|article|main)\b", re.I)
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img"}
+_MATH = {"math", "semantics", "mrow", "mi", "mn", "mo", "ms", "mtext", "mspace", "msup", "msub", "msubsup", "mfrac", "msqrt", "mroot", "munder", "mover", "munderover", "mfenced", "mstyle", "mpadded", "mphantom", "menclose", "mmultiscripts"}
+_INLINE |= _MATH
+#: Elements that hold text of the container around them.
+_PARTS = {"p", "ul", "ol", "li", "dl", "dt", "dd", "table", "tbody", "thead", "tfoot", "tr", "td", "th", "caption", "blockquote", "pre", "figure", "figcaption", "hgroup", "header", "details", "summary", "address"}
 _OTHER = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "fieldset"}
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: Words of a class, id or role that name something else than the article.
@@ -50,15 +61,19 @@ _NAMES = set(
     "footer header masthead cookie cookies consent gdpr notice notices notification notifications alert popup modal overlay share sharing social related recommended "
     "recommendations widget newsletter subscribe subscription signup login search searchform toolbar pagination pager copyright contentinfo complementary skip".split()
 )
-_COMMENTS = {"comment", "comments", "disqus", "commentlist", "respond", "replies", "discussion"}
+_COMMENTS = {"comment", "comments", "disqus", "commentlist", "respond", "reply", "replies", "discussion", "reactions", "responses", "feedback", "guestbook", "talkback"}
+#: Words that say that a class tells of comments and does not hold them.
+_TELLS = {"has", "no", "with", "without", "show", "hide", "enabled", "disabled", "open", "closed"}
 _CONTENT = {"content", "article", "main", "post", "entry", "story", "text", "body", "page", "wrapper", "container", "layout", "has", "with", "no"}
 
 
 class Line(NamedTuple):
     text: str
-    weight: int
-    inside: bool
+    plain: int  # characters outside links
+    trust: float
+    inside: bool  # in an article or main element
     heading: bool
+    container: int
 
 
 def _other(name: str, attrs: str, in_article: bool) -> bool:
@@ -68,15 +83,19 @@ def _other(name: str, attrs: str, in_article: bool) -> bool:
     if not attrs or name in ("html", "body", "main", "article"):
         return False
     words: set[str] = set()
+    comments = False
     for key, *values in _ATTR.findall(attrs):
         key, value = key.lower(), "".join(values)
         if key in ("class", "id", "role"):
-            words.update(w.lower() for w in _WORD.findall(value))
+            for token in value.split():
+                own = {w.lower() for w in _WORD.findall(token)}
+                comments |= bool(own & _COMMENTS) and not own & _TELLS
+                words |= own
         elif key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I) or key == "aria-hidden" and value.lower() == "true":
             return True
     if re.search(r"""(?:^|\s)hidden(?=\s|/|$)""", re.sub(r"\"[^\"]*\"|'[^']*'", "", attrs), re.I):
         return True
-    if words & _COMMENTS:
+    if comments:
         return True
     found = words & _NAMES
     if in_article and (name in _HEADINGS or name == "header"):
@@ -84,11 +103,17 @@ def _other(name: str, attrs: str, in_article: bool) -> bool:
     return bool(found) and not words & _CONTENT
 
 
+def _unclosed(page: str, at: int, name: str, open_: int) -> bool:
+    """Whether the rest of the page has too few end tags for the elements of a name that are open and that it opens."""
+    starts = len(re.findall(rf"<{re.escape(name)}\b", page[at:], re.I))
+    return len(re.findall(rf"</{re.escape(name)}\b", page[at:], re.I)) < starts + open_
+
+
 def lines(page: str) -> list[Line]:
     """The page's blocks of text in order."""
     out: list[Line] = []
-    stack: list[tuple[str, bool]] = []  # name, whether it holds something else
-    masked = inside = links = headings = 0
+    stack: list[tuple[str, bool, int]] = []  # name, whether it holds something else, container
+    low = inside = links = headings = containers = 0
     parts: list[str] = []
     linked: list[str] = []
     unclosed: set[str] = set()  # names of which no end tag is left
@@ -97,13 +122,13 @@ def lines(page: str) -> list[Line]:
         if parts:
             text = _BLANK.sub(" ", "".join(parts)).strip()
             if text:
-                weight = 0 if masked else max(1, len(text) - len(_BLANK.sub(" ", "".join(linked)).strip())) if "".join(linked).strip() != text else 0
-                out.append(Line(text, weight, inside > 0 and not masked, headings > 0))
+                plain = len(text) - len(_BLANK.sub(" ", "".join(linked)).strip())
+                out.append(Line(text, max(0, plain), LOW**low * (HIGH if inside else 1.0), inside > 0, headings > 0, stack[-1][2] if stack else 0))
             parts.clear()
             linked.clear()
 
     def close(name: str) -> None:
-        nonlocal masked, inside, links, headings
+        nonlocal low, inside, links, headings
         k = len(stack) - 1
         while k >= 0 and stack[k][0] != name:
             if name in _INLINE and stack[k][0] not in _INLINE or name in ("p", "li") and stack[k][0] in ("article", "main", "nav", "div", "section", "body"):
@@ -111,8 +136,8 @@ def lines(page: str) -> list[Line]:
             k -= 1
         if k < 0:
             return
-        for n, other in stack[k:]:
-            masked -= other
+        for n, other, _ in stack[k:]:
+            low -= other
             inside -= n in ("article", "main")
             links -= n == "a"
             headings -= n in _HEADINGS
@@ -146,8 +171,8 @@ def lines(page: str) -> list[Line]:
             close(name)
             continue
         if name in _RAW:
-            flush() if name not in ("svg", "math", "canvas", "noscript", "script", "style", "template") else None
-            if not m["attrs"].rstrip().endswith("/") or name not in ("svg", "math"):
+            flush() if name not in ("svg", "canvas", "noscript", "script", "style", "template", "annotation", "annotation-xml") else None
+            if not m["attrs"].rstrip().endswith("/") or name != "svg":
                 if name not in unclosed:
                     k = re.compile(rf"<(?P<end>/){'?' if name in _SINGLE else ''}{name}\b[^>]*>?", re.I).search(page, at)
                     if k and k["end"]:
@@ -167,13 +192,21 @@ def lines(page: str) -> list[Line]:
         if name in _VOID or name == "head":
             continue
         if name in ("article", "main"):
-            while masked:  # a boilerplate container that was never closed
-                close(next(n for n, other in reversed(stack) if other))
+            while low:  # a boilerplate container that was never closed ends here
+                k, n = next((k, x[0]) for k, x in reversed(list(enumerate(stack))) if x[1])
+                if not _unclosed(page, at, n, sum(x[0] == n for x in stack)):
+                    break
+                close(n)
         elif name in ("p", "li", "td", "th", "tr", "dt", "dd", "option") and stack and stack[-1][0] == name:
             close(name)
         other = _other(name, m["attrs"], inside > 0)
-        stack.append((name, other))
-        masked += other
+        if name in _INLINE or name in _PARTS:
+            container = stack[-1][2] if stack else 0
+        else:
+            containers += 1
+            container = containers
+        stack.append((name, other, container))
+        low += other
         inside += name in ("article", "main")
         links += name == "a"
         headings += name in _HEADINGS
@@ -181,43 +214,60 @@ def lines(page: str) -> list[Line]:
     return out
 
 
-def main_text(page: str | None, window: int = WINDOW, least: int = LEAST) -> str:
-    """Text between the surge and dive points of a page."""
-    found = lines(page or "")
-    weight = np.array([x.weight for x in found], np.int64)
+def weights(found: list[Line], least: int = LEAST) -> tuple[np.ndarray, bool]:
+    """What each line weighs in the windows' sums, and whether the page's level is that of an article element."""
+    trust = np.array([x.trust for x in found])
+    length = np.array([len(x.text) for x in found], np.int64)
+    plain = np.array([x.plain for x in found], np.int64)
     inside = np.array([x.inside for x in found], bool)
-    whole = bool((weight * inside).sum())
-    if whole:
-        weight = np.where(inside, np.array([len(x.text) for x in found]), 0)  # an article's own links are its text
-        least = 1
-    if not weight.sum():
-        return ""
-    sums = np.convolve(weight, np.ones(window, np.int64))[window - 1 :]  # of the window that begins at each line
-    blocks: list[tuple[int, int]] = []
-    i = 0
-    while i < len(found):
+    text = np.where(inside, length, plain)
+    levels = np.unique(trust)
+    mass = [float((text * trust)[trust == t].sum()) for t in levels]
+    level = levels[int(np.argmax(mass))] if len(levels) else 1.0
+    article = bool(inside[trust == level].any())
+    own = np.where(inside & article, np.maximum(length, least), np.where(2 * plain > length, plain, 0))
+    return np.where(trust > level / 2, own, 0), article
+
+
+def blocks_of(weight: np.ndarray, window: int = WINDOW) -> list[tuple[int, int, int]]:
+    """Surge, dive and largest window sum of each block: from a line that weighs something to where `window` lines weigh nothing."""
+    sums = np.convolve(weight, np.ones(window, np.int64))[window - 1 :] if len(weight) else weight  # of the window that begins at each line
+    out, i = [], 0
+    while i < len(weight):
         if not weight[i]:
             i += 1
             continue
         j = i
-        while j < len(found) and sums[j]:
+        while j < len(weight) and sums[j]:
             j += 1
-        blocks.append((i, j))
+        out.append((i, j, int(sums[i:j].max())))
         i = j
-    kept = [b for b in blocks if sums[b[0] : b[1]].max() >= least] or [max(blocks, key=lambda b: weight[b[0] : b[1]].sum())]
-    out: list[str] = []
-    for i, j in kept:
-        own = [found[k] for k in range(i, j) if weight[k]]
-        if not whole:
-            plain = lambda x: len(x.text) < SHORT and not x.heading and x.text[-1] not in ".!?…:;\"'”’)。！？"
-            a, b = 0, len(own)
-            while a < b and plain(own[a]):
-                a += 1
-            while b > a and plain(own[b - 1]):
-                b -= 1
-            own = own[a:b] or own
-        out += [x.text for x in own]
-    return " ".join(out)
+    return out
+
+
+def main_text(page: str | None, window: int = WINDOW, least: int = LEAST) -> str:
+    """Text between the surge and dive points of a page."""
+    found = lines(page or "")
+    weight, article = weights(found, least)
+    blocks = blocks_of(weight, window)
+    if not blocks:
+        return ""
+    strong = [b for b in blocks if b[2] >= least] or [max(blocks, key=lambda b: weight[b[0] : b[1]].sum())]
+    own = {k for i, j, _ in strong for k in range(i, j) if weight[k]}
+    ends = ".!?…:;\"'”’)。！？"
+    short = lambda k: not found[k].heading and (len(found[k].text) < SHORT and found[k].text[-1] not in ends or found[k].inside and not article and len(found[k].text) < least)
+    places = {found[k].container for k in own if not short(k)} or {found[k].container for k in own}
+    kept = set(own)
+    for i, j, _ in strong:
+        edge = [k for k in range(i, j) if weight[k]]
+        for side in (edge, edge[::-1]):
+            for k in side:
+                if article and found[k].inside or not short(k) or found[k].container in places:
+                    break
+                kept.discard(k)
+    kept = kept or own
+    kept |= {k for i, j, _ in blocks for k in range(i, j) if weight[k] and found[k].container in places}
+    return " ".join(found[k].text for k in sorted(kept))
 
 
 def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", window: int = WINDOW, least: int = LEAST) -> DataFrame:
@@ -229,7 +279,7 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
             texts = [main_text(h.as_py(), window, least) for h in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return rows.mapInArrow(run, f"page_id {dict(rows.dtypes)['page_id']}, url string, text string, n_chars long")
+    return mapped(rows, run, f"page_id {dict(rows.dtypes)['page_id']}, url string, text string, n_chars long")
 
 
 def op10_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:

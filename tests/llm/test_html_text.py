@@ -5,6 +5,7 @@ import re
 
 import pytest
 
+from lapidary.llm import html_text as H
 from lapidary.llm.html_text import extract, main_text
 
 NAV = '<nav><ul><li><a href="/a">Home page</a></li><li><a href="/b">About us all</a></li></ul></nav>'
@@ -69,3 +70,73 @@ def test_elements_without_end_tag(page, want):
 
 def test_many_unclosed_elements_take_linear_time():
     assert main_text("<article>" + "<object>x " * 100_000 + "</article>") == ("x " * 100_000).strip()
+
+
+LONG = "Long sentence here, and then some more of it. " * 3
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        # class names that tell of comments, and those that hold them
+        (f"<div class='post has-comments'><p>{LONG}</p></div>", LONG.strip()),
+        (f"<div class=post><p>{LONG}</p></div><section class=reactions><p>{LONG} I agree.</p></section>", LONG.strip()),
+        (f"<div class=post><p>{LONG}</p></div><div class='comment-body'><p>{LONG} I agree.</p></div>", LONG.strip()),
+        # a teaser in an article element beside the text
+        (f"<div class=text><h1>Title</h1>{f'<p>{LONG}</p>' * 6}</div><aside><article><p>Read this teaser too.</p></article></aside>", " ".join(["Title", *[LONG.strip()] * 6])),
+        (f"<div class=text>{f'<p>{LONG}</p>' * 9}</div><article class=x><p>A teaser.</p></article>", " ".join([LONG.strip()] * 9)),
+        # a page within a form, one in a misnamed container
+        (f"<form><div id=menu><a href=/>Home</a></div><p>Short opening</p><p>{LONG}</p><p>Fin</p></form>", f"Short opening {LONG.strip()} Fin"),
+        (f"<div class=sidebar><p>{LONG}</p><div class=ad>Buy it.</div></div>", LONG.strip()),
+        # short lines of the same container stay, of another one they go
+        (f"<body><div>Home</div><p>Short opening</p><p>{LONG}</p><ul><li>Two eggs</li><li>Milk</li></ul><div>Imprint</div></body>", f"Short opening {LONG.strip()} Two eggs Milk"),
+        (f"<p>{LONG}</p>" + "<p><a href=x>Link only</a></p>" * 3 + "<p>Fin</p>", f"{LONG.strip()} Fin"),
+        # formulas are text
+        ("<article><p>So <math><mi>a</mi><mo>+</mo><mn>1</mn><annotation>a+1</annotation></math> it is.</p></article>", "So a+1 it is."),
+        ("<article><p>An <a href=x>article's link</a></p><p><a href=y>is its text</a></p></article><p>outside</p>", "An article's link is its text"),
+    ],
+)
+def test_evidence(page, want):
+    assert main_text(page) == want
+
+
+def test_surge_and_dive_by_brute_force():
+    """Windows summed one by one: a line is in a block if it weighs something or if one of the lines up to WINDOW - 1 after it does, after
+    a line that weighs something and before WINDOW lines that weigh nothing."""
+    import random
+
+    rng = random.Random(4)
+    for _ in range(300):
+        weight = [rng.choice([0, 0, 0, 1, 5, 30, 90]) for _ in range(rng.randint(1, 30))]
+        want, i = [], 0
+        while i < len(weight):
+            if weight[i] == 0:
+                i += 1
+                continue
+            j = i
+            while j < len(weight) and any(weight[j : j + 3]):
+                j += 1
+            want.append((i, j, max(sum(weight[k : k + 3]) for k in range(i, j))))
+            i = j
+        assert H.blocks_of(H.np.array(weight)) == want
+
+
+def test_windows_decide_inside_and_outside_articles(monkeypatch):
+    """Pages of random lines: kept lines are those of blocks that reach LEAST, by an own reading of the sums."""
+    import random
+
+    rng = random.Random(5)
+    for article in (True, False):
+        for _ in range(40):
+            rows = [(rng.choice(["p", "ad"]), rng.choice([3, 30, 90])) for _ in range(rng.randint(1, 25))]
+            body = "".join(f"<div class=w><p>{'x' * n}.</p></div>" if kind == "p" else f"<div class=ad><p>{'y' * n}.</p></div>" for kind, n in rows)
+            page = f"<article>{body}</article>" if article else f"<body>{body}</body>"
+            text = [n + 1 if kind == "p" else 0 for kind, n in rows]
+            weight = [max(n, H.LEAST) if n and article else n for n in text]
+            total = sum(n * (4 if article else 1) for n in text)
+            if total <= sum((n + 1) * 0.1 * (4 if article else 1) for kind, n in rows if kind == "ad"):
+                continue  # nearly all of it is named an advert
+            strong = {k for i, j, most in H.blocks_of(H.np.array(weight)) if most >= H.LEAST for k in range(i, j) if weight[k]}
+            if not strong:
+                continue
+            assert main_text(page) == " ".join("x" * rows[k][1] + "." for k in sorted(strong))
