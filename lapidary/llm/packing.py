@@ -15,16 +15,13 @@ Both work on runs of equal sequences, so the plan's size depends on the capacity
 lengths into slices, and the plan joins by length and range.
 
 Defined results: a null or empty text is the end id alone; an empty table gives an empty result; repeated rows are packed
-one by one. Only the id and text columns are read. Tokens of whole words are kept in a bounded table per worker; white space
-always parts words of this tokenizer, so a text's ids are those of its words, one after another.
+one by one. Only the id and text columns are read. Tokens of whole words are kept in a bounded table per worker; blanks, tabs and line
+ends always part words of this tokenizer, so a text's ids are those of its words, one after another.
 """
 
 from __future__ import annotations
 
 import bisect
-import functools
-import itertools
-import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -32,114 +29,76 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import running, saved, slices
+from .common import buffers, hashes, held, mixed, running, saved, slices, words_at
 
-CAPACITY, END_ID, TOKENIZER, KEPT_WORDS, SLICE_BYTES = 4096, 1, "word_bpe_49k.json", 800_000, 1 << 20
-
-
-class Ragged:
-    """Arrays of token ids by number, in one array that doubles as it fills."""
-
-    def __init__(self) -> None:
-        self.n = self.size = 0
-        self.at, self.length, self.ids = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32)
-
-    def add(self, ids: np.ndarray, lengths: np.ndarray) -> None:
-        n, size = self.n + len(lengths), self.size + len(ids)
-        while n > len(self.at):
-            self.at, self.length = np.resize(self.at, 2 * len(self.at)), np.resize(self.length, 2 * len(self.length))
-        while size > len(self.ids):
-            self.ids = np.resize(self.ids, 2 * len(self.ids))
-        self.at[self.n : n], self.length[self.n : n] = self.size + np.cumsum(lengths) - lengths, lengths
-        self.ids[self.size : size] = ids
-        self.n, self.size = n, size
-
-    def get(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all codes, one after another, and how many each has."""
-        lengths = self.length[code]
-        shift = self.at[code] - (np.cumsum(lengths) - lengths)
-        return self.ids[np.arange(int(lengths.sum())) + np.repeat(shift, lengths)], lengths
+CAPACITY, END_ID, TOKENIZER, KEPT_WORDS, SLICE_BYTES = 4096, 1, "word_bpe_49k.json", 1_000_000, 1 << 19
 
 
 class Words:
-    """Token ids of texts from tables of known words and of known units (a word's runs of letters, digits and marks, as the
-    tokenizer parts them); the tables are emptied when full. Words beyond Latin letters go to the tokenizer whole."""
+    """Token ids of texts from a table of known words, emptied when full. A word is known by a 64-bit hash and its first eight bytes; two
+    words that share the one and not the other are told apart by tokenizing their texts whole."""
 
-    UNITS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")  # the tokenizer file's own pattern, a fixed value
-    PLAIN = re.compile("[!-;=-~\u00a1-\u00ac\u00ae-\u024f]*")  # unchanged by NFC, lower-cased alike by Python; no "<"
+    PARTS = (9, 10, 32)  # not all white space: the tokenizer reads other marks of it as part of a word
 
     def __init__(self, path: str, most: int = KEPT_WORDS) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.space = np.zeros(256, bool)
+        self.space[list(self.PARTS)] = True
         self.clear()
 
     def clear(self) -> None:
-        self.words: dict[str, int] = {}
-        self.units: dict[str, int] = {}
-        self.word_ids, self.unit_ids = Ragged(), Ragged()
-
-    def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        return np.fromiter(itertools.chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found))
-
-    def _learn_units(self, new: list[str]) -> None:
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, np.uint32)
-        last = np.flatnonzero(self.ends[ids])
-        lengths = np.diff(last, prepend=-1)
-        if len(last) != len(new) or not len(ids) or last[-1] != len(ids) - 1:
-            ids, lengths = self._whole(new)
-        self.units.update(zip(new, range(len(self.units), len(self.units) + len(new)), strict=True))
-        self.unit_ids.add(ids, lengths)
-
-    def _learn(self, new: list[str]) -> None:
-        plain = [w for w in new if self.PLAIN.fullmatch(w)]
-        parts = [self.UNITS.findall(w.lower()) for w in plain]
-        flat = list(itertools.chain.from_iterable(parts))
-        if unknown := list(dict.fromkeys(u for u in flat if u not in self.units)):
-            self._learn_units(unknown)
-        ids, lengths = self.unit_ids.get(np.fromiter(map(self.units.__getitem__, flat), np.int64, len(flat)))
-        each = np.fromiter(map(len, parts), np.int64, len(parts))
-        total = np.concatenate([[0], np.cumsum(lengths)])
-        upto = np.cumsum(each)
-        self.words.update(zip(plain, range(len(self.words), len(self.words) + len(plain)), strict=True))
-        self.word_ids.add(ids, total[upto] - total[upto - each])
-        if len(plain) < len(new):
-            rest = [w for w in new if w not in self.words]
-            self.words.update(zip(rest, range(len(self.words), len(self.words) + len(rest)), strict=True))
-            self.word_ids.add(*self._whole(rest))
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """hashes in order, and for each the first bytes, the place of its ids and their number."""
+        self.hashes, self.heads = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.at, self.count, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def _learn(self, hashes: np.ndarray, heads: np.ndarray, words: list[str]) -> None:
+        """Tokenizes new words, their hashes in order, in one text: a token belongs to the word in which it begins."""
+        found = self.tokenizer.encode_batch([" ".join(words)], add_special_tokens=False)[0]
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+        begins = np.fromiter((a for a, _ in found.offsets), np.int64, len(found.ids))
+        count = np.bincount(np.searchsorted(ends, begins, "right"), minlength=len(words))
+        at = len(self.ids) + np.cumsum(count) - count
+        place = np.searchsorted(self.hashes, hashes)
+        self.hashes, self.heads = np.insert(self.hashes, place, hashes), np.insert(self.heads, place, heads)
+        self.at, self.count = np.insert(self.at, place, at), np.insert(self.count, place, count)
+        self.ids = np.concatenate([self.ids, np.array(found.ids, np.uint32)])
+
+    def encode(self, column: pa.Array) -> list[np.ndarray]:
         """The token ids of each text."""
-        words: list[str] = []
-        counts = []
-        for t in texts:
-            own = t.replace("\n", " ").replace("\t", " ").split(" ")  # not split(): it also parts at U+001C to U+001F
-            words += own
-            counts.append(len(own))
-        if len(self.words) > self.most or len(self.units) > self.most:
+        raw, offsets = buffers(column)
+        start, end = words_at(raw, offsets, self.space)
+        with np.errstate(over="ignore"):
+            h = mixed(hashes(raw, start, end) + (end - start).astype(np.uint64))
+        head = np.lib.stride_tricks.sliding_window_view(np.append(raw, np.zeros(8, np.uint8)), 8)[start].copy().view("<u8")[:, 0]
+        head &= np.uint64(2**64 - 1) >> (8 * (8 - np.minimum(end - start, 8))).astype(np.uint64)
+        kinds, first, kind = np.unique(h, return_index=True, return_inverse=True)
+        heads = head[first]
+        if len(self.hashes) + len(kinds) > self.most:
             self.clear()
-        code = np.fromiter(map(self.words.get, words, itertools.repeat(-1)), np.int64, len(words))
-        if len(missing := np.flatnonzero(code < 0)):
-            lost = [words[i] for i in missing]
-            self._learn(list(dict.fromkeys(lost)))
-            code[missing] = np.fromiter(map(self.words.__getitem__, lost), np.int64, len(lost))
-        ids, lengths = self.word_ids.get(code)
-        total = np.concatenate([[0], np.cumsum(lengths)])
-        return np.split(ids, total[np.cumsum(counts)][:-1])
+        place = np.searchsorted(self.hashes, kinds)
+        known = place < len(self.hashes)
+        known[known] = self.hashes[place[known]] == kinds[known]
+        if (self.heads[place[known]] != heads[known]).any() or (heads[kind] != head).any():
+            return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch([t or "" for t in column.to_pylist()], add_special_tokens=False)]
+        if not known.all():
+            spans = zip(start[first[~known]].tolist(), end[first[~known]].tolist(), strict=True)
+            text = raw.tobytes()
+            self._learn(kinds[~known], heads[~known], [text[a:z].decode() for a, z in spans])
+            place = np.searchsorted(self.hashes, kinds)
+        at, count = self.at[place][kind], self.count[place][kind]
+        total = np.concatenate([[0], np.cumsum(count)])
+        ids = self.ids[np.arange(total[-1]) + np.repeat(at - total[:-1], count)]
+        return np.split(ids, total[np.searchsorted(start, offsets[1:-1])])
 
 
-@functools.cache
 def words_of(path: str) -> Words:
-    """One table for all tasks of a Python worker."""
-    return Words(path)
+    """The table of a Python worker, for its tasks one after another."""
+    return held(path, lambda: Words(path))
 
 
 def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, tokenizer: str | None = None) -> DataFrame:
@@ -155,7 +114,7 @@ def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
         for batch in batches:
             for b in slices(batch, batch.schema.names[1], SLICE_BYTES):
                 out: list[tuple] = []
-                for doc, own in enumerate(words.encode([t or "" for t in b.column(1).to_pylist()])):
+                for doc, own in enumerate(words.encode(b.column(1))):
                     ids = np.append(own, np.uint32(end_id)).astype("<u4")
                     for n, start in enumerate(range(0, len(ids), capacity)):
                         part = ids[start : start + capacity]

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lapidary.llm import mixing, packing
@@ -168,7 +169,18 @@ def test_words_match_the_tokenizer():
     alphabet = "abcXYZéÀßñ'´`.,;<>|_-019 \n\t\r\x0b\x1c\xa0\u00ad½ªµ\u0301ſʼ…Σς東🙂İı"
     for _ in range(60):
         texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60))) + rng.choice(["", " don't we'll I'M", "<|endoftext|>", "ab " * 50]) for _ in range(8)]
-        assert [x.tolist() for x in w.encode(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+        assert [x.tolist() for x in w.encode(pa.array(texts))] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_words_of_one_hash_are_told_apart(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = str(public_tokenizers.path(packing.TOKENIZER))
+    monkeypatch.setattr(packing, "hashes", lambda raw, start, end: (end - start).astype(np.uint64))  # words of equal length collide
+    t, w = Tokenizer.from_file(path), packing.Words(path)
+    for texts in (["one"], ["two one", "a"], ["three four", "fours"], [None, ""]):
+        assert [x.tolist() for x in w.encode(pa.array(texts, pa.string()))] == [t.encode(x or "", add_special_tokens=False).ids for x in texts]
 
 
 def test_pack_empty(spark):
