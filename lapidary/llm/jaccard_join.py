@@ -8,18 +8,22 @@ documents link when 100 * |A and B| >= percent * |A or B|. The way there, all of
    hash, with shingles that are frequent in a bounded sample of documents last; the sample only affects speed, as any
    order is right. Keys of a single node are dropped by an aggregation before any row of two nodes meets; of keys with the same nodes one stays.
 3. Each key's least node is its hub; every node is compared with the hub it shares most keys with. What links is
-   joined into components. This costs one comparison a node, however large a group of near copies is.
-4. Keys whose nodes still lie in several components become tiles: rows outside the hub's component against all rows, in
-   blocks of at most TILE rows, split by size band (the power of two of the bitmap). Popcounts of A & ~B and B & ~A bound the overlap
-   from above, for all pairs of a tile at once; pairs within one component are skipped, since they can join nothing.
+   joined into components. This costs one comparison a node, however large a group of near copies is. Most links that decide anything are
+   found here, through the same bitmap bound and exact intersection as below.
+4. Keys whose nodes still lie in several components become tiles: rows outside the hub's component against all rows. A key of more than
+   TILE rows is split by size band (linked sets lie in the same band or next to each other) and then into blocks of TILE rows. Within a
+   tile, popcounts of A & ~B and B & ~A bound the overlap from above, for all pairs at once; pairs within one component are
+   skipped, since they can join nothing.
 5. Of what the bound leaves, each row's closest is checked exactly and joined first; then, for rows with further pairs, the
-   closest in each component; then, for rows that still have some, all, each in the tile of its pair's first common key. Each
+   closest in each component; then, for rows that still have some, all, but those that an earlier key of both finds. Each
    round ends with new components.
 
 So every link between different components' nodes is found, and no link can be lost for the components: a pair left out lies within
-one. Defined results: null texts and those without words have an empty set and link with nothing (component_id is their own id); ties need no
-rule, as the result has none; repeated rows are copies; a null id is skipped when the smallest id is taken. An empty table gives an empty
-result. Only the id and text columns are read.
+one. A frequent key's rows are dealt over several tasks wherever they are joined by the key.
+
+Defined results: null texts and those without words have an empty set and link with nothing (component_id is their own id); ties need no
+rule, as the result has none; repeated rows are copies; a null id is skipped when the smallest id is taken, and links its copies all the
+same. An empty table gives an empty result. Only the id and text columns are read.
 """
 
 from __future__ import annotations
@@ -32,50 +36,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, buffers, dropped, mixed, saved, slices
+from .common import SLICE_BYTES, SPACE, buffers, dropped, hashes, mapped, mixed, release, saved, slices, spread_join, words_at
 from .components import components
 
 WORDS, PERCENT = 5, 75
 #: Documents in the sample that finds frequent shingles, documents there that make one frequent, and how many are kept at most.
 SAMPLE, FREQUENT, MOST_FREQUENT = 4_096, 6, 100_000
-TILE, SLICE_BYTES = 2_048, 1 << 18
+TILE = 2_048
+#: Keys of a row that the last round looks at to leave out pairs that another tile finds too.
+FIRST_KEYS = 8
 #: Up to so many ids (8 bytes each) are broadcast to pick documents; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
 _U = np.uint64
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
 _MULTIPLIERS = [int(x) | 1 for x in mixed(np.arange(101, 101 + 64, dtype=_U))]
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(SPACE)] = True
-_powers: dict[int, np.ndarray] = {}
-
-
-def _power(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n - 1) modulo 2**64."""
-    if base not in _powers or len(_powers[base]) < n:
-        p = np.full(max(n, SLICE_BYTES + 1), _U(base))
-        p[0] = 1
-        _powers[base] = np.multiply.accumulate(p)
-    return _powers[base][:n]
 
 
 def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each word of all texts, and the n + 1 word offsets of the texts. A-Z are lower-cased."""
-    space = np.ones(len(raw) + 2, bool)
-    space[1:-1] = _IS_SPACE[raw]
-    word = ~space[1:-1]
-    begins, ends = word & space[:-2], word & space[2:]
-    edge = offsets[1:-1][(offsets[1:-1] > 0) & (offsets[1:-1] < len(raw))]
-    begins[edge] = word[edge]
-    ends[edge - 1] = word[edge - 1]
-    start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    start, end = words_at(raw, offsets, _IS_SPACE)
     with np.errstate(over="ignore"):
-        total = np.zeros(len(raw) + 1, _U)
-        np.cumsum((_LOWER[raw].astype(_U) + _U(1)) * _power(_BASE, len(raw)), out=total[1:])
-        h = mixed((total[end] - total[start]) * _power(_INVERSE, len(raw) + 1)[start] + (end - start).astype(_U) * _U(_MULTIPLIERS[-1]))
+        h = mixed(hashes(_LOWER[raw], start, end) + (end - start).astype(_U) * _U(_MULTIPLIERS[-1]))
     return h, np.searchsorted(start, offsets)
 
 
@@ -100,9 +85,9 @@ def shingle_sets(column: pa.Array, words: int = WORDS) -> Iterator[np.ndarray]:
 
 
 def bitmap(s: np.ndarray) -> bytes:
-    """A power of two of bits: 16 for each element of a small set, one of a large one; a set's bits are its hashes' low ones."""
+    """A power of two of bits: two or more for each element of a small set, one of a large one; a set's bits are its hashes' low ones."""
     n = len(s)
-    bits = max(64, 1 << int(min(16 * n, max(n, 2_048)) - 1).bit_length())
+    bits = max(64, 1 << int(min(2 * n, max(n, 2_048)) - 1).bit_length())
     out = np.zeros(bits, np.uint8)
     out[(s & _U(bits - 1)).astype(np.int64)] = 1
     return np.packbits(out, bitorder="little").tobytes()
@@ -120,18 +105,19 @@ def _prefix(s: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    """doc_id, t (hash of the text), text."""
+    return df.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text"))
 
 
 def _each(df: DataFrame, make, schema: str, words: int) -> DataFrame:
-    """Runs make(ids, sets) over slices of (doc_id, text)."""
+    """Runs make(columns before the text, sets) over slices of rows that end with the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in slices(batch, "text", SLICE_BYTES):
-                yield from make(b.column(0), list(shingle_sets(b.column(1), words)))
+                yield from make(b.columns[:-1], list(shingle_sets(b.column("text"), words)))
 
-    return df.mapInArrow(run, schema)
+    return mapped(df, run, schema)
 
 
 def _node(s: np.ndarray) -> int:
@@ -141,7 +127,7 @@ def _node(s: np.ndarray) -> int:
 
 def frequent_shingles(rows: DataFrame, n_rows: int, words: int = WORDS) -> np.ndarray:
     """Shingles of at least FREQUENT documents among about SAMPLE, at most MOST_FREQUENT of them."""
-    sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, n_rows // SAMPLE))) == 0)
+    sample = rows.where(F.pmod(F.xxhash64("doc_id", "t"), F.lit(max(1, n_rows // SAMPLE))) == 0)
 
     def make(_, sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*sets, np.zeros(0, _U)]).view(np.int64))], names=["s"])
@@ -152,16 +138,16 @@ def frequent_shingles(rows: DataFrame, n_rows: int, words: int = WORDS) -> np.nd
 
 
 def document_sets(rows: DataFrame, frequent: np.ndarray, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, node, n, bits, keys for every (doc_id, text)."""
+    """doc_id, t, node, n, bits, keys for every (doc_id, t, text)."""
 
     def make(ids, sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         keys = [_prefix(s, frequent, percent) for s in sets]
         flat = pa.array(np.concatenate([*keys, np.zeros(0, _U)]).view(np.int64))
         offsets = pa.array(np.cumsum([0, *map(len, keys)]), pa.int32())
-        columns = [ids, pa.array([_node(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([bitmap(s) if len(s) else b"" for s in sets], pa.binary()), pa.ListArray.from_arrays(offsets, flat)]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "n", "bits", "keys"])
+        columns = [*ids, pa.array([_node(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([bitmap(s) if len(s) else b"" for s in sets], pa.binary()), pa.ListArray.from_arrays(offsets, flat)]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "t", "node", "n", "bits", "keys"])
 
-    return _each(rows, make, f"doc_id {dict(rows.dtypes)['doc_id']}, node long, n int, bits binary, keys array<long>", words)
+    return _each(rows, make, f"doc_id {dict(rows.dtypes)['doc_id']}, t long, node long, n int, bits binary, keys array<long>", words)
 
 
 def _may_link(x: np.ndarray, y: np.ndarray, both: np.ndarray, percent: int) -> np.ndarray:
@@ -194,6 +180,7 @@ def _bounded(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
     sized = pairs.join(left, "a").join(right, "b").where((F.least("na", "nb") * 100).cast("long") >= F.greatest("na", "nb").cast("long") * percent)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         for p in batches:
             keep = np.zeros(len(p), bool)
             width = np.minimum(p["ba"].map(len), p["bb"].map(len)).to_numpy() // 8
@@ -211,15 +198,15 @@ def _bounded(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
 
 def _linked(pairs: DataFrame, info: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) that link, by exact intersection of their sets."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(info.select("node", "doc_id"), "node").select("doc_id").distinct()
-    ids = saved(ids, "checked")
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    ids = saved(nodes.join(info.select("node", F.col("doc_id").alias("_doc"), F.col("t").alias("_t")), "node").select("_doc", "_t").distinct(), "checked")
     few = ids.count() <= BROADCAST_IDS
 
     def make(_, sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "s"])
 
-    picked = rows.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-    sets = saved(_each(picked, make, "node long, s binary", words).dropDuplicates(["node"]), "sets")
+    picked = rows.join(F.broadcast(ids) if few else ids, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("t") == F.col("_t")), "left_semi")
+    sets = saved(_each(picked.select("text"), make, "node long, s binary", words).dropDuplicates(["node"]), "sets")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -233,21 +220,20 @@ def _linked(pairs: DataFrame, info: DataFrame, rows: DataFrame, words: int, perc
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     with_sets = pairs.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-    out = saved(with_sets.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long"), "linked")
+    out = saved(mapped(with_sets.select("a", "b", "sa", "sb"), check, "a long, b long"), "linked")
     dropped(ids, sets)
     return out
 
 
-def _first_common(a: list, b: list) -> int | None:
-    """The least of two sorted arrays' common elements."""
-    other = set(b)
-    return next((k for k in a if k in other), None)
+def _found_before(a: list, b: list, key: int) -> bool:
+    """Whether two rows' first keys share one below `key`, whose tile finds the pair too."""
+    return any(k < key and k in b for k in a)
 
 
 def _tile(key: int, x: list, y: list, percent: int, mode: str) -> np.ndarray:
-    """Pairs (a of x, b of y, more) of rows (node, n, bits, comp, keys) that sizes and bitmaps allow and that lie in different
-    components. Modes: one, each a's closest by the bound; component, its closest in each component; all, whose first common
-    key this is. more: a has others."""
+    """Pairs (a of x, b of y, more) of rows (node, n, bits, comp, first keys) that sizes and bitmaps allow and that lie in different
+    components. Modes: one, each a's closest by the bound; component, its closest in each component; all, but those found before.
+    more: a has others."""
     found = [np.zeros((0, 3), np.int64)]
 
     def bands(rows: list) -> dict[int, list]:
@@ -271,7 +257,7 @@ def _tile(key: int, x: list, y: list, percent: int, mode: str) -> np.ndarray:
                 o = most_overlap(a[t, None, :], na[t, None], b[None], nb[None])
                 i, j = np.nonzero(_may_link(na[t, None], nb[None], o, percent) & (ca[t, None] != cb[None]))
                 if mode == "all":
-                    first = [_first_common(p[u + s][4], q[v][4]) == key for u, v in zip(i.tolist(), j.tolist(), strict=True)]
+                    first = [not _found_before(p[u + s][4], q[v][4], key) for u, v in zip(i.tolist(), j.tolist(), strict=True)]
                     i, j = i[first], j[first]
                 far = -(o[i, j] * 1_000_000 // (na[t][i] + nb[j] - o[i, j]))
                 near.append(np.stack([i + s, cb[j], far, ib[j]], 1))
@@ -285,24 +271,32 @@ def _tile(key: int, x: list, y: list, percent: int, mode: str) -> np.ndarray:
 
 
 def _tiled(rows: DataFrame, info: DataFrame, percent: int, mode: str) -> DataFrame:
-    """Pairs (a, b, more) across components that bitmaps allow, from rows (key, node, comp, core): those outside the core against all
-    of their key. A key of at most TILE rows is one tile; larger ones are cut into blocks. Sizes and bitmaps (info) join last, so
+    """Pairs (a, b, more) across components that bitmaps allow, from rows (key, node, n, comp, core), a written table: those outside the core
+    against all of their key. A key of at most TILE rows is one tile; a larger one is split by size band, a row outside the core going to
+    its own band and any row to the bands next to its own too, and each band is cut into blocks. Bitmaps (info) join last, so
     that they move once. A tile's rows come sorted, so a task holds one tile at a time."""
-    counts = rows.groupBy("key").agg(F.count_if("core").alias("c"), F.count_if(~F.col("core")).alias("r"))
-    counts = counts.where("r > 0").select("key", (F.col("c") + F.col("r") <= TILE).alias("small"), F.ceil(F.col("c") / TILE).cast("int").alias("cb"), F.ceil(F.col("r") / TILE).cast("int").alias("rb"))
-    rows = rows.join(counts, "key")
+    per_key = saved(rows.groupBy("key").agg(F.count("*").alias("m"), F.count_if(~F.col("core")).alias("r")).where("r > 0"), "keys")
+    rows = spread_join(rows, per_key.select("key", "m", (F.col("m") <= TILE).alias("small")), "key", "m", ["node"])
     # side: 0 outside the core and against itself too (a small key's), 1 outside the core, 2 the other rows of the tile
-    names = ["key", "x", "y", "side", "node", "comp"]
+    names = ["key", "band", "x", "y", "side", "node", "comp"]
     zero = F.lit(0)
-    block = F.when(F.col("core"), F.pmod(F.hash("node"), F.col("cb"))).otherwise(F.col("cb") + F.pmod(F.hash("node"), F.col("rb")))
-    own = F.struct(zero.alias("x"), zero.alias("y"), F.when(F.col("core"), 2).otherwise(0).alias("side"))
-    as_other = F.transform(F.sequence(zero, F.col("rb") - 1), lambda x: F.struct(x.alias("x"), block.alias("y"), F.lit(2).alias("side")))
-    as_outer = F.transform(F.sequence(zero, F.col("cb") + F.col("rb") - 1), lambda y: F.struct((block - F.col("cb")).alias("x"), y.alias("y"), F.lit(1).alias("side")))
-    places = F.when(F.col("small"), F.array(own)).when(F.col("core"), as_other).otherwise(F.concat(as_other, as_outer))
-    dealt = rows.withColumn("p", F.explode(places)).select("key", "p.*", "node", "comp").select(*names)
-    keys = F.col("keys") if mode == "all" else F.array().cast("array<long>").alias("keys")
-    dealt = dealt.join(info.select("node", "n", "bits", keys), "node").select(*names[:4], "node", "n", "bits", "comp", "keys")
-    sorted_rows = dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+    small = rows.where("small").select("key", F.lit(-9).alias("band"), zero.alias("x"), zero.alias("y"), F.when(F.col("core"), 2).otherwise(0).alias("side"), "node", "comp")
+    # a little above 100 / percent, so that rounding cannot put linked sizes two bands apart
+    band = F.floor(F.ln(F.col("n").cast("double")) / float(np.log(100 / percent) * 1.0001)).cast("int")
+    large = rows.where("NOT small").withColumn("own", band)
+    large = large.select("key", "node", "comp", F.explode(F.concat(F.when(F.col("core"), F.array().cast("array<struct<band:int,side:int>>")).otherwise(F.array(F.struct(F.col("own").alias("band"), F.lit(1).alias("side")))), F.transform(F.sequence(F.col("own") - 1, F.col("own") + 1), lambda g: F.struct(g.alias("band"), F.lit(2).alias("side"))))).alias("p"))
+    large = large.select("key", "p.band", "p.side", "node", "comp", F.xxhash64("key", "p.band").alias("_kb"))
+    blocks = large.groupBy("_kb").agg(F.count("*").alias("m"), F.count_if(F.col("side") == 1).alias("xs"), F.count_if(F.col("side") == 2).alias("ys")).where("xs > 0")
+    blocks = saved(blocks.select("_kb", "m", F.ceil(F.col("xs") / TILE).cast("int").alias("xb"), F.ceil(F.col("ys") / TILE).cast("int").alias("yb")), "bands")
+    large = spread_join(large, blocks, "_kb", "m", ["node", "side"])
+    mine = F.when(F.col("side") == 1, F.pmod(F.hash("node"), F.col("xb"))).otherwise(F.pmod(F.hash("node"), F.col("yb")))
+    other = F.explode(F.sequence(zero, F.when(F.col("side") == 1, F.col("yb")).otherwise(F.col("xb")) - 1))
+    large = large.withColumn("mine", mine).withColumn("other", other)
+    large = large.select("key", "band", F.when(F.col("side") == 1, F.col("mine")).otherwise(F.col("other")).alias("x"), F.when(F.col("side") == 1, F.col("other")).otherwise(F.col("mine")).alias("y"), "side", "node", "comp")
+    dealt = small.unionByName(large)
+    first = F.col("first") if mode == "all" else F.array().cast("array<long>").alias("first")
+    dealt = dealt.join(info.select("node", "n", "bits", first), "node").select(*names[:5], "node", "n", "bits", "comp", "first")
+    sorted_rows = dealt.repartition("key", "band", "x", "y").sortWithinPartitions("key", "band", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tile, sides, out = None, ([], [], []), []
@@ -319,75 +313,114 @@ def _tiled(rows: DataFrame, info: DataFrame, percent: int, mode: str) -> DataFra
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy()), pa.array(pairs[:, 2] > 0)], names=["a", "b", "more"])
 
         for batch in batches:
-            for key, x, y, side, *row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if (key, x, y) != tile:
+            for key, band, x, y, side, *row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if (key, band, x, y) != tile:
                     close()
-                    tile, sides = (key, x, y), ([], [], [])
+                    tile, sides = (key, band, x, y), ([], [], [])
                 sides[side].append(row)
             yield done()
         close()
         yield done()
 
-    return sorted_rows.mapInArrow(run, "a long, b long, more boolean")
+    return mapped(sorted_rows, run, "a long, b long, more boolean")
 
 
-def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest id reachable by links, the own one included)."""
+def _groups(df: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
+    """doc_id, t (hash of the text), n (size of the set) and group of every row, a written table; group is null for empty sets."""
     rows = _rows(df, id_col, text_col)
     frequent = frequent_shingles(rows, rows.select("doc_id").count(), words)
     docs = saved(document_sets(rows, frequent, words, percent), "documents")
-    keyed = docs.select("node", F.explode("keys").alias("key"))
-    # 32 bits tell a key's nodes apart well enough: they change with the key, and linked nodes share many keys
-    tag = F.hash("node", "key")
-    several = saved(keyed.groupBy("key").agg(F.min(tag).alias("lo"), F.max(tag).alias("hi")).where("lo <> hi").select("key"), "several")
-    met = saved(keyed.join(several, "key", "left_semi").distinct(), "met")
+    place = ["doc_id", "t"]
+    keyed = docs.select(*place, "node", F.explode("keys").alias("key"))
+    several = keyed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("rows")).where("lo <> hi")
+    several = saved(several.select("key", "rows"), "several")
+    met = saved(spread_join(keyed, several, "key", "rows", place, drop=place).select("node", "key").distinct(), "met")
     dropped(several)
     # keys with the same nodes say the same: one of them stays, with their number
     alike = met.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("p"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("q"), F.min("node").alias("hub"))
-    shared = saved(alike.groupBy("n", "p", "q").agg(F.min("key").alias("key"), F.count("*").alias("weight"), F.min("hub").alias("hub")).select("key", "weight", "hub"), "shared")
-    every, met = met, saved(met.join(shared.select("key"), "key", "left_semi"), "met")
+    shared = saved(alike.groupBy("n", "p", "q").agg(F.min("key").alias("key"), F.count("*").alias("weight"), F.min("hub").alias("hub")).select("key", "n", "weight", "hub"), "shared")
+    every, met = met, saved(spread_join(met, shared.select("key", "n"), "key", "n", ["node"]), "met")
     dropped(every)
-    nodes = met.select("node").distinct()
-    info = docs.select("node", "n", "bits", "doc_id").join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("n", "bits", "doc_id")).alias("i")).select("node", "i.*")
-    info = saved(info.join(met.groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("keys")), "node"), "info")
+    kinds = docs.groupBy("node").agg(F.min(F.struct("n", "bits", *place)).alias("i"), F.count("*").alias("rows"))
+    kinds = saved(kinds.select("node", "i.*", "rows"), "kinds")
+    info = saved(kinds.drop("rows").join(met.groupBy("node").agg(F.slice(F.sort_array(F.collect_list("key")), 1, FIRST_KEYS).alias("first")), "node"), "info")
 
-    pairs = met.join(shared, "key").where("node <> hub").groupBy(F.col("hub").alias("a"), F.col("node").alias("b")).agg(F.sum("weight").alias("shared"))
+    pairs = spread_join(met, shared, "key", "n", ["node"]).where("node <> hub").groupBy(F.col("hub").alias("a"), F.col("node").alias("b")).agg(F.sum("weight").alias("shared"))
     best = _bounded(pairs, info, percent).groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b")
     best = saved(best, "best")
     links = _linked(best, info, rows, words, percent)
     comp = components(links)
 
     ordered = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    tested, open_ = ordered(best), None
+    tested, open_, done = ordered(best), None, [met, shared, info, best, links]
+    sizes = info.select("node", F.col("n").cast("long").alias("n"))
     for mode in ("one", "component", "all"):
-        found = met.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        placed = met.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")).join(sizes, "node")
         if open_ is None:  # all but the hub's component
-            core = shared.join(comp.withColumnRenamed("node", "hub"), "hub", "left").select("key", F.coalesce("comp", "hub").alias("of_hub"))
-            found = found.join(core, "key").withColumn("core", F.col("comp") == F.col("of_hub")).drop("of_hub")
+            placed = saved(placed, "placed")
+            split = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+            about = shared.join(split, "key", "left_semi").join(comp.withColumnRenamed("node", "hub"), "hub", "left").select("key", F.col("n").alias("m"), F.coalesce("comp", "hub").alias("of_hub"))
+            found = spread_join(placed, saved(about, "about"), "key", "m", ["node"]).withColumn("core", F.col("comp") == F.col("of_hub"))
         else:  # rows that had further pairs, against those whose sizes allow a link to one of a key's
-            found = found.join(info.select("node", F.col("n").cast("long").alias("n")), "node")
-            sizes = found.join(open_, "node", "left_semi").groupBy("key").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-            found = found.join(sizes, "key").where((F.col("n") * 100 >= F.col("low") * percent) & (F.col("n") * percent <= F.col("high") * 100)).drop("n", "low", "high")
-            found = found.join(open_.withColumn("open", F.lit(True)), "node", "left").withColumn("core", F.col("open").isNull()).drop("open")
-        split = found.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-        found = saved(_tiled(found.join(split, "key", "left_semi"), info, percent, mode), "pairs")
-        pairs = saved(ordered(found).join(tested, ["a", "b"], "left_anti"), "untested")
-        open_ = saved(found.where("more").select(F.col("a").alias("node")).distinct(), "open")
-        dropped(found)
+            placed = saved(placed.join(open_.withColumn("open", F.lit(True)), "node", "left").withColumn("open", F.col("open").isNotNull()), "placed")
+            low, high = (f(F.when(F.col("open"), F.col("n"))) for f in (F.min, F.max))
+            about = placed.groupBy("key").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), low.alias("low"), high.alias("high"))
+            about = saved(about.where("lo <> hi AND low IS NOT NULL").select("key", "m", "low", "high"), "about")
+            found = spread_join(placed, about, "key", "m", ["node"]).withColumn("core", ~F.col("open"))
+            found = found.where((F.col("n") * 100 >= F.col("low") * percent) & (F.col("n") * percent <= F.col("high") * 100))
+        found = saved(found.select("key", "node", "n", "comp", "core"), "rows")
+        candidates = saved(_tiled(found, info, percent, mode), "pairs")
+        pairs = saved(ordered(candidates).join(tested, ["a", "b"], "left_anti"), "untested")
+        open_ = saved(candidates.where("more").select(F.col("a").alias("node")).distinct(), "open")
+        dropped(placed, found, candidates)
         if not pairs.isEmpty():
             new = _linked(pairs, info, rows, words, percent)
+            done.append(new)
             if not new.isEmpty():
                 links = links.unionByName(new)
                 comp = components(links)
         tested = tested.unionByName(pairs)
+        done += [pairs, open_]
         if open_.isEmpty():
             break
 
-    placed = docs.select("doc_id", "node", "n").join(comp, "node", "left")
-    placed = placed.withColumn("comp", F.when(F.col("n") > 0, F.coalesce("comp", "node")))
-    least = placed.where("n > 0").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    out = placed.join(least, "comp", "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    named = kinds.select("node", "rows").join(comp, "node", "left").select("node", "rows", F.coalesce("comp", "node").alias("group"))
+    named = saved(named, "named")
+    out = spread_join(docs.select(*place, "node", "n"), named, "node", "rows", place)
+    out = saved(out.select(*place, "n", F.when(F.col("n") > 0, F.col("group")).alias("group")), "groups")
+    dropped(docs, kinds, named, *done)
+    return out
+
+
+def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest id reachable by links, the own one included)."""
+    found = _groups(df, id_col, text_col, words, percent)
+    least = saved(found.where("group IS NOT NULL").groupBy("group").agg(F.count("*").alias("rows"), F.min("doc_id").alias("least")), "least")
+    grouped = spread_join(found.where("group IS NOT NULL"), least, "group", "rows", ["doc_id", "t"])
+    out = grouped.unionByName(found.where("group IS NULL").withColumn("least", F.col("doc_id")))
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("least").alias("component_id"))
+
+
+def without_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The rows of df, all columns, but one of each group of near copies: that with the smallest id (a null id after the others) and then the
+    smallest hash of its text; of rows that share both the first of any order. Rows with empty sets stay. Texts are not shuffled: the
+    rows that go, or stand more than once, are found by (id, hash of the text)."""
+    found = _groups(df, id_col, text_col, words, percent)
+    place = ["doc_id", "t"]
+    first = found.where("group IS NOT NULL").groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), *place)).alias("f")).select("f.doc_id", "f.t")
+    first = first.withColumn("_stays", F.lit(True))
+    per = found.where("group IS NOT NULL").groupBy(*place).agg(F.count("*").alias("times"))
+    per = per.join(first.select(F.col("doc_id").alias("_d"), F.col("t").alias("_h"), "_stays"), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("t") == F.col("_h")), "left")
+    marked = saved(per.where("_stays IS NULL OR times > 1").select(F.col("doc_id").alias("_d"), F.col("t").alias("_h"), F.col("_stays").isNotNull().alias("_stays")), "marked")
+    few = marked.count() <= BROADCAST_IDS
+    keyed = df.select("*", F.xxhash64(text_col).alias("_t"))
+    on = F.col(id_col).eqNullSafe(F.col("_d")) & (F.col("_t") == F.col("_h"))
+    clean = keyed.join(F.broadcast(marked) if few else marked, on, "left_anti").drop("_t")
+    again = marked.where("_stays")
+    if again.isEmpty():
+        return clean
+    once = keyed.join(F.broadcast(again) if few else again, on, "left_semi").dropDuplicates([id_col, "_t"]).drop("_t")
+    return clean.unionByName(once)
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

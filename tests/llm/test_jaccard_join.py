@@ -67,7 +67,7 @@ def _corpus(seed, n=120):
     return [(i * 7 % 1009, t.upper() if i % 10 == 0 else t) for i, t in enumerate(out)]
 
 
-@pytest.mark.parametrize(("seed", "tile"), [(1, 2048), (2, 3), (3, 2048)])
+@pytest.mark.parametrize(("seed", "tile"), [(1, 2048), (2, 3)])
 def test_components_by_brute_force(spark, monkeypatch, seed, tile):
     monkeypatch.setattr(J, "TILE", tile)
     rows = [*_corpus(seed), (5000, None), (5001, ""), (5002, " \n"), (5003, "a b"), (5004, "a\tb"), (5004, "a\tb"), (5005, "a b c")]
@@ -76,6 +76,29 @@ def test_components_by_brute_force(spark, monkeypatch, seed, tile):
     assert got == _brute(rows)
 
 
+def test_copies_without_an_id_link_the_others(spark):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(60)]
+    near = list(words)
+    near[30] = "x"
+    other = [f"v{rng.random()}" for _ in range(50)]
+    rows = [(None, " ".join(words)), (1, " ".join(words)), (2, " ".join(near)), (None, " ".join(other)), (None, " ".join(other[:-1])), (3, " ".join(other) + " end"), (7, "a b c"), (7, " ".join(near)), (7, "d e f")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, J.jaccard_components(df).collect()), key=repr)
+    assert got == sorted([(None, 56, 1), (1, 56, 1), (2, 56, 1), (None, 46, 3), (None, 45, 3), (3, 47, 3), (7, 1, 7), (7, 56, 1), (7, 1, 7)], key=repr)
+
+
+def test_one_of_each_group_stays(spark):
+    base = [f"w{i}" for i in range(60)]
+    near = ["x" if i == 30 else w for i, w in enumerate(base)]
+    rows = [(4, " ".join(base)), (9, " ".join(near)), (4, " ".join(base)), (4, "other words"), (None, " ".join(near)), (5, None), (5, ""), (6, "a b"), (None, "a b"), (None, "only without id")]
+    df = spark.createDataFrame([(i, t, "k") for i, t in rows], "doc_id long, text string, t string")
+    got = sorted(((r.doc_id, r.text, r.t) for r in J.without_near_copies(df).collect()), key=repr)
+    want = [(4, " ".join(base)), (4, "other words"), (5, None), (5, ""), (6, "a b"), (None, "only without id")]
+    assert got == sorted([(*x, "k") for x in want], key=repr)
+    assert J.without_near_copies(df.limit(0)).collect() == []
+
+
 def test_second_round_links_what_the_first_missed(spark, monkeypatch):
     """A chain a - b - c where keys' hubs alone would not connect everything."""
     rng = random.Random(4)
