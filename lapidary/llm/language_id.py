@@ -160,7 +160,6 @@ def identify(df: DataFrame, model: Model, text: Column, host: Column, declared:
     rows = saved(_text_evidence(rows, model, html), "evidence")
     sums = [F.sum(F.col("_p")[i]).alias(f"c{i}") for i in range(m)]
     array = lambda name: F.array(*[F.coalesce(F.col(f"c{i}"), F.lit(0.0)) for i in range(m)]).alias(name)
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
     hosts = saved(rows.groupBy("_host", "_domain").agg(F.count("*").alias("_n"), *sums).select("_host", "_domain", "_n", array("_ch")), "hosts")
     domains = hosts.groupBy("_domain").agg(*[F.sum(F.col("_ch")[i]).alias(f"c{i}") for i in range(m)]).select("_domain", array("_cd"))
     priors = saved(hosts.join(domains, "_domain").select("_host", "_n", "_ch", "_cd"), "priors")
@@ -171,27 +170,37 @@ def identify(df: DataFrame, model: Model, text: Column, host: Column, declared:
     values = [*dict.fromkeys([*languages, "other", "none"])]
     declarations = df.sparkSession.createDataFrame([(v, counted.get(v, [0.0] * m)) for v in values], "_declared string, _cs array<double>")
 
-    # counts without the row's own: (count of the outcome + a * prior) / (count + a)
-    without = lambda counts: F.zip_with(counts, "_p", lambda c, p: F.greatest(c - p, F.lit(0.0)))
-    fixed = F.array(*[F.lit(x) for x in everything])
     rows = spread_join(rows, priors, "_host", "_n", ["_keep", "_ll"])
     rows = rows.join(F.broadcast(addresses) if n_addresses <= BROADCAST_ADDRESSES else addresses, "_address").join(F.broadcast(declarations), "_declared")
-    rows = rows.withColumns({"_all": without(fixed), "_ch": without("_ch"), "_cd": without("_cd"), "_ca": without("_ca"), "_cs": without("_cs")})
-    rows = rows.withColumns({"_sum_all": total(F.col("_all")), "_sum_d": total(F.col("_cd")), "_sum_h": total(F.col("_ch"))})
-    rows = rows.withColumn("_base", F.transform("_all", lambda c: (c + 1.0) / (F.col("_sum_all") + float(m))))
-    rows = rows.withColumn("_pd", F.zip_with("_cd", "_base", lambda c, q: (c + DOMAIN * q) / (F.col("_sum_d") + DOMAIN)))
-    rows = rows.withColumn("_ph", F.zip_with("_ch", "_pd", lambda c, q: F.log((c + HOST * q) / (F.col("_sum_h") + HOST))))
-    seen = lambda counts, kinds: F.zip_with(counts, "_all", lambda c, t: F.log((c + 1.0) / (t + float(kinds))))
-    add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
-    rows = rows.withColumn("_log", add(add(add("_ll", "_ph"), seen("_ca", n_addresses)), seen("_cs", len(values))))
-    rows = rows.withColumn("_best", F.array_max("_log"))
-    odds = F.aggregate(F.transform("_log", lambda x: F.exp(x - F.col("_best"))), F.lit(0.0), lambda x, y: x + y)
-    rows = rows.withColumn("_posterior", 1 / odds)
-    named = F.element_at(F.array(*[F.lit(x) for x in [*languages, "und"]]), F.array_position("_log", F.col("_best")).cast("int"))
+    rows = _fused(rows.select("_keep", "_declared", "_letters", "_ll", "_p", "_ch", "_cd", "_ca", "_cs"), np.array(everything), n_addresses, len(values))
+    named = F.element_at(F.array(*[F.lit(x) for x in [*languages, "und"]]), F.col("_best") + 1)
     language = F.when(F.col("_letters") & (F.col("_posterior") >= least), named).otherwise("und")
     return rows.select(*([F.col("_keep")[c].alias(c) for c in keep]), language.alias(f"{into}language"), F.round("_posterior", 6).alias(f"{into}posterior"), F.col("_declared").alias(f"{into}declared_language"))
 
 
+def _fused(rows: DataFrame, everything: np.ndarray, n_addresses: int, n_declared: int) -> DataFrame:
+    """_keep, _declared, _letters, then _best (number of the best outcome) and _posterior. Counts come without the row's own and smoothed:
+    (count + a * prior) / (sum of counts + a), where 1 / a is the weight of the next larger group."""
+    m = len(everything)
+
+    def fuse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ll, p, host, domain, address, declared = (b.column(i).flatten().to_numpy(zero_copy_only=False).reshape(-1, m) for i in range(3, 9))
+            rest = np.maximum(everything - p, 0)
+            left = lambda x: np.maximum(x - p, 0)  # noqa: E731, B023
+            total = lambda x: x.sum(1, keepdims=True)
+            base = (rest + 1) / (total(rest) + m)
+            by_domain = (left(domain) + DOMAIN * base) / (total(left(domain)) + DOMAIN)
+            by_host = (left(host) + HOST * by_domain) / (total(left(host)) + HOST)
+            log = ll + np.log(by_host) + np.log((left(address) + 1) / (rest + n_addresses)) + np.log((left(declared) + 1) / (rest + n_declared))
+            best = log.argmax(1)
+            posterior = 1 / np.exp(log - log.max(1, keepdims=True)).sum(1)
+            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(3)], pa.array(best, pa.int32()), pa.array(posterior)], names=["_keep", "_declared", "_letters", "_best", "_posterior"])
+
+    schema = T.StructType([*rows.schema.fields[:3], T.StructField("_best", T.IntegerType()), T.StructField("_posterior", T.DoubleType())])
+    return mapped(rows, fuse, schema)
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page: text of its html, its lang attribute, its address; trigrams from all labelled documents."""
     model = fit(spark.read.parquet(f"{sf_dir}/documents.parquet"))
