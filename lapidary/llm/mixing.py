@@ -17,7 +17,8 @@ All in DataFrame functions:
 
 Running numbers come from common.running(), which cuts a hot source into slices. Defined results: null or blank texts
 have size 0 and take 0; a null source is one more source, last; an empty table gives an empty result; repeated rows are
-separate documents. Only the id, text and source columns are read, so other columns' names cannot clash.
+separate documents. Only the id, text and source columns are read, so other columns' names cannot clash. Sources are few: the table of one
+row a source, not the documents, is sorted by single tasks (a million sources are some tens of MB).
 """
 
 from __future__ import annotations
@@ -45,6 +46,11 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def place_of(id_col: str = "doc_id", text_col: str = "text", seed: int = SEED) -> Column:
+    """The hash that orders a source's documents; it tells rows of one id and unlike texts apart."""
+    return F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
+
+
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, block: int = BLOCK) -> DataFrame:
     """From (source, source_size): weight, target (words), blocks and quota (blocks) of each source."""
     big = "decimal(38,0)"
@@ -71,7 +77,7 @@ def _same(a: str, b: str) -> Column:
 
 
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, block: int = BLOCK, shard: int = SHARD, seed: int = SEED) -> Mix:
-    docs = df.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("_at"))
+    docs = df.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), place_of(id_col, text_col, seed).alias("_at"))
     docs = saved(docs, "mix-sizes")
     sources = saved(source_targets(docs.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most, block), "mix-sources")
     slots_n = sources.agg(F.coalesce(F.sum("quota"), F.lit(0))).first()[0]
@@ -112,7 +118,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
 
 
 def taken_words(m: Mix, block: int = BLOCK) -> DataFrame:
-    """doc_id, size, source_size, target, taken: the slots joined with the documents by (source, block index)."""
+    """doc_id, size, source_size, target, taken, and the document's place (place_of()): the slots joined with the documents by (source, block index)."""
     uses = m.slots.groupBy("source", "block").agg(F.count("*").alias("uses")).select(F.col("source").alias("_s"), F.col("block").alias("_b"), "uses")
     full = m.documents.where("size > 0")
     first, last = F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}")
@@ -120,12 +126,12 @@ def taken_words(m: Mix, block: int = BLOCK) -> DataFrame:
     overlap = F.least(F.col("start") + F.col("size"), (F.col("b") + 1) * block) - F.greatest(F.col("start"), F.col("b") * block)
     cover = cover.withColumn("overlap", overlap).join(uses.hint("merge"), _same("source", "_s") & (F.col("b") == F.col("_b")), "left")
     taken = cover.groupBy("doc_id", "source", "size", "start", "_at").agg(F.sum(F.col("overlap") * F.coalesce("uses", F.lit(0))).alias("taken"))
-    taken = taken.select("doc_id", "source", "size", "taken")
-    blank = m.documents.where("size = 0").select("doc_id", "source", "size", F.lit(0).cast("long").alias("taken"))
+    taken = taken.select("doc_id", "source", "size", "taken", "_at")
+    blank = m.documents.where("size = 0").select("doc_id", "source", "size", F.lit(0).cast("long").alias("taken"), "_at")
     sources = m.sources.select(F.col("source").alias("_s"), "source_size", "target")
-    return taken.unionByName(blank).join(sources, _same("source", "_s")).select("doc_id", "size", "source_size", "target", "taken")
+    return taken.unionByName(blank).join(sources, _same("source", "_s")).select("doc_id", "size", "source_size", "target", "taken", F.col("_at").alias("place"))
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, weights 5, 2, 1 repeating, targets of at most 3 times a source's words."""
-    return taken_words(mix(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    return taken_words(mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))).drop("place")
