@@ -113,14 +113,23 @@ def running(df: DataFrame, keys: list[str], by: list[str], value: Column, into:
 def spread_join(left: DataFrame, right: DataFrame, key: str, n: str, by: list[str], drop: list[str] | None = None) -> DataFrame:
     """left joined by key with right, a written table of one row a key that says in column n how many rows of left have it. A key with
     more than a quarter of a shuffle partition's share is dealt over several tasks by a hash of left's columns `by`, right's row going to
-    each. There are at most four such keys a partition, so that their list can be broadcast. Columns in `drop` go before the shuffle."""
-    total = right.agg(F.sum(n)).first()[0] or 0
-    share = max(1_000, int(total) // (4 * int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    parts = F.ceil(F.col(n) / share).cast("int")
-    hot = right.where(F.col(n) > share).select(F.col(key).alias("_hot"), parts.alias("_parts"))
-    left = left.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(*by), F.col("_parts")).cast("int"), F.lit(0))).drop("_hot", "_parts", *(drop or []))
-    right = right.withColumn("_part", F.explode(F.sequence(F.lit(0), F.when(F.col(n) > share, parts - 1).otherwise(0))))
-    return left.join(right.drop(n), [key, "_part"]).drop("_part")
+    each. There are at most four such keys a partition, so the driver can name them. Columns in `drop` go before the shuffle."""
+    total, most = right.agg(F.sum(n), F.max(n)).first()
+    share = max(1_000, int(total or 0) // (4 * int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    one, none = F.lit(1), F.pmod(F.xxhash64(key), F.lit(1)).cast("int")  # always 0, and the same plan with frequent keys or without
+    if (most or 0) <= share:
+        parts, rows = one, right.withColumn("_part", none)
+    else:
+        classes: dict[int, list] = {}  # keys by the power of two of their parts
+        for k, count in right.where(F.col(n) > share).select(key, n).collect():
+            classes.setdefault(1 << (-(-count // share) - 1).bit_length(), []).append(k)
+        parts = one
+        for p, keys in classes.items():
+            parts = F.when(F.col(key).isin(keys), p).otherwise(parts)
+        many = right.where(F.col(n) > share).withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
+        rows = right.where(F.col(n) <= share).withColumn("_part", none).unionByName(many)
+    left = left.withColumn("_part", F.pmod(F.xxhash64(*by), parts).cast("int")).drop(*(drop or []))
+    return left.join(rows.drop(n), [key, "_part"]).drop("_part")
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

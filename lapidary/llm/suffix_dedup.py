@@ -6,13 +6,13 @@ cannot repeat are left out first, without loss:
 1. Anchors. A suffix's anchor is its GRAM-byte piece with the least hash (the leftmost of equals), which depends on the suffix alone: equal
    suffixes have equal anchors at equal offsets. Neighbouring suffixes mostly share an anchor, so a document becomes a few
    stretches, each of suffixes with one anchor. A suffix whose anchor occurs in one stretch only is unique; an
-   aggregation by the anchor's hash, combined before its shuffle, finds those.
+   aggregation by the anchor's hash, combined before its shuffle, finds those. A frequent anchor's or stretch's rows are dealt over several tasks.
 2. Copies. Stretches of equal bytes (a 64-bit hash) are grouped; all but a group's first are repeats as a whole. That
    bounds what a passage with any number of copies sends on to one stretch.
 3. Sort. Of anchors in several different stretches, the stretches are range-partitioned by the anchor's bytes, their leading tokens
-   (Spark's range partitioning: splitters from a bounded sample; ties are split by position, so that a hot anchor fills several buckets). A
-   bucket sorts its suffixes by multikey quicksort, eight bytes a step, position last, and compares neighbours: equal to the one before is a repeat.
-4. Boundaries. An anchor at either end of a bucket may go on in the next: its first suffixes are grouped
+   (Spark's range partitioning: splitters from a bounded sample); those of an anchor with more stretches than ANCHOR_ROWS are
+   split by position too, so that it fills several buckets. A bucket sorts its suffixes by multikey quicksort, eight bytes a step, position last, and compares neighbours: equal to the one before is a repeat.
+4. Boundaries. Such an anchor at either end of a bucket may go on in the next: its first suffixes are grouped
    across buckets and compared again.
 
 "Earlier" is by (id, text hash, start); strings are judged on the input. Defined results: a null text is empty; texts below LENGTH bytes stay
@@ -31,37 +31,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import buffers, dropped, mixed, saved, slices
+from .common import SLICE_BYTES, between, buffers, dropped, mapped, mixed, running_hash, saved, slices, spread_join
 
-LENGTH, GRAM, SLICE_BYTES = 100, 32, 1 << 18
-#: Stretches in a bucket, suffixes sorted at once, and the size below which a part is sorted by columns.
-BUCKET_ROWS, SORT_ROWS, SMALL = 8_192, 1 << 16, 2_048
+LENGTH, GRAM = 100, 32
+#: Stretches in a bucket, and of one anchor at most; suffixes sorted at once, and the size below which a part is sorted by columns.
+BUCKET_ROWS, ANCHOR_ROWS, SORT_ROWS, SMALL = 8_192, 32_768, 1 << 16, 2_048
 #: Up to so many documents (16 bytes each) are broadcast to pick texts; more are joined by a shuffle.
 BROADCAST_DOCS = 1_000_000
 
 _U = np.uint64
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: dict[int, np.ndarray] = {}
-
-
-def _power(base: int, n: int) -> np.ndarray:
-    if base not in _powers or len(_powers[base]) < n:
-        p = np.full(max(n, SLICE_BYTES + 1), _U(base))
-        p[0] = 1
-        _powers[base] = np.multiply.accumulate(p)
-    return _powers[base][:n]
-
-
-class Hashes:
-    """Hashes of any stretches of a buffer, from one running sum."""
-
-    def __init__(self, raw: np.ndarray) -> None:
-        self.total = np.zeros(len(raw) + 1, _U)
-        np.cumsum((raw.astype(_U) + _U(1)) * _power(_BASE, len(raw)), out=self.total[1:])
-
-    def of(self, start: np.ndarray | slice, end: np.ndarray | slice) -> np.ndarray:
-        return mixed((self.total[end] - self.total[start]) * _power(_INVERSE, len(self.total))[start])
 
 
 def stretches(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
@@ -71,8 +49,8 @@ def stretches(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram:
     full = np.flatnonzero(sizes >= length)
     if not len(full):
         return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, _U),) * 2
-    h = Hashes(raw)
-    grams = h.of(slice(0, n - gram + 1), slice(gram, n + 1))
+    total = running_hash(raw)
+    grams = mixed(between(total, slice(0, n - gram + 1), slice(gram, n + 1)))
     least = (grams & _U(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=_U)
     w, width, m = length - gram + 1, 1, n - length + 1
     while width * 2 <= w:
@@ -89,7 +67,7 @@ def stretches(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram:
     end = inside & (np.concatenate([new[1:], [True]]) | ~np.concatenate([inside[1:], [False]]))
     last = np.flatnonzero(end)
     at = anchor[first]
-    return np.searchsorted(offsets, first, "right") - 1, first, last, at, grams[at], mixed(h.of(first, last + length) + (last - first).astype(_U))
+    return np.searchsorted(offsets, first, "right") - 1, first, last, at, grams[at], mixed(mixed(between(total, first, last + length)) + (last - first).astype(_U))
 
 
 def multikey_quicksort(words: np.ndarray) -> np.ndarray:
@@ -109,6 +87,18 @@ def multikey_quicksort(words: np.ndarray) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
+def offsets_apart(offset: np.ndarray, most: int) -> list[np.ndarray]:
+    """Places of suffixes of one anchor, by its offset in them, about `most` at a time: equal suffixes have it at the same offset."""
+    order = np.argsort(offset, kind="stable")
+    ends = np.append(np.flatnonzero(np.diff(offset[order])) + 1, len(order))
+    out, a = [], 0
+    while a < len(order):
+        z = int(ends[max(np.searchsorted(ends, a, "right"), np.searchsorted(ends, a + most, "right") - 1)])
+        out.append(order[a:z])
+        a = z
+    return out
+
+
 def _words(flat: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
     """The `length` bytes from each start on as rows of big-endian 8-byte words."""
     padded = np.zeros((len(starts), -(-length // 8) * 8), np.uint8)
@@ -128,22 +118,33 @@ def _picked(texts: DataFrame, wanted: DataFrame, how: str = "left_semi") -> Data
 
 
 def _all_stretches(texts: DataFrame, length: int, gram: int) -> DataFrame:
+    """g (anchor), c (content), d, t, s (place) of every stretch. A long text is cut into windows of SLICE_BYTES starts; a stretch that a cut
+    parts counts as two, which changes no result."""
+
+    def windows(raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        if len(offsets) > 2 or len(raw) <= 2 * SLICE_BYTES:
+            yield 0, raw, offsets
+        else:
+            for at in range(0, len(raw) - length + 1, SLICE_BYTES):
+                part = raw[at : at + SLICE_BYTES + length - 1]
+                yield at, part, np.array([0, len(part)])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in slices(batch, "text", SLICE_BYTES):
-                raw, offsets = buffers(b.column(2))
-                with np.errstate(over="ignore"):
-                    doc, first, last, at, g, c = stretches(raw, offsets, length, gram)
-                lo = first - offsets[doc]
-                packed = (lo << 24) | ((last - first) << 12) | (at - first)  # starts, stretch and anchor offset below 4096
-                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(c.view(np.int64)), b.column(0).take(pa.array(doc)), b.column(1).take(pa.array(doc)), pa.array(packed)], names=["g", "c", "d", "t", "s"])
+                for at_byte, raw, offsets in windows(*buffers(b.column(2))):
+                    with np.errstate(over="ignore"):
+                        doc, first, last, at, g, c = stretches(raw, offsets, length, gram)
+                    lo = first - offsets[doc] + at_byte
+                    packed = (lo << 24) | ((last - first) << 12) | (at - first)  # starts, stretch and anchor offset below 4096
+                    yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(c.view(np.int64)), b.column(0).take(pa.array(doc)), b.column(1).take(pa.array(doc)), pa.array(packed)], names=["g", "c", "d", "t", "s"])
 
-    return texts.select("d", "t", "text").mapInArrow(run, "g long, c long, d long, t long, s long")
+    return mapped(texts.select("d", "t", "text"), run, "g long, c long, d long, t long, s long")
 
 
 def _bytes_of(stretch: DataFrame, texts: DataFrame, length: int, gram: int) -> DataFrame:
-    """Adds to stretches (d, t, s) their bytes and lead, the anchor's bytes."""
-    per = saved(stretch.groupBy("d", "t").agg(F.collect_list("s").alias("all")), "wanted")  # at most a document's stretches
+    """Adds to stretches (d, t, s, hot) their bytes and lead, the anchor's bytes."""
+    per = saved(stretch.groupBy("d", "t").agg(F.collect_list(F.struct("s", "hot")).alias("all")), "wanted")  # at most a document's stretches
     joined = _picked(texts, per.select("d", "t")).dropDuplicates(["d", "t"]).join(per, ["d", "t"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,26 +152,30 @@ def _bytes_of(stretch: DataFrame, texts: DataFrame, length: int, gram: int) -> D
             out: list[tuple] = []
             for d, t, text, own in zip(*[c.to_pylist() for c in b.columns], strict=True):
                 raw = text.encode()
-                for s in own:
+                for one in own:
+                    s = one["s"]
                     lo, more, at = s >> 24, s >> 12 & 4095, s & 4095
-                    out.append((d, t, s, raw[lo : lo + more + length], raw[lo + at : lo + at + gram]))
-            columns = list(zip(*out, strict=True)) if out else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64()] * 3 + [pa.binary()] * 2, strict=True)], names=["d", "t", "s", "bytes", "lead"])
+                    out.append((d, t, s, raw[lo : lo + more + length], raw[lo + at : lo + at + gram], one["hot"]))
+            columns = list(zip(*out, strict=True)) if out else [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64()] * 3 + [pa.binary()] * 2 + [pa.bool_()], strict=True)], names=["d", "t", "s", "bytes", "lead", "hot"])
 
-    return joined.select("d", "t", "text", "all").mapInArrow(run, "d long, t long, s long, bytes binary, lead binary")
+    return mapped(joined.select("d", "t", "text", "all"), run, "d long, t long, s long, bytes binary, lead binary, hot boolean")
 
 
 def _sorted_repeats(stretch: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
-    """Of stretches (d, t, s, bytes, lead), a written table: repeated runs (d, t, a, z: from byte a up to z) and the suffixes of
-    anchors at bucket ends (d, t, a, w: bytes) that are first in their bucket."""
-    buckets = max(1, -(-stretch.count() // BUCKET_ROWS))
-    ranged = stretch.repartitionByRange(buckets, "lead", "d", "t", "s")
+    """Of stretches (d, t, s, bytes, lead, hot), a written table: repeated runs (d, t, a, z: from byte a up to z) and, of hot anchors, the
+    suffixes of anchors at bucket ends (d, t, a, w: bytes) that are first in their bucket. Other anchors lie in one bucket each."""
+    counted = stretch.agg(F.count_if("hot").alias("hot"), F.count("*").alias("n")).first()
+    ranged = stretch.where("NOT hot").repartitionByRange(max(1, -(-(counted.n - counted.hot) // BUCKET_ROWS)), "lead")
+    parts = [ranged] if not counted.hot else [ranged, stretch.where("hot").repartitionByRange(-(-counted.hot // ANCHOR_ROWS), "lead", "d", "t", "s")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches), schema=schema)  # about BUCKET_ROWS stretches
-        if not table.num_rows:
+        found = [b for b in batches if b.num_rows]
+        if not found:
             return
+        table = pa.Table.from_batches(found)  # about BUCKET_ROWS stretches
         d, t, s = (table.column(k).to_numpy() for k in ("d", "t", "s"))
+        hot = table.column("hot")[0].as_py()
         flat, offsets = buffers(table.column("bytes"))
         leads, at = buffers(table.column("lead"))
         lead = _words(leads, at[:-1], int(at[1]))
@@ -187,14 +192,15 @@ def _sorted_repeats(stretch: DataFrame, length: int) -> tuple[DataFrame, DataFra
             row = np.repeat(rows, n)
             shift = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
             ends = np.repeat(np.arange(g, stop), np.diff(upto[g : stop + 1]))
-            ends = (ends == 0) | (ends == len(groups) - 2)
+            ends = hot & ((ends == 0) | (ends == len(groups) - 2))
             first = (s[row] >> 24) + shift
             by_place = np.lexsort((first, t[row], d[row]))
             row, shift, ends, first = row[by_place], shift[by_place], ends[by_place], first[by_place]
-            words = _words(flat, offsets[row] + shift, length)
-            o = multikey_quicksort(words)
-            again = np.zeros(len(o), bool)
-            again[o[1:]] = (words[o[1:]] == words[o[:-1]]).all(1)
+            again = np.zeros(len(row), bool)
+            for some in offsets_apart((s[row] & 4095) - shift, SORT_ROWS) if stop == g + 1 else [np.arange(len(row))]:
+                words = _words(flat, offsets[row[some]] + shift[some], length)
+                o = multikey_quicksort(words)
+                again[some[o[1:]]] = (words[o[1:]] == words[o[:-1]]).all(1)
             r = np.flatnonzero(again)
             if len(r):
                 cut = np.flatnonzero(np.concatenate([[True], (d[row[r[1:]]] != d[row[r[:-1]]]) | (t[row[r[1:]]] != t[row[r[:-1]]]) | (first[r[1:]] > first[r[:-1]] + length)]))
@@ -207,30 +213,32 @@ def _sorted_repeats(stretch: DataFrame, length: int) -> tuple[DataFrame, DataFra
                 yield pa.RecordBatch.from_arrays([pa.array(d[row[k]]), pa.array(t[row[k]]), pa.array(first[k]), pa.array(first[k] + length), w], names=["d", "t", "a", "z", "w"])
             g = stop
 
-    schema = pa.schema([("d", pa.int64()), ("t", pa.int64()), ("s", pa.int64()), ("bytes", pa.binary()), ("lead", pa.binary())])
-    out = saved(ranged.mapInArrow(run, "d long, t long, a long, z long, w binary"), "sorted")
+    found = [mapped(p, run, "d long, t long, a long, z long, w binary") for p in parts]
+    out = saved(found[0] if len(found) == 1 else found[0].unionByName(found[1]), "sorted")
     return out.where("w IS NULL").select("d", "t", "a", "z"), out.where("w IS NOT NULL")
 
 
 def repeats(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """d, t, runs (array of a, z, in bytes, not merged) of the texts (d, t, text) that hold repeats."""
     stretch = _all_stretches(texts, length, gram)
-    shared = stretch.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
-    met = saved(stretch.join(shared, "g", "left_semi"), "met")
-    place = F.struct("d", "t", "s")
-    copies = saved(met.groupBy("c").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.first("g").alias("g")), "copies")
-    whole = met.join(copies.where("n > 1").select("c", "first"), "c").where(place != F.col("first"))
+    place = ["d", "t", "s"]
+    shared = saved(stretch.groupBy("g").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    met = saved(spread_join(stretch, shared, "g", "n", place), "met")
+    copies = saved(met.groupBy("c").agg(F.count("*").alias("n"), F.min(F.struct(*place)).alias("first"), F.first("g").alias("g")), "copies")
+    again = saved(copies.where("n > 1").select("c", "n", "first"), "again")
+    whole = spread_join(met.drop("g"), again, "c", "n", place).where(F.struct(*place) != F.col("first"))
     a = F.shiftright("s", 24)
     whole = whole.select("d", "t", a.alias("a"), (a + F.shiftright("s", 12).bitwiseAND(4095) + length).alias("z"))
-    several = copies.groupBy("g").agg(F.count("*").alias("kinds")).where("kinds > 1").select("g")
-    firsts = copies.join(several, "g", "left_semi").select("first.*")
+    several = copies.groupBy("g").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    several = saved(several.withColumn("hot", F.col("kinds") > ANCHOR_ROWS), "several")
+    firsts = spread_join(copies.select("g", "first"), several, "g", "kinds", ["first"]).select("first.*", "hot")
     spans = saved(_bytes_of(firsts, texts, length, gram), "spans")
     inner, ends = _sorted_repeats(spans, length)
-    again = ends.groupBy("w").agg(F.count("*").alias("n"), F.min(F.struct("d", "t", "a")).alias("first")).where("n > 1").select("w", "first")
-    across = ends.join(again, "w").where(F.struct("d", "t", "a") != F.col("first")).select("d", "t", "a", "z")
+    edges = ends.groupBy("w").agg(F.count("*").alias("n"), F.min(F.struct("d", "t", "a")).alias("first")).where("n > 1").select("w", "first")
+    across = ends.join(edges, "w").where(F.struct("d", "t", "a") != F.col("first")).select("d", "t", "a", "z")
     runs = whole.unionByName(inner).unionByName(across)
     out = saved(runs.groupBy("d", "t").agg(F.collect_list(F.struct("a", "z")).alias("runs")), "runs")  # at most a document's starts
-    dropped(met, copies, spans)
+    dropped(shared, met, copies, again, several, spans)
     return out
 
 
@@ -267,12 +275,12 @@ def _left(b: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(texts, pa.string())], names=[*b.schema.names[:-2], "text"])
 
 
-def _mapped(df: DataFrame, make: Callable[[pa.RecordBatch], pa.RecordBatch], schema) -> DataFrame:
+def _each(df: DataFrame, make: Callable[[pa.RecordBatch], pa.RecordBatch], schema) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield make(b)
 
-    return df.mapInArrow(run, schema)
+    return mapped(df, run, schema)
 
 
 def removal_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -282,7 +290,7 @@ def removal_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     held = runs.select("d", "t")
     touched = _picked(texts, held).join(runs, ["d", "t"]).select("doc_id", "text", "runs")
     kind = dict(texts.dtypes)["doc_id"]
-    touched = _mapped(touched, _digest, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    touched = _each(touched, _digest, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     zero = F.lit(0).cast("long")
     clean = _picked(texts, held, "left_anti").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"))
     return touched.unionByName(clean)
@@ -302,7 +310,7 @@ def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     fields = [F.col("_row")[c].alias(f"_{i}") for i, c in enumerate(names)]
     touched = touched.select(*fields, "_text", "runs")
     schema = ", ".join(f"_{i} {t}" for i, (_, t) in enumerate(df.dtypes)) + ", text string"
-    touched = _mapped(touched, _left, schema)
+    touched = _each(touched, _left, schema)
     touched = touched.select(*[F.col("text").alias(c) if c == text_col else F.col(f"_{i}").alias(c) for i, c in enumerate(names)])
     return touched.unionByName(_picked(keyed, held, "left_anti").select("_row.*"))
 

@@ -52,6 +52,7 @@ def _corpus(seed, n=70):
 @pytest.mark.parametrize(("seed", "bucket"), [(1, 16_384), (2, 3), (3, 20)])
 def test_report_by_brute_force(spark, monkeypatch, seed, bucket):
     monkeypatch.setattr(S, "BUCKET_ROWS", bucket)
+    monkeypatch.setattr(S, "ANCHOR_ROWS", bucket)
     monkeypatch.setattr(S, "SORT_ROWS", 64 if seed == 3 else S.SORT_ROWS)
     monkeypatch.setattr(S, "SMALL", 4)
     rows = [*_corpus(seed), (2000, None), (None, "x y z " * 40), (2001, "x y z " * 40)]
@@ -94,6 +95,27 @@ def test_multikey_quicksort(monkeypatch):
     assert S.multikey_quicksort(w).tolist() == sorted(range(500), key=lambda i: (w[i].tolist(), i))
 
 
+def test_offsets_apart():
+    rng = np.random.default_rng(3)
+    for most in (1, 7, 1000):
+        offset = rng.integers(0, 12, 100)
+        parts = S.offsets_apart(offset, most)
+        assert sorted(np.concatenate(parts).tolist()) == list(range(100))
+        kinds = [set(offset[p].tolist()) for p in parts]
+        assert sum(map(len, kinds)) == len(set(offset.tolist()))
+        assert all(len(p) <= most or len(k) == 1 for p, k in zip(parts, kinds, strict=True))
+        assert all((np.diff(p[offset[p] == v]) > 0).all() for p, k in zip(parts, kinds, strict=True) for v in k)
+
+
+def test_long_texts_in_windows(spark, monkeypatch):
+    monkeypatch.setattr(S, "SLICE_BYTES", 150)
+    rows = [(i, t * 4) for i, t in _corpus(21, 25)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = S._texts(df, "doc_id", "text")
+    assert S._all_stretches(texts, 40, 12).count() > 0
+    assert sorted(map(tuple, S.removal_report(df, length=40, gram=12).collect())) == _brute(rows, 40)
+
+
 def test_stretches_cover_every_start_once():
     rng = random.Random(2)
     texts = ["".join(rng.choice("abc") for _ in range(rng.choice([0, 5, 99, 100, 101, 700]))).encode() for _ in range(30)]
