@@ -33,11 +33,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component stays."""
-    groups = saved(jaccard_join.jaccard_components(docs), "components")
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = kept.withColumnRenamed("doc_id", "_kept")
-    return docs.dropDuplicates(["doc_id", "text"]).join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    """The document with the smallest id of each group of near copies stays."""
+    return jaccard_join.without_near_copies(docs).select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,8 +48,9 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     taken = mixing.taken_words(mixing.mix(docs)).where("size > 0")
     share = F.col("taken") / F.col("size")
     draw = F.pmod(F.xxhash64(F.lit(mixing.SEED), "doc_id"), F.lit(1_000_003)) / 1_000_003
-    times = taken.select(F.col("doc_id").alias("_doc"), F.floor(share + draw).cast("int").alias("_times")).groupBy("_doc").agg(F.max("_times").alias("_times")).where("_times > 0")
-    mixed = docs.join(times, F.col("doc_id").eqNullSafe(F.col("_doc")))
+    times = taken.select(F.col("doc_id").alias("_doc"), F.col("place").alias("_place"), F.floor(share + draw).cast("int").alias("_times"))
+    times = times.groupBy("_doc", "_place").agg(F.max("_times").alias("_times")).where("_times > 0")
+    mixed = docs.withColumn("_at", mixing.place_of()).join(times, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_at") == F.col("_place")))
     return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
 
 
