@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,14 +35,6 @@ def section_kind_by_words(title: Column | str, words: Column) -> Column:
     return F.when(part, "exclude").otherwise(section_kind(title))
 
 
-def semantic_label(tokens: Column) -> Column:
-    """The section that an element's roles name, null if none does."""
-    out = F.lit(None).cast("string")
-    for token, label in reversed(SEMANTIC.items()):
-        out = F.when(F.array_contains(tokens, token), F.lit(label)).otherwise(out)
-    return out
-
-
 def coverage_required(mode: str, kind: Column, priority: Column) -> Column:
     """Whether a section must be covered: all, or (major) front and ending matter and sections of high or medium priority."""
     if mode == "all":
@@ -73,7 +63,3 @@ def structure_violations(sections: DataFrame, proceed: DataFrame | None = None)
     }
     found = F.array_compact(F.array(*[F.when(c, F.lit(name)) for name, c in checks.items()]))
     return per.select("book_id", "included", "total_words", "excluded_words", found.alias("violations"))
-
-
-def one_of(column: str, values: Sequence[str]) -> Column:
-    return F.col(column).isin(*values)

@@ -14,11 +14,15 @@ from pyspark.sql import functions as F
 #: A word character and the characters that may stand inside a word.
 W = r"[\p{L}\p{N}_]"
 IN_WORD = r"[\p{L}\p{N}_’'-]"
-WORD = rf"{IN_WORD}*{W}{IN_WORD}*"
+WORD = rf"[’'-]*{W}{IN_WORD}*"
 #: The 29 white space characters of Unicode-aware text tools.
 S = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Of them, those that end a line, and runs of the others that are not one blank.
+LINE_END = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+BLANKS = r"[\t\x1f\xa0\u1680\u2000-\u200a\u202f\u205f\u3000][\t\x1f \xa0\u1680\u2000-\u200a\u202f\u205f\u3000]*| [\t\x1f \xa0\u1680\u2000-\u200a\u202f\u205f\u3000]+"
 OMITTED = "\n\n[... omitted for input-length control ...]\n\n"  # fixed value
-NUMBERS = "one two three four five six seven eight nine ten"  # fixed value
+NUMBERS = ("one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten")  # fixed values
 
 ColumnLike = Column | str
 
@@ -28,7 +32,7 @@ def _c(x: ColumnLike) -> Column:
 
 
 def strip(x: ColumnLike) -> Column:
-    return F.regexp_replace(_c(x), rf"\A{S}+|{S}+\z", "")
+    return F.btrim(_c(x), F.lit(SPACES))
 
 
 def word_count(x: ColumnLike) -> Column:
@@ -37,18 +41,18 @@ def word_count(x: ColumnLike) -> Column:
 
 
 def normalize(x: ColumnLike) -> Column:
-    """Repairs extraction artefacts: invisible hyphens, hard blanks, ligatures, broken hyphens, blanks, split openings, glued words."""
+    """Repairs extraction artefacts: invisible hyphens, hard blanks, ligatures, broken hyphens, blanks, split openings, glued words. Each
+    pattern begins with what is rare, so that a sound text is scanned and not matched again and again."""
     t = F.translate(_c(x), "\u00a0\u00ad", " ")
     t = F.replace(F.replace(t, F.lit("\ufb01"), F.lit("fi")), F.lit("\ufb02"), F.lit("fl"))
-    t = F.regexp_replace(t, f"(?<={W})[\ufffd\ufffe](?={W})", "-")
+    t = F.regexp_replace(t, f"[\ufffd\ufffe](?={W})(?<={W}.)", "-")
     t = F.translate(t, "\ufffd\ufffe", "")
     for pattern, by in (
-        (r"[ \t]+", " "),
+        (r"\t[ \t]*| [ \t]+", " "),
         (r"\n[ \t]+", "\n"),
-        (rf"\AT{S}+he(?!{W})", "The"),
-        (rf"\AD{S}+uring(?!{W})", "During"),
-        (rf"(?<!{W})a(?=[A-Z][a-z]{{3,}}(?!{W}))", "a "),
-        (r"(?<=[A-Z&])(?=Dr\.)", " "),
+        (rf"\A(?:(T){S}+(he)|(D){S}+(uring))(?!{W})", "$1$2$3$4"),
+        (rf"a(?=[A-Z][a-z]{{3,}}(?!{W}))(?<!{W}a)", "a "),
+        (r"(?=Dr\.)(?<=[A-Z&])", " "),
         (rf"{S}+([,.;:!?])", "$1"),
     ):
         t = F.regexp_replace(t, pattern, by)
@@ -107,13 +111,16 @@ def normalize_line(x: ColumnLike) -> Column:
     """A line of a page: no invisible hyphens, ligatures or replacement marks, single blanks."""
     t = F.translate(_c(x), "\u00ad\ufffd", "")
     t = F.replace(F.replace(t, F.lit("\ufb01"), F.lit("fi")), F.lit("\ufb02"), F.lit("fl"))
-    return strip(F.regexp_replace(t, rf"{S}+", " "))
+    return strip(F.regexp_replace(t, rf"[{S[1:-1].replace(chr(92) + 'x20', chr(92) + 'x1f')}]{S}*| {S}+", " "))
+
+
+def line_key(line: ColumnLike) -> Column:
+    """What running headers have in common: lower-case ASCII letters, blanks, and # for digits. line: of normalize_line()."""
+    return strip(F.regexp_replace(F.regexp_replace(F.lower(_c(line)), r"\p{Nd}+", "#"), "[^a-z# ]+", ""))
 
 
 def repeated_line_key(x: ColumnLike) -> Column:
-    """What running headers have in common: lower-case ASCII letters, blanks, and # for digits."""
-    t = F.regexp_replace(F.lower(normalize_line(x)), r"\p{Nd}+", "#")
-    return strip(F.regexp_replace(t, "[^a-z# ]+", ""))
+    return line_key(normalize_line(x))
 
 
 def clean_block(raw: ColumnLike, noise: ColumnLike, boilerplate: tuple[str, ...] = ()) -> Column:
@@ -124,13 +131,13 @@ def clean_block(raw: ColumnLike, noise: ColumnLike, boilerplate: tuple[str, ...]
     t = F.translate(F.regexp_replace(t, f"(?<={W})[\ufffd\ufffe](?={W})", "-"), "\ufffd\ufffe", "")
     for pattern in boilerplate:
         t = F.regexp_replace(t, f"(?im){pattern}", "")
-    lines = F.transform(F.split(t, "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"), normalize_line)
-    lines = F.filter(lines, lambda v: (v != "") & ~v.rlike(r"\A\p{Nd}+\z") & ~F.array_contains(_c(noise), repeated_line_key(v)))
-    joined = F.aggregate(
-        lines,
-        F.lit("").cast("string"),
-        lambda a, v: F.when(a == "", v).when(F.endswith(a, F.lit("-")) & v.rlike(r"\A\p{Ll}"), F.concat(F.left(a, F.char_length(a) - 1), v)).otherwise(F.concat(a, F.lit(" "), v)),
-    )
+    # as normalize_line() on each line, for all lines at once
+    t = F.regexp_replace(F.regexp_replace(t, LINE_END, "\n"), BLANKS, " ")
+    lines = F.split(strip(F.regexp_replace(t, " *\n[ \n]*", "\n")), "\n")
+    lines = F.filter(lines, lambda v: (v != "") & ~v.rlike(r"\A\p{Nd}+\z") & ~F.array_contains(_c(noise), line_key(v)))
+    hyphen = lambda v, after: F.endswith(v, F.lit("-")) & F.coalesce(after.rlike(r"\A\p{Ll}"), F.lit(False))
+    ended = lambda v, after: F.when(hyphen(v, after), F.left(v, F.char_length(v) - 1)).when(after.isNull(), v).otherwise(F.concat(v, F.lit(" ")))
+    joined = F.array_join(F.zip_with(lines, F.slice(lines, F.lit(2), F.greatest(F.size(lines), F.lit(1))), ended), "")
     joined = F.regexp_replace(joined, rf"(?<={W}){S}*[-‐‑]{S}+(?={W})", "-")
     return normalize(F.regexp_replace(joined, rf"{S}+([,.;:!?])", "$1"))
 
@@ -166,9 +173,9 @@ def passage_range(section: ColumnLike, first: ColumnLike, last: ColumnLike, firs
 
 
 def _heading_pattern() -> str:
-    number = rf"(?:[0-9ivxlcdm]+|{NUMBERS.replace(' ', '|')})"
+    number = rf"(?:[0-9ivxlcdm]+|{'|'.join(NUMBERS)})"
     # fixed values: words that open a heading line, with any tail
-    openers = "introduction prologue preface foreword epilogue conclusion afterword appendix notes bibliography references acknowledgments acknowledgements index".split()
+    openers = ("introduction", "prologue", "preface", "foreword", "epilogue", "conclusion", "afterword", "appendix", "notes", "bibliography", "references", "acknowledgments", "acknowledgements", "index")
     end = rf"(?!{W})"
     branches = [
         rf"(?:chapter|part){S}+{number}{end}.*",
@@ -184,8 +191,8 @@ HEADING = _heading_pattern()
 
 def _main_title_pattern() -> str:
     # fixed values: titles of page outlines
-    bare = "introduction preface prologue foreword conclusion epilogue afterword bibliography references index illustrations plates".split()
-    open_ended = ["summary of the framework", "list of interviews", "written correspondence", "photo[- ]insert"]
+    bare = ("introduction", "preface", "prologue", "foreword", "conclusion", "epilogue", "afterword", "bibliography", "references", "index", "illustrations", "plates")
+    open_ended = ("summary of the framework", "list of interviews", "written correspondence", "photo[- ]insert")
     not_space = "[^" + S[1:]
     return rf"(?iud)\A(?:(?:{'|'.join(bare)})|(?:{'|'.join(open_ended)}).*|\p{{Nd}}+{S}+{not_space}.*)\n?\z"
 
@@ -202,6 +209,7 @@ def is_main_title(x: ColumnLike) -> Column:
 
 _PY_SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 _PY_WORD = re.compile(r"[\w’'-]*\w[\w’'-]*")
+# fixed values: the repairs of normalize(), in their order
 _PY_STEPS = tuple(
     (re.compile(pattern), by)
     for pattern, by in (

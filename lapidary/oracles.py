@@ -3,6 +3,7 @@ so adjoining matches are replaced twice) and with recursive queries in place of
 
 from __future__ import annotations
 
+from .plans.provider import GUIDANCE
 from .plans.render import NOTE
 from .queries import FORM, FUNCTION, KIND, LITERALS, PRIORITY, RELATION, RUBRIC, TITLE
 
@@ -120,8 +121,9 @@ _TAG = lambda when, n: f"CASE WHEN {when} THEN ['R' || CAST({n} AS VARCHAR)] ELS
 _BLOCKS = (
     f"rubric AS (SELECT *, {', '.join(f'{v} AS {k}' for k, v in RUBRIC.items())} FROM documents), "
     "blocks AS (SELECT source AS book_id, 'K' || doc_id AS block_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS cand_pos, (doc_id // 20) % 6 AS section_no, doc_id AS first_index, "
-    f"doc_id + doc_id % 45 AS last_index, {words('text')} AS word_count, {FUNCTION} AS block_function, {_SCORE} AS score, {_TAG('doc_id % 3 = 0', 'doc_id % 10')} AS covers, "
-    f"{_TAG('doc_id % 4 = 1', 'doc_id % 7')} AS terms, {_TAG('doc_id % 5 = 2', 'doc_id % 10')} AS supports, doc_id FROM rubric)"
+    f"doc_id + doc_id % 45 AS last_index, {words('text')} AS word_count, {FUNCTION} AS block_function, {_SCORE} AS score, {_TAG('doc_id % 3 = 0', 'doc_id // 200 * 10 + doc_id % 10')} AS covers, "
+    f"{_TAG('doc_id % 4 = 1', 'doc_id // 200 * 10 + doc_id % 7')} AS terms, {_TAG('doc_id % 5 = 2', 'doc_id // 200 * 10 + doc_id % 10')} AS supports, "
+    "CASE WHEN doc_id % 6 = 5 THEN ['K' || (doc_id - 20)] ELSE CAST([] AS VARCHAR[]) END AS redundant_with, doc_id FROM rubric)"
 )
 _PRIORITIES = f"priorities AS (SELECT source AS book_id, (d.doc_id // 20) % 6 AS section_no, arg_max({PRIORITY}, d.doc_id) AS priority FROM labels l JOIN documents d USING (doc_id) GROUP BY ALL)"
 _UTILITY = (
@@ -132,7 +134,41 @@ _CANDIDATES = f"{_BLOCKS}, {_PRIORITIES}, candidates AS (SELECT b.*, coalesce(pr
 _BSECS = "bsecs AS (SELECT book_id, section_no, CAST(sum(word_count) AS BIGINT) AS word_count, CASE section_no WHEN 0 THEN 'front' WHEN 5 THEN 'ending' ELSE 'body' END AS kind FROM blocks GROUP BY book_id, section_no)"
 _TARGETS = "targets AS (SELECT book_id, CAST(trunc(sum(word_count)::DOUBLE * 0.25::DOUBLE) AS BIGINT) AS target FROM bsecs GROUP BY book_id)"
 _CAPS = "caps AS (SELECT book_id, section_no, greatest(600, CAST(trunc(target::DOUBLE * (word_count::DOUBLE / sum(word_count) OVER (PARTITION BY book_id))) AS BIGINT)) AS cap FROM bsecs JOIN targets USING (book_id) WHERE word_count > 0)"
-_CHOICE = "choice AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY section_no, first_index, cand_pos) AS reading_pos FROM blocks WHERE doc_id % 3 <> 1)"
+_REQS = (
+    f"reqs AS (SELECT source AS book_id, pos, 'R' || pos AS requirement_id, {KIND} AS kind, 'about ' || doc_id AS description, CASE WHEN pos % 2 = 0 THEN 'essential' ELSE 'important' END AS importance, "
+    "['C' || doc_id % 4, 'C' || pos % 3] AS claims, CASE WHEN doc_id % 6 = 0 THEN CAST([] AS VARCHAR[]) ELSE ['S' || doc_id % 5] END AS sections, (pos % 2 = 0 OR pos = 5) AS must "
+    "FROM (SELECT *, doc_id // 20 AS pos FROM documents))"
+)
+_RELS = f"rels AS (SELECT source AS book_id, pos, 'R' || pos AS source, 'R' || (pos - pos % 11 + (pos * 3 + 7) % 11) AS target, {RELATION} AS relation FROM (SELECT *, doc_id // 20 AS pos FROM documents) WHERE source <> 'src4')"
+_PATH = "path AS (SELECT source AS book_id, pos, 'R' || (pos - pos % 12 + (pos * 4 + 8) % 12) AS requirement_id FROM (SELECT *, doc_id // 20 AS pos FROM documents))"
+_GOALS = (
+    f"{_REQS}, {_PATH}, firsts AS (SELECT book_id, requirement_id, min(pos) AS p FROM path GROUP BY ALL), "
+    "goals AS (SELECT book_id, row_number() OVER (PARTITION BY book_id ORDER BY p NULLS LAST, pos) AS ord, requirement_id FROM reqs LEFT JOIN firsts USING (book_id, requirement_id) WHERE must)"
+)
+_MORE = lambda by, x: f"[CASE WHEN i = {x}.section_no THEN {by}[i + 1] + {x}.word_count ELSE {by}[i + 1] END FOR i IN range(6)]"
+# the selection: passes 1 to 3 are one fold over ordered tries (a goal's or a section's end with the first success), pass 4 is another
+_CHOICE = (
+    f"{_CANDIDATES}, {_BSECS}, {_TARGETS}, {_CAPS}, {_GOALS}, capped AS (SELECT c.*, coalesce(cap, 600) AS cap, target FROM candidates c LEFT JOIN caps USING (book_id, section_no) JOIN targets USING (book_id)), "
+    "tries AS (SELECT c.*, 1 AS pass, ord AS o, requirement_id AS goal FROM goals g JOIN capped c ON c.book_id = g.book_id AND list_contains(list_concat(c.covers, c.terms), g.requirement_id) "
+    "UNION ALL SELECT c.*, 2, section_no, 'S' || section_no FROM capped c UNION ALL SELECT c.*, 3, 0, NULL FROM capped c), "
+    "steps AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY pass, o, utility DESC, CASE WHEN pass < 3 THEN word_count ELSE 0 END, cand_pos) AS k FROM tries), "
+    "pick AS (SELECT book_id, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS used, [CAST(0 AS BIGINT) FOR i IN range(6)] AS by_, CAST([] AS VARCHAR[]) AS ids, CAST([] AS VARCHAR[]) AS guarded, CAST([] AS VARCHAR[]) AS done, CAST([] AS VARCHAR[]) AS tags FROM targets UNION ALL "
+    f"SELECT p.book_id, s.k, CASE WHEN good THEN p.used + s.word_count ELSE p.used END, CASE WHEN good THEN {_MORE('p.by_', 's')} ELSE p.by_ END, CASE WHEN good THEN list_append(p.ids, s.block_id) ELSE p.ids END, "
+    "CASE WHEN good AND s.pass < 3 THEN list_append(p.guarded, s.block_id) ELSE p.guarded END, CASE WHEN hit THEN list_append(p.done, s.goal) ELSE p.done END, CASE WHEN hit AND s.pass = 1 THEN list_append(p.tags, s.block_id || ' ' || s.goal) ELSE p.tags END "
+    "FROM pick p JOIN steps s ON s.book_id = p.book_id AND s.k = p.k + 1, LATERAL (SELECT list_contains(p.ids, s.block_id) AS has, coalesce(list_contains(p.done, s.goal), false) AS was) a, LATERAL (SELECT NOT has AND CASE s.pass "
+    "WHEN 3 THEN NOT list_has_any(p.ids, s.redundant_with) AND p.used + s.word_count <= s.target AND p.by_[s.section_no + 1] + s.word_count <= s.cap "
+    "ELSE NOT was AND (s.pass = 1 OR p.by_[s.section_no + 1] = 0) AND p.used + s.word_count <= trunc(s.target::DOUBLE * 1.12::DOUBLE) END AS good) b, LATERAL (SELECT s.pass < 3 AND NOT was AND (good OR (s.pass = 1 AND has)) AS hit) c), "
+    "third AS (SELECT * FROM pick QUALIFY k = max(k) OVER (PARTITION BY book_id)), "
+    "rest AS (SELECT c.*, row_number() OVER (PARTITION BY c.book_id ORDER BY abs(t.used + c.word_count - c.target), utility DESC, cand_pos) AS k FROM capped c JOIN third t USING (book_id) "
+    "WHERE t.used < trunc(c.target::DOUBLE * 0.94::DOUBLE) AND NOT list_contains(t.ids, c.block_id) AND NOT list_has_any(t.ids, c.redundant_with)), "
+    "late AS (SELECT book_id, CAST(0 AS BIGINT) AS k, used, by_, ids, false AS stop FROM third UNION ALL "
+    f"SELECT l.book_id, r.k, u, CASE WHEN good THEN {_MORE('l.by_', 'r')} ELSE l.by_ END, CASE WHEN good THEN list_append(l.ids, r.block_id) ELSE l.ids END, u >= trunc(r.target::DOUBLE * 0.97::DOUBLE) "
+    "FROM late l JOIN rest r ON r.book_id = l.book_id AND r.k = l.k + 1, LATERAL (SELECT NOT list_contains(l.ids, r.block_id) AND NOT list_has_any(l.ids, r.redundant_with) AND l.used + r.word_count <= trunc(r.target::DOUBLE * 1.03::DOUBLE) "
+    "AND l.by_[r.section_no + 1] + r.word_count <= r.cap AS good) a, LATERAL (SELECT CASE WHEN good THEN l.used + r.word_count ELSE l.used END AS u) b WHERE NOT l.stop), "
+    "final AS (SELECT book_id, arg_max(ids, k) AS ids FROM late GROUP BY book_id), "
+    "choice AS (SELECT c.*, row_number() OVER (PARTITION BY book_id ORDER BY section_no, first_index, cand_pos) AS reading_pos, list_contains(t.guarded, block_id) AS protected, "
+    "array_to_string([split_part(x, ' ', 2) FOR x IN t.tags IF split_part(x, ' ', 1) = block_id], ',') AS protected_for FROM capped c JOIN final f USING (book_id) JOIN third t USING (book_id) WHERE list_contains(f.ids, block_id))"
+)
 _GAPS = (
     "gaps AS (SELECT book_id, before_id, after_id, pos FROM (SELECT book_id, block_id AS before_id, section_no, last_index, reading_pos AS pos, lead(block_id) OVER w AS after_id, lead(section_no) OVER w AS ns, "
     "lead(first_index) OVER w AS nf FROM choice WINDOW w AS (PARTITION BY book_id ORDER BY reading_pos)) WHERE after_id IS NOT NULL AND (section_no <> ns OR nf > last_index + 1))"
@@ -142,13 +178,6 @@ _PROPOSALS = (
     "p1 AS (SELECT * FROM p0 UNION ALL SELECT book_id, before_id, after_id, pos + 1000, text || ' again', necessary FROM p0 WHERE pos % 4 = 1), "
     f"p2 AS (SELECT book_id, before_id, after_id, min(pos) AS pos, arg_max({label('text')}, pos) AS text FROM p1 WHERE necessary AND {strip('text')} <> '' GROUP BY ALL)"
 )
-_REQS = (
-    f"reqs AS (SELECT source AS book_id, pos, 'R' || pos AS requirement_id, {KIND} AS kind, 'about ' || doc_id AS description, CASE WHEN pos % 2 = 0 THEN 'essential' ELSE 'important' END AS importance, "
-    "['C' || doc_id % 4, 'C' || pos % 3] AS claims, CASE WHEN doc_id % 6 = 0 THEN CAST([] AS VARCHAR[]) ELSE ['S' || doc_id % 5] END AS sections, (pos % 2 = 0 OR pos = 5) AS must "
-    "FROM (SELECT *, doc_id // 20 AS pos FROM documents) WHERE pos < 10)"
-)
-_RELS = f"rels AS (SELECT source AS book_id, pos, 'R' || pos AS source, 'R' || (pos * 3 + 7) % 11 AS target, {RELATION} AS relation FROM (SELECT *, doc_id // 20 AS pos FROM documents) WHERE pos < 6 AND source <> 'src4')"
-_PATH = "path AS (SELECT source AS book_id, pos, 'R' || (pos * 4 + 8) % 12 AS requirement_id FROM (SELECT *, doc_id // 20 AS pos FROM documents) WHERE pos < 5)"
 _LINK = "10 * len(list_intersect({0}.sections, {1}.sections)) + 5 * len(list_intersect({0}.claims, {1}.claims))"
 _ORPHANS = "orphans AS (SELECT * FROM reqs q WHERE kind = 'major_proposition' AND must AND NOT EXISTS (SELECT 1 FROM rels r WHERE r.book_id = q.book_id AND r.target = q.requirement_id AND r.relation = 'supports'))"
 _REPAIR = (
@@ -156,7 +185,7 @@ _REPAIR = (
     f"ranked AS (SELECT o.book_id, o.pos, o.requirement_id, s.requirement_id AS source, {_LINK.format('o', 's')} AS link, row_number() OVER (PARTITION BY o.book_id, o.pos ORDER BY {_LINK.format('o', 's')} DESC, s.pos) AS k FROM orphans o JOIN supports s USING (book_id)), "
     "added AS (SELECT book_id, pos, source, requirement_id AS target, link = 0 AS weak FROM ranked WHERE k = 1 UNION ALL SELECT book_id, pos, 'auto-support-for-' || requirement_id, requirement_id, false FROM orphans o WHERE NOT EXISTS (SELECT 1 FROM supports s WHERE s.book_id = o.book_id)), "
     "edges AS (SELECT book_id, pos, source, target, relation, false AS weak FROM rels UNION ALL SELECT book_id, coalesce((SELECT max(pos) FROM rels r WHERE r.book_id = a.book_id), 0) + row_number() OVER (PARTITION BY book_id ORDER BY pos), source, target, 'supports', weak FROM added a), "
-    "made AS (SELECT book_id, 9 + row_number() OVER (PARTITION BY book_id ORDER BY pos) AS pos, 'auto-support-for-' || requirement_id AS requirement_id, 'supporting_argument' AS kind, 'essential' AS importance, true AS must FROM orphans o WHERE NOT EXISTS (SELECT 1 FROM supports s WHERE s.book_id = o.book_id)), "
+    "made AS (SELECT book_id, (SELECT max(pos) FROM reqs q WHERE q.book_id = o.book_id) + row_number() OVER (PARTITION BY book_id ORDER BY pos) AS pos, 'auto-support-for-' || requirement_id AS requirement_id, 'supporting_argument' AS kind, 'essential' AS importance, true AS must FROM orphans o WHERE NOT EXISTS (SELECT 1 FROM supports s WHERE s.book_id = o.book_id)), "
     "allreqs AS (SELECT book_id, pos, requirement_id, kind, importance, must FROM reqs UNION ALL SELECT * FROM made)"
 )
 _PAGE_LINES = (
@@ -178,7 +207,7 @@ def _with(ctes: str, select: str, recursive: bool = False) -> str:
 
 
 _OUTLINE = (
-    f"outline AS (SELECT source AS book_id, doc_id AS pos, doc_id // 10 + 1 AS start_page, CASE WHEN doc_id % 7 = 0 THEN doc_id // 10 + 3 END AS end_page, {TITLE} AS title FROM documents WHERE doc_id % 60 < 20), "
+    f"outline AS (SELECT source AS book_id, doc_id AS pos, doc_id // 10 + 1 AS start_page, CASE WHEN doc_id % 7 = 0 THEN doc_id // 10 + 3 END AS end_page, {TITLE} AS title FROM documents), "
     "np AS (SELECT source AS book_id, max(doc_id // 10) - 2 AS pages FROM documents GROUP BY source), "
     "ranges AS (SELECT book_id, pos, title, start_page, least(coalesce(nullif(end_page, 0), nxt - 1, pages), pages) AS end_page FROM (SELECT *, lead(start_page) OVER (PARTITION BY book_id ORDER BY pos) AS nxt FROM outline) JOIN np USING (book_id)), "
     "pranges AS (SELECT * FROM ranges WHERE start_page <= end_page)"
@@ -186,7 +215,7 @@ _OUTLINE = (
 _KEPT = f"{_PARAS}, kept AS (SELECT *, idx - row_number() OVER (PARTITION BY section_no ORDER BY idx) AS island FROM paras WHERE (idx * 7 + section_no) % 4 <> 0), runs AS (SELECT *, dense_rank() OVER (PARTITION BY section_no ORDER BY island) AS run FROM kept)"
 # sections are numbered over documents with a block of `least` words; those without one of two words are gaps
 _FILES = (
-    f"WITH l AS (SELECT source, doc_id, unnest(string_split(text, chr(10))) AS line FROM documents {{limit}}), p AS (SELECT source, doc_id, {words(normalize('line')).replace('{', '{{').replace('}', '}}')} AS n FROM l), "
+    f"WITH l AS (SELECT source, doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), p AS (SELECT source, doc_id, {words(normalize('line')).replace('{', '{{').replace('}', '}}')} AS n FROM l), "
     "s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY doc_id) AS k FROM (SELECT {key} AS book_id, doc_id, count(*) FILTER (n >= 2) AS paragraphs, CAST(sum(n) FILTER (n >= 2) AS BIGINT) AS word_count FROM p WHERE n >= {least} GROUP BY ALL)) WHERE paragraphs > 0), "
     f"t AS (SELECT s.*, {normalize(TITLE).replace('{', '{{').replace('}', '}}')} AS title FROM s) "
     f"SELECT book_id, printf('CH%03d', k) AS section_id, title, {kind_by_words('title', 'word_count').replace('{', '{{').replace('}', '}}')} AS kind, paragraphs, word_count FROM t"
@@ -308,37 +337,43 @@ ORACLE_SQL: dict[str, str] = {
         "SELECT book_id, block_id, rank FROM fold WHERE ok",
         True,
     ),
-    "reading_order": _with(f"{_BLOCKS}, {_CHOICE}", "SELECT book_id, block_id, reading_pos FROM choice"),
-    "qc_removals": _with(f"{_BLOCKS}, {_CHOICE}", "SELECT book_id, block_id FROM (SELECT *, count(*) OVER (PARTITION BY book_id, section_no) AS n FROM choice) WHERE n > 1 AND doc_id % 7 <> 0 AND doc_id % 2 = 0"),
-    "omission_gaps": _with(f"{_BLOCKS}, {_CHOICE}, {_GAPS}", "SELECT * FROM gaps"),
+    "full_selection": _with(_CHOICE, "SELECT book_id, block_id, reading_pos, protected, protected_for, target FROM choice", True),
+    "reading_order": _with(f"{_CHOICE}", "SELECT book_id, block_id, reading_pos FROM choice", True),
+    "qc_removals": _with(f"{_CHOICE}", "SELECT book_id, block_id FROM (SELECT *, count(*) OVER (PARTITION BY book_id, section_no) AS n FROM choice) WHERE n > 1 AND protected_for = '' AND doc_id % 2 = 0", True),
+    "omission_gaps": _with(f"{_CHOICE}, {_GAPS}", "SELECT * FROM gaps", True),
     "turn_gaps": "SELECT book_id, before_id, after_id, pos FROM (SELECT CAST(conv_id AS VARCHAR) AS book_id, 'T' || turn AS before_id, turn AS pos, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt, 'T' || lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS after_id FROM conversations WHERE (turn * 5 + conv_id) % 4 <> 0) WHERE nxt > pos + 1",
     "transition_accept": _with(
-        f"{_BLOCKS}, {_CHOICE}, {_GAPS}, {_PROPOSALS}, {_REQS}",
+        f"{_CHOICE}, {_GAPS}, {_PROPOSALS}",
         "SELECT book_id, pos, before_id, after_id, text, after_id AS blocks, CASE WHEN EXISTS (SELECT 1 FROM reqs r WHERE r.book_id = p2.book_id AND requirement_id = 'R1') THEN 'R1' ELSE '' END AS requirements FROM p2",
+        True,
     ),
-    "transition_checks": _with(f"{_BLOCKS}, {_CHOICE}, {_GAPS}, {_PROPOSALS}", f"SELECT book_id, pos, text FROM p2 WHERE pos % 8 <> 7 AND pos % 4 <> 2 AND pos % 9 <> 1 AND pos % 13 <> 3 AND text <> '' AND {words('text')} <= 5"),
+    "transition_checks": _with(f"{_CHOICE}, {_GAPS}, {_PROPOSALS}", f"SELECT book_id, pos, text FROM p2 WHERE pos % 8 <> 7 AND pos % 4 <> 2 AND pos % 9 <> 1 AND pos % 13 <> 3 AND text <> '' AND {words('text')} <= 5", True),
     "transition_budget": _with(
-        f"{_BLOCKS}, {_CHOICE}, {_GAPS}, b AS (SELECT book_id, pos, pos * 7 % 23 + 5 AS words, row_number() OVER (PARTITION BY book_id ORDER BY pos) AS k FROM gaps), m AS (SELECT book_id, trunc(sum(word_count)::DOUBLE * 0.02::DOUBLE) AS most FROM choice GROUP BY book_id), "
+        f"{_CHOICE}, {_GAPS}, b AS (SELECT book_id, pos, pos * 7 % 23 + 5 AS words, row_number() OVER (PARTITION BY book_id ORDER BY pos) AS k FROM gaps), m AS (SELECT book_id, trunc(sum(word_count)::DOUBLE * 0.02::DOUBLE) AS most FROM choice GROUP BY book_id), "
         "f AS (SELECT book_id, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS pos, CAST(0 AS BIGINT) AS words, CAST(0 AS BIGINT) AS used, false AS ok FROM m UNION ALL "
         "SELECT b.book_id, b.k, b.pos, b.words, CASE WHEN f.used + b.words <= most THEN f.used + b.words ELSE f.used END, f.used + b.words <= most FROM f JOIN b ON b.book_id = f.book_id AND b.k = f.k + 1 JOIN m ON m.book_id = f.book_id)",
         "SELECT book_id, pos, words FROM f WHERE ok",
         True,
     ),
     "section_balance": _with(
-        f"{_BLOCKS}, {_CHOICE}, {_BSECS}, r AS (SELECT s.book_id, s.section_no, s.word_count, CAST(coalesce(sum(c.word_count), 0) AS BIGINT) AS retained FROM bsecs s LEFT JOIN choice c USING (book_id, section_no) GROUP BY ALL)",
+        f"{_CHOICE}, r AS (SELECT s.book_id, s.section_no, s.word_count, CAST(coalesce(sum(c.word_count), 0) AS BIGINT) AS retained FROM bsecs s LEFT JOIN choice c USING (book_id, section_no) GROUP BY ALL)",
         "SELECT book_id, section_no, retained, round(retained::DOUBLE / greatest(word_count, 1), 6) AS of_section, round(retained::DOUBLE / greatest(sum(retained) OVER (PARTITION BY book_id), 1), 6) AS of_edition FROM r",
+        True,
     ),
     "edition_summary": _with(
-        f"{_BLOCKS}, {_CHOICE}, {_BSECS}, {_TARGETS}, w AS (SELECT book_id, CAST(sum(word_count) AS BIGINT) AS source_words FROM bsecs GROUP BY book_id), c AS (SELECT book_id, CAST(sum(word_count) AS BIGINT) AS selected, count(*) AS blocks FROM choice GROUP BY book_id)",
+        f"{_CHOICE}, w AS (SELECT book_id, CAST(sum(word_count) AS BIGINT) AS source_words FROM bsecs GROUP BY book_id), c AS (SELECT book_id, CAST(sum(word_count) AS BIGINT) AS selected, count(*) AS blocks FROM choice GROUP BY book_id)",
         "SELECT book_id, source_words, target, selected, blocks, round(selected::DOUBLE / greatest(source_words, 1), 6) AS share FROM w JOIN targets USING (book_id) JOIN c USING (book_id)",
+        True,
     ),
     "requirement_coverage": _with(
-        f"{_BLOCKS}, {_CHOICE}, {_REQS}, tags AS (SELECT DISTINCT book_id, block_id, reading_pos, unnest(list_concat(covers, terms)) AS requirement_id FROM choice)",
-        "SELECT q.book_id, q.requirement_id, q.must, coalesce(string_agg(block_id, ',' ORDER BY reading_pos), '') AS block_ids FROM reqs q LEFT JOIN tags USING (book_id, requirement_id) GROUP BY ALL",
+        f"{_CHOICE}, covered AS (SELECT DISTINCT book_id, block_id, reading_pos, unnest(list_concat(covers, terms)) AS requirement_id FROM choice)",
+        "SELECT q.book_id, q.requirement_id, q.must, coalesce(string_agg(block_id, ',' ORDER BY reading_pos), '') AS block_ids FROM reqs q LEFT JOIN covered USING (book_id, requirement_id) GROUP BY ALL",
+        True,
     ),
     "missing_required": _with(
-        f"{_BLOCKS}, {_CHOICE}, {_REQS}, tags AS (SELECT DISTINCT book_id, unnest(list_concat(covers, terms)) AS requirement_id FROM choice WHERE doc_id % 9 = 0)",
-        "SELECT book_id, requirement_id FROM reqs WHERE must AND (book_id, requirement_id) NOT IN (SELECT (book_id, requirement_id) FROM tags)",
+        f"{_CHOICE}, covered AS (SELECT DISTINCT book_id, unnest(list_concat(covers, terms)) AS requirement_id FROM choice)",
+        "SELECT book_id, requirement_id FROM reqs WHERE must AND (book_id, requirement_id) NOT IN (SELECT (book_id, requirement_id) FROM covered)",
+        True,
     ),
     "support_repair": _with(_REPAIR, "SELECT * FROM edges"),
     "support_synthetic": _with(_REPAIR, "SELECT * FROM made"),
@@ -347,7 +382,7 @@ ORACLE_SQL: dict[str, str] = {
         "SELECT a.book_id, requirement_id, CASE WHEN n.source IS NOT NULL AND NOT must THEN 'essential' ELSE importance END AS importance, must OR n.source IS NOT NULL AS must FROM allreqs a LEFT JOIN needed n ON n.book_id = a.book_id AND n.source = a.requirement_id",
     ),
     "map_violations": _with(
-        f"{_REQS}, {_RELS}, {_PATH}, d0 AS (SELECT * FROM reqs WHERE pos < 9 OR book_id LIKE '%7'), d AS (SELECT * FROM d0 UNION ALL SELECT * FROM d0 WHERE book_id = 'src6' AND pos = 3), "
+        f"{_REQS}, {_RELS}, {_PATH}, d0 AS (SELECT * FROM reqs WHERE pos % 10 < 9 OR book_id LIKE '%7'), d AS (SELECT * FROM d0 UNION ALL SELECT * FROM d0 WHERE book_id = 'src6' AND pos = 3), "
         "ends AS (SELECT book_id, source AS r FROM rels UNION SELECT book_id, target FROM rels), ess AS (SELECT DISTINCT book_id, requirement_id FROM d WHERE kind = 'major_proposition' AND must)",
         "SELECT book_id, 'duplicate requirement' AS violation, requirement_id AS item FROM d GROUP BY ALL HAVING count(*) > 1 "
         "UNION ALL SELECT DISTINCT book_id, 'unknown path requirement', requirement_id FROM path p WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.book_id = p.book_id AND d.requirement_id = p.requirement_id) "
@@ -360,23 +395,24 @@ ORACLE_SQL: dict[str, str] = {
         "SELECT book_id, row_number() OVER (PARTITION BY book_id ORDER BY p NULLS LAST, pos) AS ord, requirement_id FROM reqs LEFT JOIN p USING (book_id, requirement_id) WHERE must",
     ),
     "section_requirements": _with(
-        f"{_REQS}, s AS (SELECT source AS book_id, 'S' || doc_id // 20 AS section_id FROM documents WHERE doc_id < 120), j AS (SELECT s.book_id, section_id, requirement_id, len(sections) = 0 OR list_contains(sections, section_id) AS fits FROM s JOIN reqs USING (book_id) WHERE len(sections) > 0 OR book_id = 'src6')",
+        f"{_REQS}, s AS (SELECT source AS book_id, 'S' || doc_id // 20 AS section_id FROM documents), j AS (SELECT s.book_id, section_id, requirement_id, len(sections) = 0 OR list_contains(sections, section_id) AS fits FROM s JOIN reqs USING (book_id) WHERE len(sections) > 0 OR book_id = 'src6')",
         "SELECT book_id, section_id, requirement_id FROM (SELECT *, bool_or(fits) OVER (PARTITION BY book_id, section_id) AS any_fits FROM j) WHERE fits OR NOT any_fits",
     ),
     "report_lines": _with(
         f"{_SECS}, t AS (SELECT book_id, count(*) AS n, CAST(coalesce(sum(word_count) FILTER (kind <> 'exclude'), 0) AS BIGINT) AS inc, CAST(coalesce(sum(word_count) FILTER (kind = 'exclude'), 0) AS BIGINT) AS exc, "
         "string_agg('| ' || printf('CH%03d', section_no) || ' | ' || replace(title, '|', '\\|') || ' | ' || kind || ' | 1 | ' || word_count || ' |', chr(10) ORDER BY section_no) AS rows FROM secs GROUP BY book_id)",
-        "SELECT book_id, array_to_string(['# Parsed structure: ' || book_id, '', '- Sections: ' || n, '- Included words: ' || inc, '- Excluded words: ' || exc, '', '| Section | Title | Kind | Paragraphs | Words |', '|---|---|---|---:|---:|', rows], chr(10)) || chr(10) AS text FROM t",
+        "SELECT book_id, array_to_string(['# What was read: ' || book_id, '', n || ' sections; ' || inc || ' words to choose from, ' || exc || ' words set aside.', '', '| Section | Heading | Use | Paragraphs | Words |', '|---|---|---|---:|---:|', rows], chr(10)) || chr(10) AS text FROM t",
     ),
     "edition_lines": _with(
-        f"{_BLOCKS}, {_CHOICE}, {_GAPS}, b AS (SELECT c.book_id, c.section_no, c.reading_pos, {strip('substr(d.text, 1, 40)')} AS body, CASE WHEN g.pos % 3 = 0 THEN '*Editorial transition: to ' || c.block_id || '*' || chr(10) || chr(10) ELSE '' END AS bridge, "
+        f"{_CHOICE}, {_GAPS}, b AS (SELECT c.book_id, c.section_no, c.reading_pos, {strip('d.text')} AS body, CASE WHEN g.pos % 3 = 0 THEN '*[Leading on] to ' || c.block_id || '*' || chr(10) || chr(10) ELSE '' END AS bridge, "
         "c.reading_pos = min(c.reading_pos) OVER (PARTITION BY c.book_id) AS first FROM choice c JOIN documents d USING (doc_id) LEFT JOIN gaps g ON g.book_id = c.book_id AND g.after_id = c.block_id), "
         "s AS (SELECT book_id, section_no, '## Section ' || section_no || chr(10) || chr(10) || string_agg(CASE WHEN first THEN '' ELSE chr(10) || '* * *' || chr(10) || chr(10) || bridge END || body || chr(10), chr(10) ORDER BY reading_pos) AS t FROM b GROUP BY book_id, section_no), "
         "e AS (SELECT book_id, string_agg(t, chr(10) ORDER BY section_no) AS t FROM s GROUP BY book_id)",
-        f"SELECT book_id, {_re(chr(39) + '# ' + chr(39) + ' || book_id || chr(10) || chr(10) || ' + chr(39) + '## Condensed reading edition' + chr(39) + ' || chr(10) || chr(10) || ' + chr(39) + NOTE + chr(39) + ' || chr(10) || chr(10) || t', chr(92) + 's+' + chr(92) + 'z', '')} || chr(10) AS text FROM e",
+        f"SELECT book_id, {_re(chr(39) + '# ' + chr(39) + ' || book_id || chr(10) || chr(10) || ' + chr(39) + NOTE.replace(chr(39), chr(39) * 2) + chr(39) + ' || chr(10) || chr(10) || t', chr(92) + 's+' + chr(92) + 'z', '')} || chr(10) AS text FROM e",
+        True,
     ),
     "qc_additions": _with(
-        f"{_CANDIDATES}, {_BSECS}, {_TARGETS}, {_CAPS}, {_CHOICE}, kept AS (SELECT * FROM choice WHERE doc_id % 5 = 0), "
+        f"{_CHOICE}, kept AS (SELECT * FROM choice), "
         "asked AS (SELECT c.book_id, c.block_id, c.cand_pos AS pos, c.section_no, c.word_count, c.doc_id % 11 = 0 AS safe, CAST(trunc(coalesce(cap, 600) * 1.15::DOUBLE) AS BIGINT) AS cap, CAST(trunc(target * 1.12::DOUBLE) AS BIGINT) AS most, row_number() OVER (PARTITION BY c.book_id ORDER BY c.cand_pos) AS k "
         "FROM candidates c LEFT JOIN caps USING (book_id, section_no) JOIN targets USING (book_id) WHERE c.doc_id % 4 = 1 AND c.block_id NOT IN (SELECT block_id FROM kept)), "
         "start_ AS (SELECT book_id, list(w ORDER BY i) AS by_ FROM (SELECT t.book_id, i, CAST(coalesce(sum(k.word_count), 0) AS BIGINT) AS w FROM targets t CROSS JOIN (SELECT unnest(range(6)) AS i) LEFT JOIN kept k ON k.book_id = t.book_id AND k.section_no = i GROUP BY ALL) GROUP BY book_id), "
@@ -386,16 +422,17 @@ ORACLE_SQL: dict[str, str] = {
         "SELECT book_id, block_id, pos FROM f WHERE ok",
         True,
     ),
-    "epub_sections": _FILES.format(limit="WHERE doc_id < 400", key="source", least=2),
-    "docx_sections": _FILES.format(limit="WHERE doc_id < 400", key="source", least=1),
-    "text_file_sections": _FILES.format(limit="", key="CAST(doc_id AS VARCHAR)", least=2),
+    "epub_sections": _FILES.format(key="source || '-' || doc_id // 100", least=2),
+    "docx_sections": _FILES.format(key="source || '-' || doc_id // 100", least=1),
+    "text_file_sections": _FILES.format(key="CAST(doc_id AS VARCHAR)", least=2),
     "model_answers": _with(
         f"{_PARAS}, r AS (SELECT *, row_number() OVER (PARTITION BY book_id, section_no ORDER BY idx) AS k FROM paras), "
         "b AS (SELECT book_id, section_no, k, word_count, CAST(1 AS BIGINT) AS chunk, word_count AS used FROM r WHERE k = 1 UNION ALL SELECT r.book_id, r.section_no, r.k, r.word_count, CASE WHEN used + r.word_count > 200 THEN chunk + 1 ELSE chunk END, "
         "CASE WHEN used + r.word_count > 200 THEN r.word_count ELSE used + r.word_count END FROM b JOIN r ON r.section_no = b.section_no AND r.k = b.k + 1)",
-        "SELECT book_id, section_no * 1000 + chunk AS seq, 'development' AS role, 'S' || section_no || ': ' || count(*) || ' paragraphs' AS contribution FROM b GROUP BY book_id, section_no, chunk",
+        "SELECT book_id, section_no * 1000000 + chunk AS seq, 'development' AS role, 'S' || section_no || ': ' || count(*) || ' paragraphs' AS contribution FROM b GROUP BY book_id, section_no, chunk",
         True,
     ),
+    "form_guidance": f"SELECT doc_id, CASE {' '.join(f'WHEN {FORM} = {chr(39)}{k}{chr(39)} THEN {chr(39)}{v}{chr(39)}' for k, v in GUIDANCE.items())} END AS guidance FROM documents",
     "proposition_supports": _with(
         _REPAIR,
         "SELECT q.book_id, q.requirement_id, coalesce(string_agg(e.source, ',' ORDER BY e.pos), '') AS supports FROM allreqs q LEFT JOIN edges e ON e.book_id = q.book_id AND e.target = q.requirement_id AND e.relation = 'supports' WHERE q.kind = 'major_proposition' GROUP BY ALL",

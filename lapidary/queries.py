@@ -4,7 +4,6 @@ scores, titles and requirement graphs are arithmetic on ids, so that their SQL (
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,20 +63,27 @@ def lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def paras(spark: SparkSession, sf: str) -> DataFrame:
-    rows = lines(spark, sf).withColumn("text", text.normalize("line"))
-    return rows.withColumn("word_count", text.word_count("text")).where("word_count >= 2").drop("line")
+    """Lines normalised once: what an explode has made is filtered after it, so the filter's text is not made again."""
+    rows = lines(spark, sf).select("book_id", "section_no", "idx", text.normalize("line").alias("text"))
+    made = F.explode(F.array(F.struct("text", text.word_count("text").alias("word_count"))))
+    return rows.select("book_id", "section_no", "idx", made.alias("p")).select("book_id", "section_no", "idx", "p.*").where("word_count >= 2")
+
+
+def counts(spark: SparkSession, sf: str) -> DataFrame:
+    """paras() without texts, kept in memory (or on disk): four numbers a line, for queries that read them several times."""
+    return paras(spark, sf).drop("text").persist()
 
 
 def secs(spark: SparkSession, sf: str) -> DataFrame:
     titles = documents(spark, sf).select(F.col("doc_id").alias("section_no"), F.expr(TITLE).alias("title"))
-    per = paras(spark, sf).groupBy("book_id", "section_no").agg(F.sum("word_count").alias("word_count"))
+    per = counts(spark, sf).groupBy("book_id", "section_no").agg(F.sum("word_count").alias("word_count"))
     return per.join(titles, "section_no").withColumn("kind", rules.section_kind_by_words("title", F.col("word_count")))
 
 
-def blocks(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
-    """Candidate passages: one per document; six sections a book. Tags name R0 to R9, as in the SQL, or (whole) ten ids of every 200 documents."""
+def blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """Candidate passages: one per document; six sections a book. Tags name ten requirements of every 200 documents."""
     d = documents(spark, sf).withColumns({k: F.expr(v).cast("int") for k, v in RUBRIC.items()})
-    tag = lambda when, n: F.when(F.expr(when), F.array(F.concat(F.lit("R"), F.expr(f"doc_id div 200 * 10 + {n}" if whole else n).cast("string")))).otherwise(F.array().cast("array<string>"))
+    tag = lambda when, n: F.when(F.expr(when), F.array(F.concat(F.lit("R"), F.expr(f"doc_id div 200 * 10 + {n}").cast("string")))).otherwise(F.array().cast("array<string>"))
     return d.select(
         F.col("source").alias("book_id"), F.concat(F.lit("K"), "doc_id").alias("block_id"), F.row_number().over(W.partitionBy("source").orderBy("doc_id")).cast("long").alias("cand_pos"),
         F.expr("(doc_id div 20) % 6").alias("section_no"), F.col("doc_id").alias("first_index"), (F.col("doc_id") + F.expr("doc_id % 45")).alias("last_index"), text.word_count("text").alias("word_count"),
@@ -92,9 +98,11 @@ def priorities(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select(F.col("source").alias("book_id"), F.expr("(doc_id div 20) % 6").alias("section_no"), F.col("doc_id").alias("seq"), F.expr(PRIORITY).alias("priority"))
 
 
-def candidates(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
-    rows = scoring.with_priority(blocks(spark, sf, whole), priorities(spark, sf))
-    return rows.withColumn("utility", scoring.utility(F.col("score"), F.col("word_count"), F.col("priority"), F.col("block_function"), F.col("covers"), F.col("terms"), F.col("supports")))
+def candidates(spark: SparkSession, sf: str) -> DataFrame:
+    """Utilities are rounded, so that ties do not hang on the order of sums."""
+    rows = scoring.with_priority(blocks(spark, sf), priorities(spark, sf))
+    value = scoring.utility(F.col("score"), F.col("word_count"), F.col("priority"), F.col("block_function"), F.col("covers"), F.col("terms"), F.col("supports"))
+    return rows.withColumn("utility", F.round(value, 6))
 
 
 def block_sections(spark: SparkSession, sf: str) -> DataFrame:
@@ -106,10 +114,8 @@ def targets(spark: SparkSession, sf: str) -> DataFrame:
     return selection.target_words(block_sections(spark, sf).groupBy("book_id").agg(F.sum("word_count").alias("total_words")), 0.25)
 
 
-def requirements(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
-    """Of the documents below 200, as in the SQL, or (whole) of all."""
+def requirements(spark: SparkSession, sf: str) -> DataFrame:
     d = documents(spark, sf).withColumn("pos", F.expr("doc_id div 20"))
-    d = d if whole else d.where("pos < 10")
     claims = F.array(F.concat(F.lit("C"), F.expr("doc_id % 4").cast("string")), F.concat(F.lit("C"), F.expr("pos % 3").cast("string")))
     sections = F.when(F.expr("doc_id % 6 = 0"), F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("S"), F.expr("doc_id % 5").cast("string"))))
     return d.select(
@@ -119,21 +125,17 @@ def requirements(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame
 
 
 def _spread(expr: str, n: int) -> Column:
-    """Ids of expr modulo n, and those of later positions as far on: the same as without the shift below n."""
+    """Ids of expr modulo n, in the group of n that pos lies in; some pass the last requirement."""
     return F.concat(F.lit("R"), F.expr(f"pos - pos % {n} + ({expr}) % {n}").cast("string"))
 
 
-def relations(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
-    """Of the documents below 120, as in the SQL, or (whole) of all."""
+def relations(spark: SparkSession, sf: str) -> DataFrame:
     d = documents(spark, sf).withColumn("pos", F.expr("doc_id div 20")).where("source <> 'src4'")
-    d = d if whole else d.where("pos < 6")
     return d.select(F.col("source").alias("book_id"), "pos", F.concat(F.lit("R"), "pos").alias("source"), _spread("pos * 3 + 7", 11).alias("target"), F.expr(RELATION).alias("relation"))
 
 
-def path(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
-    """Of the documents below 100, as in the SQL, or (whole) of all."""
+def path(spark: SparkSession, sf: str) -> DataFrame:
     d = documents(spark, sf).withColumn("pos", F.expr("doc_id div 20"))
-    d = d if whole else d.where("pos < 5")
     return d.select(F.col("source").alias("book_id"), "pos", _spread("pos * 4 + 8", 12).alias("requirement_id"))
 
 
@@ -221,13 +223,13 @@ def transition_labels(spark, sf):
 
 
 @query
-def kind_titles(spark, sf, whole=False):
-    return requirements(spark, sf, whole).select("book_id", "requirement_id", text.kind_title("kind").alias("kind"))
+def kind_titles(spark, sf):
+    return requirements(spark, sf).select("book_id", "requirement_id", text.kind_title("kind").alias("kind"))
 
 
 @query
-def link_scores(spark, sf, whole=False):
-    r = requirements(spark, sf, whole).select("book_id", "pos", "sections", "claims")
+def link_scores(spark, sf):
+    r = requirements(spark, sf).select("book_id", "pos", "sections", "claims")
     other = r.select("book_id", (F.col("pos") - 1).alias("pos"), F.col("sections").alias("s2"), F.col("claims").alias("c2"))
     return r.join(other, ["book_id", "pos"]).select("book_id", "pos", text.support_link_score("sections", "s2", "claims", "c2").alias("link"))
 
@@ -288,7 +290,7 @@ def batch_keys(spark, sf):
 
 @query
 def contiguous_runs(spark, sf):
-    rows = paras(spark, sf).where("(idx * 7 + section_no) % 4 <> 0")
+    rows = counts(spark, sf).where("(idx * 7 + section_no) % 4 <> 0")
     return structure.runs(rows, ["section_no"], "idx").select("section_no", "idx", "run")
 
 
@@ -300,7 +302,7 @@ def run_blocks(spark, sf):
 
 @query
 def overview_excerpt(spark, sf):
-    found = structure.overview_excerpt(paras(spark, sf).withColumn("paragraph_id", F.lit("")), secs(spark, sf), 24_000)
+    found = structure.overview_excerpt(counts(spark, sf).withColumn("paragraph_id", F.lit("")), secs(spark, sf), 24_000)
     return found.select("book_id", "part", "section_no", "idx", "word_count")
 
 
@@ -343,23 +345,22 @@ def page_headings(spark, sf):
     return structure.page_headings(rows, structure.margin_noise(rows))
 
 
-def _outline(spark, sf, whole=False):
-    """Outline entries from a third of the documents, as in the SQL, or (whole) from all."""
-    d = documents(spark, sf) if whole else documents(spark, sf).where("doc_id % 60 < 20")
-    rows = d.select(F.col("source").alias("book_id"), F.col("doc_id").alias("pos"), F.expr("doc_id div 10 + 1").alias("start_page"), F.expr("CASE WHEN doc_id % 7 = 0 THEN doc_id div 10 + 3 END").alias("end_page"), F.expr(TITLE).alias("title"))
+def _outline(spark, sf):
+    """Every document is an outline entry."""
+    rows = documents(spark, sf).select(F.col("source").alias("book_id"), F.col("doc_id").alias("pos"), F.expr("doc_id div 10 + 1").alias("start_page"), F.expr("CASE WHEN doc_id % 7 = 0 THEN doc_id div 10 + 3 END").alias("end_page"), F.expr(TITLE).alias("title"))
     pages = documents(spark, sf).groupBy(F.col("source").alias("book_id")).agg((F.max(F.expr("doc_id div 10")) - 2).alias("pages"))
     return structure.page_ranges(rows, pages)
 
 
 @query
-def page_ranges(spark, sf, whole=False):
-    return _outline(spark, sf, whole)
+def page_ranges(spark, sf):
+    return _outline(spark, sf)
 
 
 @query
-def page_range_join(spark, sf, whole=False):
+def page_range_join(spark, sf):
     rows = documents(spark, sf).select(F.col("source").alias("book_id"), F.expr("doc_id div 10").alias("page_no"), F.col("doc_id").alias("block_no"), "n_chars")
-    return structure.page_blocks(_outline(spark, sf, whole), rows).groupBy("book_id", "section_pos").agg(F.count("*").alias("blocks"), F.sum("n_chars").alias("n_chars"))
+    return structure.page_blocks(_outline(spark, sf), rows).groupBy("book_id", "section_pos").agg(F.count("*").alias("blocks"), F.sum("n_chars").alias("n_chars"))
 
 
 # scores and selection
@@ -384,13 +385,12 @@ def priority_join(spark, sf):
 
 @query
 def utility_rank(spark, sf):
-    rows = candidates(spark, sf).withColumn("utility", F.round("utility", 6))
-    return scoring.ranked(rows).select("book_id", "block_id", "utility", "rank")
+    return scoring.ranked(candidates(spark, sf)).select("book_id", "block_id", "utility", "rank")
 
 
 @query
 def residual_order(spark, sf):
-    rows = candidates(spark, sf).withColumn("utility", F.round("utility", 6)).withColumns({"used": F.expr("cand_pos * 0 + 900"), "target": F.lit(1500).cast("long")})
+    rows = candidates(spark, sf).withColumns({"used": F.expr("cand_pos * 0 + 900"), "target": F.lit(1500).cast("long")})
     return scoring.residual_rank(rows, "used", "target").select("book_id", "block_id", "rank")
 
 
@@ -402,7 +402,7 @@ def top_alternatives(spark, sf):
 
 @query
 def anchor_order(spark, sf):
-    rows = candidates(spark, sf).withColumn("utility", F.round("utility", 6))
+    rows = candidates(spark, sf)
     place = F.row_number().over(W.partitionBy("book_id", "section_no").orderBy(F.desc("utility"), "word_count", "cand_pos"))
     return rows.select("book_id", "section_no", "block_id", place.cast("long").alias("rank"))
 
@@ -419,15 +419,15 @@ def _caps(spark, sf):
 
 @query
 def value_pass(spark, sf):
-    rows = scoring.ranked(candidates(spark, sf).withColumn("utility", F.round("utility", 6)))
+    rows = scoring.ranked(candidates(spark, sf))
     return selection.value_pass(rows, _caps(spark, sf), targets(spark, sf)).select("book_id", "block_id", "rank")
 
 
 def chosen(spark: SparkSession, sf: str) -> DataFrame:
     s = block_sections(spark, sf).join(_caps(spark, sf), ["book_id", "section_no"], "left").withColumns({"cover": F.lit(True), "included": F.lit(True)})
-    goals = graph.mandatory_order(requirements(spark, sf, whole=True), path(spark, sf, whole=True))
-    picked = selection.select(candidates(spark, sf, whole=True), s, goals, targets(spark, sf))
-    return selection.reading_order(picked.join(candidates(spark, sf, whole=True), ["book_id", "block_id"]), block_sections(spark, sf))
+    goals = graph.mandatory_order(requirements(spark, sf), path(spark, sf))
+    picked = selection.select(candidates(spark, sf), s, goals, targets(spark, sf))
+    return selection.reading_order(picked.join(candidates(spark, sf), ["book_id", "block_id"]), block_sections(spark, sf))
 
 
 @query
@@ -435,37 +435,27 @@ def full_selection(spark, sf):
     return chosen(spark, sf).select("book_id", "block_id", "reading_pos", "protected", F.array_join("protected_for", ",").alias("protected_for"), "target")
 
 
-def _simple_choice(spark, sf, whole=False):
-    """Two of three candidates in reading order, as in the SQL, or (whole) the operators' own selection, for queries that follow it."""
-    if whole:
-        return chosen(spark, sf)
-    c = candidates(spark, sf).where("doc_id % 3 <> 1").withColumn("protected_for", F.when(F.expr("doc_id % 7 = 0"), F.array(F.lit("R1"))).otherwise(F.array().cast("array<string>")))
-    return selection.reading_order(c, block_sections(spark, sf))
-
-
 @query
-def reading_order(spark, sf, whole=False):
-    return _simple_choice(spark, sf, whole).select("book_id", "block_id", "reading_pos")
+def reading_order(spark, sf):
+    return chosen(spark, sf).select("book_id", "block_id", "reading_pos")
 
 
 @query
-def qc_removals(spark, sf, whole=False):
-    c = _simple_choice(spark, sf, whole)
-    return selection.review_removals(c, candidates(spark, sf).where("doc_id % 2 = 0").select("book_id", "block_id"))
+def qc_removals(spark, sf):
+    return selection.review_removals(chosen(spark, sf), candidates(spark, sf).where("doc_id % 2 = 0").select("book_id", "block_id"))
 
 
 @query
-def qc_additions(spark, sf, whole=False):
-    kept = _simple_choice(spark, sf, whole)
-    kept = kept if whole else kept.where("doc_id % 5 = 0")
+def qc_additions(spark, sf):
+    """One candidate of four is asked for."""
     c = candidates(spark, sf).withColumn("protected_for", F.when(F.expr("doc_id % 11 = 0"), F.array(F.lit("R1"))).otherwise(F.array().cast("array<string>")))
     asked = candidates(spark, sf).where("doc_id % 4 = 1").select("book_id", F.col("cand_pos").alias("pos"), "block_id")
-    return selection.review_additions(kept, c, asked, _caps(spark, sf), targets(spark, sf)).select("book_id", "block_id", "pos")
+    return selection.review_additions(chosen(spark, sf), c, asked, _caps(spark, sf), targets(spark, sf)).select("book_id", "block_id", "pos")
 
 
 @query
-def omission_gaps(spark, sf, whole=False):
-    return bridges.gaps(_simple_choice(spark, sf, whole))
+def omission_gaps(spark, sf):
+    return bridges.gaps(chosen(spark, sf))
 
 
 @query
@@ -475,8 +465,8 @@ def turn_gaps(spark, sf):
     return bridges.gaps(rows)
 
 
-def _proposals(spark, sf, whole=False):
-    g = bridges.gaps(_simple_choice(spark, sf, whole))
+def _proposals(spark, sf):
+    g = bridges.gaps(chosen(spark, sf))
     rows = g.withColumns({"n": F.col("pos"), "text": F.concat(F.expr("CASE WHEN pos % 3 = 0 THEN 'Transition: ' ELSE '' END"), F.expr("CASE WHEN pos % 7 = 0 THEN '  ' ELSE concat('leads on to ', after_id) END")), "necessary": F.expr("pos % 5 <> 0"), "grounding_blocks": F.array("after_id", F.lit("K999999")), "grounding_requirements": F.array(F.lit("R1"), F.lit("R77"))})
     late = rows.where("pos % 4 = 1").withColumns({"pos": F.col("pos") + 1000, "text": F.concat(F.col("text"), F.lit(" again"))})
     stray = rows.where("pos % 6 = 1").withColumns({"pos": F.col("pos") + 2000, "after_id": F.lit("K0x")})
@@ -484,39 +474,39 @@ def _proposals(spark, sf, whole=False):
 
 
 @query
-def transition_accept(spark, sf, whole=False):
-    g, p = _proposals(spark, sf, whole)
-    found = bridges.accepted(p, g, requirements(spark, sf, whole))
+def transition_accept(spark, sf):
+    g, p = _proposals(spark, sf)
+    found = bridges.accepted(p, g, requirements(spark, sf))
     return found.select("book_id", "pos", "before_id", "after_id", "text", F.array_join("grounding_blocks", ",").alias("blocks"), F.array_join("grounding_requirements", ",").alias("requirements"))
 
 
 @query
-def transition_checks(spark, sf, whole=False):
-    g, p = _proposals(spark, sf, whole)
+def transition_checks(spark, sf):
+    g, p = _proposals(spark, sf)
     b = bridges.accepted(p, g)
     checks = b.withColumns({"seq": F.col("pos"), "grounded": F.expr("pos % 4 <> 2"), "new_claim": F.expr("pos % 9 = 1"), "impersonates": F.lit(False), "wordy": F.expr("pos % 13 = 3"), "approved_text": F.concat(F.lit("Editorial transition: "), "text")})
     return bridges.approved(b, checks.where("pos % 8 <> 7"), 5).select("book_id", "pos", "text")
 
 
 @query
-def transition_budget(spark, sf, whole=False):
-    rows = _simple_choice(spark, sf, whole)
+def transition_budget(spark, sf):
+    rows = chosen(spark, sf)
     b = bridges.gaps(rows).withColumn("words", F.expr("pos * 7 % 23 + 5"))
     return bridges.within_budget(b, rows.groupBy("book_id").agg(F.sum("word_count").alias("words")), 0.02).select("book_id", "pos", F.col("words").cast("long").alias("words"))
 
 
 @query
-def section_balance(spark, sf, whole=False):
+def section_balance(spark, sf):
     s = block_sections(spark, sf).select("book_id", "section_no", "word_count")
-    kept = _simple_choice(spark, sf, whole).groupBy("book_id", "section_no").agg(F.sum("word_count").alias("retained"))
+    kept = chosen(spark, sf).groupBy("book_id", "section_no").agg(F.sum("word_count").alias("retained"))
     rows = s.join(kept, ["book_id", "section_no"], "left").withColumn("retained", F.coalesce("retained", F.lit(0)).cast("long"))
     edition = F.sum("retained").over(W.partitionBy("book_id"))
     return rows.select("book_id", "section_no", "retained", F.round(F.col("retained") / F.greatest("word_count", F.lit(1)), 6).alias("of_section"), F.round(F.col("retained") / F.greatest(edition, F.lit(1)), 6).alias("of_edition"))
 
 
 @query
-def edition_summary(spark, sf, whole=False):
-    c = _simple_choice(spark, sf, whole).groupBy("book_id").agg(F.sum("word_count").alias("selected"), F.count("*").alias("blocks"))
+def edition_summary(spark, sf):
+    c = chosen(spark, sf).groupBy("book_id").agg(F.sum("word_count").alias("selected"), F.count("*").alias("blocks"))
     t = block_sections(spark, sf).groupBy("book_id").agg(F.sum("word_count").alias("source_words")).join(targets(spark, sf), "book_id")
     return t.join(c, "book_id").select("book_id", "source_words", "target", "selected", "blocks", F.round(F.col("selected") / F.greatest("source_words", F.lit(1)), 6).alias("share"))
 
@@ -524,61 +514,59 @@ def edition_summary(spark, sf, whole=False):
 # requirement graph
 
 
-def _ordered(spark, sf, whole=False):
-    return _simple_choice(spark, sf, whole).withColumn("ord", F.col("reading_pos"))
+def _ordered(spark, sf):
+    return chosen(spark, sf).withColumn("ord", F.col("reading_pos"))
 
 
 @query
-def requirement_coverage(spark, sf, whole=False):
-    found = graph.coverage(_ordered(spark, sf, whole), requirements(spark, sf, whole))
+def requirement_coverage(spark, sf):
+    found = graph.coverage(_ordered(spark, sf), requirements(spark, sf))
     return found.select("book_id", "requirement_id", "must", F.array_join("block_ids", ",").alias("block_ids"))
 
 
 @query
-def missing_required(spark, sf, whole=False):
-    rows = _ordered(spark, sf, whole)
-    return graph.missing(rows if whole else rows.where("doc_id % 9 = 0"), requirements(spark, sf, whole))
+def missing_required(spark, sf):
+    return graph.missing(_ordered(spark, sf), requirements(spark, sf))
 
 
 @query
-def support_repair(spark, sf, whole=False):
-    _, edges = graph.repaired(requirements(spark, sf, whole), relations(spark, sf, whole))
+def support_repair(spark, sf):
+    _, edges = graph.repaired(requirements(spark, sf), relations(spark, sf))
     return edges.select("book_id", "pos", "source", "target", "relation", "weak")
 
 
 @query
-def support_synthetic(spark, sf, whole=False):
-    made, _ = graph.repaired(requirements(spark, sf, whole), relations(spark, sf, whole))
+def support_synthetic(spark, sf):
+    made, _ = graph.repaired(requirements(spark, sf), relations(spark, sf))
     return made.where("requirement_id LIKE 'auto%'").select("book_id", "pos", "requirement_id", "kind", "importance", "must")
 
 
 @query
-def support_promote(spark, sf, whole=False):
-    return graph.promoted(*graph.repaired(requirements(spark, sf, whole), relations(spark, sf, whole))).select("book_id", "requirement_id", "importance", "must")
+def support_promote(spark, sf):
+    return graph.promoted(*graph.repaired(requirements(spark, sf), relations(spark, sf))).select("book_id", "requirement_id", "importance", "must")
 
 
 @query
-def map_violations(spark, sf, whole=False):
-    doubled = requirements(spark, sf, whole).where("pos % 10 < 9 OR book_id LIKE '%7'")
+def map_violations(spark, sf):
+    doubled = requirements(spark, sf).where("pos % 10 < 9 OR book_id LIKE '%7'")  # some are unknown, so that there is something to find
     doubled = doubled.unionByName(doubled.where("book_id = 'src6' AND pos = 3"))
-    return graph.violations(doubled, relations(spark, sf, whole), path(spark, sf, whole))
+    return graph.violations(doubled, relations(spark, sf), path(spark, sf))
 
 
 @query
-def mandatory_order(spark, sf, whole=False):
-    return graph.mandatory_order(requirements(spark, sf, whole), path(spark, sf, whole))
+def mandatory_order(spark, sf):
+    return graph.mandatory_order(requirements(spark, sf), path(spark, sf))
 
 
 @query
-def section_requirements(spark, sf, whole=False):
-    d = documents(spark, sf) if whole else documents(spark, sf).where("doc_id < 120")
-    s = d.select(F.col("source").alias("book_id"), F.concat(F.lit("S"), F.expr("doc_id div 20")).alias("section_id"))
-    return graph.section_requirements(s, requirements(spark, sf, whole).where("size(sections) > 0 OR book_id = 'src6'"))
+def section_requirements(spark, sf):
+    s = documents(spark, sf).select(F.col("source").alias("book_id"), F.concat(F.lit("S"), F.expr("doc_id div 20")).alias("section_id"))
+    return graph.section_requirements(s, requirements(spark, sf).where("size(sections) > 0 OR book_id = 'src6'"))
 
 
 @query
-def proposition_supports(spark, sf, whole=False):
-    found = graph.proposition_supports(*graph.repaired(requirements(spark, sf, whole), relations(spark, sf, whole)))
+def proposition_supports(spark, sf):
+    found = graph.proposition_supports(*graph.repaired(requirements(spark, sf), relations(spark, sf)))
     return found.select("book_id", "requirement_id", F.array_join("supports", ",").alias("supports"))
 
 
@@ -602,23 +590,21 @@ def report_lines(spark, sf):
 
 
 @query
-def edition_lines(spark, sf, whole=False):
-    """Passages are the documents' first 40 characters, as in the SQL, or (whole) their texts."""
-    c = _simple_choice(spark, sf, whole)
+def edition_lines(spark, sf):
+    """Passages are whole documents."""
+    c = chosen(spark, sf)
     titles = block_sections(spark, sf).withColumn("title", F.concat(F.lit("Section "), "section_no"))
     b = bridges.gaps(c).where("pos % 3 = 0").withColumns({"text": F.concat(F.lit("to "), "after_id"), "necessary": F.lit(True)})
-    body = documents(spark, sf).select(F.col("source").alias("book_id"), F.concat(F.lit("K"), "doc_id").alias("block_id"), (F.col("text") if whole else F.substring("text", 1, 40)).alias("text"))
+    body = documents(spark, sf).select(F.col("source").alias("book_id"), F.concat(F.lit("K"), "doc_id").alias("block_id"), "text")
     return render.as_text(render.edition(c.join(body, ["book_id", "block_id"]), titles, b))
 
 
 # files: archives are built from the documents' lines, then read as any other
 
 
-def _archives(spark, sf, kind: str, whole: bool = False) -> DataFrame:
-    """One EPUB or Word file per source, of the documents below 400 as in the SQL, or (whole) one for every 100 ids of a source, of all documents:
-    documents are sections with the title as heading and lines as paragraphs."""
-    d = documents(spark, sf)
-    d = d.withColumn("source", F.concat("source", F.lit("-"), F.expr("doc_id div 100"))) if whole else d.where("doc_id < 400")
+def _archives(spark, sf, kind: str) -> DataFrame:
+    """An EPUB or Word file for every 100 ids of a source: documents are sections with the title as heading and lines as paragraphs."""
+    d = documents(spark, sf).withColumn("source", F.concat("source", F.lit("-"), F.expr("doc_id div 100")))
     rows = d.select("source", F.struct("doc_id", F.expr(TITLE).alias("title"), "text").alias("d"))
     per = rows.groupBy("source").agg(F.array_sort(F.collect_list("d")).alias("docs"))
 
@@ -652,19 +638,19 @@ def _archives(spark, sf, kind: str, whole: bool = False) -> DataFrame:
     return per.mapInPandas(build, "book_id string, stem string, format string, content binary")
 
 
-def _parsed_sections(spark, sf, kind: str, whole: bool = False) -> DataFrame:
-    paras = structure.paragraphs(loaders.blocks_of(loaders.read_archives(_archives(spark, sf, kind, whole))))
+def _parsed_sections(spark, sf, kind: str) -> DataFrame:
+    paras = structure.paragraphs(loaders.blocks_of(loaders.read_archives(_archives(spark, sf, kind))))
     return structure.sections(paras).select("book_id", "section_id", "title", "kind", "paragraphs", "word_count")
 
 
 @query
-def epub_sections(spark, sf, whole=False):
-    return _parsed_sections(spark, sf, "epub", whole)
+def epub_sections(spark, sf):
+    return _parsed_sections(spark, sf, "epub")
 
 
 @query
-def docx_sections(spark, sf, whole=False):
-    return _parsed_sections(spark, sf, "docx", whole)
+def docx_sections(spark, sf):
+    return _parsed_sections(spark, sf, "docx")
 
 
 @query
@@ -685,21 +671,17 @@ def page_book_sections(spark, sf):
     return found.groupBy("book_id", "section_pos", "title").agg(F.count("*").alias("blocks"), F.sum(text.word_count("text")).alias("words"))
 
 
+@query
+def form_guidance(spark, sf):
+    return documents(spark, sf).select("doc_id", provider.guidance(F.expr(FORM)).alias("guidance"))
+
+
 @query
 def model_answers(spark, sf):
     """Offline answers to one request per chunk, parsed by schema."""
-    chunks = structure.bins(paras(spark, sf), ["book_id", "section_no"], "idx", "word_count", 200)
+    chunks = structure.bins(counts(spark, sf), ["book_id", "section_no"], "idx", "word_count", 200)
     one = F.struct("idx", text.numbered("P", "idx", 4).alias("paragraph_id"), "word_count")
     per = chunks.groupBy("book_id", "section_no", "chunk").agg(F.array_sort(F.collect_list(one)).alias("paragraphs"))
-    ask = per.select("book_id", (F.col("section_no") * 1000 + F.col("chunk")).alias("seq"), F.to_json(F.struct(F.concat(F.lit("S"), "section_no").alias("section_id"), "paragraphs")).alias("request"))
-    found = provider.parsed(provider.answers(ask, "analysis", provider.Offline(), 1), "analysis")
+    ask = per.select("book_id", (F.col("section_no") * F.lit(1_000_000).cast("long") + F.col("chunk")).alias("seq"), F.to_json(F.struct(F.concat(F.lit("S"), "section_no").alias("section_id"), "paragraphs")).alias("request"))
+    found = provider.parsed(provider.answered(ask, "analysis", provider.answers(ask, "analysis", provider.Offline(), 1)), "analysis")
     return found.select("book_id", "seq", "a.role", "a.contribution")
-
-
-#: NAME_whole reads all documents where the SQL of NAME holds it to some of them.
-WHOLE = (
-    "kind_titles", "link_scores", "transition_accept", "requirement_coverage", "missing_required", "support_repair", "support_synthetic", "support_promote", "map_violations", "mandatory_order",
-    "section_requirements", "proposition_supports", "page_ranges", "page_range_join", "reading_order", "qc_removals", "qc_additions", "omission_gaps", "transition_checks", "transition_budget", "section_balance",
-    "edition_summary", "edition_lines", "epub_sections", "docx_sections",
-)
-QUERIES.update({f"{name}_whole": partial(QUERIES[name], whole=True) for name in WHOLE})
