@@ -19,7 +19,6 @@ from .epub import Raw, read_epub
 FORMATS = ("txt", "md", "docx", "epub", "pdf")
 BLOCKS = "book_id string, section_pos long, title string, block_pos long, text string, page int"
 ABOUT = "book_id string, title string, format string, proceed boolean, diagnostics string, error string"
-LINE_END = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
@@ -32,7 +31,7 @@ def files(spark: SparkSession, path: str) -> DataFrame:
 
 def read_text(found: DataFrame) -> DataFrame:
     """Raw blocks of plain and Markdown text; broken UTF-8 is replaced."""
-    lines = F.posexplode(F.split(F.make_valid_utf8(F.col("content").cast("string")), LINE_END))
+    lines = F.posexplode(F.split(F.make_valid_utf8(F.col("content").cast("string")), text.LINE_END))
     rows = found.where(F.col("format").isin("txt", "md")).select("book_id", lines.alias("line_no", "line"))
     return structure.section_blocks(structure.segment_lines(rows))
 
@@ -48,7 +47,7 @@ def _parsed(found: DataFrame, read: Callable[[bytes, str], Raw]) -> DataFrame:
                 except Exception as e:  # a broken file is reported, not raised: others go on
                     raw, error = Raw(r.stem, [], {}), f"{type(e).__name__}: {e}"
                 blocks = [{"section_pos": i, "title": t, "block_pos": k, "text": x, "page": p} for i, (t, own) in enumerate(raw.sections, 1) for k, (x, p) in enumerate(own, 1)]
-                yield pd.DataFrame([{"book_id": r.book_id, "title": raw.title, "format": r.format, "proceed": raw.diagnostics.get("proceed_with_llm_extraction"), "diagnostics": json.dumps(raw.diagnostics, ensure_ascii=False), "error": error, "blocks": blocks}])
+                yield pd.DataFrame([{"book_id": r.book_id, "title": raw.title, "format": r.format, "proceed": raw.diagnostics.get("proceed"), "diagnostics": json.dumps(raw.diagnostics, ensure_ascii=False), "error": error, "blocks": blocks}])
 
     schema = f"{ABOUT}, blocks array<struct<section_pos: long, title: string, block_pos: long, text: string, page: int>>"
     return found.select("book_id", "stem", "format", "content").mapInPandas(run, schema)
@@ -116,8 +115,12 @@ def read_chapter_map(spark: SparkSession, path: str, book_id: str | None = None)
 
 
 def load_books(spark: SparkSession, path: str, extract: PageExtractor | None = None, chapter_map: DataFrame | None = None, boilerplate: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
-    """Raw blocks and diagnostics of all files that path names. Unsupported files, and PDFs without an extractor, show in `error`."""
-    found = files(spark, path)
+    """Raw blocks and diagnostics of all files that path names."""
+    return read_books(files(spark, path), extract, chapter_map, boilerplate)
+
+
+def read_books(found: DataFrame, extract: PageExtractor | None = None, chapter_map: DataFrame | None = None, boilerplate: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Raw blocks and diagnostics of files (book_id, stem, format, content). Unsupported ones, and PDFs without an extractor, show in `error`."""
     archives = read_archives(found)
     blocks = read_text(found).unionByName(blocks_of(archives))
     about = archives.drop("blocks")
@@ -132,6 +135,6 @@ def load_books(spark: SparkSession, path: str, extract: PageExtractor | None = N
         pdf = found.where("format = 'pdf'").join(pages, "book_id", "left").join(words, "book_id", "left")
         n = F.coalesce("words", F.lit(0))
         risk = F.when((n < 500) & (F.col("images") > F.col("pages") * 0.5), "high").when((F.col("images") > F.col("pages")) & (n < 5000), "medium").otherwise("low")
-        detail = F.to_json(F.struct(F.lit("PDF").alias("format"), "pages", F.col("images").alias("content_image_elements"), risk.alias("image_only_content_risk")))
+        detail = F.to_json(F.struct(F.lit("PDF").alias("format"), "pages", F.col("images").alias("images_shown"), risk.alias("image_risk")))
         about = about.unionByName(pdf.select("book_id", F.col("stem").alias("title"), "format", ((risk != "high") & (n >= 500)).alias("proceed"), detail.alias("diagnostics"), F.when(n == 0, "no outline or no text; give a chapter map or an OCR text layer").alias("error")))
     return blocks, about
