@@ -5,7 +5,6 @@ from __future__ import annotations
 import logging
 import sys
 from dataclasses import replace
-from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -15,17 +14,15 @@ from .plans import config, outputs, pipeline
 def main(argv: list[str] | None = None) -> int:
     c = config.parse(sys.argv[1:] if argv is None else argv)
     logging.basicConfig(level=logging.DEBUG if c.verbose else logging.INFO)
-    folder = outputs.run_folder(Path(c.output), c.input, c.reuse_output)
-    if c.reset_output:
-        outputs.reset(folder)
     spark = SparkSession.builder.appName("lapidary").getOrCreate()
     try:
-        found = pipeline.run(spark, replace(c, output=str(folder)))
+        folder = outputs.run_folder(spark, c.output, c.input, c.reuse_output)
+        if c.reset_output:
+            outputs.reset(spark, folder)
+        found = pipeline.run(spark, replace(c, output=folder))
         found.show(truncate=60)
         if not c.parse_only:
-            for path in outputs.export_texts(spark, str(folder), folder / "texts"):
-                if path.name.endswith(".edition.md"):
-                    outputs.write_docx(path.read_text(encoding="utf-8"), path.with_suffix(".docx"))
+            outputs.export(spark, folder, c.page_size, c.font_size)
         return 0
     except Exception:
         logging.exception("the run failed")

@@ -27,7 +27,7 @@ def accepted(proposals: DataFrame, pairs: DataFrame, requirements: DataFrame | N
     if requirements is not None:
         known = requirements.groupBy("book_id").agg(F.collect_set("requirement_id").alias("known"))
         rows = rows.join(known, "book_id", "left").withColumn("grounding_requirements", F.filter("grounding_requirements", lambda r: F.coalesce(F.array_contains("known", r), F.lit(False)))).drop("known")
-    kept = ("text", "necessary", "grounding_blocks", "grounding_requirements")
+    kept = tuple(c for c in ("kind", "text", "necessary", "grounding_blocks", "grounding_requirements") if c in rows.columns)
     once = rows.groupBy("book_id", "before_id", "after_id").agg(F.min("pos").alias("pos"), F.max_by(F.struct(*kept), "pos").alias("v"))
     return once.select("book_id", "pos", "before_id", "after_id", "v.*")
 

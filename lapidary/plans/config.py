@@ -33,6 +33,7 @@ class Config:
     page_size: str = "small-tablet"
     font_size: int = 14
     model: str = "offline"
+    endpoint: str = ""
     verbose: bool = False
 
 
@@ -49,6 +50,7 @@ def problems(c: Config) -> list[str]:
         "bridge_batch must be at least 1": c.bridge_batch >= 1,
         "bridge_share must be between 0 and 1": 0 <= c.bridge_share <= 1,
         "font_size must be between 6 and 40": 6 <= c.font_size <= 40,
+        "a model other than offline needs an endpoint": c.model == "offline" or bool(c.endpoint),
         f"coverage must be one of {', '.join(COVERAGE_MODES)}": c.coverage in COVERAGE_MODES,
         f"bridges must be one of {', '.join(BRIDGE_MODES)}": c.bridges in BRIDGE_MODES,
         f"page_size must be one of {', '.join(PAGE_SIZES)}": c.page_size in PAGE_SIZES,

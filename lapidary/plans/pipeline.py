@@ -11,18 +11,24 @@ from ..functions import rules, text
 from ..operators import bridges as B
 from ..operators import graph, scoring, selection, structure
 from ..sources import loaders
-from . import render
+from . import files, render
 from . import provider as P
 from .config import Config, problems
 
 ARTEFACTS = ("paragraphs", "sections", "books", "violations", "structure_report", "overview", "analyses", "requirements", "relations", "path", "map_violations", "candidates", "scored", "chosen", "review", "bridges", "edition", "audit", "guide", "summary")
 
 
+def _seq():
+    """A chunk's place in its book."""
+    return (F.col("section_no") * 1_000_000 + F.col("chunk")).cast("long")
+
+
 class Run:
     def __init__(self, spark: SparkSession, config: Config, provider=None, extract=None) -> None:
         if found := problems(config):
             raise ValueError("; ".join(found))
-        self.spark, self.config, self.provider, self.extract = spark, config, provider or P.Offline(), extract
+        hosted = None if config.model == "offline" else P.Hosted(config.model, config.endpoint)
+        self.spark, self.config, self.provider, self.extract = spark, config, provider or hosted or P.Offline(), extract
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.config.output}/{name}"
@@ -30,8 +36,15 @@ class Run:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def ask(self, requests: DataFrame, stage: str) -> DataFrame:
-        found = P.answers(requests, stage, self.provider, self.config.retries)
-        return P.parsed(self.keep(found, f"answers/{stage}"), stage)
+        """Parsed answers. What the output folder already holds, of this run or an earlier one, is not asked for again; new answers are
+        appended before anything reads them. An answer counts by its request's hash."""
+        store = f"{self.config.output}/answers/{stage}"
+        requests = self.keep(requests, f"requests/{stage}")
+        known = self.spark.read.schema("hash string, answer string, error string").parquet(store) if files.exists(self.spark, store) else None
+        P.answers(requests, stage, self.provider, self.config.retries, known).write.mode("append").parquet(store)
+        found = P.answered(requests, stage, self.spark.read.schema("hash string, answer string, error string").parquet(store))
+        self.keep(P.extra_keys(found, stage), f"extra_keys/{stage}")
+        return P.parsed(found, stage)
 
     # parse
 
@@ -68,7 +81,7 @@ class Run:
         rows = t["paragraphs"].join(included.select("book_id", "section_no"), ["book_id", "section_no"], "left_semi")
         chunks = self.keep(structure.bins(rows, ["book_id", "section_no"], "idx", "word_count", c.chunk_words), "chunks")
         per = self._rendered(chunks, ["book_id", "section_no", "section_id", "title", "chunk"])
-        per = self.keep(per.withColumn("seq", (F.col("section_no") * 1000 + F.col("chunk")).cast("long")), "chunk_texts")
+        per = self.keep(per.withColumn("seq", _seq()), "chunk_texts")
         ask = per.select("book_id", "seq", F.to_json(F.struct("section_id", "title", "chunk", "paragraphs")).alias("request"))
         # ids are stamped from the request, whatever the answer says
         analyses = self.ask(ask, "analysis").join(per.select("book_id", "seq", "section_no", "section_id", "chunk"), ["book_id", "seq"])
@@ -91,12 +104,12 @@ class Run:
 
     def nominate(self, t: dict[str, DataFrame]) -> DataFrame:
         fits = graph.section_requirements(t["sections"], t["requirements"]).groupBy("book_id", "section_id").agg(F.array_sort(F.collect_set("requirement_id")).alias("requirements"))
-        per = t["chunk_texts"].join(fits, ["book_id", "section_id"], "left")
+        per = t["chunk_texts"].join(fits, ["book_id", "section_id"], "left").join(t["overview"].select("book_id", P.guidance(F.col("form")).alias("guidance")), "book_id", "left")
         words = F.greatest(F.lit(100).cast("long"), (F.col("words") * F.lit(self.config.candidate_ratio).cast("double")).cast("long"))
-        ask = per.select("book_id", "seq", F.to_json(F.struct("section_id", "title", "requirements", words.alias("words"), "paragraphs")).alias("request"))
+        ask = per.select("book_id", "seq", F.to_json(F.struct("section_id", "title", "requirements", words.alias("words"), "guidance", "paragraphs")).alias("request"))
         found = self.ask(ask, "nominate").select("book_id", "seq", F.posexplode("a.blocks").alias("n", "b")).select("book_id", "seq", "n", "b.*")
         chunk = t["chunks"].withColumn("pos", F.row_number().over(W.partitionBy("book_id", "section_no", "chunk").orderBy("idx")).cast("long"))
-        chunk = chunk.select("book_id", "section_no", (F.col("section_no") * 1000 + F.col("chunk")).cast("long").alias("seq"), "pos", "idx", "paragraph_id", "text", "word_count")
+        chunk = chunk.select("book_id", "section_no", _seq().alias("seq"), "pos", "idx", "paragraph_id", "text", "word_count")
         wanted = found.select("book_id", "seq", "n", "reason", F.explode("paragraph_ids").alias("paragraph_id")).join(chunk, ["book_id", "seq", "paragraph_id"])
         runs = structure.run_blocks(wanted.where(F.col("n").isNotNull()), ["book_id", "seq", "n"])
         number = F.row_number().over(W.partitionBy("book_id", "seq").orderBy("n", "run"))
@@ -161,7 +174,7 @@ class Run:
 
     def bridge(self, t: dict[str, DataFrame], chosen: DataFrame) -> DataFrame:
         c = self.config
-        empty = self.spark.createDataFrame([], "book_id string, pos long, before_id string, after_id string, text string, necessary boolean, grounding_blocks array<string>, grounding_requirements array<string>")
+        empty = self.spark.createDataFrame([], "book_id string, pos long, before_id string, after_id string, kind string, text string, necessary boolean, grounding_blocks array<string>, grounding_requirements array<string>")
         if c.bridges == "none":
             return self.keep(empty, "bridges")
         pairs = self.keep(B.gaps(chosen), "gaps")
@@ -174,7 +187,7 @@ class Run:
             return per.select("book_id", F.col("batch").alias("seq"), F.to_json(F.struct(F.lit(c.bridges).alias("mode"), F.lit(c.bridge_words).alias("most_words"), what)).alias("request"))
 
         found = self.ask(batched(shown, "pairs", ["before_id", "before_text", "after_id", "after_text"]), "bridge")
-        found = found.select("book_id", "seq", F.posexplode("a.bridges").alias("n", "b")).select("book_id", (F.col("seq") * 10_000 + F.col("n")).cast("long").alias("pos"), "b.before_id", "b.after_id", F.coalesce("b.text", F.lit("")).alias("text"), F.coalesce("b.necessary", F.lit(False)).alias("necessary"), "b.grounding_blocks", "b.grounding_requirements")
+        found = found.select("book_id", "seq", F.posexplode("a.bridges").alias("n", "b")).select("book_id", (F.col("seq") * 10_000 + F.col("n")).cast("long").alias("pos"), "b.before_id", "b.after_id", "b.kind", F.coalesce("b.text", F.lit("")).alias("text"), F.coalesce("b.necessary", F.lit(False)).alias("necessary"), "b.grounding_blocks", "b.grounding_requirements")
         proposed = self.keep(B.accepted(found, pairs, t["requirements"]), "proposed_bridges")
         checks = self.ask(batched(proposed.join(shown.select("book_id", "before_id", "after_id", "before_text", "after_text"), ["book_id", "before_id", "after_id"]), "bridges", ["before_id", "before_text", "after_id", "after_text", "text"]), "check")
         checks = checks.select("book_id", "seq", F.posexplode("a.checks").alias("n", "k")).select("book_id", (F.col("seq") * 10_000 + F.col("n")).alias("seq"), "k.*")
@@ -194,7 +207,7 @@ class Run:
         cover = self.keep(graph.coverage(chosen.withColumn("ord", F.col("reading_pos")), t["requirements"]).join(t["requirements"].select("book_id", "requirement_id", "pos", "kind", "description", "importance"), ["book_id", "requirement_id"]), "coverage")
         selected = chosen.groupBy("book_id").agg(F.sum("word_count").alias("selected"), F.count("*").alias("blocks"))
         said = B.bridge_words(bridges)
-        summary = t["books"].join(targets, "book_id").join(selected, "book_id", "left").join(said, "book_id", "left").join(t["overview"].select("book_id", "form", "overview"), "book_id", "left")
+        summary = t["books"].join(targets, "book_id").join(selected, "book_id", "left").join(said, "book_id", "left").join(t["overview"].select("book_id", "form", "overview", F.col("central_question").alias("question"), "thesis"), "book_id", "left")
         summary = summary.withColumns({x: F.coalesce(x, F.lit(0)).cast("long") for x in ("selected", "blocks", "bridge_words")})
         missing = cover.where(F.col("must") & (F.size("block_ids") == 0)).groupBy("book_id").agg(F.array_sort(F.collect_set("requirement_id")).alias("missing"))
         summary = self.keep(summary.join(missing, "book_id", "left").withColumn("missing", F.coalesce("missing", F.array().cast("array<string>"))), "summary")

@@ -1,8 +1,8 @@
-"""Model calls behind a protocol. A provider answers (stage, request) with JSON; requests and answers are rows, answers are written by
-the request's hash before anything reads them, so that retried tasks and later runs ask nothing twice.
+"""Model calls behind a protocol. A provider answers (stage, request) with JSON; requests and answers are rows. Answers are written by the
+request's hash before anything reads them, and those already written are not asked for again (pipeline.Run.ask).
 
-`Offline` answers by plain rules, deterministically, for tests and dry runs; `Replay` answers from recorded rows. A provider for a
-hosted model only has to implement __call__ and be picklable."""
+`Offline` answers by plain rules, deterministically, for tests and dry runs; `Replay` answers from recorded rows; `Hosted` asks a model
+over HTTP. Other providers only have to implement __call__ and be picklable."""
 
 from __future__ import annotations
 
@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Names in the answers of each stage.
 FUNCTIONS = ("setup", "claim", "definition", "evidence", "turning_point", "consequence", "objection", "interpretation", "conclusion", "transition", "supporting")
 FORMS = ("argumentative", "historical_investigative_narrative", "biography_memoir", "technical_explanatory", "case_based_policy_business", "mixed")
 KINDS = ("central_question", "essential_term", "major_proposition", "supporting_argument", "evidence", "qualification", "objection", "response", "conclusion", "context")
@@ -29,7 +30,7 @@ SCHEMAS = {
     "relations array<struct<source: string, target: string, relation: string>>, path array<string>",
     "nominate": "blocks array<struct<paragraph_ids: array<string>, block_function: string, covers: array<string>, terms: array<string>, supports: array<string>, requires: array<string>, reason: string, importance: string, themes: array<string>, redundancy_risk: string>>",
     "score": f"scores array<struct<block_id: string, {', '.join(f'{r}: int' for r in RUBRIC)}, redundant_with: array<string>, rationale: string>>",
-    "review": "assessment string, remove_ids array<string>, add_ids array<string>, missing_requirements array<string>, notes array<struct<before_id: string, note: string>>",
+    "review": "assessment string, remove_ids array<string>, add_ids array<string>, missing array<string>, unsupported array<string>, undefined array<string>, notes array<struct<before_id: string, note: string>>",
     "bridge": "bridges array<struct<before_id: string, after_id: string, kind: string, text: string, necessary: boolean, grounding_blocks: array<string>, grounding_requirements: array<string>>>",
     "check": "checks array<struct<before_id: string, after_id: string, grounded: boolean, new_claim: boolean, impersonates: boolean, wordy: boolean, approved_text: string, reason: string>>",
 }
@@ -47,6 +48,24 @@ INSTRUCTIONS = {
 }
 
 
+#: What to look for in a book of each form; unknown forms count as mixed.
+GUIDANCE = {
+    "argumentative": "Follow the claim: what is asserted, on which grounds, and against which objections.",
+    "historical_investigative_narrative": "Follow events and evidence: turning points, causes, consequences, and how the author knows.",
+    "biography_memoir": "Follow a life: formative scenes, changes of course, and what the person made of them.",
+    "technical_explanatory": "Follow the explanation: terms before their use, mechanisms step by step, limits of validity.",
+    "case_based_policy_business": "Follow the cases: the problem, what was tried, what came of it, and the lesson drawn.",
+    "mixed": "Follow whichever thread the section serves, and keep the joints between threads.",
+}
+
+
+def guidance(form: Column) -> Column:
+    out = F.lit(GUIDANCE["mixed"])
+    for name, words in GUIDANCE.items():
+        out = F.when(form == name, words).otherwise(out)
+    return out
+
+
 class Provider(Protocol):
     def __call__(self, stage: str, request: dict[str, Any]) -> str: ...
 
@@ -63,6 +82,26 @@ class Replay:
         return self.answers[hashlib.sha256(json.dumps([stage, request], sort_keys=True, ensure_ascii=False).encode()).hexdigest()]
 
 
+class Hosted:
+    """Asks a model over HTTP: POST {model, instructions, input, schema} to an endpoint that answers with the stage's JSON, bare or in a field
+    `output`. The key comes from the environment variable that key_variable names, on the executors, if it is set there."""
+
+    def __init__(self, model: str, endpoint: str, key_variable: str = "LAPIDARY_KEY", seconds: float = 120.0) -> None:
+        self.model, self.endpoint, self.key_variable, self.seconds = model, endpoint, key_variable, seconds
+
+    def __call__(self, stage: str, request: dict[str, Any]) -> str:
+        import os
+        import urllib.request
+
+        body = {"model": self.model, "instructions": INSTRUCTIONS[stage], "input": request, "schema": SCHEMAS[stage]}
+        headers = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {os.environ[self.key_variable]}"} if self.key_variable in os.environ else {})
+        asked = urllib.request.Request(self.endpoint, json.dumps(body, ensure_ascii=False).encode(), headers)
+        with urllib.request.urlopen(asked, timeout=self.seconds) as answer:
+            found = json.loads(answer.read())
+        found = found.get("output", found) if isinstance(found, dict) else found
+        return found if isinstance(found, str) else json.dumps(found, ensure_ascii=False)
+
+
 class Offline:
     """Plain rules instead of a model."""
 
@@ -106,7 +145,7 @@ class Offline:
 
     @staticmethod
     def _review(r: dict) -> dict:
-        return {"assessment": f"{len(r['chosen'])} passages kept", "remove_ids": [], "add_ids": [a["block_id"] for a in r["alternatives"][:1]], "missing_requirements": [], "notes": []}
+        return {"assessment": f"{len(r['chosen'])} passages kept", "remove_ids": [], "add_ids": [a["block_id"] for a in r["alternatives"][:1]], "missing": [], "unsupported": [], "undefined": [], "notes": []}
 
     @staticmethod
     def _bridge(r: dict) -> dict:
@@ -122,13 +161,11 @@ def request_hash(stage: str, request: Column) -> Column:
 
 
 def answers(requests: DataFrame, stage: str, provider: Callable[[str, dict], str], retries: int, known: DataFrame | None = None) -> DataFrame:
-    """requests (book_id, seq, request: JSON) to (book_id, seq, hash, answer, error). Requests whose hash is known are not asked.
-    Failed or unparsable answers are tried again after min(2**n, 10) seconds; the last error is kept, not raised."""
-    rows = requests.withColumn("hash", request_hash(stage, F.col("request")))
-    old = None
+    """requests (book_id, seq, request: JSON) to (hash, answer, error), one row a request text. Requests whose hash is known (hash, answer) are not
+    asked. Failed or unparsable answers are tried again after min(2**n, 10) seconds; the last error is kept, not raised."""
+    rows = requests.select(request_hash(stage, F.col("request")).alias("hash"), "request").dropDuplicates(["hash"])
     if known is not None:
-        old = rows.join(known.select("hash", "answer"), "hash").select("book_id", "seq", "hash", "answer", F.lit(None).cast("string").alias("error"))
-        rows = rows.join(known.select("hash"), "hash", "left_anti")
+        rows = rows.join(known.where("answer IS NOT NULL").select("hash"), "hash", "left_anti")
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -145,11 +182,16 @@ def answers(requests: DataFrame, stage: str, provider: Callable[[str, dict], str
                         answer, error = None, f"{type(e).__name__}: {e}"
                         if n < retries:
                             time.sleep(min(2**n, 10))
-                out.append((r.book_id, r.seq, r.hash, answer, error))
-            yield pd.DataFrame(out, columns=["book_id", "seq", "hash", "answer", "error"])
+                out.append((r.hash, answer, error))
+            yield pd.DataFrame(out, columns=["hash", "answer", "error"])
+
+    return rows.repartition("hash").mapInPandas(ask, "hash string, answer string, error string")
+
 
-    asked = rows.repartition("hash").mapInPandas(ask, "book_id string, seq long, hash string, answer string, error string")
-    return asked if old is None else old.unionByName(asked)
+def answered(requests: DataFrame, stage: str, known: DataFrame) -> DataFrame:
+    """(book_id, seq, answer) of the requests that known (hash, answer) answers."""
+    once = known.where("answer IS NOT NULL").groupBy("hash").agg(F.min("answer").alias("answer"))
+    return requests.withColumn("hash", request_hash(stage, F.col("request"))).join(once, "hash").select("book_id", "seq", "answer")
 
 
 def parsed(found: DataFrame, stage: str) -> DataFrame:

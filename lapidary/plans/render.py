@@ -8,9 +8,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions.text import escape_cell, kind_title, strip
 
-NOTE = (
-    "*This edition consists of verbatim passages chosen from the original. Omissions are marked by centered dots. Brief bridges in italics may stand between passages; they are not part of the original.*"
-)
+NOTE = "*All passages below are the author's own words, unchanged. A row of stars stands where something was left out. A line in italics after one leads over to the next passage and was written for this edition.*"
 
 
 def _lines(df: DataFrame, place: list, lines: list) -> DataFrame:
@@ -43,27 +41,38 @@ def edition(chosen: DataFrame, sections: DataFrame, bridges: DataFrame, books: D
     first = F.col("reading_pos") == F.min("reading_pos").over(W.partitionBy("book_id"))
     rows = rows.withColumn("first", first)
     rule, blank = F.when(~F.col("first"), "* * *"), F.when(~F.col("first"), "")
-    bridge = F.when(~F.col("first") & F.col("bridge").isNotNull(), F.concat(F.lit("*Editorial transition: "), "bridge", F.lit("*")))
+    bridge = F.when(~F.col("first") & F.col("bridge").isNotNull(), F.concat(F.lit("*[Leading on] "), "bridge", F.lit("*")))
     shown = sections.join(chosen.select("book_id", "section_no").distinct(), ["book_id", "section_no"], "left_semi")
     return _union([
-        _lines(titles, [0, 0, 0], [F.concat(F.lit("# "), "title"), "", "## Condensed reading edition", "", NOTE, ""]),
+        _lines(titles, [0, 0, 0], [F.concat(F.lit("# "), "title"), "", NOTE, ""]),
         _lines(shown, [1, F.col("section_pos"), 0], [F.concat(F.lit("## "), "title"), ""]),
         _lines(rows, [1, F.col("section_pos"), F.col("reading_pos")], [blank, rule, blank, bridge, F.when(bridge.isNotNull(), ""), strip("text"), ""]),
     ])
 
 
 def structure_report(sections: DataFrame, about: DataFrame | None = None) -> DataFrame:
-    """The parsed structure: totals, diagnostics and a table of sections (book_id, section_no, section_id, title, kind, paragraphs, word_count)."""
-    totals = sections.groupBy("book_id").agg(
-        F.count("*").alias("n"), F.coalesce(F.sum(F.when(F.col("kind") != "exclude", F.col("word_count"))), F.lit(0)).alias("included"), F.coalesce(F.sum(F.when(F.col("kind") == "exclude", F.col("word_count"))), F.lit(0)).alias("excluded"),
-    )
+    """What was read: word totals, a table of sections (book_id, section_no, section_id, title, kind, paragraphs, word_count) and, from about
+    (book_id, diagnostics as JSON, error), how sure the reading is and what to look at."""
+    kept = F.col("kind") != "exclude"
+    sum_of = lambda which: F.coalesce(F.sum(F.when(which, F.col("word_count"))), F.lit(0))
+    totals = sections.groupBy("book_id").agg(F.count("*").alias("n"), sum_of(kept).alias("read"), sum_of(~kept).alias("left"))
     row = F.concat(F.lit("| "), "section_id", F.lit(" | "), escape_cell("title"), F.lit(" | "), "kind", F.lit(" | "), "paragraphs", F.lit(" | "), "word_count", F.lit(" |"))
-    parts = [
-        _lines(totals, [0, 0], [F.concat(F.lit("# Parsed structure: "), "book_id"), "", F.concat(F.lit("- Sections: "), "n"), F.concat(F.lit("- Included words: "), "included"), F.concat(F.lit("- Excluded words: "), "excluded"), "", "| Section | Title | Kind | Paragraphs | Words |", "|---|---|---|---:|---:|"]),
-        _lines(sections, [1, F.col("section_no")], [row]),
+    head = [
+        F.concat(F.lit("# What was read: "), "book_id"), "", F.concat("n", F.lit(" sections; "), "read", F.lit(" words to choose from, "), "left", F.lit(" words set aside.")), "",
+        "| Section | Heading | Use | Paragraphs | Words |", "|---|---|---|---:|---:|",
     ]
+    parts = [_lines(totals, [0, 0], head), _lines(sections, [1, F.col("section_no")], [row])]
     if about is not None:
-        parts.append(_lines(about, [2, 0], ["", "## Diagnostics", "", F.coalesce("diagnostics", F.lit("{}")), F.concat(F.lit("- Error: "), "error")]))
+        said = about.select("book_id", "error", F.from_json("diagnostics", "contents_from string, confidence string, proceed boolean, image_risk string, images_shown long, front_words long, fixed_layout array<string>, notes array<string>").alias("d"))
+        line = lambda label, c: F.concat(F.lit(f"- {label}: "), c)
+        how = [
+            "", "## How sure the reading is", "", line("Sections come from", F.col("d.contents_from")), line("Confidence", F.col("d.confidence")), line("Fit to go on", F.when(F.col("d.proceed"), "yes").when(~F.col("d.proceed"), "no")),
+            line("Risk that pages are pictures", F.col("d.image_risk")), line("Pictures shown", F.col("d.images_shown")), line("Words before any section", F.col("d.front_words")), line("Drawn pages, by", F.when(F.size("d.fixed_layout") > 0, F.array_join("d.fixed_layout", ", "))),
+        ]
+        parts.append(_lines(said.where("d.confidence IS NOT NULL OR d.image_risk IS NOT NULL"), [2, 0], how))
+        warned = said.select("book_id", F.concat(F.coalesce("d.notes", F.array().cast("array<string>")), F.array_compact(F.array("error"))).alias("all")).where(F.size("all") > 0)
+        parts.append(_lines(warned, [3, 0], ["", "## To look at", ""]))
+        parts.append(_lines(warned.select("book_id", F.posexplode("all").alias("k", "note")), [4, F.col("k")], [F.concat(F.lit("- "), "note")]))
     return _union(parts)
 
 
@@ -73,54 +82,59 @@ def _listed(c: Column | str, none: str) -> Column:
 
 
 def percent(part: Column, whole: Column) -> Column:
-    """One decimal, half to even on the decimal value, as reports print it."""
+    """One decimal, half to even on the decimal value."""
     return F.concat(F.bround(F.lit(100.0) * part / F.greatest(whole, F.lit(1)), 1).cast("string"), F.lit("%"))
 
 
 def audit(books: DataFrame, sections: DataFrame, chosen: DataFrame, coverage: DataFrame, bridges: DataFrame, review: DataFrame) -> DataFrame:
-    """The selection audit. books: book_id, title, total_words, target, selected, bridge_words, overview, form; sections: book_id,
-    section_pos, title, word_count, retained (included ones); chosen: blocks in listing order with pos and range; coverage: book_id, pos, requirement_id,
-    description, kind, importance, must, block_ids; bridges; review: book_id, assessment."""
+    """Why the edition is as it is: first the review, then what each section gave, the passages, the requirements, the bridges. books: book_id, title,
+    total_words, target, selected, bridge_words, overview, form, question, thesis; sections: book_id, section_pos, title, word_count, retained (included
+    ones); chosen: passages in listing order with pos, range, reason; coverage: book_id, pos, requirement_id, description, kind, importance, must, block_ids; bridges:
+    book_id, pos, before_id, after_id, kind, text, grounding_blocks, grounding_requirements; review: book_id, assessment, missing, unsupported, undefined, notes."""
     number = lambda c: F.format_number(c, 0)
-    status = F.when(F.size("block_ids") > 0, "covered").when(F.col("must"), "MISSING").otherwise("not retained")
+    line = lambda label, c: F.concat(F.lit(f"- {label}: "), c)
+    cell = lambda *xs: F.concat(F.lit("| "), F.concat_ws(" | ", *xs), F.lit(" |"))
     head = [
-        F.concat(F.lit("# Selection audit: "), "title"), "", F.concat(F.lit("- Source words analysed: "), number("total_words")), F.concat(F.lit("- Target words: "), number("target")),
-        F.concat(F.lit("- Selected verbatim words: "), number("selected")), F.concat(F.lit("- Retained-source proportion: "), percent(F.col("selected"), F.col("total_words"))),
-        F.concat(F.lit("- Editorial transition words: "), number("bridge_words")), F.concat(F.lit("- Total reading-edition words: "), number(F.col("selected") + F.col("bridge_words"))), "",
-        "## Editorial overview", "", F.coalesce("overview", F.lit("")), "", F.concat(F.lit("**Nonfiction form:** "), "form"), "", "## Analytical coverage", "",
-        "| Requirement | Kind | Importance | Required | Retained block(s) | Status |", "|---|---|---|---|---|---|",
+        F.concat(F.lit("# How this edition was chosen: "), "title"), "",
+        F.concat(number("selected"), F.lit(" of "), number("total_words"), F.lit(" words kept ("), percent(F.col("selected"), F.col("total_words")), F.lit("), with a budget of "), number("target"), F.lit("; "), number("bridge_words"), F.lit(" words of bridges added.")), "",
+        line("Kind of book", F.col("form")), line("It asks", F.col("question")), line("It holds", F.col("thesis")), line("In short", F.col("overview")), "",
     ]
-    cell = lambda *xs: F.concat(F.lit("| "), F.concat_ws(" | ", *xs), F.lit(" |"))
-    edition_words = F.sum("retained").over(W.partitionBy("book_id"))
+    known = lambda c: F.array_compact(F.coalesce(c, F.array().cast("array<string>")))
+    reviewed = [
+        "## Review", "", F.coalesce("assessment", F.lit("")), "", line("Left out though needed", _listed(known("missing"), "nothing")), line("Without support", _listed(known("unsupported"), "nothing")), line("Terms not defined", _listed(known("undefined"), "none")), "",
+    ]
+    notes = review.select("book_id", F.posexplode("notes").alias("k", "n")).select("book_id", "k", "n.*")
+    all_kept = F.sum("retained").over(W.partitionBy("book_id"))
     block = [
-        F.concat(F.lit("### "), "block_id"), "", F.concat(F.lit("- Location: "), "range"), F.concat(F.lit("- Words: "), "word_count"), F.concat(F.lit("- Score: "), F.bround("score", 1)), F.concat(F.lit("- Function: "), "block_function"),
-        F.concat(F.lit("- Covers analytical requirements: "), _listed("covers", "none tagged")), F.concat(F.lit("- Defines essential terms: "), _listed("terms", "none tagged")),
-        F.concat(F.lit("- Supports propositions: "), _listed("supports", "none tagged")), F.concat(F.lit("- Protected requirements: "), _listed("protected_for", "none")), F.concat(F.lit("- Protected continuity anchor: "), "protected"), "",
+        F.concat(F.lit("**"), "block_id", F.lit("** ("), "range", F.lit("), "), "word_count", F.lit(" words, score "), F.bround("score", 1), F.lit(", "), "block_function"), line("Chosen for", F.col("reason")),
+        line("Meets", _listed("covers", "no requirement")), line("Defines", _listed("terms", "no term")), line("Supports", _listed("supports", "no proposition")), line("Kept safe for", _listed("protected_for", "no requirement")), line("The section's anchor", F.when(F.col("protected"), "yes").otherwise("no")), "",
     ]
+    state = F.when(F.size("block_ids") > 0, "met").when(F.col("must"), "MISSING").otherwise("dropped")
     return _union([
         _lines(books, [0, 0], head),
-        _lines(coverage, [1, F.col("pos")], [cell(F.concat("requirement_id", F.lit(": "), escape_cell("description")), "kind", "importance", F.when(F.col("must"), "yes").otherwise("no"), _listed("block_ids", "—"), status)]),
-        _lines(books, [2, 0], ["", "## Selection balance by chapter", "", "| Chapter | Source words | Retained words | Retained share of chapter | Share of abridgement | Status |", "|---|---:|---:|---:|---:|---|"]),
-        _lines(sections.withColumn("_all", edition_words), [3, F.col("section_pos")], [cell(escape_cell("title"), number("word_count"), number("retained"), percent(F.col("retained"), F.col("word_count")), percent(F.col("retained"), F.col("_all")), F.when(F.col("retained") > 0, "represented").otherwise("omitted"))]),
-        _lines(books, [4, 0], ["", "## Selected passages", ""]), _lines(chosen, [5, F.col("pos")], block),
-        _lines(review, [6, 0], ["## Analytical quality-control assessment", "", F.coalesce("assessment", F.lit("")), ""]),
-        _lines(bridges, [7, F.col("pos")], [F.concat(F.lit("### "), "before_id", F.lit(" to "), "after_id"), "", F.concat(F.lit("- Text: *"), "text", F.lit("*")), ""]),
+        _lines(review, [1, 0], reviewed), _lines(notes, [2, F.col("k")], [F.concat(F.lit("- Before "), "before_id", F.lit(": "), "note")]),
+        _lines(books, [3, 0], ["", "## What each section gave", "", "| Section | Words | Kept | Of the section | Of the edition |", "|---|---:|---:|---:|---:|"]),
+        _lines(sections.withColumn("_all", all_kept), [4, F.col("section_pos")], [cell(escape_cell("title"), number("word_count"), F.when(F.col("retained") > 0, number("retained")).otherwise("nothing"), percent(F.col("retained"), F.col("word_count")), percent(F.col("retained"), F.col("_all")))]),
+        _lines(books, [5, 0], ["", "## Passages", ""]), _lines(chosen, [6, F.col("pos")], block),
+        _lines(books, [7, 0], ["## Requirements", "", "| Id | What | Kind | Weight | Needed | Met by | State |", "|---|---|---|---|---|---|---|"]),
+        _lines(coverage, [8, F.col("pos")], [cell("requirement_id", escape_cell("description"), "kind", "importance", F.when(F.col("must"), "yes").otherwise("no"), _listed("block_ids", "none"), state)]),
+        _lines(bridges.select("book_id").distinct(), [9, 0], ["", "## Bridges", ""]),
+        _lines(bridges, [10, F.col("pos")], [F.concat("before_id", F.lit(" to "), "after_id", F.lit(" ("), F.coalesce("kind", F.lit("no kind")), F.lit("): "), "text"), line("Rests on", _listed(F.concat("grounding_blocks", F.coalesce("grounding_requirements", F.array().cast("array<string>"))), "nothing named")), ""]),
     ])
 
 
 def guide(books: DataFrame, path: DataFrame, requirements: DataFrame, supports: DataFrame) -> DataFrame:
-    """The reading guide. books: book_id, title, problem, unity; path: book_id, pos, requirement_id, kind, description, places (array); requirements: with
-    block_ids; supports: book_id, pos (of the proposition), n, source, description, block_ids."""
-    kept = lambda c: _listed(c, "not retained")
-    place = F.row_number().over(W.partitionBy("book_id").orderBy("pos"))
-    step = F.concat(place, F.lit(". **"), kind_title("kind"), F.lit(" — "), "requirement_id", F.lit(".** "), "description")
-    props = requirements.where("kind = 'major_proposition'")
+    """How to read the edition: the shortest way through it, the claims with what bears them, the terms. books: book_id, title, problem, unity; path: book_id, pos,
+    requirement_id, kind, description, places (array); requirements: with block_ids; supports: book_id, pos (of the proposition), n, source, description, block_ids."""
+    kept = lambda c: _listed(c, "left out")
+    step = F.row_number().over(W.partitionBy("book_id").orderBy("pos"))
+    claims, terms = (requirements.where(F.col("kind") == k) for k in ("major_proposition", "essential_term"))
     return _union([
-        _lines(books, [0, 0, 0], [F.concat(F.lit("# Analytical reading guide: "), "title"), "", "## What the book is trying to answer", "", F.coalesce("problem", F.lit("")), "", "## Unity of the book", "", F.coalesce("unity", F.lit("")), "", "## Minimum complete reading path", ""]),
-        _lines(path.withColumn("step", step), [1, F.col("pos"), 0], [F.col("step"), F.concat(F.lit("   Retained passage: "), F.when(F.size("places") > 0, F.array_join("places", "; ")).otherwise("Not retained"))]),
-        _lines(books, [2, 0, 0], ["", "## Essential terms", ""]),
-        _lines(requirements.where("kind = 'essential_term'"), [3, F.col("pos"), 0], [F.concat(F.lit("- **"), "requirement_id", F.lit(".** "), "description", F.lit(" Retained in: "), kept("block_ids"))]),
-        _lines(books, [4, 0, 0], ["", "## Major propositions and their support", ""]),
-        _lines(props, [5, F.col("pos"), 0], [F.concat(F.lit("### "), "requirement_id"), "", F.col("description"), "", F.concat(F.lit("Retained proposition passage(s): "), kept("block_ids")), ""]),
-        _lines(supports, [5, F.col("pos"), F.col("n") + 1], [F.concat(F.lit("- Support "), "source", F.lit(": "), "description", F.lit(" Retained in: "), kept("block_ids"))]),
+        _lines(books, [0, 0, 0], [F.concat(F.lit("# Reading "), "title"), "", F.concat(F.lit("The question: "), F.coalesce("problem", F.lit("not stated"))), "", F.concat(F.lit("What holds it together: "), F.coalesce("unity", F.lit("not stated"))), "", "## The shortest way through", ""]),
+        _lines(path.withColumn("step", step), [1, F.col("pos"), 0], [F.concat("step", F.lit(". "), "description", F.lit(" ["), kind_title("kind"), F.lit(" "), "requirement_id", F.lit("] "), F.when(F.size("places") > 0, F.concat(F.lit("at "), F.array_join("places", "; "))).otherwise("was left out"))]),
+        _lines(books, [2, 0, 0], ["", "## Claims and what bears them", ""]),
+        _lines(claims, [3, F.col("pos"), 0], [F.concat(F.lit("**"), "requirement_id", F.lit("** "), "description", F.lit(" — in "), kept("block_ids"))]),
+        _lines(supports, [3, F.col("pos"), F.col("n") + 1], [F.concat(F.lit("- borne by "), "source", F.lit(" ("), "description", F.lit("), in "), kept("block_ids"))]),
+        _lines(books, [4, 0, 0], ["", "## Terms", ""]),
+        _lines(terms, [5, F.col("pos"), 0], [F.concat(F.lit("- "), "description", F.lit(" ("), "requirement_id", F.lit("), in "), kept("block_ids"))]),
     ])

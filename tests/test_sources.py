@@ -3,11 +3,12 @@ from __future__ import annotations
 import io
 import json
 import zipfile
+from pathlib import Path
 
 import pytest
 
 from lapidary.operators import structure
-from lapidary.plans import config, outputs, pipeline, provider
+from lapidary.plans import config, files, outputs, pipeline, provider
 from lapidary.sources import docx, epub, html, loaders
 from lapidary.streaming import inbox
 
@@ -57,19 +58,19 @@ def test_epub_by_navigation():
     assert raw.title == "My Book"
     assert [(t, len(b)) for t, b in raw.sections] == [("First", 1), ("Second", 1), ("Third", 1), ("Notes", 1), ("Notes: Chapter one", 2), ("Notes: Works", 1)]
     d = raw.diagnostics
-    assert (d["navigation_source"], d["proceed_with_llm_extraction"], d["parser_confidence"], d["spine_items_found"]) == ("EPUB3 nav.xhtml", True, "high", 6)
+    assert (d["contents_from"], d["proceed"], d["confidence"], d["members"]) == ("navigation document", True, "high", 6)
 
 
 def test_epub_by_ncx_headings_and_front_matter():
     ncx = '<ncx xmlns="http://www.daisy.org/z3986/2005/ncx/"><navMap><navPoint><navLabel><text>One</text></navLabel><content src="a.xhtml"/></navPoint></navMap></ncx>'
     raw = epub.read_epub(_epub({"f.xhtml": "<p>for my friends</p>", "a.xhtml": f"<p>{LONG}</p>", "h.xhtml": f"<p>dropped before heading</p><h2>Found</h2><p>{LONG}</p>", "c.xhtml": "<p>goes on here</p>"}, ncx=ncx))
     assert [(t, len(b)) for t, b in raw.sections] == [("Unmapped front matter", 1), ("One", 1), ("Found", 2)]
-    assert raw.diagnostics["navigation_source"] == "NCX" and raw.diagnostics["unassigned_text_words"] == 3
+    assert raw.diagnostics["contents_from"] == "contents file" and raw.diagnostics["front_words"] == 3
 
 
 def test_image_books_are_not_trusted():
     raw = epub.read_epub(_epub({"a.xhtml": "<p>two words</p>" + "<img/>" * 9}))
-    assert raw.diagnostics["image_only_content_risk"] == "high" and raw.diagnostics["proceed_with_llm_extraction"] is False
+    assert raw.diagnostics["image_risk"] == "high" and raw.diagnostics["proceed"] is False
 
 
 def _docx(paragraphs):
@@ -129,6 +130,8 @@ def test_inbox(spark, shelf, tmp_path):
         inbox.watch(spark, str(shelf), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out/paragraphs"))
     assert got.where("book_id LIKE '%A.TXT'").count() == 3
+    why = {r.book_id.rsplit("/", 1)[1]: r.error for r in spark.read.parquet(str(tmp_path / "out/diagnostics")).collect()}
+    assert why["d.xyz"] == why["p.pdf"] == "unsupported input type" and why["A.TXT"] is None
 
 
 def test_whole_run(spark, tmp_path):
@@ -151,14 +154,19 @@ def test_whole_run(spark, tmp_path):
     order = table("chosen").orderBy("book_id", "reading_pos").collect()
     assert all((a.section_no, a.first_index) <= (b.section_no, b.first_index) for a, b in zip(order, order[1:]) if a.book_id == b.book_id)
     edition = {r.book_id: r.text for r in table("edition").collect()}
-    assert all("Bibliography" not in t and "* * *" in t and "*Editorial transition: " in t for t in edition.values())
+    assert all("Bibliography" not in t and "* * *" in t and "*[Leading on] " in t for t in edition.values())
     assert table("map_violations").count() == 0
     assert pipeline.run(spark, config.Config(input=str(folder), output=str(tmp_path / "p"), parse_only=True)).count() == 2
-    files = outputs.export_texts(spark, c.output, tmp_path / "texts")
-    assert len(files) == 8
-    outputs.write_docx(files[0].read_text(), tmp_path / "e.docx")
-    assert docx.read_docx((tmp_path / "e.docx").read_bytes(), "e").sections
-    outputs.reset(tmp_path / "out")
+    texts = outputs.export(spark, c.output)
+    assert len(texts) == 14 and all(files.exists(spark, f) for f in texts)
+    data = {f.rsplit("/", 1)[1]: Path(f).read_bytes() for f in texts}
+    assert docx.read_docx(data["book0.edition.docx"], "e").sections
+    assert data["book0.edition.pdf"].startswith(b"%PDF") and json.loads(data["book1.summary.json"])["missing"] == []
+    assert b"How this edition was chosen" in data["book0.audit.md"] and b"## Bridges" in data["book0.audit.md"]
+    # a second run asks nothing: its provider cannot answer, and the result is the same
+    again = pipeline.run(spark, c, provider.Replay({})).collect()
+    assert sorted(map(str, again)) == sorted(map(str, summary))
+    outputs.reset(spark, c.output)
     assert not (tmp_path / "out/edition").exists()
 
 
@@ -167,15 +175,58 @@ def test_provider_retries_and_replay(spark):
 
     request = json.dumps({"title": "t"})
     key = hashlib.sha256(json.dumps(["map", {"title": "t"}], sort_keys=True, ensure_ascii=False).encode()).hexdigest()
-    df = spark.createDataFrame([("b", 0, request), ("c", 0, json.dumps({"title": "u"}))], "book_id string, seq long, request string")
-    out = {r.book_id: r for r in provider.answers(df, "map", provider.Replay({key: '{"problem": "p", "odd": 1}'}), 1).collect()}
-    assert out["b"].answer and out["b"].error is None and out["c"].answer is None and "KeyError" in out["c"].error
-    known = spark.createDataFrame([(out["b"].hash, out["b"].answer)], "hash string, answer string")
-    again = {r.book_id: r.answer for r in provider.answers(df, "map", provider.Replay({}), 1, known).collect()}
-    assert again["b"] == out["b"].answer and again["c"] is None
-    found = spark.createDataFrame([("b", 0, out["b"].answer)], "book_id string, seq long, answer string")
-    assert [r["keys"] for r in provider.extra_keys(found, "map").collect()] == [["odd"]]
-    assert [r.a.problem for r in provider.parsed(found, "map").collect()] == ["p"]
+    df = spark.createDataFrame([("b", 0, request), ("b2", 0, request), ("c", 0, json.dumps({"title": "u"}))], "book_id string, seq long, request string")
+    first = provider.answers(df, "map", provider.Replay({key: '{"problem": "p", "odd": 1}'}), 1)
+    rows = first.collect()
+    assert len(rows) == 2 and [r.answer is None for r in sorted(rows, key=lambda r: r.answer or "")] == [True, False]
+    assert "KeyError" in next(r.error for r in rows if r.answer is None)
+    known = spark.createDataFrame([(r.hash, r.answer) for r in rows], "hash string, answer string")
+    assert [r.answer for r in provider.answers(df, "map", provider.Replay({}), 1, known).collect()] == [None]  # only the one that failed
+    found = provider.answered(df, "map", known)
+    assert sorted(r.book_id for r in found.collect()) == ["b", "b2"]
+    assert [r["keys"] for r in provider.extra_keys(found, "map").collect()] == [["odd"]] * 2
+    assert [r.a.problem for r in provider.parsed(found, "map").collect()] == ["p"] * 2
+
+
+def test_hosted_provider():
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    seen = []
+
+    class Answer(BaseHTTPRequestHandler):
+        def do_POST(self):
+            seen.append(json.loads(self.rfile.read(int(self.headers["Content-Length"]))))
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps({"output": {"problem": "why"}}).encode())
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Answer)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        assert json.loads(provider.Hosted("some-model", f"http://127.0.0.1:{server.server_port}/")("map", {"title": "t"})) == {"problem": "why"}
+    finally:
+        server.shutdown()
+    assert seen[0]["model"] == "some-model" and seen[0]["input"] == {"title": "t"}
+    assert config.problems(config.Config(input="x", model="m")) == ["a model other than offline needs an endpoint"]
+
+
+def test_pdf_pages_hold_every_line():
+    import re
+
+    text = "# Title (one)\n\nWords " + " ".join(f"w{i}" for i in range(900)) + "\n\n* * *\n\n" + "x" * 300 + "\n"
+    for size in outputs.PAGES:
+        data = outputs.pdf(text, size, 11)
+        shown = b" ".join(re.findall(rb"\((.*?)(?<!\\)\) Tj", data)).decode("cp1252")
+        assert all(f"w{i}" in shown.split() for i in range(900)) and "Title \\(one\\)" in shown
+        assert data.count(b"/Type /Page ") > 1
+        at = int(data.rsplit(b"startxref\n", 1)[1].split()[0])
+        assert data[at:].startswith(b"xref")
+        for n, p in enumerate(re.findall(rb"(\d{10}) 00000 n", data[at:]), 1):
+            assert data[int(p) :].startswith(b"%d 0 obj" % n)
 
 
 def test_config_problems():
@@ -186,13 +237,14 @@ def test_config_problems():
     assert config.parse(["x", "--apply-qc", "--target-ratio", "0.3"]).apply_qc
 
 
-def test_run_folders(tmp_path):
+def test_run_folders(spark, tmp_path):
     from datetime import datetime
 
     now = datetime(2024, 1, 2, 3, 4, 5)
-    first, second = (outputs.run_folder(tmp_path, "/x/My Book.epub", now=now) for _ in range(2))
-    assert (first.name, second.name) == ("My-Book-20240102-030405", "My-Book-20240102-030405-2")
-    assert outputs.run_folder(tmp_path / "r", "x", reuse=True) == tmp_path / "r"
+    first, second = (outputs.run_folder(spark, str(tmp_path), "/x/My Book.epub", now=now) for _ in range(2))
+    assert [f.rsplit("/", 1)[1] for f in (first, second)] == ["My-Book-20240102-030405", "My-Book-20240102-030405-2"]
+    assert outputs.run_folder(spark, f"{tmp_path}/r", "x", reuse=True) == f"{tmp_path}/r"
+    assert all(files.exists(spark, f) for f in (first, second, f"{tmp_path}/r"))
 
 
 def test_paragraph_ids_of_a_text_book(spark, shelf):
