@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+#: Spark's setting to delete a query's shuffle files when it ends.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: White space of the word contracts: space and U+0009..U+000D.
 SPACE = (9, 10, 11, 12, 13, 32)
 WORD = r"[^\x20\x09-\x0D]+"
@@ -37,11 +39,15 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a Parquet table in the shared folder and reads it again: lineage ends here, executors may be lost."""
-    path = f"{scratch_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    if jvm := getattr(df.sparkSession, "_jvm", None):
-        jvm.System.gc()  # shuffle files of finished plans go when the driver collects its garbage
+    """Writes df as a Parquet table in the shared folder and reads it again: lineage ends here, executors may be lost. Spark deletes the
+    write's shuffle files at its end, as nothing reads them any more."""
+    path, conf = f"{scratch_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}", df.sparkSession.conf
+    before = conf.get(CLEAN_UP, "false")
+    conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(CLEAN_UP, before)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._lapidary_path = path
     return out
