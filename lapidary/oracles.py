@@ -221,6 +221,20 @@ _FILES = (
     f"SELECT book_id, printf('CH%03d', k) AS section_id, title, {kind_by_words('title', 'word_count').replace('{', '{{').replace('}', '}}')} AS kind, paragraphs, word_count FROM t"
 )
 
+#: Sections of archives by contents: members of two documents, each fifth one going on with the section before it, and the last one under
+#: its landmark where there is a navigation document (archives of even number).
+_CONTENTS = (
+    f"l AS (SELECT source, doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), p AS (SELECT source, doc_id, {words(normalize('line'))} AS n FROM l), "
+    f"d AS (SELECT source || '-' || doc_id // 200 AS book_id, doc_id, {normalize(TITLE)} AS title, count(*) FILTER (n >= 2) AS paragraphs, CAST(coalesce(sum(n) FILTER (n >= 2), 0) AS BIGINT) AS words FROM p GROUP BY source, doc_id), "
+    "r AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY doc_id) - 1 AS k FROM d), "
+    f"m AS (SELECT *, {kind('title')} = 'exclude' AS gone, k // 2 AS member, max(k // 2) OVER (PARTITION BY book_id) AS last, doc_id // 200 % 2 = 0 AS marked FROM r), "
+    "f AS (SELECT *, first_value(title) OVER w AS first, first_value(gone) OVER w AS first_gone, marked AND member = last AS landmark, sum(paragraphs) OVER (w ROWS UNBOUNDED PRECEDING) = paragraphs AS leads FROM m WINDOW w AS (PARTITION BY book_id, member ORDER BY doc_id)), "
+    "o AS (SELECT *, CASE WHEN landmark THEN leads ELSE member % 5 <> 3 END AS opens, "
+    "CASE WHEN landmark AND first_gone THEN first WHEN landmark THEN 'Notes: ' || first WHEN k % 2 = 1 AND first_gone AND NOT gone THEN first || ': ' || title ELSE title END AS label FROM f WHERE paragraphs > 0), "
+    "g AS (SELECT *, count(*) FILTER (opens) OVER (PARTITION BY book_id ORDER BY doc_id) AS part FROM o), "
+    "s AS (SELECT book_id, CASE WHEN part = 0 THEN 'Unmapped front matter' ELSE arg_min(label, doc_id) END AS title, CAST(sum(paragraphs) AS BIGINT) AS paragraphs, CAST(sum(words) AS BIGINT) AS word_count, part FROM g GROUP BY book_id, part)"
+)
+
 ORACLE_SQL: dict[str, str] = {
     "word_count_doc": f"SELECT doc_id, {words('text')} AS words FROM documents",
     "normalize_docs": f"SELECT doc_id, {normalize('text')} AS text FROM documents",
@@ -423,6 +437,9 @@ ORACLE_SQL: dict[str, str] = {
         True,
     ),
     "epub_sections": _FILES.format(key="source || '-' || doc_id // 100", least=2),
+    "epub_contents": _with(
+        _CONTENTS, f"SELECT book_id, printf('CH%03d', row_number() OVER (PARTITION BY book_id ORDER BY part)) AS section_id, title, {kind_by_words('title', 'word_count')} AS kind, paragraphs, word_count FROM s"
+    ),
     "docx_sections": _FILES.format(key="source || '-' || doc_id // 100", least=1),
     "text_file_sections": _FILES.format(key="CAST(doc_id AS VARCHAR)", least=2),
     "model_answers": _with(

@@ -602,9 +602,44 @@ def edition_lines(spark, sf):
 # files: archives are built from the documents' lines, then read as any other
 
 
-def _archives(spark, sf, kind: str) -> DataFrame:
-    """An EPUB or Word file for every 100 ids of a source: documents are sections with the title as heading and lines as paragraphs."""
-    d = documents(spark, sf).withColumn("source", F.concat("source", F.lit("-"), F.expr("doc_id div 100")))
+def _navigated(docs: list, landmarks: bool) -> dict[str, str]:
+    """Members of an EPUB that is read by its contents: two documents a member, the second nested under the first. The contents are a navigation
+    document, whose landmarks call the last member a bibliography, or the older contents file. Every fifth member has no place in them and no headings."""
+    from xml.sax.saxutils import escape
+
+    members = [docs[i : i + 2] for i in range(0, len(docs), 2)]
+    named = [(m, own) for m, own in enumerate(members) if m % 5 != 3]
+    body = lambda m, own: "".join(f'<section id="d{d["doc_id"]}">' + f"<h1>{escape(d['title'])}</h1>" * (m % 5 != 3) + "".join(f"<p>{escape(x)}</p>" for x in d["text"].split("\n")) + "</section>" for d in own)
+    files = {f"OEBPS/text/m{m}.xhtml": f"<html><body>{body(m, own)}</body></html>" for m, own in enumerate(members)}
+    items = "".join(f'<item id="m{m}" href="text/m{m}.xhtml" media-type="application/xhtml+xml"/>' for m in range(len(members)))
+    if landmarks:
+
+        def entry(m: int, own: list) -> str:
+            below = entry(m, own[1:]) if own[1:] else ""
+            return f'<ol><li><a href="text/m{m}.xhtml#d{own[0]["doc_id"]}">{escape(own[0]["title"])}</a>{below}</li></ol>'
+
+        toc = "".join(entry(m, own)[4:-5] for m, own in named)
+        mark = f'<li><a epub:type="bibliography" href="text/m{len(members) - 1}.xhtml">{escape(members[-1][0]["title"])}</a></li>'
+        files["OEBPS/nav.xhtml"] = f'<html xmlns="http://www.w3.org/1999/xhtml" xmlns:epub="http://www.idpf.org/2007/ops"><body><nav epub:type="toc"><ol>{toc}</ol></nav><nav epub:type="landmarks"><ol>{mark}</ol></nav></body></html>'
+        items += '<item id="nav" href="nav.xhtml" properties="nav" media-type="application/xhtml+xml"/>'
+    else:
+
+        def point(m: int, own: list) -> str:
+            below = point(m, own[1:]) if own[1:] else ""
+            return f'<navPoint><navLabel><text>{escape(own[0]["title"])}</text></navLabel><content src="text/m{m}.xhtml#d{own[0]["doc_id"]}"/>{below}</navPoint>'
+
+        toc = "".join(point(m, own) for m, own in named)
+        files["OEBPS/toc.ncx"] = f'<ncx xmlns="http://www.daisy.org/z3986/2005/ncx/"><navMap>{toc}</navMap></ncx>'
+        items += '<item id="ncx" href="toc.ncx" media-type="application/x-dtbncx+xml"/>'
+    refs = "".join(f'<itemref idref="m{m}"/>' for m in range(len(members)))
+    files["OEBPS/book.opf"] = f'<package xmlns="http://www.idpf.org/2007/opf"><metadata/><manifest>{items}</manifest><spine toc="ncx">{refs}</spine></package>'
+    files["META-INF/container.xml"] = '<container xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="OEBPS/book.opf"/></rootfiles></container>'
+    return files
+
+
+def _archives(spark, sf, kind: str, navigated: bool = False) -> DataFrame:
+    """An EPUB or Word file for every 100 ids of a source (200 with contents): documents are sections with the title as heading and lines as paragraphs."""
+    d = documents(spark, sf).withColumn("source", F.concat("source", F.lit("-"), F.expr(f"doc_id div {200 if navigated else 100}")))
     rows = d.select("source", F.struct("doc_id", F.expr(TITLE).alias("title"), "text").alias("d"))
     per = rows.groupBy("source").agg(F.array_sort(F.collect_list("d")).alias("docs"))
 
@@ -619,7 +654,10 @@ def _archives(spark, sf, kind: str) -> DataFrame:
             for source, docs in zip(b["source"], b["docs"], strict=True):
                 data = io.BytesIO()
                 with zipfile.ZipFile(data, "w") as z:
-                    if kind == "epub":
+                    if navigated:
+                        for name, data_of in _navigated(list(docs), int(source.rsplit("-", 1)[1]) % 2 == 0).items():
+                            z.writestr(name, data_of)
+                    elif kind == "epub":
                         names = [f"d{d['doc_id']}.xhtml" for d in docs]
                         items = "".join(f'<item id="{n}" href="{n}" media-type="application/xhtml+xml"/>' for n in names)
                         refs = "".join(f'<itemref idref="{n}"/>' for n in names)
@@ -638,8 +676,8 @@ def _archives(spark, sf, kind: str) -> DataFrame:
     return per.mapInPandas(build, "book_id string, stem string, format string, content binary")
 
 
-def _parsed_sections(spark, sf, kind: str) -> DataFrame:
-    paras = structure.paragraphs(loaders.blocks_of(loaders.read_archives(_archives(spark, sf, kind))))
+def _parsed_sections(spark, sf, kind: str, navigated: bool = False) -> DataFrame:
+    paras = structure.paragraphs(loaders.blocks_of(loaders.read_archives(_archives(spark, sf, kind, navigated))))
     return structure.sections(paras).select("book_id", "section_id", "title", "kind", "paragraphs", "word_count")
 
 
@@ -648,6 +686,12 @@ def epub_sections(spark, sf):
     return _parsed_sections(spark, sf, "epub")
 
 
+@query
+def epub_contents(spark, sf):
+    """Archives with a container, read by navigation document and landmarks or by the older contents file."""
+    return _parsed_sections(spark, sf, "epub", navigated=True)
+
+
 @query
 def docx_sections(spark, sf):
     return _parsed_sections(spark, sf, "docx")
