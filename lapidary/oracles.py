@@ -206,6 +206,25 @@ def _with(ctes: str, select: str, recursive: bool = False) -> str:
     return f"WITH {'RECURSIVE ' if recursive else ''}{ctes} {select}"
 
 
+def _cleaned(key: str, keep: str) -> str:
+    """Page blocks as prose: from ls (key, k, l) to cleaned (key, text). keep: the condition on a line l of n that is no noise."""
+    return (
+        f"n AS (SELECT {key}, k, {line('l')} AS l FROM ls), "
+        f"kept AS (SELECT {key}, l, row_number() OVER (PARTITION BY {key} ORDER BY k) AS k FROM n WHERE l <> '' AND NOT regexp_matches(l, '\\A\\p{{Nd}}+\\z') AND {keep}), "
+        f"joined AS (SELECT {key}, string_agg(CASE WHEN k = 1 THEN '' WHEN hy AND lo THEN '' ELSE ' ' END || CASE WHEN cut THEN l[:-2] ELSE l END, '' ORDER BY k) AS t FROM (SELECT *, lag(l) OVER w LIKE '%-' AS hy, regexp_matches(l, '\\A\\p{{Ll}}') AS lo, "
+        f"l LIKE '%-' AND coalesce(regexp_matches(lead(l) OVER w, '\\A\\p{{Ll}}'), false) AS cut FROM kept WINDOW w AS (PARTITION BY {key} ORDER BY k)) GROUP BY {key}), "
+        f"cleaned AS (SELECT {key}, {normalize(_re(_re('t', f'({_W}){_S}*[-‐‑]{_S}+({_W})', chr(92) + '1-' + chr(92) + '2'), f'{_S}+([,.;:!?])', chr(92) + '1'))} AS text FROM joined)"
+    )
+
+
+_HEADINGS = (
+    f"{_PAGE_LINES}, pl AS (SELECT book_id, page_no, line_no, CASE WHEN line_no = 2 AND page_no % 40 < 20 THEN 'Chapter ' || page_no || ': ' || substr(text, 1, 12) ELSE text END AS text FROM plines), {_noise('pl')}, "
+    f"top AS (SELECT *, {line('text')} AS l, row_number() OVER (PARTITION BY book_id, page_no ORDER BY line_no) AS k FROM pl), "
+    f"hit AS (SELECT t.book_id, page_no, l, k FROM top t WHERE k <= 12 AND l <> '' AND length(l) <= 140 AND ({main_title('l')} OR {heading('l')}) AND NOT EXISTS (SELECT 1 FROM noise n WHERE n.book_id = t.book_id AND n.key = {line_key('l')})), "
+    "one AS (SELECT book_id, page_no AS start_page, arg_min(l, k) AS title FROM hit GROUP BY ALL), headings AS (SELECT book_id, start_page, title FROM (SELECT *, count(*) OVER (PARTITION BY book_id) AS n FROM one) WHERE n >= 3)"
+)
+
+
 _OUTLINE = (
     f"outline AS (SELECT source AS book_id, doc_id AS pos, doc_id // 10 + 1 AS start_page, CASE WHEN doc_id % 7 = 0 THEN doc_id // 10 + 3 END AS end_page, {TITLE} AS title FROM documents), "
     "np AS (SELECT source AS book_id, max(doc_id // 10) - 2 AS pages FROM documents GROUP BY source), "
@@ -311,23 +330,21 @@ ORACLE_SQL: dict[str, str] = {
     "margin_noise": _with(f"{_PAGE_LINES}, {_noise('plines')}", "SELECT book_id, key FROM noise"),
     "clean_blocks": _with(
         r"raw AS (SELECT doc_id, regexp_replace(text, '([a-z])( )([a-z]{5})', '\1-' || chr(10) || '\3', 'g') || chr(10) || '17' || chr(10) || 'Page 12' || chr(10) || 'end - of' AS t FROM documents), "
-        f"ls AS (SELECT doc_id, unnest(generate_series(1, len(string_split(t, chr(10))))) AS k, unnest(string_split(t, chr(10))) AS l FROM raw), n AS (SELECT doc_id, k, {line('l')} AS l FROM ls), "
-        f"kept AS (SELECT doc_id, l, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS k FROM n WHERE l <> '' AND NOT regexp_matches(l, '\\A\\p{{Nd}}+\\z') AND {line_key('l')} <> 'page #'), "
-        "joined AS (SELECT doc_id, string_agg(CASE WHEN k = 1 THEN '' WHEN hy AND lo THEN '' ELSE ' ' END || CASE WHEN cut THEN l[:-2] ELSE l END, '' ORDER BY k) AS t FROM (SELECT *, lag(l) OVER w LIKE '%-' AS hy, regexp_matches(l, '\\A\\p{Ll}') AS lo, "
-        "l LIKE '%-' AND coalesce(regexp_matches(lead(l) OVER w, '\\A\\p{Ll}'), false) AS cut FROM kept WINDOW w AS (PARTITION BY doc_id ORDER BY k)) GROUP BY doc_id)",
-        f"SELECT doc_id, {normalize(_re(_re('t', f'({_W}){_S}*[-‐‑]{_S}+({_W})', chr(92) + '1-' + chr(92) + '2'), f'{_S}+([,.;:!?])', chr(92) + '1'))} AS text FROM joined",
+        f"ls AS (SELECT doc_id, unnest(generate_series(1, len(string_split(t, chr(10))))) AS k, unnest(string_split(t, chr(10))) AS l FROM raw), {_cleaned('doc_id', f"{line_key('l')} <> 'page #'")}",
+        "SELECT doc_id, text FROM cleaned",
     ),
     "outline_levels": _with(
         f"o AS (SELECT source AS book_id, doc_id AS pos, doc_id % 3 AS level, {normalize(TITLE)} AS title, doc_id % 90 + 1 AS start_page FROM documents), k AS (SELECT *, count(*) OVER l AS n, min(pos) OVER l AS f FROM o WHERE {main_title('title')} WINDOW l AS (PARTITION BY book_id, level)), "
         "b AS (SELECT *, dense_rank() OVER (PARTITION BY book_id ORDER BY n >= 3 DESC, CASE WHEN n >= 3 THEN n END DESC, CASE WHEN n >= 3 THEN f END) AS r FROM k), u AS (SELECT book_id, title, start_page, min(pos) AS p FROM b WHERE r = 1 GROUP BY ALL)",
         "SELECT book_id, row_number() OVER (PARTITION BY book_id ORDER BY start_page, p) AS pos, title, start_page FROM u",
     ),
-    "page_headings": _with(
-        f"{_PAGE_LINES}, pl AS (SELECT book_id, page_no, line_no, CASE WHEN line_no = 2 AND page_no % 40 < 20 THEN 'Chapter ' || page_no || ': ' || substr(text, 1, 12) ELSE text END AS text FROM plines), {_noise('pl')}, "
-        f"top AS (SELECT *, {line('text')} AS l, row_number() OVER (PARTITION BY book_id, page_no ORDER BY line_no) AS k FROM pl), "
-        f"hit AS (SELECT t.book_id, page_no, l, k FROM top t WHERE k <= 12 AND l <> '' AND length(l) <= 140 AND ({main_title('l')} OR {heading('l')}) AND NOT EXISTS (SELECT 1 FROM noise n WHERE n.book_id = t.book_id AND n.key = {line_key('l')})), "
-        "one AS (SELECT book_id, page_no AS start_page, arg_min(l, k) AS title FROM hit GROUP BY ALL)",
-        "SELECT book_id, start_page, title FROM (SELECT *, count(*) OVER (PARTITION BY book_id) AS n FROM one) WHERE n >= 3",
+    "page_headings": _with(_HEADINGS, "SELECT book_id, start_page, title FROM headings"),
+    "page_book_sections": _with(
+        f"{_HEADINGS}, np AS (SELECT book_id, max(page_no) AS pages FROM pl GROUP BY book_id), "
+        "starts AS (SELECT book_id, title, start_page, least(coalesce(lead(start_page) OVER (PARTITION BY book_id ORDER BY start_page) - 1, pages), pages) AS end_page FROM headings JOIN np USING (book_id)), "
+        f"ls AS (SELECT book_id, page_no, line_no AS k, text AS l FROM pl), {_cleaned('book_id, page_no', f"NOT EXISTS (SELECT 1 FROM noise x WHERE x.book_id = n.book_id AND x.key = {line_key('l')})")}, "
+        f"c AS (SELECT book_id, page_no, {words('text')} AS words FROM cleaned)",
+        "SELECT s.book_id, start_page AS section_pos, title, count(*) AS blocks, CAST(sum(words) AS BIGINT) AS words FROM starts s JOIN c ON c.book_id = s.book_id AND page_no BETWEEN start_page AND end_page WHERE words >= 3 GROUP BY ALL",
     ),
     "page_ranges": _with(_OUTLINE, "SELECT book_id, pos, title, start_page, end_page FROM pranges"),
     "page_range_join": _with(_OUTLINE, "SELECT r.book_id, r.pos AS section_pos, count(*) AS blocks, CAST(sum(n_chars) AS BIGINT) AS n_chars FROM pranges r JOIN documents d ON d.source = r.book_id AND d.doc_id // 10 BETWEEN r.start_page AND r.end_page GROUP BY r.book_id, r.pos"),

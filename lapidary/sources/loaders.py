@@ -101,7 +101,9 @@ def page_sections(lines: DataFrame, blocks: DataFrame, outline: DataFrame, pages
     placed = structure.page_blocks(structure.page_ranges(marks, pages), blocks)
     keys = noise.groupBy("book_id").agg(F.collect_set("key").alias("noise"))
     placed = placed.join(keys, "book_id", "left").withColumn("noise", F.coalesce("noise", F.array().cast("array<string>")))
-    placed = placed.withColumn("text", text.clean_block("text", "noise", boilerplate)).where(text.word_count("text") >= 3)
+    # made once: what an explode has made is filtered after it
+    made = F.explode(F.array(text.clean_block("text", "noise", boilerplate)))
+    placed = placed.select("book_id", "section_pos", "title", "page_no", "block_no", made.alias("text")).where(text.word_count("text") >= 3)
     return placed.select("book_id", "section_pos", "title", (F.col("page_no").cast("long") * 100_000 + F.col("block_no")).alias("block_pos"), "text", F.col("page_no").cast("int").alias("page"))
 
 
