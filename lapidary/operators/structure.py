@@ -143,11 +143,12 @@ def section_caps(secs: DataFrame, target: Column, priorities: DataFrame | None =
 def margin_noise(lines: DataFrame, top: int = 3, bottom: int = 4) -> DataFrame:
     """Keys of short lines that recur at page margins: lines (book_id, page_no, line_no, text) to (book_id, key). On short pages a line
     can count at both ends."""
-    down = F.row_number().over(W.partitionBy("book_id", "page_no").orderBy("line_no"))
-    up = F.row_number().over(W.partitionBy("book_id", "page_no").orderBy(F.desc("line_no")))
-    keyed = lines.select("book_id", "page_no", text.repeated_line_key("text").alias("key"), down.alias("down"), up.alias("up"))
-    ends = keyed.where(F.col("down") <= top).unionAll(keyed.where(F.col("up") <= bottom))
-    counts = ends.where((F.col("key") != "") & (F.char_length("key") <= 100)).groupBy("book_id", "key").agg(F.count("*").alias("n"))
+    page = W.partitionBy("book_id", "page_no")
+    placed = lines.select("book_id", "page_no", "text", F.row_number().over(page.orderBy("line_no")).alias("down"), F.count("*").over(page).alias("n"))
+    # keys are made for margin lines only, and once: what an explode has made is filtered after it
+    ends = placed.withColumn("times", (F.col("down") <= top).cast("int") + (F.col("n") - F.col("down") < bottom).cast("int")).where("times > 0")
+    keyed = ends.select("book_id", "times", F.explode(F.array(text.repeated_line_key("text"))).alias("key"))
+    counts = keyed.where((F.col("key") != "") & (F.char_length("key") <= 100)).groupBy("book_id", "key").agg(F.sum("times").alias("n"))
     pages = lines.groupBy("book_id").agg(F.countDistinct("page_no").alias("pages"))
     least = F.greatest(F.lit(3).cast("long"), (F.col("pages") * F.lit(0.06).cast("double")).cast("long"))
     return counts.join(pages, "book_id").where(F.col("n") >= least).select("book_id", "key")
@@ -170,8 +171,9 @@ def page_headings(lines: DataFrame, noise: DataFrame, top: int = 12, longest: in
     """Without an outline: per page the first of its top lines that reads like a heading and is no margin noise; books with fewer than
     `least` such pages have none. (book_id, start_page, title)"""
     place = F.row_number().over(W.partitionBy("book_id", "page_no").orderBy("line_no"))
-    rows = lines.withColumns({"line": text.normalize_line("text"), "place": place}).where(F.col("place") <= top)
-    rows = rows.withColumn("key", text.repeated_line_key("line")).where((F.col("line") != "") & (F.char_length("line") <= longest))
+    rows = lines.withColumn("place", place).where(F.col("place") <= top)
+    rows = rows.select("book_id", "page_no", "place", F.explode(F.array(text.normalize_line("text"))).alias("line")).where((F.col("line") != "") & (F.char_length("line") <= longest))
+    rows = rows.withColumn("key", F.explode(F.array(text.line_key("line"))))
     rows = rows.join(noise, ["book_id", "key"], "left_anti").where(text.is_main_title("line") | text.is_heading("line"))
     first = rows.groupBy("book_id", F.col("page_no").alias("start_page")).agg(F.min_by("line", "place").alias("title"))
     return first.withColumn("n", F.count("*").over(W.partitionBy("book_id"))).where(F.col("n") >= least).drop("n").select("book_id", "start_page", "title")
