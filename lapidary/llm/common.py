@@ -36,10 +36,10 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
+def saved(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it again: lineage ends here, executors may be lost."""
     path = f"{scratch_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=partition_by)
     if jvm := getattr(df.sparkSession, "_jvm", None):
         jvm.System.gc()  # shuffle files of finished plans go when the driver collects its garbage
     out = df.sparkSession.read.schema(df.schema).parquet(path)

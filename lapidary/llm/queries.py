@@ -10,12 +10,13 @@ from .mixing import op6_mix_sources
 from .packing import op9_best_fit_packing
 from .piece_codec import op12_piece_codec
 from .quotes import op1_quotation_linking
+from .sale_assembly import op11_sale_assembly
 from .suffix_dedup import op2_suffix_dedup
 from .syncmers import op8_closed_syncmers
 from .topk import op5_exact_topk
 from .url_filter import op4_url_lm_ratio
 
-QUERIES = {f.__name__: f for f in (op1_quotation_linking, op2_suffix_dedup, op3_language_id, op4_url_lm_ratio, op5_exact_topk, op6_mix_sources, op7_jaccard_join, op8_closed_syncmers, op9_best_fit_packing, op10_line_blocks, op12_piece_codec, op13_fill_in_middle)}
+QUERIES = {f.__name__: f for f in (op1_quotation_linking, op2_suffix_dedup, op3_language_id, op4_url_lm_ratio, op5_exact_topk, op6_mix_sources, op7_jaccard_join, op8_closed_syncmers, op9_best_fit_packing, op10_line_blocks, op11_sale_assembly, op12_piece_codec, op13_fill_in_middle)}
 
 ORACLE_SQL: dict[str, str] = {
     "op5_exact_topk": """
