@@ -1,9 +1,10 @@
 """Fill-in-the-middle: documents cut at two seeded token boundaries and put together as prefix-suffix-middle or suffix-prefix-middle.
 
 A distinct-text index is built first. Identical texts are grouped by their content (the grouping compares whole texts, and collapses copies
-before they are shuffled); of each text the ends of its tokens, in code points, are found once and kept as an Elias-Fano list: the low bits
-of each end packed, the high bits as a bit vector with a one for each end. The index is joined back to the documents by length and SHA-256
-of the text, a frequent text being dealt over several tasks, and each document selects its two cuts from the list by rank.
+before they are shuffled), and the ids of its documents stay with each text, so that texts move once; a text with very many copies is dealt
+over several groups. Of each group's text the ends of its tokens, in code points, are found once and kept as an Elias-Fano list: the low
+bits of each end packed, the high bits as a bit vector with a one for each end. The list is joined to the group's documents, and each
+selects its two cuts from it by rank.
 
 A token is white space (space, U+0009..U+000D) with the word after it, or the white space that ends a text.
 
@@ -22,9 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, buffers, mapped, saved, slices, spread_join, words_at
+from .common import SPACE, buffers, mapped, slices, words_at
 
-SEED, FORM_SHARE, SUFFIX_FIRST, SLICE_BYTES = 42, 50, 80, 1 << 20
+SEED, FORM_SHARE, SUFFIX_FIRST, SLICE_BYTES, ROWS = 42, 50, 80, 1 << 20, 5_000
 #: Markers of the prefix, the suffix and the middle.
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
 _BLANK = np.isin(np.arange(256), SPACE)
@@ -80,25 +81,22 @@ def token_ends(texts: pa.Array) -> list[tuple[np.ndarray, int]]:
     return out
 
 
-def text_index(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """A written table of the distinct texts: length in bytes, digest, copies, and the list of token ends (count, bits, low, high)."""
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for b in slices(batch, "text", SLICE_BYTES):
-                lists = [EliasFano.of(*x) for x in token_ends(b.column(0))]
-                columns = [pa.array(c, t) for c, t in zip(zip(*lists, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)]
-                yield pa.RecordBatch.from_arrays([*b.columns[1:], *columns], names=["key", "copies", "count", "bits", "low", "high"])
-
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    texts = docs.select(text.alias("text")).groupBy("text").agg(F.count("*").alias("copies"))
-    keyed = texts.select("text", content_key(F.col("text")).alias("key"), "copies")
-    return saved(mapped(keyed, build, "key binary, copies long, count long, bits int, low binary, high binary"), "texts")
-
-
-def content_key(text):
-    """Eight bytes of the text's length in bytes and its SHA-256."""
-    return F.concat(F.unhex(F.lpad(F.hex(F.octet_length(text)), 16, "0")), F.unhex(F.sha2(text, 256)))
+def text_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Each distinct text with the ids of its documents. A text with more than a quarter of a shuffle partition's share of the documents has
+    several groups; there are at most four such texts a partition, so the driver can name their hashes (a hash that two texts share only
+    makes more groups)."""
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    counts = texts.groupBy(F.xxhash64("text").alias("key")).agg(F.count("*").alias("n"))
+    total = texts.count()
+    share = max(1_000, total // (4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    hot: dict[int, list[int]] = {}
+    for r in counts.where(F.col("n") > share).collect():
+        hot.setdefault(1 << (-(-r.n // share) - 1).bit_length(), []).append(r.key)
+    parts = F.lit(1)
+    for n, keys in hot.items():
+        parts = F.when(F.xxhash64("text").isin(keys), n).otherwise(parts)
+    part = F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), parts)
+    return texts.withColumn("part", part).groupBy("text", "part").agg(F.collect_list(F.struct("id")).alias("ids")).select("text", "ids")
 
 
 class Cut(NamedTuple):
@@ -138,33 +136,34 @@ def restored(form: str, output: str) -> str:
 
 
 def _select(docs: DataFrame, id_col: str, text_col: str, make, schema: str, names: list[str], seed: int) -> DataFrame:
-    """Joins the index and calls make(text, cut, first, second) for each document, first and second in code points."""
-    index = text_index(docs, text_col)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), text.alias("text")).withColumn("key", content_key(F.col("text")))
-    found = spread_join(rows, index, "key", "copies", ["id"], drop=[]).select("id", "text", "count", "bits", "low", "high")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for b in slices(batch, "text", SLICE_BYTES):
-                out = []
-                for doc, t, *ef in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                    ends = EliasFano(*ef)
-                    c = choose(doc, t, ends.count, seed)
-                    first = second = 0
-                    if c.form != "plain":
-                        ranks = ends.ranks()
-                        first, second = (ends.select(i - 1, ranks) if i else 0 for i in (c.first, c.second))
-                    out.append(make(t, ends.count, c.form, first, second))
-                columns = [pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), fields, strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=["id", *names])
-
+    """Calls make(text, tokens, form, first, second) for each document, first and second in code points."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    fields = list(to_arrow_schema(StructType.fromDDL(schema)))
     kind = dict(docs.dtypes)[id_col]
-    return mapped(found, cut, f"id {kind}, {schema}").withColumnRenamed("id", id_col)
+    fields = list(to_arrow_schema(StructType.fromDDL(f"id {kind}, {schema}")))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in slices(batch, "text", SLICE_BYTES):
+                out: list[tuple] = []
+                for text, ids, (ends, chars) in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), token_ends(b.column(0)), strict=True):
+                    index = EliasFano.of(ends, chars)
+                    ranks = index.ranks()
+                    for x in ids:
+                        c = choose(x["id"], text, index.count, seed)
+                        first, second = (index.select(i - 1, ranks) if i else 0 for i in (c.first, c.second))
+                        out.append((x["id"], *make(text, index.count, c.form, first, second)))
+                        if len(out) == ROWS:
+                            yield batch_of(out)
+                            out = []
+                if out:
+                    yield batch_of(out)
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), fields, strict=True)], names=["id", *names])
+
+    return mapped(text_groups(docs, id_col, text_col), cut, f"id {kind}, {schema}").withColumnRenamed("id", id_col)
 
 
 def fill_in_middle(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED) -> DataFrame:

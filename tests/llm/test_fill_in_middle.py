@@ -51,10 +51,13 @@ def test_empty_table(spark):
     assert fim.digests(docs).collect() == []
 
 
-def test_index_has_each_text_once(spark):
+def test_each_text_has_one_group_and_frequent_ones_several(spark):
     docs = spark.createDataFrame([(i, "same words here") for i in range(50)] + [(50, None), (51, ""), (52, "other")], "doc_id long, text string")
-    found = {r["count"]: r.copies for r in fim.text_index(docs).collect()}
-    assert found == {3: 50, 0: 2, 1: 1}
+    found = {r.text: sorted(x.id for x in r.ids) for r in fim.text_groups(docs).collect()}
+    assert found == {"same words here": list(range(50)), "": [50, 51], "other": [52]}
+    many = spark.createDataFrame([(7, "hot")] * 5000 + [(i, f"t{i}") for i in range(5000)], "doc_id long, text string")
+    groups = [len(r.ids) for r in fim.text_groups(many).where("text = 'hot'").collect()]
+    assert sum(groups) == 5000 and len(groups) > 3 and max(groups) < 1000
 
 
 @pytest.mark.parametrize("seed", range(20))
