@@ -1,5 +1,6 @@
-"""Budgeted selection. Each step depends on everything chosen before it, so a book's candidates (numbers and tags, no texts) are
-folded in one task; books run in parallel, and texts are joined back afterwards.
+"""Budgeted selection. Each step depends on everything chosen before it. A book of up to FOLDED candidates (numbers and tags, no texts) is
+folded in one task, books in parallel; larger books are decided in rounds over all their rows at once (greedy.py), with equal results.
+Texts are joined back afterwards.
 
 candidates: book_id, block_id, cand_pos, section_no, first_index, word_count, utility, covers, terms, redundant_with;
 section table: book_id, section_no, section_pos, cap, cover (must the section be covered), included;
@@ -11,15 +12,19 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from . import greedy
+from .scans import numbered, written
 from .structure import section_caps
 
 #: How far past the target protected and late additions may go, and when the last pass starts and stops.
 PROTECTED, OVERSHOOT, REVIEW_TOTAL, REVIEW_SECTION, START_BELOW, ENOUGH = 1.12, 1.03, 1.12, 1.15, 0.94, 0.97
 LEAST_CAP = 600
+#: The most candidates of a book that one task folds.
+FOLDED = 20_000
 CHOSEN = "book_id string, block_id string, step int, protected boolean, protected_for array<string>, target long"
 
 
@@ -90,16 +95,34 @@ def select_book(blocks: list[dict], goals: list[str], sections: list[dict], targ
     return budget.chosen
 
 
-def select(candidates: DataFrame, sections: DataFrame, goals: DataFrame, targets: DataFrame) -> DataFrame:
+def larger_books(rows: DataFrame, most: int) -> DataFrame | None:
+    """The books (book_id) with more than `most` rows; None if there is none."""
+    found = written(rows.groupBy("book_id").agg(F.count("*").alias("n")).where(F.col("n") > most).select("book_id"), "large")
+    return None if found.isEmpty() else found
+
+
+def _apart(rows: DataFrame, folded: int, small, large) -> DataFrame:
+    """small() of the books with up to `folded` rows, large() of the others."""
+    found = larger_books(rows, folded)
+    if found is None:
+        return small(rows)
+    return small(rows.join(found, "book_id", "left_anti")).unionByName(large(rows.join(found, "book_id", "left_semi")))
+
+
+def select(candidates: DataFrame, sections: DataFrame, goals: DataFrame, targets: DataFrame, folded: int = FOLDED) -> DataFrame:
     """book_id, block_id, step (order of choice), protected, protected_for, target."""
     c = candidates.select("book_id", "block_id", "cand_pos", "section_no", "word_count", "utility", F.array_union("covers", "terms").alias("tags"), "redundant_with")
+    return _apart(c, folded, lambda rows: _select_folded(rows, sections, goals, targets), lambda rows: _select_in_rounds(rows, sections, goals, targets))
+
+
+def _select_folded(c: DataFrame, sections: DataFrame, goals: DataFrame, targets: DataFrame) -> DataFrame:
     per_book = sections.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("section_pos", "section_no", "cap", "cover", "included"))).alias("sections"))
     listed = goals.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("ord", "requirement_id"))).alias("goals"))
     side = targets.join(per_book, "book_id", "left").join(listed, "book_id", "left")
 
     def run(blocks: pd.DataFrame, about: pd.DataFrame) -> pd.DataFrame:
         if blocks.empty or about.empty:
-            return pd.DataFrame({k: [] for k in ("book_id", "block_id", "step", "protected", "protected_for", "target")})
+            return pd.DataFrame({k: [] for k in ("book_id", "block_id", "step", "protected", "protected_for", "target")}, dtype=object)
         row = about.iloc[0]
         sections = [dict(s) for s in (row["sections"] if row["sections"] is not None else []) if s["included"]]
         goals = [g["requirement_id"] for g in (row["goals"] if row["goals"] is not None else [])]
@@ -110,9 +133,83 @@ def select(candidates: DataFrame, sections: DataFrame, goals: DataFrame, targets
     return c.groupBy("book_id").cogroup(side.groupBy("book_id")).applyInPandas(run, CHOSEN)
 
 
-def value_pass(candidates: DataFrame, caps: DataFrame, targets: DataFrame) -> DataFrame:
-    """The value pass alone, as a fold over each book's ranked rows (no redundancy): book_id, block_id, rank."""
+def _scaled(words: str, factor: float) -> Column:
+    return (F.col(words) * F.lit(factor)).cast("long")
+
+
+def _used(books: DataFrame, chosen: DataFrame) -> DataFrame:
+    """books with used, the words of their chosen blocks."""
+    return books.join(chosen.groupBy("book_id").agg(F.sum("word_count").alias("_w")), "book_id", "left").withColumn("used", F.coalesce("_w", F.lit(0)).cast("long")).drop("_w")
+
+
+def _open_rows(c: DataFrame, chosen: DataFrame, order: str) -> tuple[DataFrame, DataFrame]:
+    """Candidates not chosen and not redundant with what is chosen, with the words chosen in their section (section_used), and of these the
+    pairs (book_id, pos, other_pos) by redundancy."""
+    named = c.select("book_id", "block_id", F.explode("redundant_with").alias("other"))
+    barred = named.join(chosen.select("book_id", F.col("block_id").alias("other")), ["book_id", "other"], "left_semi").select("book_id", "block_id").distinct()
+    here = chosen.groupBy("book_id", "section_no").agg(F.sum("word_count").alias("section_used"))
+    rows = c.join(chosen.select("book_id", "block_id"), ["book_id", "block_id"], "left_anti").join(barred, ["book_id", "block_id"], "left_anti")
+    rows = rows.join(here, ["book_id", "section_no"], "left").withColumn("section_used", F.coalesce("section_used", F.lit(0)))
+    places = rows.select("book_id", F.col("block_id").alias("other"), F.col(order).alias("other_pos"))
+    pairs = rows.select("book_id", F.col(order).alias("pos"), F.explode("redundant_with").alias("other")).join(places, ["book_id", "other"]).select("book_id", "pos", "other_pos")
+    return rows, pairs
+
+
+def _select_in_rounds(c: DataFrame, sections: DataFrame, goals: DataFrame, targets: DataFrame) -> DataFrame:
+    """The four passes over books of any size."""
+    ranked = numbered(c.join(targets, "book_id"), ["book_id"], [F.desc("utility"), F.col("cand_pos")], "rank")
+    c = written(numbered(ranked, ["book_id"], [F.desc("utility"), F.col("word_count"), F.col("cand_pos")], "place"), "candidates")
+    books = written(c.groupBy("book_id").agg(F.max("target").alias("target")), "targets")
+    own = ("book_id", "block_id", "section_no", "word_count")
+    included = sections.where("included").join(books.select("book_id"), "book_id", "left_semi")
+    caps = included.where("cap IS NOT NULL").groupBy("book_id", "section_no").agg(F.max("cap").alias("cap"))
+    c = c.join(caps, ["book_id", "section_no"], "left").withColumn("cap", F.coalesce("cap", F.lit(LEAST_CAP)))
+    limits = books.withColumn("total_limit", _scaled("target", PROTECTED))
+
+    wanted = goals.join(books.select("book_id"), "book_id", "left_semi").select("book_id", "ord", "requirement_id")
+    options = c.select("book_id", "block_id", "place", "word_count", F.explode("tags").alias("requirement_id")).join(wanted, ["book_id", "requirement_id"])
+    met = greedy.first_fits(wanted, options, _used(limits, c.select(*own).limit(0)))
+    kept_for = met.join(wanted, ["book_id", "ord"]).groupBy("book_id", "block_id").agg(F.array_sort(F.collect_list(F.struct("ord", "requirement_id"))).alias("all"))
+    kept_for = kept_for.select("book_id", "block_id", F.array_distinct("all.requirement_id").alias("protected_for"))
+    first = met.where("fresh").select("book_id", "block_id", F.lit(1).alias("phase"), F.col("ord").alias("pos"))
+    about = lambda picked: picked.join(c.select(*own), ["book_id", "block_id"])
+    chosen = written(about(first), "chosen")
+
+    has = chosen.groupBy("book_id", "section_no").agg(F.sum("word_count").alias("has"))
+    bare = included.where("cover").join(has, ["book_id", "section_no"], "left").where(F.coalesce("has", F.lit(0)) == 0)
+    bare = written(numbered(bare.select("book_id", "section_no", "section_pos"), ["book_id"], [F.col("section_pos"), F.col("section_no")], "ord"), "bare")
+    options = c.join(chosen, ["book_id", "block_id"], "left_anti").join(bare.select("book_id", "section_no", "ord"), ["book_id", "section_no"])
+    met = greedy.first_fits(bare, options, _used(limits, chosen))
+    second = met.select("book_id", "block_id", F.lit(2).alias("phase"), F.col("ord").alias("pos"))
+    chosen = written(chosen.unionByName(about(second)), "chosen")
+
+    rows, pairs = _open_rows(c, chosen, "rank")
+    rows = rows.join(_used(books, chosen).select("book_id", "used"), "book_id").withColumns({"pos": F.col("rank"), "total_limit": F.col("target"), "section_limit": F.col("cap"), "enough": F.lit(None).cast("long")})
+    third = greedy.fill(rows, pairs).withColumn("phase", F.lit(3))
+    chosen = written(chosen.unionByName(about(third)), "chosen")
+
+    late = _used(books, chosen).where(F.col("used") < _scaled("target", START_BELOW)).select("book_id", "used")
+    rest, _ = _open_rows(c.join(late, "book_id"), chosen, "rank")
+    rest = numbered(rest, ["book_id"], [F.abs(F.col("used") + F.col("word_count") - F.col("target")), F.desc("utility"), F.col("rank")], "late")
+    rows, pairs = _open_rows(rest.drop("section_used"), chosen, "late")
+    rows = rows.withColumns({"pos": F.col("late"), "total_limit": _scaled("target", OVERSHOOT), "section_limit": F.col("cap"), "enough": _scaled("target", ENOUGH)})
+    fourth = greedy.fill(rows, pairs).withColumn("phase", F.lit(4))
+    chosen = chosen.unionByName(about(fourth)).join(kept_for, ["book_id", "block_id"], "left")
+    out = numbered(chosen, ["book_id"], [F.col("phase"), F.col("pos")], "step").join(books, "book_id")
+    safe = F.coalesce("protected_for", F.array().cast("array<string>"))
+    return out.select("book_id", "block_id", (F.col("step") - 1).cast("int").alias("step"), (F.col("phase") <= 2).alias("protected"), safe.alias("protected_for"), "target")
+
+
+def value_pass(candidates: DataFrame, caps: DataFrame, targets: DataFrame, folded: int = FOLDED) -> DataFrame:
+    """The value pass alone over each book's ranked rows (no redundancy): book_id, block_id, rank."""
     rows = candidates.join(caps, ["book_id", "section_no"], "left").withColumn("cap", F.coalesce("cap", F.lit(LEAST_CAP).cast("long")))
+    zero = F.lit(0).cast("long")
+    limits = {"pos": F.col("rank"), "total_limit": F.col("target"), "section_limit": F.col("cap"), "used": zero, "section_used": zero, "enough": F.lit(None).cast("long")}
+    large = lambda x: greedy.fill(x.join(targets, "book_id").withColumns(limits)).select("book_id", F.col("pos").alias("rank"), "block_id")
+    return _apart(rows, folded, lambda x: _value_folded(x, targets), large)
+
+
+def _value_folded(rows: DataFrame, targets: DataFrame) -> DataFrame:
     listed = rows.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("rank", "block_id", F.col("section_no").cast("long").alias("section_no"), F.col("word_count").cast("long").alias("word_count"), "cap"))).alias("all")).join(targets, "book_id")
     start = F.struct(F.lit(0).cast("long").alias("used"), F.map_from_arrays(F.array().cast("array<bigint>"), F.array().cast("array<bigint>")).alias("by"), F.array().cast("array<bigint>").alias("ranks"))
 
@@ -123,7 +220,7 @@ def value_pass(candidates: DataFrame, caps: DataFrame, targets: DataFrame) -> Da
         return F.struct(F.when(ok, a["used"] + x["word_count"]).otherwise(a["used"]).alias("used"), F.when(ok, by).otherwise(a["by"]).alias("by"), F.when(ok, F.concat(a["ranks"], F.array(x["rank"]))).otherwise(a["ranks"]).alias("ranks"))
 
     folded = listed.select("book_id", F.explode(F.aggregate("all", start, step)["ranks"]).alias("rank"))
-    return folded.join(candidates.select("book_id", "rank", "block_id"), ["book_id", "rank"])
+    return folded.join(rows.select("book_id", "rank", "block_id"), ["book_id", "rank"])
 
 
 def reading_order(chosen: DataFrame, sections: DataFrame) -> DataFrame:
@@ -141,14 +238,27 @@ def review_removals(chosen: DataFrame, asked: DataFrame) -> DataFrame:
     return open_.join(asked.select("book_id", "block_id").distinct(), ["book_id", "block_id"], "left_semi").select("book_id", "block_id")
 
 
-def review_additions(kept: DataFrame, candidates: DataFrame, asked: DataFrame, caps: DataFrame, targets: DataFrame) -> DataFrame:
-    """book_id, block_id, pos of additions asked for (book_id, pos, block_id) that fit, in order: an ordered fold per book.
-    kept: book_id, block_id, section_no, word_count; candidates also protected_for."""
+def review_additions(kept: DataFrame, candidates: DataFrame, asked: DataFrame, caps: DataFrame, targets: DataFrame, folded: int = FOLDED) -> DataFrame:
+    """book_id, block_id, pos of additions asked for (book_id, pos, block_id) that fit, in order. kept: book_id, block_id, section_no,
+    word_count; candidates also protected_for."""
     info = candidates.select("book_id", "block_id", "section_no", "word_count", (F.size("protected_for") > 0).alias("safe"))
-    first = asked.groupBy("book_id", "block_id").agg(F.collect_list("pos").alias("ps")).select("book_id", "block_id", F.explode("ps").alias("pos"))
+    # what did not fit does not fit later, so the first of repeated requests decides
+    first = asked.groupBy("book_id", "block_id").agg(F.min("pos").alias("pos"))
     wanted = first.join(info, ["book_id", "block_id"]).join(kept.select("book_id", "block_id"), ["book_id", "block_id"], "left_anti")
     used = kept.groupBy("book_id", "section_no").agg(F.sum("word_count").alias("words"))
     caps = caps.select("book_id", "section_no", "cap")
+    return _apart(wanted, folded, lambda x: _additions_folded(x, used, caps, targets), lambda x: _additions_in_rounds(x, used, caps, targets))
+
+
+def _additions_in_rounds(wanted: DataFrame, used: DataFrame, caps: DataFrame, targets: DataFrame) -> DataFrame:
+    rows = wanted.join(targets, "book_id").join(used, ["book_id", "section_no"], "left").join(caps, ["book_id", "section_no"], "left")
+    rows = rows.join(used.groupBy("book_id").agg(F.sum("words").alias("used")), "book_id", "left")
+    cap = (F.coalesce("cap", F.lit(LEAST_CAP)) * F.lit(REVIEW_SECTION)).cast("long")
+    rows = rows.withColumns({"used": F.coalesce("used", F.lit(0)), "section_used": F.coalesce("words", F.lit(0)), "section_limit": F.when(~F.col("safe"), cap), "total_limit": _scaled("target", REVIEW_TOTAL), "enough": F.lit(None).cast("long")})
+    return greedy.fill(rows).select("book_id", "block_id", "pos")
+
+
+def _additions_folded(wanted: DataFrame, used: DataFrame, caps: DataFrame, targets: DataFrame) -> DataFrame:
 
     def run(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         out = []

@@ -49,8 +49,9 @@ def _model(blocks, goals, sections, target):
     return [(b[1], b[1] in protected, tags.get(b[1], [])) for b in taken]
 
 
-@pytest.mark.parametrize("seed", range(6))
-def test_selection_against_a_model(spark, seed):
+@pytest.mark.parametrize(("seed", "folded"), [*((s, selection.FOLDED) for s in range(6)), (1, 0), (4, 0), (7, 24)])
+def test_selection_against_a_model(spark, seed, folded):
+    """By folds, in rounds, and with some books either way."""
     rng = random.Random(seed)
     books, rows, want = [f"b{i}" for i in range(4)], [], {}
     sections, goals, targets = [], [], []
@@ -60,12 +61,13 @@ def test_selection_against_a_model(spark, seed):
         s = [(book, k, k, rng.choice([300, 600, 900]), rng.random() < 0.7, True) for k in range(1, n + 1)]
         g = [f"R{k}" for k in rng.sample(range(8), 4)]
         target = rng.randint(300, 2500)
+        own = own if folded != 24 or book > "b1" else own[:20]
         rows += own
         sections += s
         goals += [(book, i, r) for i, r in enumerate(g)]
         targets.append((book, target))
         want[book] = _model(own, g, s, target)
-    out = selection.select(spark.createDataFrame(rows, CANDIDATES), spark.createDataFrame(sections, SECTIONS), spark.createDataFrame(goals, "book_id string, ord long, requirement_id string"), spark.createDataFrame(targets, "book_id string, target long"))
+    out = selection.select(spark.createDataFrame(rows, CANDIDATES), spark.createDataFrame(sections, SECTIONS), spark.createDataFrame(goals, "book_id string, ord long, requirement_id string"), spark.createDataFrame(targets, "book_id string, target long"), folded=folded)
     got: dict = {b: [] for b in books}
     for r in sorted(out.collect(), key=lambda r: r.step):
         got[r.book_id].append((r.block_id, r.protected, r.protected_for))
@@ -88,11 +90,12 @@ def test_review_keeps_a_sections_only_block(spark):
     assert [r.block_id for r in selection.review_removals(c, asked).collect()] == ["B2"]
 
 
-def test_review_additions_in_order(spark):
+@pytest.mark.parametrize("folded", [selection.FOLDED, 0])
+def test_review_additions_in_order(spark, folded):
     c = spark.createDataFrame([("b", f"B{i}", i, 1 + i % 2, i, 300, 1.0, [], [], [], ["R1"] if i == 5 else []) for i in range(8)], CANDIDATES)
     kept = c.where("cand_pos = 0")
     asked = spark.createDataFrame([("b", p, f"B{i}") for p, i in enumerate([0, 2, 2, 4, 5, 7, 99])], "book_id string, pos long, block_id string")
     caps = spark.createDataFrame([("b", 1, 600), ("b", 2, 200)], "book_id string, section_no long, cap long")
-    out = selection.review_additions(kept, c, asked, caps, spark.createDataFrame([("b", 1000)], "book_id string, target long")).collect()
+    out = selection.review_additions(kept, c, asked, caps, spark.createDataFrame([("b", 1000)], "book_id string, target long"), folded=folded).collect()
     # 300 kept; B2 fits (600 of 690); B4 passes its section's cap; B5 is protected, so its cap does not count; B7 passes its cap
     assert sorted(r.block_id for r in out) == ["B2", "B5"]
