@@ -40,13 +40,18 @@ def saved(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Da
     """Writes df as a Parquet table in the shared folder and reads it again: lineage ends here, executors may be lost."""
     path = f"{scratch_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path, partitionBy=partition_by)
-    if jvm := getattr(df.sparkSession, "_jvm", None):
-        jvm.System.gc()  # shuffle files of finished plans go when the driver collects its garbage
+    freed(df.sparkSession)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._lapidary_path = path
     return out
 
 
+def freed(spark: SparkSession) -> None:
+    """Shuffle files of finished plans go when the driver collects its garbage."""
+    if jvm := getattr(spark, "_jvm", None):
+        jvm.System.gc()
+
+
 def dropped(*tables: DataFrame) -> None:
     """Deletes tables of saved() that nothing reads any more."""
     for t in tables:

@@ -1,8 +1,9 @@
 """Sales put together from rows that arrive over days: a stateful stream that closes an assembly when it is complete or too old.
 
-Rows are gathered by (sale, day) before they meet, so that a sale with any share of the rows is a few rows a day; what a sale is due is summed
+Rows are gathered by (sale, day) before they meet, so that a sale with any share of the rows is a row or two a day; what a sale is due is summed
 from the whole input by the same grouping. The rows of each batch of days are appended to a folder, and a streaming query over that
-folder is started anew for each batch on one checkpoint: transformWithStateInPandas on RocksDB, event time being the day.
+folder is started anew for each batch on one checkpoint: transformWithStateInPandas on RocksDB, event time being the day. On their way
+to the state, a task's rows are packed by key, so that what is shuffled and handed to Python are a few long records.
 
 The state value of a key is its open assemblies, one record for each sale_id. A timer stands at the day on which the oldest of them
 closes: registered when that assembly opens, deleted when it completes (then the next oldest has it). Day by day a sale's rows join its
@@ -13,8 +14,8 @@ the batch without data that follows closes the rest.
 A key is a group of about `sales_per_key` sales by hash (1: each sale_id is a key): one call of the processor, with its state and timer, costs
 about as much for thousands of sales as for one. Keys' number follows the input.
 
-Defined results: rows of either table without sale_id are dropped; equal rows of sale_lines count once, compared in all their columns; a null
-line_no is left out of the hashed name; a null or non-finite amount or total is 0 cents; a sale without arrival day arrives on the first
+Defined results: rows of either table without sale_id are dropped; equal rows of sale_lines count once, compared in all their columns (by
+sale, day, cents and a 64-bit hash of the whole row); a null line_no is left out of the hashed name; a null or non-finite amount or total is 0 cents; a sale without arrival day arrives on the first
 day; of several rows of one sale the earliest (then the least total) says what is due. Empty tables give an empty result.
 """
 
@@ -22,17 +23,19 @@ from __future__ import annotations
 
 import math
 import uuid
+import zlib
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import dropped, saved, scratch_root
+from .common import dropped, freed, mapped, saved, scratch_root
 
 FIRST_DAY, DAYS, BATCHES, WAIT_DAYS, SALES_PER_KEY = 19723, 160, 10, 10, 2_000
 #: In event time a day is a second and days are counted from long before year 1: every day that a timestamp can hold is then after the
@@ -40,10 +43,14 @@ FIRST_DAY, DAYS, BATCHES, WAIT_DAYS, SALES_PER_KEY = 19723, 160, 10, 10, 2_000
 SHIFT, DAY_MS, SENTINEL_DAY = 1_000_000, 1_000, 4_000_000
 FEED = "key long, sale_id long, day int, n_lines long, cents long, held boolean, due long"
 CLOSINGS = "sale_id long, first_day long, last_day long, n_lines long, cents long, due long, status string, closing_batch int"
+PACKED = "key long, at timestamp, records binary"
+PACK_ROWS = 1_000_000
+ROW = np.dtype([("sale_id", "<i8"), ("day", "<i8"), ("n_lines", "<i8"), ("cents", "<i8"), ("due", "<i8"), ("held", "?")])
 OPEN = np.dtype([("sale_id", "<i8"), ("first_day", "<i8"), ("last_day", "<i8"), ("n_lines", "<i8"), ("cents", "<i8"), ("due", "<i8"), ("held", "?")])
 STREAMING = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # else every start keeps 4 MB of disk for each partition
 }
 EMPTY_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
 
@@ -53,14 +60,19 @@ def cents_of(amount: Column) -> Column:
     return F.when(amount.isNotNull() & ~F.isnan(amount) & (F.abs(amount) != F.lit(math.inf)), whole).otherwise(F.lit(0)).cast("long")
 
 
-def days_of_sales(sales: DataFrame, lines: DataFrame) -> DataFrame:
-    """sale_id, day, n_lines, cents, held (the sale's own row is among them) and due: a row or two for each sale and day with rows."""
+def lines_by_day(lines: DataFrame) -> DataFrame:
+    """sale_id, day, n_lines, cents of the distinct lines."""
     number = F.crc32(F.concat_ws(":", F.col("sale_id").cast("string"), F.col("line_no").cast("string")))
     shipped = F.unix_date(F.to_date("shipped_at")) + number % 15
     day = F.coalesce(shipped, FIRST_DAY + number % 152).cast("int")
-    each = lines.where("sale_id IS NOT NULL").distinct().select("sale_id", day.alias("day"), cents_of(F.col("amount")).alias("cents"))
-    by_day = each.groupBy("sale_id", "day").agg(F.count("*").alias("n_lines"), F.sum("cents").alias("cents"))
-    # a sale has at most a row a day from here on
+    row = F.xxhash64(*[F.col(f"`{c}`") for c in lines.columns])
+    each = lines.where("sale_id IS NOT NULL").select("sale_id", day.alias("day"), cents_of(F.col("amount")).alias("cents"), row.alias("row")).distinct()
+    return each.groupBy("sale_id", "day").agg(F.count("*").alias("n_lines"), F.sum("cents").alias("cents"))
+
+
+def days_of_sales(sales: DataFrame, by_day: DataFrame) -> DataFrame:
+    """Adds to lines_by_day() the days of the sales' own rows (held, no lines) and what each sale is due. A sale has at most a row a day
+    of either kind, so its days fit a row."""
     by_sale = by_day.groupBy("sale_id").agg(
         F.sum("cents").alias("_all"), F.max_by("cents", "day").alias("_last"), F.collect_list(F.struct("day", "n_lines", "cents", F.lit(False).alias("held"))).alias("_lines")
     )
@@ -90,11 +102,11 @@ class Assembly(StatefulProcessor):
 
     def _load(self) -> np.ndarray:
         value = self.state.get()
-        return np.frombuffer(bytes(value[0]), OPEN) if value else np.zeros(0, OPEN)
+        return np.frombuffer(zlib.decompress(bytes(value[0])), OPEN) if value else np.zeros(0, OPEN)
 
     def _store(self, records: np.ndarray, had: bool) -> None:
         if len(records):
-            self.state.update((records.tobytes(),))
+            self.state.update((zlib.compress(records.tobytes(), 1),))
         elif had:
             self.state.clear()
 
@@ -109,12 +121,12 @@ class Assembly(StatefulProcessor):
         return out
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows))
-        frame = frame[frame["n_lines"] >= 0]  # not the sentinel
-        if frame.empty:
+        fed = np.frombuffer(b"".join(bytes(x) for frame in rows for x in frame["records"]), ROW)
+        fed = fed[fed["n_lines"] >= 0]  # not the sentinel
+        if not len(fed):
             return
         before = self._load()
-        records, complete = assembled(before, frame)
+        records, complete = assembled(before, fed)
         self._store(records, bool(len(before)))
         was, now = self._timer(before), self._timer(records)
         if was != now:
@@ -141,39 +153,73 @@ class Assembly(StatefulProcessor):
         pass
 
 
-def assembled(records: np.ndarray, frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def by_sale_and_day(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows summed by sale and day, in that order, and each one's place among its sale's days."""
+    rows = rows[np.lexsort((rows["day"], rows["sale_id"]))]
+    new_sale = np.append(True, rows["sale_id"][1:] != rows["sale_id"][:-1])
+    first = np.flatnonzero(new_sale | np.append(True, rows["day"][1:] != rows["day"][:-1]))
+    out = rows[first]
+    for k, how in (("n_lines", np.add), ("cents", np.add), ("due", np.maximum), ("held", np.logical_or)):
+        out[k] = how.reduceat(rows[k], first)
+    starts = np.flatnonzero(new_sale[first])
+    return out, np.arange(len(out)) - np.repeat(starts, np.diff(np.append(starts, len(out))))
+
+
+def assembled(records: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The open assemblies after a batch's rows, day by day, and those that were completed. A step takes one day of every sale."""
-    days = frame.groupby(["sale_id", "day"], sort=True).agg(n_lines=("n_lines", "sum"), cents=("cents", "sum"), held=("held", "max"), due=("due", "max")).reset_index()
-    sales = np.union1d(records["sale_id"], days["sale_id"].to_numpy())
+    days, step = by_sale_and_day(rows)
+    sales = np.union1d(records["sale_id"], days["sale_id"])
     table = np.zeros(len(sales), OPEN)
     table["sale_id"] = sales
     live = np.zeros(len(sales), bool)
     at = np.searchsorted(sales, records["sale_id"])
     table[at], live[at] = records, True
-    step = days.groupby("sale_id").cumcount().to_numpy()
-    order = np.argsort(step, kind="stable")
-    place = np.searchsorted(sales, days["sale_id"].to_numpy())
-    values = {k: days[k].to_numpy() for k in ("day", "n_lines", "cents", "held", "due")}
+    place = np.searchsorted(sales, days["sale_id"])
     complete = []
-    for rows in np.split(order, np.cumsum(np.bincount(step))[:-1]):
-        p = place[rows]
-        day, held = values["day"][rows], values["held"][rows].astype(bool)
+    for of_step in np.split(np.argsort(step, kind="stable"), np.cumsum(np.bincount(step))[:-1]):
+        p, day = place[of_step], days[of_step]
         now = table[p]
         fresh = ~live[p]
         for k in ("n_lines", "cents", "due", "held"):
             now[k][fresh] = 0
-        now["first_day"][fresh] = day[fresh]
-        now["last_day"] = day
-        now["n_lines"] += values["n_lines"][rows]
-        now["cents"] += values["cents"][rows]
-        now["due"] = np.where(held, values["due"][rows], now["due"])
-        now["held"] |= held
+        now["first_day"][fresh] = day["day"][fresh]
+        now["last_day"] = day["day"]
+        now["n_lines"] += day["n_lines"]
+        now["cents"] += day["cents"]
+        now["due"] = np.where(day["held"], day["due"], now["due"])
+        now["held"] |= day["held"]
         done = now["held"] & (now["n_lines"] > 0) & (now["cents"] == now["due"])
         table[p], live[p] = now, ~done
         complete.append(now[done])
     return table[live], np.concatenate(complete)
 
 
+def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's rows as one record a key (and PACK_ROWS rows), at its latest day."""
+
+    def pack(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        columns = {n: np.concatenate([p.column(n).to_numpy(zero_copy_only=False) for p in parts]) for n in ("key", *ROW.names)}
+        order = np.argsort(columns["key"], kind="stable")
+        rows = np.zeros(len(order), ROW)
+        for n in ROW.names:
+            rows[n] = columns[n][order]
+        key = columns["key"][order]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        at = (np.maximum.reduceat(rows["day"], first) + SHIFT) * DAY_MS
+        records = [x.tobytes() for x in np.split(rows, first[1:])]
+        return pa.RecordBatch.from_arrays([pa.array(key[first]), pa.array(at * 1000, pa.int64()).cast(pa.timestamp("us", "UTC")), pa.array(records, pa.binary())], names=["key", "at", "records"])
+
+    parts: list[pa.RecordBatch] = []
+    for b in batches:
+        if b.num_rows:
+            parts.append(b)
+        if sum(p.num_rows for p in parts) >= PACK_ROWS:
+            yield pack(parts)
+            parts = []
+    if parts:
+        yield pack(parts)
+
+
 @contextmanager
 def configured(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
     """The session's settings within the block; what they were stands again after it."""
@@ -193,10 +239,12 @@ def configured(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
 def assemble(sales: DataFrame, lines: DataFrame, sales_per_key: int = SALES_PER_KEY, batches: int = BATCHES) -> DataFrame:
     """A row for each assembly that closed."""
     spark = sales.sparkSession
-    days = days_of_sales(sales, lines)
+    by_day = saved(lines_by_day(lines), "lines")
+    days = days_of_sales(sales, by_day)
     span = F.floor((F.col("day") - FIRST_DAY) * batches / DAYS)
     days = days.withColumn("batch", F.least(F.greatest(span, F.lit(0)), F.lit(batches - 1)).cast("int"))
     staged = saved(days, "days", partition_by=["batch"])
+    dropped(by_day)
     n = staged.agg(F.approx_count_distinct("sale_id")).first()[0]
     keys = max(1, -(-n // sales_per_key))
     key = F.col("sale_id") if sales_per_key == 1 else F.pmod(F.xxhash64("sale_id"), F.lit(keys))
@@ -205,16 +253,17 @@ def assemble(sales: DataFrame, lines: DataFrame, sales_per_key: int = SALES_PER_
     sentinel = spark.createDataFrame([(0, 0, SENTINEL_DAY, -1, 0, False, 0)], FEED)
 
     root = f"{scratch_root(spark)}/assembly-{uuid.uuid4().hex}"
-    at = F.timestamp_millis((F.col("day").cast("long") + SHIFT) * DAY_MS)
     for k in range(batches):
         last = k == batches - 1
         rows = feed.where(F.col("batch") == k).select(*columns)
         (rows.unionByName(sentinel) if last else rows).write.mode("append").parquet(f"{root}/feed")
         with configured(spark, STREAMING | {EMPTY_BATCHES: str(last).lower()}):
-            stream = spark.readStream.schema(FEED).parquet(f"{root}/feed").withColumn("at", at).withWatermark("at", "0 seconds")
+            stream = spark.readStream.schema(FEED).parquet(f"{root}/feed")
+            stream = mapped(stream, packed, PACKED).withWatermark("at", "0 seconds")
             closed = stream.groupBy("key").transformWithStateInPandas(Assembly(k), CLOSINGS, "Append", "EventTime")
             query = closed.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start(f"{root}/closings")
         query.awaitTermination()
+        freed(spark)
     dropped(staged)
     return spark.read.schema(CLOSINGS).parquet(f"{root}/closings")
 
