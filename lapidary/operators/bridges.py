@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.text import strip, strip_transition_label, word_count
+from .greedy import fill
+from .scans import apart
 
 
 def gaps(chosen: DataFrame) -> DataFrame:
@@ -42,20 +44,34 @@ def approved(bridges: DataFrame, checks: DataFrame, most_words: int) -> DataFram
     return rows.where(sound & (F.col("text") != "") & (word_count("text") <= most_words)).select(*bridges.columns)
 
 
+#: The most bridges of a book that are folded in one array.
+SHORT = 2_048
+
+
 def within_budget(bridges: DataFrame, source_words: DataFrame, share: float) -> DataFrame:
     """Bridges in order (book_id, pos, words, ...) that fit into share of the source words (book_id, words): one that does not fit is
-    skipped, later ones may fit."""
-    listed = bridges.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.col("words").cast("long").alias("w")))).alias("all"))
-    budget = (F.col("source_words") * F.lit(share).cast("double")).cast("long")
-    listed = listed.join(source_words.withColumnRenamed("words", "source_words"), "book_id").withColumn("budget", budget)
+    skipped, later ones may fit. Books of more than SHORT bridges are decided in rounds (greedy.py)."""
+    budget = (F.col("source_words") * F.lit(share).cast("double")).cast("long").alias("budget")
+    rows = bridges.select("book_id", F.col("pos").cast("long").alias("pos"), F.col("words").cast("long").alias("word_count"))
+    rows = rows.join(source_words.select("book_id", F.col("words").alias("source_words")), "book_id").select("book_id", "pos", "word_count", budget)
+    kept = apart(rows, ["book_id"], SHORT, _budget_folded, _budget_in_rounds)
+    return bridges.join(kept, ["book_id", "pos"], "left_semi")
+
+
+def _budget_folded(rows: DataFrame) -> DataFrame:
+    listed = rows.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.col("word_count").alias("w")))).alias("all"), F.max("budget").alias("budget"))
     start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<bigint>").alias("kept"))
 
     def step(a, x):
         ok = a["used"] + x["w"] <= F.col("budget")
-        return F.struct(F.when(ok, a["used"] + x["w"]).otherwise(a["used"]).alias("used"), F.when(ok, F.concat(a["kept"], F.array(x["pos"].cast("long")))).otherwise(a["kept"]).alias("kept"))
+        return F.struct(F.when(ok, a["used"] + x["w"]).otherwise(a["used"]).alias("used"), F.when(ok, F.concat(a["kept"], F.array(x["pos"]))).otherwise(a["kept"]).alias("kept"))
 
-    kept = listed.select("book_id", F.explode(F.aggregate("all", start, step)["kept"]).alias("pos"))
-    return bridges.join(kept, ["book_id", "pos"], "left_semi")
+    return listed.select("book_id", F.explode(F.aggregate("all", start, step)["kept"]).alias("pos"))
+
+
+def _budget_in_rounds(rows: DataFrame) -> DataFrame:
+    zero, none = F.lit(0).cast("long"), F.lit(None).cast("long")
+    return fill(rows.withColumns({"block_id": F.lit(""), "section_no": zero, "total_limit": F.col("budget"), "section_limit": none, "used": zero, "section_used": zero, "enough": none})).select("book_id", "pos")
 
 
 def bridge_words(bridges: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +33,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def apart(rows: DataFrame, keys: list[str], most: int, small: Callable[[DataFrame], DataFrame], large: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """small() of the keys with up to `most` rows, large() of the others; both give equal results, and a task of small() holds at most
+    `most` rows of a key."""
+    found = written(rows.groupBy(F.struct(*keys).alias("_key")).agg(F.count("*").alias("n")).where(F.col("n") > most).select("_key"), "large")
+    if found.isEmpty():
+        return small(rows)
+    keyed = rows.withColumn("_key", F.struct(*keys))
+    return small(keyed.join(found, "_key", "left_anti").drop("_key")).unionByName(large(keyed.join(found, "_key", "left_semi").drop("_key")))
+
+
 def _before(per: DataFrame, keys: list[str], order: str, sums: list[str], carried: list[str]) -> DataFrame:
     """Block totals (struct _key, _s_ and _c_ columns) to what stands before each block: _b_ columns."""
     earlier = W.partitionBy(*[F.col(f"_key.{k}") for k in keys]).orderBy(F.col(f"_key.{order}")).rowsBetween(W.unboundedPreceding, -1)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from . import greedy
-from .scans import numbered, written
+from .scans import apart, numbered, written
 from .structure import section_caps
 
 #: How far past the target protected and late additions may go, and when the last pass starts and stops.
@@ -95,24 +95,10 @@ def select_book(blocks: list[dict], goals: list[str], sections: list[dict], targ
     return budget.chosen
 
 
-def larger_books(rows: DataFrame, most: int) -> DataFrame | None:
-    """The books (book_id) with more than `most` rows; None if there is none."""
-    found = written(rows.groupBy("book_id").agg(F.count("*").alias("n")).where(F.col("n") > most).select("book_id"), "large")
-    return None if found.isEmpty() else found
-
-
-def _apart(rows: DataFrame, folded: int, small, large) -> DataFrame:
-    """small() of the books with up to `folded` rows, large() of the others."""
-    found = larger_books(rows, folded)
-    if found is None:
-        return small(rows)
-    return small(rows.join(found, "book_id", "left_anti")).unionByName(large(rows.join(found, "book_id", "left_semi")))
-
-
 def select(candidates: DataFrame, sections: DataFrame, goals: DataFrame, targets: DataFrame, folded: int = FOLDED) -> DataFrame:
     """book_id, block_id, step (order of choice), protected, protected_for, target."""
     c = candidates.select("book_id", "block_id", "cand_pos", "section_no", "word_count", "utility", F.array_union("covers", "terms").alias("tags"), "redundant_with")
-    return _apart(c, folded, lambda rows: _select_folded(rows, sections, goals, targets), lambda rows: _select_in_rounds(rows, sections, goals, targets))
+    return apart(c, ["book_id"], folded, lambda rows: _select_folded(rows, sections, goals, targets), lambda rows: _select_in_rounds(rows, sections, goals, targets))
 
 
 def _select_folded(c: DataFrame, sections: DataFrame, goals: DataFrame, targets: DataFrame) -> DataFrame:
@@ -206,7 +192,7 @@ def value_pass(candidates: DataFrame, caps: DataFrame, targets: DataFrame, folde
     zero = F.lit(0).cast("long")
     limits = {"pos": F.col("rank"), "total_limit": F.col("target"), "section_limit": F.col("cap"), "used": zero, "section_used": zero, "enough": F.lit(None).cast("long")}
     large = lambda x: greedy.fill(x.join(targets, "book_id").withColumns(limits)).select("book_id", F.col("pos").alias("rank"), "block_id")
-    return _apart(rows, folded, lambda x: _value_folded(x, targets), large)
+    return apart(rows, ["book_id"], folded, lambda x: _value_folded(x, targets), large)
 
 
 def _value_folded(rows: DataFrame, targets: DataFrame) -> DataFrame:
@@ -247,7 +233,7 @@ def review_additions(kept: DataFrame, candidates: DataFrame, asked: DataFrame, c
     wanted = first.join(info, ["book_id", "block_id"]).join(kept.select("book_id", "block_id"), ["book_id", "block_id"], "left_anti")
     used = kept.groupBy("book_id", "section_no").agg(F.sum("word_count").alias("words"))
     caps = caps.select("book_id", "section_no", "cap")
-    return _apart(wanted, folded, lambda x: _additions_folded(x, used, caps, targets), lambda x: _additions_in_rounds(x, used, caps, targets))
+    return apart(wanted, ["book_id"], folded, lambda x: _additions_folded(x, used, caps, targets), lambda x: _additions_in_rounds(x, used, caps, targets))
 
 
 def _additions_in_rounds(wanted: DataFrame, used: DataFrame, caps: DataFrame, targets: DataFrame) -> DataFrame:

@@ -1,15 +1,22 @@
 """Books, sections and paragraphs: identifiers, segmentation, chunks, runs, excerpts and word totals.
 
-Tables are keyed by book_id; order is always by numeric ordinals, never by padded identifiers. Windows are per book or per section.
+Tables are keyed by book_id; order is always by numeric ordinals, never by padded identifiers. What runs through a book in order (headings
+carried on, numbers, words so far, chunks) is scanned in two levels, so a book of any size spreads over many tasks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import rules, text
+from . import scans
+from .scans import running
 
 
 def segment_lines(lines: DataFrame) -> DataFrame:
@@ -18,8 +25,7 @@ def segment_lines(lines: DataFrame) -> DataFrame:
     section "Book text" of all its lines."""
     title = text.heading_title("line")
     heading = text.is_markdown_heading("line") | ((F.char_length(title) < 120) & text.is_heading(title))
-    order = W.partitionBy("book_id").orderBy("line_no")
-    marked = lines.withColumn("heading", heading).withColumn("segment", F.sum(F.col("heading").cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0)))
+    marked = running(lines.withColumn("heading", heading), ["book_id"], "line_no", {"segment": F.col("heading").cast("int")})
     marked = marked.withColumn("title", F.when(F.col("heading"), title))
     body = F.array_sort(F.collect_list(F.when(~F.col("heading"), F.struct("line_no", "line"))))
     parts = marked.groupBy("book_id", "segment").agg(F.max("title").alias("title"), text.strip(F.array_join(F.transform(body, lambda x: x["line"]), "\n")).alias("text"))
@@ -27,8 +33,9 @@ def segment_lines(lines: DataFrame) -> DataFrame:
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
     bare = lines.groupBy("book_id").agg(whole.alias("text")).join(parts.select("book_id").distinct(), "book_id", "left_anti")
     parts = parts.unionByName(bare.select("book_id", F.lit(0).cast("long").alias("segment"), F.lit("Book text").alias("title"), "text"))
-    place = F.row_number().over(W.partitionBy("book_id").orderBy("segment"))
-    return parts.select("book_id", place.cast("long").alias("section_pos"), "title", "text")
+    # texts stay out of the numbering
+    places = running(parts.select("book_id", "segment"), ["book_id"], "segment", {"section_pos": F.lit(1).cast("long")})
+    return parts.join(places, ["book_id", "segment"]).select("book_id", "section_pos", "title", "text")
 
 
 def section_blocks(sections: DataFrame) -> DataFrame:
@@ -42,9 +49,12 @@ def paragraphs(blocks: DataFrame) -> DataFrame:
     section's raw blocks, so that dropped blocks leave gaps. Titles that are blank become "Section n" by section_pos."""
     title = text.strip("title")
     title = F.when(title == "", F.concat(F.lit("Section "), F.col("section_pos"))).otherwise(title)
-    n = F.dense_rank().over(W.partitionBy("book_id").orderBy("section_pos"))
-    raw = blocks.withColumns({"section_no": n.cast("long"), "title": title, "text": text.normalize("text")})
-    raw = raw.withColumn("idx", F.row_number().over(W.partitionBy("book_id", "section_no").orderBy("block_pos")).cast("long")).withColumn("word_count", text.word_count("text"))
+    one = F.lit(1).cast("long")
+    numbers = running(blocks.select("book_id", "section_pos").distinct(), ["book_id"], "section_pos", {"section_no": one})
+    placed = running(blocks, ["book_id", "section_pos"], "block_pos", {"idx": one}).join(numbers, ["book_id", "section_pos"])
+    # made once: what an explode has made is filtered after it
+    made = F.explode(F.array(text.normalize("text")))
+    raw = placed.withColumns({"title": title, "text": made}).withColumn("word_count", F.explode(F.array(text.word_count("text"))))
     section = text.numbered("CH", "section_no")
     return raw.where((F.col("text") != "") & (F.col("word_count") >= 2)).select(
         "book_id", "section_no", section.alias("section_id"), "title", "idx", F.concat(section, F.format_string("-P%04d", "idx")).alias("paragraph_id"), "text", "word_count", "page",
@@ -62,9 +72,76 @@ def books(secs: DataFrame) -> DataFrame:
     return secs.groupBy("book_id").agg(F.coalesce(F.sum(F.when(F.col("kind") != "exclude", F.col("word_count"))), F.lit(0)).alias("total_words"))
 
 
+class Fold:
+    """What a stretch of rows does to a bin that is open before it, for every count of words the bin may hold: the first row that opens a new
+    bin is found in the stretch's running words; from each row on, the bins that follow and the words of the last are known."""
+
+    def __init__(self, heads: np.ndarray, left: np.ndarray, made: np.ndarray, total: int) -> None:
+        #: running words up to the first row above `most`; for a new bin opened at each of these rows, words of the last bin and bins made
+        self.heads, self.left, self.made, self.total = heads, left, made, total
+
+    def after(self, words: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """Words of the open bin after the stretch, and bins made in it; words before it: NEW if none is open."""
+        first = np.searchsorted(self.heads, most - words, "right")
+        goes_on = first == len(self.heads)  # only if no row of the stretch passes `most`
+        at = np.minimum(first, len(self.heads) - 1)
+        return np.where(goes_on, words + self.total, self.left[at]), np.where(goes_on, 0, self.made[at])
+
+
+#: The most rows of a key that are folded in one array, and blocks whose folds are joined to one.
+SHORT, GROUP = 2_048, 128
+#: Words of a bin that takes no row: what stands before a key's first.
+NEW = 1 << 60
+
+
+def starts_after(words: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Running words, and for each row the row at which the next bin would open if it opened one."""
+    total = np.cumsum(words)
+    following = np.searchsorted(total, total - words + most, "right")
+    return total, np.maximum(following, np.arange(len(words)) + 1)
+
+
+def fold_of(words: np.ndarray, most: int) -> Fold:
+    total, following = starts_after(words, most)
+    n = len(words)
+    left, made = np.zeros(n, np.int64), np.ones(n, np.int64)
+    for i in range(n - 1, -1, -1):
+        j = following[i]
+        if j >= n:
+            left[i] = total[-1] - total[i] + words[i]
+        else:
+            left[i], made[i] = left[j], made[j] + 1
+    heads = int(np.searchsorted(total, most, "right")) + 1
+    return Fold(total[:heads], left[:heads], made[:heads], int(total[-1]))
+
+
+def joined_folds(folds: list[Fold], most: int) -> Fold:
+    """One stretch out of several in a row."""
+    heads, left, made, before = [], [], [], 0
+    for i, f in enumerate(folds):
+        words, bins_made = f.left, f.made
+        for g in folds[i + 1 :]:
+            words, more = g.after(words, most)
+            bins_made = bins_made + more
+        heads.append(f.heads + before)
+        left.append(words)
+        made.append(bins_made)
+        before += f.total
+        if before > most:  # rows further on open no first bin
+            break
+    return Fold(np.concatenate(heads), np.concatenate(left), np.concatenate(made), sum(f.total for f in folds))
+
+
 def bins(rows: DataFrame, keys: list[str], order: str, words: str, most: int, into: str = "chunk") -> DataFrame:
     """Adds the number (from 1) of the consecutive bin of at most `most` words; a longer row stands alone. A bin's end depends on all
-    before it, so each key's word counts (not its texts) are folded in one row; keys are independent."""
+    before it. Keys of up to SHORT rows are folded in one array; of larger ones, blocks of rows are folded for every state they may be
+    entered in (Fold), groups of blocks are joined to one fold, each key's groups are walked in order, then the blocks of each group,
+    and last the rows of each block: a task holds a block's numbers or a group's folds, whatever the size of the key. order: an integer
+    position, distinct within a key."""
+    return scans.apart(rows, keys, SHORT, lambda x: _short_bins(x, keys, order, words, most, into), lambda x: _long_bins(x, keys, order, words, most, into))
+
+
+def _short_bins(rows: DataFrame, keys: list[str], order: str, words: str, most: int, into: str) -> DataFrame:
     per = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(words).cast("long").alias("w")))).alias("all"))
     start = F.struct(F.lit(0).cast("long").alias("bin"), F.lit(0).cast("long").alias("used"), F.array().cast("array<bigint>").alias("out"))
 
@@ -81,6 +158,65 @@ def bins(rows: DataFrame, keys: list[str], order: str, words: str, most: int, in
     return rows.join(folded, on).drop("_o", *[f"_{k}" for k in keys])
 
 
+def _long_bins(rows: DataFrame, keys: list[str], order: str, words: str, most: int, into: str) -> DataFrame:
+    kinds = ", ".join(f"`{k}` {t}" for k, t in rows.dtypes if k in keys)
+    block = F.floor(F.col(order) / scans.BLOCK).alias("_block")
+    narrow = rows.select(*keys, F.col(order).cast("long").alias("_o"), F.coalesce(F.col(words).cast("long"), F.lit(0).cast("long")).alias("_w"), block)
+    schema = f"{kinds}, _block long, heads array<long>, left array<long>, made array<long>, total long"
+
+    def folded(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        f = fold_of(pdf.sort_values("_o")["_w"].to_numpy(), most)
+        return pd.DataFrame([(*key, f.heads, f.left, f.made, f.total)], columns=[*keys, "_block", "heads", "left", "made", "total"])
+
+    def of(pdf: pd.DataFrame) -> list[Fold]:
+        return [Fold(np.asarray(r.heads), np.asarray(r.left), np.asarray(r.made), r.total) for r in pdf.sort_values("_block").itertuples()]
+
+    def grouped(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        f = joined_folds(of(pdf), most)
+        return pd.DataFrame([(*key, f.heads, f.left, f.made, f.total)], columns=[*keys, "_block", "heads", "left", "made", "total"])
+
+    def walked(pdf: pd.DataFrame, state: tuple[int, int]) -> Iterator[tuple[int, int, int]]:
+        """Each stretch with the words of the bin open before it and the bins before it."""
+        words_open, done = state
+        for at, f in zip(sorted(pdf["_block"]), of(pdf), strict=True):
+            yield at, words_open, done
+            after, more = f.after(np.array([words_open]), most)
+            words_open, done = int(after[0]), done + int(more[0])
+
+    entered = f"{kinds}, _block long, _open long, _done long"
+
+    def walk_key(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(*key, *x) for x in walked(pdf, (NEW, 0))], columns=[*keys, "_block", "_open", "_done"])
+
+    def walk_group(key: tuple, pdf: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
+        first = (int(state["_open"].iloc[0]), int(state["_done"].iloc[0]))
+        return pd.DataFrame([(*key[:-1], *x) for x in walked(pdf, first)], columns=[*keys, "_block", "_open", "_done"])
+
+    def numbered_rows(key: tuple, pdf: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_o")
+        w = pdf["_w"].to_numpy()
+        total, following = starts_after(w, most)
+        at = int(np.searchsorted(total, most - int(state["_open"].iloc[0]), "right"))
+        opens = np.zeros(len(w), np.int64)
+        while at < len(w):
+            opens[at] = 1
+            at = following[at]
+        return pdf[[*keys, "_o"]].assign(_bin=np.cumsum(opens) + int(state["_done"].iloc[0]))
+
+    blocks = narrow.groupBy(*keys, "_block").applyInPandas(folded, schema)
+    blocks = scans.written(blocks, "folds")
+    group = F.floor(F.col("_block") / GROUP)
+    groups = blocks.groupBy(*keys, group.alias("_group")).applyInPandas(grouped, schema)
+    of_groups = groups.groupBy(*keys).applyInPandas(walk_key, entered).withColumnRenamed("_block", "_group")
+    of_blocks = blocks.groupBy(*keys, group.alias("_group")).cogroup(of_groups.groupBy(*keys, "_group")).applyInPandas(walk_group, entered)
+    found = narrow.groupBy(*keys, "_block").cogroup(of_blocks.groupBy(*keys, "_block")).applyInPandas(numbered_rows, f"{kinds}, _o long, _bin long")
+    found = found.select(*[F.col(k).alias(f"_{k}") for k in keys], "_o", F.col("_bin").alias(into))
+    on = rows[order] == found["_o"]
+    for k in keys:
+        on = on & rows[k].eqNullSafe(found[f"_{k}"])
+    return rows.join(found, on).drop("_o", *[f"_{k}" for k in keys])
+
+
 def runs(rows: DataFrame, keys: list[str], position: str, into: str = "run") -> DataFrame:
     """Adds the number (from 1) of the run of consecutive positions; repeated positions of a key count once."""
     w = W.partitionBy(*keys).orderBy(position)
@@ -101,8 +237,7 @@ def run_blocks(rows: DataFrame, keys: list[str], position: str = "pos") -> DataF
 
 def excerpt(rows: DataFrame, keys: list[str], order: str, words: str, most: Column | int) -> DataFrame:
     """The rows before the first that would pass `most` words."""
-    so_far = F.sum(words).over(W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, 0))
-    return rows.withColumn("_so_far", so_far).where(F.col("_so_far") <= most).drop("_so_far")
+    return running(rows, keys, order, {"_so_far": F.col(words)}).where(F.col("_so_far") <= most).drop("_so_far")
 
 
 def overview_excerpt(paras: DataFrame, secs: DataFrame, most: int) -> DataFrame:
@@ -123,8 +258,7 @@ def overview_excerpt(paras: DataFrame, secs: DataFrame, most: int) -> DataFrame:
 
 def batches(rows: DataFrame, keys: list[str], order: str, size: int, into: str = "batch") -> DataFrame:
     """Adds the number (from 0) of the slice of `size` consecutive rows."""
-    place = F.row_number().over(W.partitionBy(*keys).orderBy(order)) - 1
-    return rows.withColumn(into, F.floor(place / size).cast("long"))
+    return running(rows, keys, order, {"_place": F.lit(1)}).withColumn(into, F.floor((F.col("_place") - 1) / size).cast("long")).drop("_place")
 
 
 def section_caps(secs: DataFrame, target: Column, priorities: DataFrame | None = None, least: int = 600, high: float = 1.15) -> DataFrame:
@@ -190,6 +324,13 @@ def page_ranges(outline: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def page_blocks(ranges: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Joins page blocks (book_id, page_no, block_no, text) to the ranges that hold them: by page, not by comparing ranges."""
-    pages = ranges.select("book_id", F.col("pos").alias("section_pos"), "title", F.explode(F.sequence("start_page", "end_page")).alias("page_no"))
-    return pages.join(blocks, ["book_id", "page_no"])
+    """Joins page blocks (book_id, page_no, block_no, text) to the ranges that hold them. A range of up to 2^k pages lies in at most two
+    buckets of 2^k pages, so it is two rows however long it is; a page is a row for each k in use (there are at most 63), and they meet
+    by book, k and bucket."""
+    rows = ranges.select("book_id", F.col("pos").alias("section_pos"), "title", F.col("start_page").cast("long").alias("_from"), F.col("end_page").cast("long").alias("_to")).where("_from <= _to")
+    rows = rows.withColumn("_k", F.expr("CASE WHEN _from = _to THEN 0 ELSE char_length(bin(_to - _from)) END"))
+    rows = rows.withColumn("_bucket", F.explode(F.expr("sequence(shiftright(_from, _k), shiftright(_to, _k))")))
+    used = sorted(r[0] for r in rows.select("_k").distinct().collect())
+    at = blocks.withColumn("_k", F.explode(F.array(*map(F.lit, used)).cast("array<int>"))).withColumn("_bucket", F.expr("shiftright(CAST(page_no AS BIGINT), _k)"))
+    found = rows.join(at, ["book_id", "_k", "_bucket"]).where("page_no BETWEEN _from AND _to")
+    return found.drop("_k", "_bucket", "_from", "_to")

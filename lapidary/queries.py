@@ -11,6 +11,7 @@ from pyspark.sql.window import Window as W
 
 from .functions import rules, text
 from .operators import bridges, graph, scoring, selection, structure
+from .operators.scans import written
 from .plans import provider, render
 from .sources import loaders
 from .sources.html import html_blocks as read_html_blocks
@@ -70,14 +71,15 @@ def paras(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def counts(spark: SparkSession, sf: str) -> DataFrame:
-    """paras() without texts, kept in memory (or on disk): four numbers a line, for queries that read them several times."""
-    return paras(spark, sf).drop("text").persist()
+    """paras() without texts, written: four numbers a line, for queries that read them several times."""
+    return written(paras(spark, sf).drop("text"), "counts")
 
 
-def secs(spark: SparkSession, sf: str) -> DataFrame:
+def secs(spark: SparkSession, sf: str, words: DataFrame | None = None) -> DataFrame:
+    """Sections, classified once."""
     titles = documents(spark, sf).select(F.col("doc_id").alias("section_no"), F.expr(TITLE).alias("title"))
-    per = counts(spark, sf).groupBy("book_id", "section_no").agg(F.sum("word_count").alias("word_count"))
-    return per.join(titles, "section_no").withColumn("kind", rules.section_kind_by_words("title", F.col("word_count")))
+    per = (words if words is not None else paras(spark, sf)).groupBy("book_id", "section_no").agg(F.sum("word_count").alias("word_count"))
+    return written(per.join(titles, "section_no").withColumn("kind", rules.section_kind_by_words("title", F.col("word_count"))), "sections")
 
 
 def blocks(spark: SparkSession, sf: str) -> DataFrame:
@@ -302,7 +304,8 @@ def run_blocks(spark, sf):
 
 @query
 def overview_excerpt(spark, sf):
-    found = structure.overview_excerpt(counts(spark, sf).withColumn("paragraph_id", F.lit("")), secs(spark, sf), 24_000)
+    words = counts(spark, sf)
+    found = structure.overview_excerpt(words.withColumn("paragraph_id", F.lit("")), secs(spark, sf, words), 24_000)
     return found.select("book_id", "part", "section_no", "idx", "word_count")
 
 
@@ -424,10 +427,11 @@ def value_pass(spark, sf):
 
 
 def chosen(spark: SparkSession, sf: str) -> DataFrame:
+    """The selection, written: queries use it several times."""
     s = block_sections(spark, sf).join(_caps(spark, sf), ["book_id", "section_no"], "left").withColumns({"cover": F.lit(True), "included": F.lit(True)})
     goals = graph.mandatory_order(requirements(spark, sf), path(spark, sf))
     picked = selection.select(candidates(spark, sf), s, goals, targets(spark, sf))
-    return selection.reading_order(picked.join(candidates(spark, sf), ["book_id", "block_id"]), block_sections(spark, sf))
+    return written(selection.reading_order(picked.join(candidates(spark, sf), ["book_id", "block_id"]), block_sections(spark, sf)), "chosen")
 
 
 @query
@@ -677,7 +681,7 @@ def _archives(spark, sf, kind: str, navigated: bool = False) -> DataFrame:
 
 
 def _parsed_sections(spark, sf, kind: str, navigated: bool = False) -> DataFrame:
-    paras = structure.paragraphs(loaders.blocks_of(loaders.read_archives(_archives(spark, sf, kind, navigated))))
+    paras = structure.paragraphs(loaders.read_archives(written(_archives(spark, sf, kind, navigated), "archives"))[0])
     return structure.sections(paras).select("book_id", "section_id", "title", "kind", "paragraphs", "word_count")
 
 

@@ -1,10 +1,13 @@
 from __future__ import annotations
 
+import random
+
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lapidary.operators import bridges, graph, scoring, structure
+from lapidary.operators import bridges, graph, greedy, scans, scoring, structure
 
 SETTINGS = settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 
@@ -126,3 +129,80 @@ def test_approved_bridges(spark):
     checks = spark.createDataFrame([("b", 1, "x", "y", True, False, False, False, "transition: fine now"), ("b", 0, "x", "y", False, False, False, False, "no")], "book_id string, seq long, before_id string, after_id string, grounded boolean, new_claim boolean, impersonates boolean, wordy boolean, approved_text string")
     assert [r.text for r in bridges.approved(bridges.accepted(p, pairs), checks, 5).collect()] == ["fine now"]
     assert bridges.approved(bridges.accepted(p, pairs), checks, 1).collect() == []
+
+
+@pytest.mark.parametrize("block", [4, 16_384])
+def test_running_sums_and_carried_values_cross_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(scans, "BLOCK", block)
+    rng = random.Random(block)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), i, rng.randint(0, 9), rng.choice([None, None, f"h{i}"])) for i in range(200)]
+    out = scans.running(spark.createDataFrame(rows, "k string, i long, v long, h string"), ["k"], "i", {"total": F.col("v"), "n": F.lit(1)}, {"last": F.col("h")})
+    want = []
+    for k, i, v, h in rows:
+        own = [r for r in rows if r[0] == k and r[1] <= i]
+        want.append((k, i, v, h, sum(r[2] for r in own), len(own), next((r[3] for r in reversed(own) if r[3]), None)))
+    assert sorted(map(tuple, out.select("k", "i", "v", "h", "total", "n", "last").collect()), key=str) == sorted(want, key=str)
+
+
+def test_numbers_by_any_order(spark):
+    rows = [("a" if i % 3 else "b", (i * 37) % 101, i) for i in range(300)]
+    out = scans.numbered(spark.createDataFrame(rows, "k string, v long, i long"), ["k"], [F.desc("v"), F.col("i")]).collect()
+    for key in "ab":
+        own = sorted((r for r in rows if r[0] == key), key=lambda r: (-r[1], r[2]))
+        assert [(r.v, r.i) for r in sorted((r for r in out if r.k == key), key=lambda r: r.pos)] == [(v, i) for _, v, i in own]
+        assert sorted(r.pos for r in out if r.k == key) == list(range(1, len(own) + 1))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_bins_of_long_keys_equal_the_fold(spark, monkeypatch, seed):
+    monkeypatch.setattr(scans, "BLOCK", 8)
+    monkeypatch.setattr(structure, "GROUP", 3)
+    monkeypatch.setattr(structure, "SHORT", 30)
+    rng = random.Random(seed)
+    books = {k: [rng.choice([0, 1, 2, 5, 9, 30, 200 if rng.random() < 0.1 else 3]) for _ in range(n)] for k, n in (("a", 150), ("b", 31), ("c", 12))}
+    most = rng.choice([5, 20, 90])
+    df = spark.createDataFrame([(k, i, w, "x") for k, ws in books.items() for i, w in enumerate(ws)], "k string, i long, w long, own string")
+    out = structure.bins(df, ["k"], "i", "w", most).collect()
+    for k, ws in books.items():
+        assert [r.chunk for r in sorted((r for r in out if r.k == k), key=lambda r: r.i)] == _bins(ws, most), k
+    assert out[0].own == "x"
+
+
+def test_a_long_range_is_two_rows(spark):
+    ranges = spark.createDataFrame([("b", 1, "all", 1, 10_000_000), ("b", 2, "one", 5, 5), ("b", 3, "some", 7, 12), ("c", 1, "none", 9, 8)], "book_id string, pos long, title string, start_page int, end_page int")
+    pages = spark.createDataFrame([("b", p, 0, "t") for p in (1, 5, 7, 8, 12, 13, 10_000_000, 10_000_001)] + [("c", 9, 0, "t")], "book_id string, page_no long, block_no int, text string")
+    found = structure.page_blocks(ranges, pages)
+    assert sorted((r.section_pos, r.page_no) for r in found.collect()) == [(1, p) for p in (1, 5, 7, 8, 12, 13, 10_000_000)] + [(2, 5)] + [(3, p) for p in (7, 8, 12)]
+    assert sorted(found.columns) == sorted(["book_id", "section_pos", "title", "page_no", "block_no", "text"])
+
+
+def test_bridge_budget_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(bridges, "SHORT", 10)
+    words = [(k, i, (i * 7) % 13) for k, n in (("a", 60), ("b", 9)) for i in range(n)]
+    df = spark.createDataFrame(words, "book_id string, pos long, words long")
+    found = bridges.within_budget(df, spark.createDataFrame([("a", 900), ("b", 200)], "book_id string, words long"), 0.1)
+    want = []
+    for k, most in (("a", 90), ("b", 20)):
+        used = 0
+        for _, i, w in (r for r in words if r[0] == k):
+            if used + w <= most:
+                used += w
+                want.append((k, i))
+    assert sorted((r.book_id, r.pos) for r in found.collect()) == sorted(want)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_greedy_rounds_equal_the_rule(spark, seed):
+    rng = random.Random(seed)
+    rows, want = [], []
+    for book, total, enough in (("a", 500, None), ("b", 90, 60), ("c", 5, None)):
+        own = [(book, f"{book}{i}", i, rng.randint(0, 3), rng.randint(1, 40)) for i in range(60)]
+        caps = [rng.choice([None, 50, 120]) for _ in range(4)]
+        used, by = 7, [3] * 4
+        for r in own:
+            if (enough is None or used < enough) and used + r[4] <= total and (caps[r[3]] is None or by[r[3]] + r[4] <= caps[r[3]]):
+                used, by[r[3]] = used + r[4], by[r[3]] + r[4]
+                want.append((book, r[1]))
+            rows.append((*r, total, caps[r[3]], 7, 3, enough))
+    schema = "book_id string, block_id string, pos long, section_no long, word_count long, total_limit long, section_limit long, used long, section_used long, enough long"
+    assert sorted((r.book_id, r.block_id) for r in greedy.fill(spark.createDataFrame(rows, schema)).collect()) == sorted(want)
