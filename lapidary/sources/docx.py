@@ -2,36 +2,36 @@
 
 from __future__ import annotations
 
-import io
-import xml.etree.ElementTree as ET
-import zipfile
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-from ..functions.text import normalized
-from .epub import Raw, _children, _local, is_heading
+from ..functions.text import is_heading, normalize
+from ..operators.scans import running, written
+from .archives import attribute, elements
 
 
-def _attr(e: ET.Element | None, name: str) -> str:
-    return next((v for k, v in (e.attrib.items() if e is not None else ()) if k.rsplit("}", 1)[-1] == name), "")
+def docx_blocks(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Blocks (book_id, section_pos, title, block_pos, text, page) and errors (book_id, error) of written members."""
+    parts = written(elements(entries.where("member IN ('word/document.xml', 'word/styles.xml')")), "elements")
+    doc = parts.where("member = 'word/document.xml'")
+    named = parts.where("member = 'word/styles.xml' AND tag = 'name'").select("book_id", F.col("parent").alias("n"), attribute("val").alias("name"))
+    styles = parts.where("member = 'word/styles.xml' AND tag = 'style'").select("book_id", "n", attribute("styleId").alias("style")).join(named, ["book_id", "n"])
+    styles = styles.groupBy("book_id", "style").agg(F.max_by("name", "n").alias("name"))
 
-
-def read_docx(data: bytes, title: str) -> Raw:
-    with zipfile.ZipFile(io.BytesIO(data)) as z:
-        body = next(e for e in ET.fromstring(z.read("word/document.xml")) if _local(e) == "body")
-        styles = {}
-        if "word/styles.xml" in z.namelist():
-            for s in _children(ET.fromstring(z.read("word/styles.xml")), "style"):
-                styles[_attr(s, "styleId")] = _attr(next(iter(_children(s, "name")), None), "val")
-    sections: list[tuple[str, list]] = [("Opening", [])]
-    for p in _children(body, "p"):
-        properties = next(iter(_children(p, "pPr")), None)
-        style = _attr(next(iter(_children(properties, "pStyle")), None), "val") if properties is not None else ""
-        parts = {"t": lambda e: e.text or "", "tab": lambda e: "\t", "br": lambda e: "\n", "cr": lambda e: "\n"}
-        runs = [r for e in p for r in ([e] if _local(e) == "r" else _children(e, "r") if _local(e) == "hyperlink" else [])]
-        text = normalized("".join(parts[_local(e)](e) for r in runs for e in r if _local(e) in parts))
-        if not text:
-            continue
-        if styles.get(style, style).lower().startswith("heading") or len(text) < 120 and is_heading(text):
-            sections.append((text, []))
-        else:
-            sections[-1][1].append((text, None))
-    return Raw(title, [s for s in sections if s[1]], {})
+    under = lambda *names: F.array_join("tags", "/").rlike(f"^document/body/p/({'|'.join(names)})$")
+    paragraph = F.element_at("path", 3)  # document, body, p
+    style = doc.where(under("pPr/pStyle")).groupBy("book_id", paragraph.alias("p")).agg(F.min_by(attribute("val"), "n").alias("style"))
+    piece = F.when(F.col("tag") == "t", F.col("text")).when(F.col("tag") == "tab", "\t").when(F.col("tag").isin("br", "cr"), "\n")
+    runs = doc.where(under("(hyperlink/)?r/(t|tab|br|cr)")).groupBy("book_id", paragraph.alias("p")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", piece.alias("x")))), lambda x: x["x"]), "").alias("text"))
+    rows = runs.select("book_id", F.col("p").cast("long").alias("p"), F.explode(F.array(normalize("text"))).alias("text")).where("text <> ''")
+    rows = rows.join(style.withColumn("p", F.col("p").cast("long")), ["book_id", "p"], "left").join(styles, ["book_id", "style"], "left")
+    heading = F.lower(F.coalesce("name", "style", F.lit(""))).startswith("heading") | ((F.char_length("text") < 120) & is_heading("text"))
+    rows = running(rows.withColumn("heading", heading), ["book_id"], "p", {"part": F.col("heading").cast("int")}, {"title": F.when(F.col("heading"), F.col("text"))})
+    rows = written(rows.where("NOT heading"), "paragraphs")
+    order = running(rows.select("book_id", F.col("part").cast("long").alias("part")).distinct(), ["book_id"], "part", {"section_pos": F.lit(1).cast("long")})
+    place = F.row_number().over(W.partitionBy("book_id", "part").orderBy("p")).cast("long")
+    blocks = rows.withColumn("block_pos", place).join(order, ["book_id", "part"])
+    blocks = blocks.select("book_id", "section_pos", F.coalesce("title", F.lit("Opening")).alias("title"), "block_pos", "text", F.lit(None).cast("int").alias("page"))
+    body = doc.where("tag = 'body'").select("book_id").distinct()
+    return blocks, entries.where("error IS NULL").select("book_id").distinct().join(body, "book_id", "left_anti").withColumn("error", F.lit("ValueError: no document body"))

@@ -3,8 +3,7 @@ diagnostics (book_id, title, format, proceed, diagnostics as JSON, error). Forma
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from typing import Protocol
 
 import pandas as pd
@@ -13,12 +12,13 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import structure
-from .docx import read_docx
-from .epub import Raw, read_epub
+from ..operators.scans import written
+from . import archives
+from .docx import docx_blocks
+from .epub import epub_blocks
 
 FORMATS = ("txt", "md", "docx", "epub", "pdf")
 BLOCKS = "book_id string, section_pos long, title string, block_pos long, text string, page int"
-ABOUT = "book_id string, title string, format string, proceed boolean, diagnostics string, error string"
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
@@ -36,30 +36,18 @@ def read_text(found: DataFrame) -> DataFrame:
     return structure.section_blocks(structure.segment_lines(rows))
 
 
-def _parsed(found: DataFrame, read: Callable[[bytes, str], Raw]) -> DataFrame:
-    """One row per archive: its blocks, or why it could not be read."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for r in b.itertuples(index=False):
-                try:
-                    raw, error = read(bytes(r.content), r.stem), None
-                except Exception as e:  # a broken file is reported, not raised: others go on
-                    raw, error = Raw(r.stem, [], {}), f"{type(e).__name__}: {e}"
-                blocks = [{"section_pos": i, "title": t, "block_pos": k, "text": x, "page": p} for i, (t, own) in enumerate(raw.sections, 1) for k, (x, p) in enumerate(own, 1)]
-                yield pd.DataFrame([{"book_id": r.book_id, "title": raw.title, "format": r.format, "proceed": raw.diagnostics.get("proceed"), "diagnostics": json.dumps(raw.diagnostics, ensure_ascii=False), "error": error, "blocks": blocks}])
-
-    schema = f"{ABOUT}, blocks array<struct<section_pos: long, title: string, block_pos: long, text: string, page: int>>"
-    return found.select("book_id", "stem", "format", "content").mapInPandas(run, schema)
-
-
-def read_archives(found: DataFrame) -> DataFrame:
-    docx = _parsed(found.where("format = 'docx'"), read_docx)
-    return docx.unionByName(_parsed(found.where("format = 'epub'"), lambda data, stem: read_epub(data)))
-
-
-def blocks_of(archives: DataFrame) -> DataFrame:
-    return archives.select("book_id", F.explode("blocks").alias("b")).select("book_id", "b.*")
+def read_archives(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Raw blocks and diagnostics of Word and EPUB files (book_id, stem, format, content)."""
+    found = found.where("format IN ('docx', 'epub')")
+    entries = written(archives.members(found).join(found.select("book_id", "format"), "book_id"), "members")
+    of = lambda kind: entries.where(F.col("format") == kind).drop("format")
+    epub, about_epub = epub_blocks(of("epub"))
+    docx, failed = docx_blocks(of("docx"))
+    broken = entries.where("error IS NOT NULL").select("book_id", F.col("error").alias("broken"))
+    failed = failed.withColumnRenamed("error", "no_body")
+    about = found.select("book_id", "stem", "format").join(about_epub, "book_id", "left").join(failed, "book_id", "left").join(broken, "book_id", "left")
+    about = about.select("book_id", F.coalesce("title", "stem").alias("title"), "format", "proceed", F.coalesce("diagnostics", F.lit("{}")).alias("diagnostics"), F.coalesce("broken", "error", "no_body").alias("error"))
+    return docx.unionByName(epub), about
 
 
 class PageExtractor(Protocol):
@@ -123,9 +111,8 @@ def load_books(spark: SparkSession, path: str, extract: PageExtractor | None = N
 
 def read_books(found: DataFrame, extract: PageExtractor | None = None, chapter_map: DataFrame | None = None, boilerplate: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """Raw blocks and diagnostics of files (book_id, stem, format, content). Unsupported ones, and PDFs without an extractor, show in `error`."""
-    archives = read_archives(found)
-    blocks = read_text(found).unionByName(blocks_of(archives))
-    about = archives.drop("blocks")
+    in_archives, about = read_archives(found)
+    blocks = read_text(found).unionByName(in_archives)
     unread = "format IS NULL" if extract else "format IS NULL OR format = 'pdf'"
     plain = lambda df, error: df.select("book_id", F.col("stem").alias("title"), "format", F.lit(None).cast("boolean").alias("proceed"), F.lit("{}").alias("diagnostics"), error.alias("error"))
     about = about.unionByName(plain(found.where("format IN ('txt', 'md')"), F.lit(None).cast("string"))).unionByName(plain(found.where(unread), F.lit("unsupported input type")))

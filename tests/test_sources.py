@@ -9,7 +9,7 @@ import pytest
 
 from lapidary.operators import structure
 from lapidary.plans import config, files, outputs, pipeline, provider
-from lapidary.sources import docx, epub, html, loaders
+from lapidary.sources import html, loaders
 from lapidary.streaming import inbox
 
 LONG = " ".join(["word"] * 300)
@@ -37,40 +37,96 @@ def _epub(spine: dict[str, str], nav: str = "", ncx: str = "") -> bytes:
     return _zip(members)
 
 
-def test_blocks_by_elements():
-    page = html.read_page('<nav><p>skip me now</p></nav><div id="a"><span id="b"/><h2>Head</h2>lost text<p id="c">One<br>two <i>three</i>, four</p><ul><li>item one<p>inner one</ul><td>cell one</td><img></div><p epub:type="z:footnotes">' + LONG + "</p>")
-    assert [(b.tag, b.text[:20], b.anchors) for b in page.blocks] == [("h2", "Head", ("a", "b")), ("p", "One two three, four", ("c",)), ("li", "item one", ()), ("p", "inner one", ()), ("td", "cell one", ()), ("p", LONG[:20], ())]
-    assert page.roles == {"z-footnotes"} and page.images == 1 and not page.loose
+def _page(spark, raw):
+    pages = spark.createDataFrame([(1, raw)], "page_id long, html string")
+    return [(r.tag, r.text, tuple(r.anchors), r.loose) for r in html.html_blocks(pages).orderBy("seq").collect()]
 
 
-def test_loose_reading():
-    page = html.read_page("<head><title>The title leaks</title></head><div>Some prose in a div<section>and <b>more</b> of it</section></div><h1>A heading</h1><div>x</div>")
-    assert page.loose
-    assert page.blocks[0].text.startswith("The title leaks")
-    assert ("p", "and more of it") in [b[:2] for b in page.blocks] and ("h1", "A heading") in [b[:2] for b in page.blocks]
-    assert html.read_page(None).blocks == []
+def test_blocks_by_elements(spark):
+    raw = '<nav><p>skip me now</p></nav><div id="a"><span id="b"/><h2>Head</h2>lost text<p id="c">One<br>two <i>three</i>, four</p><ul><li>item one<p>inner one</ul><td>cell one</td><img></div><p epub:type="z:footnotes">' + LONG + "</p>"
+    assert [(t, x[:20], a) for t, x, a, _ in _page(spark, raw)] == [("h2", "Head", ("a", "b")), ("p", "One two three, four", ("c",)), ("li", "item one", ()), ("p", "inner one", ()), ("td", "cell one", ()), ("p", LONG[:20], ())]
+    rows = html.events(spark.createDataFrame([(1, raw)], "page_id long, html string"), ["page_id"], "html").collect()
+    assert [r.words for r in rows if r.kind == "role"] == [["z-footnotes"]] and sum(r.kind == "image" for r in rows) == 1
 
 
-def test_epub_by_navigation():
+def test_loose_reading(spark):
+    found = _page(spark, "<head><title>The title leaks</title></head><div>Some prose in a div<section>and <b>more</b> of it</section></div><h1>A heading</h1><div>x</div>")
+    assert all(loose for *_, loose in found)
+    assert found[0][1].startswith("The title leaks")
+    assert ("p", "and more of it") in [b[:2] for b in found] and ("h1", "A heading") in [b[:2] for b in found]
+    assert _page(spark, None) == []
+
+
+def test_loose_anchors(spark):
+    """Ids lead to the block told next: a wrapper's to the prose that its start ends too, a heading's and a border's to what follows."""
+    found = _page(spark, "<div id=a>one two<div id=b>three four <span id=c>five</span></div></div><h2 id=d>Head<a id=e></a></h2>six seven<p id=f>eight nine")
+    assert [b[:3] for b in found] == [("p", "one two", ("a", "b")), ("p", "three four five", ("b", "c")), ("h2", "Head", ("d", "e")), ("p", "six seven", ()), ("p", "eight nine", ("f",))]
+    # a single word is not told, and its ids go on; references are decoded twice
+    found = _page(spark, "<div id=a>one<div id=b>two &amp;amp; three</div></div>")
+    assert [b[:3] for b in found] == [("p", "two & three", ("a", "b"))]
+
+
+def test_rows_of_equal_ids_are_pages_of_their_own(spark):
+    pages = spark.createDataFrame([(None, "<p>first page here</p>"), (None, "<p>other page here</p>"), (2**53 + 1, "<p>third page here</p>")], "page_id long, html string")
+    assert sorted((str(r.page_id), r.text) for r in html.html_blocks(pages).collect()) == [("9007199254740993", "third page here"), ("None", "first page here"), ("None", "other page here")]
+
+
+def _read(spark, data, kind="epub"):
+    """Sections [(title, texts)] and the row of diagnostics of one archive."""
+    found = spark.createDataFrame([("b", "stem", kind, bytearray(data))], "book_id string, stem string, format string, content binary")
+    blocks, about = loaders.read_archives(found)
+    out: dict = {}
+    for r in blocks.orderBy("section_pos", "block_pos").collect():
+        out.setdefault((r.section_pos, r.title), []).append(r.text)
+    assert [k for k, _ in out] == list(range(1, len(out) + 1))
+    (row,) = about.collect()
+    return [(title, texts) for (_, title), texts in out.items()], row, json.loads(row.diagnostics)
+
+
+def test_epub_by_navigation(spark):
     nav = '<html xmlns="http://www.w3.org/1999/xhtml" xmlns:epub="http://www.idpf.org/2007/ops"><body><nav epub:type="toc"><ol><li><a href="a.xhtml">First</a></li><li><a href="b.xhtml#x">Second</a><ol><li><a href="b.xhtml#y">Third</a></li></ol></li><li><a href="n.xhtml">Notes</a><ol><li><a href="n2.xhtml">Chapter one</a></li></ol></li></ol></nav><nav epub:type="landmarks"><ol><li><a epub:type="bibliography" href="bib.xhtml">Works</a></li></ol></nav></body></html>'
     spine = {"a.xhtml": f"<p>{LONG}</p>", "b.xhtml": f'<h1 id="x">S</h1><p>in the second</p><p id="y">{LONG}</p>', "n.xhtml": "<p>note number one</p>", "n2.xhtml": "<p>note number two</p>", "n3.xhtml": "<p>a late note</p>", "bib.xhtml": "<p>some old works</p>"}
-    raw = epub.read_epub(_epub(spine, nav))
-    assert raw.title == "My Book"
-    assert [(t, len(b)) for t, b in raw.sections] == [("First", 1), ("Second", 1), ("Third", 1), ("Notes", 1), ("Notes: Chapter one", 2), ("Notes: Works", 1)]
-    d = raw.diagnostics
+    sections, row, d = _read(spark, _epub(spine, nav))
+    assert (row.title, row.error) == ("My Book", None)
+    assert [(t, len(b)) for t, b in sections] == [("First", 1), ("Second", 1), ("Third", 1), ("Notes", 1), ("Notes: Chapter one", 2), ("Notes: Works", 1)]
     assert (d["contents_from"], d["proceed"], d["confidence"], d["members"]) == ("navigation document", True, "high", 6)
 
 
-def test_epub_by_ncx_headings_and_front_matter():
+def test_epub_by_ncx_headings_and_front_matter(spark):
     ncx = '<ncx xmlns="http://www.daisy.org/z3986/2005/ncx/"><navMap><navPoint><navLabel><text>One</text></navLabel><content src="a.xhtml"/></navPoint></navMap></ncx>'
-    raw = epub.read_epub(_epub({"f.xhtml": "<p>for my friends</p>", "a.xhtml": f"<p>{LONG}</p>", "h.xhtml": f"<p>dropped before heading</p><h2>Found</h2><p>{LONG}</p>", "c.xhtml": "<p>goes on here</p>"}, ncx=ncx))
-    assert [(t, len(b)) for t, b in raw.sections] == [("Unmapped front matter", 1), ("One", 1), ("Found", 2)]
-    assert raw.diagnostics["contents_from"] == "contents file" and raw.diagnostics["front_words"] == 3
+    sections, _, d = _read(spark, _epub({"f.xhtml": "<p>for my friends</p>", "a.xhtml": f"<p>{LONG}</p>", "h.xhtml": f"<p>dropped before heading</p><h2>Found</h2><p>{LONG}</p>", "c.xhtml": "<p>goes on here</p>"}, ncx=ncx))
+    assert [(t, len(b)) for t, b in sections] == [("Unmapped front matter", 1), ("One", 1), ("Found", 2)]
+    assert d["contents_from"] == "contents file" and d["front_words"] == 3
+    assert d["notes"] == ["3 members have no place in the contents"]
+
+
+def test_epub_roles_and_repeated_members(spark):
+    """A page's own role names its section; free pages after it go on with it; links climb folders."""
+    ncx = '<ncx xmlns="http://www.daisy.org/z3986/2005/ncx/"><navMap><navPoint><navLabel><text>One</text></navLabel><content src="../OEBPS/./a.xhtml#top"/></navPoint></navMap></ncx>'
+    sections, _, _ = _read(spark, _epub({"a.xhtml": f"<p>{LONG}</p>", "n.xhtml": '<section epub:type="footnotes"><p>note number one</p></section>', "h.xhtml": "<h2>Found</h2><p>still a note</p>"}, ncx=ncx))
+    assert [(t, len(b)) for t, b in sections] == [("One", 1), ("Notes", 2)]
+
+
+def test_image_books_are_not_trusted(spark):
+    _, _, d = _read(spark, _epub({"a.xhtml": "<p>two words</p>" + "<img/>" * 9}))
+    assert d["image_risk"] == "high" and d["proceed"] is False and d["images_shown"] == 9
+
+
+def test_fixed_layout_is_reported(spark):
+    data = _epub({"a.xhtml": f"<p>{LONG * 2}</p>"})
+    out = io.BytesIO()
+    with zipfile.ZipFile(io.BytesIO(data)) as z, zipfile.ZipFile(out, "w") as w:
+        for n in z.namelist():
+            w.writestr(n, z.read(n).decode().replace("<metadata ", '<metadata><meta property="rendition:layout">pre-paginated</meta></metadata><metadata '))
+    _, _, d = _read(spark, out.getvalue())
+    assert d["fixed_layout"] == ["metadata"] and d["image_risk"] == "medium" and d["notes"][-1].startswith("pages are drawn")
 
 
-def test_image_books_are_not_trusted():
-    raw = epub.read_epub(_epub({"a.xhtml": "<p>two words</p>" + "<img/>" * 9}))
-    assert raw.diagnostics["image_risk"] == "high" and raw.diagnostics["proceed"] is False
+def test_archives_that_hold_no_book(spark):
+    assert _read(spark, b"no zip")[1].error.startswith("BadZipFile")
+    assert _read(spark, _zip({"x.txt": "x"}))[1].error == "ValueError: no package document"
+    assert _read(spark, _epub({"a.xhtml": "<p>one</p>"}))[1].error == "ValueError: no readable content"
+    assert _read(spark, _zip({"x.txt": "x"}), "docx")[1].error == "ValueError: no document body"
 
 
 def _docx(paragraphs):
@@ -79,9 +135,10 @@ def _docx(paragraphs):
     return _zip({"word/document.xml": f"<w:document {ns}><w:body>{body}<w:tbl><w:tr><w:tc><w:p><w:r><w:t>in a table</w:t></w:r></w:p></w:tc></w:tr></w:tbl></w:body></w:document>", "word/styles.xml": f'<w:styles {ns}><w:style w:styleId="T1"><w:name w:val="Heading 1"/></w:style></w:styles>'})
 
 
-def test_docx():
-    raw = docx.read_docx(_docx([("x", "before all"), ("T1", "The Start"), ("x", "some text"), ("x", "Chapter 2 goes"), ("x", "more text")]), "stem")
-    assert [(t, [x for x, _ in b]) for t, b in raw.sections] == [("Opening", ["before all"]), ("The Start", ["some text"]), ("Chapter 2 goes", ["more text"])]
+def test_docx(spark):
+    sections, row, _ = _read(spark, _docx([("x", "before all"), ("T1", "The Start"), ("x", "some text"), ("x", "Chapter 2 goes"), ("x", "more text")]), "docx")
+    assert sections == [("Opening", ["before all"]), ("The Start", ["some text"]), ("Chapter 2 goes", ["more text"])]
+    assert (row.title, row.error) == ("stem", None)
 
 
 @pytest.fixture
@@ -160,7 +217,7 @@ def test_whole_run(spark, tmp_path):
     texts = outputs.export(spark, c.output)
     assert len(texts) == 14 and all(files.exists(spark, f) for f in texts)
     data = {f.rsplit("/", 1)[1]: Path(f).read_bytes() for f in texts}
-    assert docx.read_docx(data["book0.edition.docx"], "e").sections
+    assert _read(spark, data["book0.edition.docx"], "docx")[0]
     assert data["book0.edition.pdf"].startswith(b"%PDF") and json.loads(data["book1.summary.json"])["missing"] == []
     assert b"How this edition was chosen" in data["book0.audit.md"] and b"## Bridges" in data["book0.audit.md"]
     # a second run asks nothing: its provider cannot answer, and the result is the same
