@@ -2,21 +2,20 @@
 
 1. Strip markup: a single pass over the tags turns a page into lines, one for each block-level run of text, with character
    references decoded and white space collapsed. Scripts, styles, the head, comments and hidden elements give no text.
-2. Trust lines: a line's trust is 1, times LOW for each container around it that names something else than the article (nav, footer,
-   aside, form ..., or a class, id or role that names a menu, notice, advert, sidebar, reader comments ...), and HIGH times as much
-   inside an article or main element. Names only lower trust; what counts is relative: the page's level is the trust whose lines hold most
-   text (characters outside links, times trust), and lines of at most half the level weigh nothing. So an article element with a fair
-   share of the text outweighs what is around it, a teaser does not, and a page wholly inside a form or a misnamed container keeps its text.
-3. Weigh lines: the characters outside links, none if links hold most of the line; inside an article element all characters, and LEAST
-   at least, as an article's own short lines and links are its text.
-4. Sum weights over windows of WINDOW lines. A surge is where the sum rises from nothing, a dive where it is back at nothing, that is,
-   WINDOW lines in a row weigh nothing. Text between a surge and its dive is kept if some window in between reaches `least`
-   characters; without such a block, the heaviest one is kept. Lines in between that weigh nothing (an advert among paragraphs) are left out.
-5. Outside article elements: a block that reaches less stays if it shares its container with a kept line; short lines at either end of a kept
-   block, without a sentence's end and no headings, go only if they stand in another container than the block's long lines, as do
-   those of a teaser's article element.
-
-Defined results: a null or empty page, or one without text, gives an empty string; markup cut off at the end of a page is dropped; an
+2. Leave out what is not the article: lines in a container that names something else (nav, footer, aside, menu ..., or a class, id or role
+   that names a menu, notice, advert, sidebar, reader comments ...) and hidden ones weigh nothing, whatever their length. Lines of a form
+   count only on a page that has no other text.
+3. Weigh lines: inside an article or main element all characters, as an article's links are its text; outside, the characters outside
+   links, none if links hold most of the line. The two are two distributions over the same lines.
+4. Sum weights over windows of WINDOW lines. The distribution whose highest window is the higher is the text's, an article's windows
+   counting PREFER times: an article outweighs longer text beside it, a teaser does not. In it, a surge is where the sum rises from
+   nothing, a dive where it is back at nothing, that is, WINDOW lines in a row weigh nothing. Text between a surge and its dive is kept if
+   some window in between reaches `least` characters; without such a block, the heaviest one is kept. Lines in between that weigh
+   nothing (an advert among paragraphs) are left out.
+5. A block that reaches less stays if it shares its container with a kept line. Outside articles, short lines at either end of a kept
+   block, without a sentence's end and no headings, go only if they stand in another container than the block's long lines.
+
+Defined results: a null or empty page, or one whose text is all left out, gives an empty string; markup cut off at the end of a page is dropped; an
 unclosed boilerplate container ends where an article begins. Of elements without text of their own, those without an end tag end
 after their start tag, scripts and the like before the next body, article or main element; the head needs no tags. Pages are
 independent, so ties, repeated rows and empty tables need no care; only the id, URL and html columns are read.
@@ -36,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import mapped
 
-WINDOW, LEAST, SHORT, LOW, HIGH = 3, 80, 40, 0.1, 4.0
+WINDOW, LEAST, SHORT, PREFER = 3, 80, 40, 8
 
 _TAG = re.compile(r"""<(?:(?P<comment>!--)|[!?][^>]*+(?:>|\Z)|(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)(?:>|\Z)|/?[a-zA-Z][^>]*+(?:>|\Z))""")
 _ATTR = re.compile(r"""([^\s"'<>/=]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
@@ -70,7 +69,8 @@ _CONTENT = {"content", "article", "main", "post", "entry", "story", "text", "bod
 class Line(NamedTuple):
     text: str
     plain: int  # characters outside links
-    trust: float
+    other: bool  # in a container of something else than the article
+    form: bool
     inside: bool  # in an article or main element
     heading: bool
     container: int
@@ -113,7 +113,7 @@ def lines(page: str) -> list[Line]:
     """The page's blocks of text in order."""
     out: list[Line] = []
     stack: list[tuple[str, bool, int]] = []  # name, whether it holds something else, container
-    low = inside = links = headings = containers = 0
+    low = forms = inside = links = headings = containers = 0
     parts: list[str] = []
     linked: list[str] = []
     unclosed: set[str] = set()  # names of which no end tag is left
@@ -123,12 +123,12 @@ def lines(page: str) -> list[Line]:
             text = _BLANK.sub(" ", "".join(parts)).strip()
             if text:
                 plain = len(text) - len(_BLANK.sub(" ", "".join(linked)).strip())
-                out.append(Line(text, max(0, plain), LOW**low * (HIGH if inside else 1.0), inside > 0, headings > 0, stack[-1][2] if stack else 0))
+                out.append(Line(text, max(0, plain), low > 0, forms > 0, inside > 0, headings > 0, stack[-1][2] if stack else 0))
             parts.clear()
             linked.clear()
 
     def close(name: str) -> None:
-        nonlocal low, inside, links, headings
+        nonlocal low, forms, inside, links, headings
         k = len(stack) - 1
         while k >= 0 and stack[k][0] != name:
             if name in _INLINE and stack[k][0] not in _INLINE or name in ("p", "li") and stack[k][0] in ("article", "main", "nav", "div", "section", "body"):
@@ -137,7 +137,8 @@ def lines(page: str) -> list[Line]:
         if k < 0:
             return
         for n, other, _ in stack[k:]:
-            low -= other
+            low -= other and n != "form"
+            forms -= n == "form"
             inside -= n in ("article", "main")
             links -= n == "a"
             headings -= n in _HEADINGS
@@ -192,7 +193,7 @@ def lines(page: str) -> list[Line]:
         if name in _VOID or name == "head":
             continue
         if name in ("article", "main"):
-            while low:  # a boilerplate container that was never closed ends here
+            while low or forms:  # a boilerplate container that was never closed ends here
                 k, n = next((k, x[0]) for k, x in reversed(list(enumerate(stack))) if x[1])
                 if not _unclosed(page, at, n, sum(x[0] == n for x in stack)):
                     break
@@ -206,7 +207,8 @@ def lines(page: str) -> list[Line]:
             containers += 1
             container = containers
         stack.append((name, other, container))
-        low += other
+        low += other and name != "form"
+        forms += name == "form"
         inside += name in ("article", "main")
         links += name == "a"
         headings += name in _HEADINGS
@@ -214,24 +216,29 @@ def lines(page: str) -> list[Line]:
     return out
 
 
-def weights(found: list[Line], least: int = LEAST) -> tuple[np.ndarray, bool]:
-    """What each line weighs in the windows' sums, and whether the page's level is that of an article element."""
-    trust = np.array([x.trust for x in found])
+def window_sums(weight: np.ndarray, window: int) -> np.ndarray:
+    """Of the window that begins at each line."""
+    return np.convolve(weight, np.ones(window, np.int64))[window - 1 :] if len(weight) else weight
+
+
+def weights(found: list[Line], window: int = WINDOW) -> tuple[np.ndarray, bool]:
+    """What each line weighs in the windows' sums, and whether the text is an article element's."""
     length = np.array([len(x.text) for x in found], np.int64)
     plain = np.array([x.plain for x in found], np.int64)
     inside = np.array([x.inside for x in found], bool)
-    text = np.where(inside, length, plain)
-    levels = np.unique(trust)
-    mass = [float((text * trust)[trust == t].sum()) for t in levels]
-    level = levels[int(np.argmax(mass))] if len(levels) else 1.0
-    article = bool(inside[trust == level].any())
-    own = np.where(inside & article, np.maximum(length, least), np.where(2 * plain > length, plain, 0))
-    return np.where(trust > level / 2, own, 0), article
+    usable = np.array([not x.other and not x.form for x in found], bool)
+    if not usable.any():
+        usable = np.array([not x.other for x in found], bool)
+    within = np.where(usable & inside, length, 0)
+    outside = np.where(usable & ~inside & (2 * plain > length), plain, 0)
+    peak = lambda w: int(window_sums(w, window).max(initial=0))
+    article = within.any() and PREFER * peak(within) >= peak(outside)
+    return (within if article else outside), bool(article)
 
 
 def blocks_of(weight: np.ndarray, window: int = WINDOW) -> list[tuple[int, int, int]]:
     """Surge, dive and largest window sum of each block: from a line that weighs something to where `window` lines weigh nothing."""
-    sums = np.convolve(weight, np.ones(window, np.int64))[window - 1 :] if len(weight) else weight  # of the window that begins at each line
+    sums = window_sums(weight, window)
     out, i = [], 0
     while i < len(weight):
         if not weight[i]:
@@ -248,21 +255,21 @@ def blocks_of(weight: np.ndarray, window: int = WINDOW) -> list[tuple[int, int,
 def main_text(page: str | None, window: int = WINDOW, least: int = LEAST) -> str:
     """Text between the surge and dive points of a page."""
     found = lines(page or "")
-    weight, article = weights(found, least)
+    weight, article = weights(found, window)
     blocks = blocks_of(weight, window)
     if not blocks:
         return ""
     strong = [b for b in blocks if b[2] >= least] or [max(blocks, key=lambda b: weight[b[0] : b[1]].sum())]
     own = {k for i, j, _ in strong for k in range(i, j) if weight[k]}
     ends = ".!?…:;\"'”’)。！？"
-    short = lambda k: not found[k].heading and (len(found[k].text) < SHORT and found[k].text[-1] not in ends or found[k].inside and not article and len(found[k].text) < least)
+    short = lambda k: not found[k].heading and len(found[k].text) < SHORT and found[k].text[-1] not in ends
     places = {found[k].container for k in own if not short(k)} or {found[k].container for k in own}
     kept = set(own)
     for i, j, _ in strong:
         edge = [k for k in range(i, j) if weight[k]]
         for side in (edge, edge[::-1]):
             for k in side:
-                if article and found[k].inside or not short(k) or found[k].container in places:
+                if article or not short(k) or found[k].container in places:
                     break
                 kept.discard(k)
     kept = kept or own
