@@ -26,10 +26,16 @@ def repaired(requirements: DataFrame, relations: DataFrame) -> tuple[DataFrame,
     with none), or from a new requirement if the book has no support at all. New edges say whether they are weak (no overlap)."""
     alone = orphans(requirements, relations)
     support = requirements.where(F.col("kind").isin(*SUPPORT_KINDS)).select("book_id", F.col("pos").alias("s_pos"), F.col("requirement_id").alias("s_id"), F.col("sections").alias("s_sections"), F.col("claims").alias("s_claims"))
-    # within a book: distinct (sections, claims) of propositions by those of supports, the first of each, so that no pairs of rows are made
+    # distinct (sections, claims) of propositions meet those of supports, the first of each, by what they share; what shares nothing with any
+    # support takes the book's first
     like = ["book_id", "s_sections", "s_claims"]
     first = support.groupBy(*like).agg(F.min_by("s_id", "s_pos").alias("s_id"), F.min("s_pos").alias("s_pos"))
-    paired = alone.select("book_id", "sections", "claims").distinct().join(first, "book_id").withColumn("link", support_link_score("sections", "s_sections", "claims", "s_claims"))
+    shared = lambda s, c: F.explode(F.array_distinct(F.concat(F.transform(s, lambda x: F.concat(F.lit("s "), x)), F.transform(c, lambda x: F.concat(F.lit("c "), x))))).alias("token")
+    sets = alone.select("book_id", "sections", "claims").distinct()
+    paired = sets.select("*", shared("sections", "claims")).join(first.select("*", shared("s_sections", "s_claims")), ["book_id", "token"]).drop("token").distinct()
+    paired = paired.withColumn("link", support_link_score("sections", "s_sections", "claims", "s_claims")).where("link > 0").select("book_id", "sections", "claims", "s_id", "s_pos", "link")
+    least = first.groupBy("book_id").agg(F.min_by("s_id", "s_pos").alias("s_id"), F.min("s_pos").alias("s_pos"))
+    paired = paired.unionByName(sets.join(least, "book_id").withColumn("link", F.lit(0)))
     best = paired.groupBy("book_id", "sections", "claims").agg(F.max_by(F.struct("s_id", "link", "s_pos"), F.struct("link", -F.col("s_pos"))).alias("b"))
     best = best.select(*[F.col(c).alias(f"_{c}") for c in ("book_id", "sections", "claims")], "b")
     met = alone.join(best, (F.col("book_id") == F.col("_book_id")) & F.col("sections").eqNullSafe(F.col("_sections")) & F.col("claims").eqNullSafe(F.col("_claims")))
@@ -90,11 +96,27 @@ def mandatory_order(requirements: DataFrame, path: DataFrame) -> DataFrame:
 
 
 def section_requirements(sections: DataFrame, requirements: DataFrame) -> DataFrame:
-    """book_id, section_id, requirement_id: those that prefer the section or none; all of the book's if that leaves none."""
-    fits = (F.size("sections") == 0) | F.array_contains("sections", F.col("section_id"))
-    paired = sections.select("book_id", "section_id").join(requirements.select("book_id", "requirement_id", "sections"), "book_id").withColumn("fits", fits)
-    some = F.max("fits").over(W.partitionBy("book_id", "section_id"))
-    return paired.withColumn("some", some).where("fits OR NOT some").select("book_id", "section_id", "requirement_id")
+    """book_id, section_id, requirement_id as classes: requirements that name a section; those that name none fit all the book's sections (one
+    row, section_id null); a section that none fits takes all of the book's (one row, requirement_id null)."""
+    known = sections.select("book_id", "section_id").distinct()
+    named = requirements.select("book_id", F.explode(F.array_distinct("sections")).alias("section_id"), "requirement_id").join(known, ["book_id", "section_id"])
+    general = requirements.where(F.size("sections") == 0).join(known.select("book_id").distinct(), "book_id", "left_semi").select("book_id", F.lit(None).cast("string").alias("section_id"), "requirement_id")
+    bare = known.join(named, ["book_id", "section_id"], "left_anti").join(general.select("book_id").distinct(), "book_id", "left_anti")
+    bare = bare.join(requirements.select("book_id").distinct(), "book_id", "left_semi").withColumn("requirement_id", F.lit(None).cast("string"))
+    return named.select("book_id", "section_id", "requirement_id").distinct().unionByName(general.distinct()).unionByName(bare)
+
+
+def requirements_of_sections(sections: DataFrame, requirements: DataFrame) -> DataFrame:
+    """book_id, section_id, requirements: the list for each section, put together from the classes."""
+    classes = section_requirements(sections, requirements)
+    listed = lambda df, *keys: df.groupBy(*keys).agg(F.array_sort(F.collect_set("requirement_id")).alias("ids"))
+    named = listed(classes.where("section_id IS NOT NULL AND requirement_id IS NOT NULL"), "book_id", "section_id").withColumnRenamed("ids", "named")
+    general = listed(classes.where("section_id IS NULL"), "book_id").withColumnRenamed("ids", "general")
+    every = listed(requirements, "book_id").withColumnRenamed("ids", "every")
+    rows = sections.select("book_id", "section_id").distinct().join(named, ["book_id", "section_id"], "left").join(general, "book_id", "left").join(every, "book_id")
+    none = F.array().cast("array<string>")
+    fit = F.array_sort(F.array_union(F.coalesce("named", none), F.coalesce("general", none)))
+    return rows.select("book_id", "section_id", F.when(F.size(fit) > 0, fit).otherwise(F.col("every")).alias("requirements"))
 
 
 def coverage(blocks: DataFrame, requirements: DataFrame) -> DataFrame:

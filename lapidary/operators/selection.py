@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from . import greedy
-from .scans import apart, numbered, written
+from .scans import apart, numbered, running, written
 from .structure import section_caps
 
 #: How far past the target protected and late additions may go, and when the last pass starts and stops.
@@ -284,3 +284,16 @@ def target_words(books: DataFrame, ratio: float) -> DataFrame:
 
 def caps_of(sections: DataFrame, targets: DataFrame, priorities: DataFrame | None = None) -> DataFrame:
     return section_caps(sections.join(targets, "book_id"), F.col("target"), priorities)
+
+
+def overlap(passages: DataFrame, paragraphs: DataFrame) -> DataFrame:
+    """book_id, selected_words, union_words, overlap_words: words of passages (book_id, section_no, first, last: places of paragraphs), those of
+    the paragraphs they cover, and what they hold more than once. A sweep over the passages' ends: at each place, how many have begun and
+    not ended. paragraphs: book_id, section_no, idx, words."""
+    at = lambda df, place, step: df.select("book_id", "section_no", (F.col(place).cast("long") * 2).alias("_at"), F.lit(step).cast("long").alias("_step"))
+    ends = at(passages.where("first <= last"), "first", 1).unionByName(at(passages.where("first <= last").withColumn("last", F.col("last") + 1), "last", -1))
+    ends = ends.groupBy("book_id", "section_no", "_at").agg(F.sum("_step").alias("_step")).withColumn("words", F.lit(0).cast("long"))
+    rows = paragraphs.select("book_id", "section_no", (F.col("idx").cast("long") * 2 + 1).alias("_at"), F.lit(0).cast("long").alias("_step"), F.col("words").cast("long").alias("words"))
+    swept = running(ends.unionByName(rows), ["book_id", "section_no"], "_at", {"open": F.col("_step")})
+    sums = {"selected_words": F.col("words") * F.col("open"), "union_words": F.when(F.col("open") > 0, F.col("words")).otherwise(0), "overlap_words": F.col("words") * F.greatest(F.col("open") - 1, F.lit(0))}
+    return swept.groupBy("book_id").agg(*[F.sum(c).alias(k) for k, c in sums.items()])

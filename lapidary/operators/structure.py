@@ -132,13 +132,13 @@ def joined_folds(folds: list[Fold], most: int) -> Fold:
     return Fold(np.concatenate(heads), np.concatenate(left), np.concatenate(made), sum(f.total for f in folds))
 
 
-def bins(rows: DataFrame, keys: list[str], order: str, words: str, most: int, into: str = "chunk") -> DataFrame:
+def bins(rows: DataFrame, keys: list[str], order: str, words: str, most: int, into: str = "chunk", short: int | None = None) -> DataFrame:
     """Adds the number (from 1) of the consecutive bin of at most `most` words; a longer row stands alone. A bin's end depends on all
     before it. Keys of up to SHORT rows are folded in one array; of larger ones, blocks of rows are folded for every state they may be
     entered in (Fold), groups of blocks are joined to one fold, each key's groups are walked in order, then the blocks of each group,
     and last the rows of each block: a task holds a block's numbers or a group's folds, whatever the size of the key. order: an integer
     position, distinct within a key."""
-    return scans.apart(rows, keys, SHORT, lambda x: _short_bins(x, keys, order, words, most, into), lambda x: _long_bins(x, keys, order, words, most, into))
+    return scans.apart(rows, keys, SHORT if short is None else short, lambda x: _short_bins(x, keys, order, words, most, into), lambda x: _long_bins(x, keys, order, words, most, into))
 
 
 def _short_bins(rows: DataFrame, keys: list[str], order: str, words: str, most: int, into: str) -> DataFrame:

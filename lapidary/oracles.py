@@ -426,8 +426,28 @@ ORACLE_SQL: dict[str, str] = {
         "SELECT book_id, row_number() OVER (PARTITION BY book_id ORDER BY p NULLS LAST, pos) AS ord, requirement_id FROM reqs LEFT JOIN p USING (book_id, requirement_id) WHERE must",
     ),
     "section_requirements": _with(
-        f"{_REQS}, s AS (SELECT source AS book_id, 'S' || doc_id // 20 AS section_id FROM documents), j AS (SELECT s.book_id, section_id, requirement_id, len(sections) = 0 OR list_contains(sections, section_id) AS fits FROM s JOIN reqs USING (book_id) WHERE len(sections) > 0 OR book_id = 'src6')",
-        "SELECT book_id, section_id, requirement_id FROM (SELECT *, bool_or(fits) OVER (PARTITION BY book_id, section_id) AS any_fits FROM j) WHERE fits OR NOT any_fits",
+        f"{_REQS}, s AS (SELECT DISTINCT source AS book_id, 'S' || doc_id // 20 AS section_id FROM documents), named AS (SELECT DISTINCT book_id, section_id, requirement_id FROM s JOIN reqs USING (book_id) WHERE list_contains(sections, section_id)), "
+        "general AS (SELECT DISTINCT book_id, requirement_id FROM reqs WHERE len(sections) = 0)",
+        "SELECT book_id, section_id, requirement_id FROM named UNION ALL SELECT book_id, NULL, requirement_id FROM general "
+        "UNION ALL SELECT book_id, section_id, NULL FROM s WHERE (book_id, section_id) NOT IN (SELECT (book_id, section_id) FROM named) AND book_id NOT IN (SELECT book_id FROM general)",
+    ),
+    "schema_faults": (
+        "WITH d AS (SELECT doc_id, doc_id % 11 <> 3 AS listed FROM documents WHERE doc_id % 23 <> 0) SELECT doc_id, '$' AS path, 'no JSON' AS fault FROM documents WHERE doc_id % 23 = 0 "
+        "UNION ALL SELECT doc_id, '$.kind', 'not one of claim, evidence' FROM d WHERE doc_id % 3 = 2 UNION ALL SELECT doc_id, '$.sure', CASE doc_id % 7 WHEN 1 THEN 'missing' ELSE 'not a boolean' END FROM d WHERE doc_id % 7 IN (1, 2) "
+        "UNION ALL SELECT doc_id, '$.parts', 'not an array' FROM d WHERE NOT listed UNION ALL SELECT doc_id, '$.parts[0].weight', 'not within 0 and 5' FROM d WHERE listed AND doc_id % 9 > 5 "
+        "UNION ALL SELECT doc_id, '$.parts[0].tags[1]', CASE doc_id % 4 WHEN 1 THEN 'not one of a, b' ELSE 'not a string' END FROM d WHERE listed AND doc_id % 4 IN (1, 2) "
+        "UNION ALL SELECT doc_id, '$.parts[1]' || t[1], t[2] FROM (SELECT doc_id, unnest([['.extra', 'unknown'], ['.tags', 'missing'], ['.weight', 'not an integer']]) AS t FROM d WHERE listed AND doc_id % 5 = 2) "
+        "UNION ALL SELECT doc_id, '$.parts[1]', 'not an object' FROM d WHERE listed AND doc_id % 5 = 3"
+    ),
+    "overlap_words": (
+        f"WITH d AS (SELECT source AS book_id, doc_id AS idx, {words('text')} AS words FROM documents), c AS (SELECT p.book_id, p.idx, p.words, count(*) AS n FROM d p JOIN d s ON s.book_id = p.book_id AND p.idx BETWEEN s.idx AND s.idx + s.idx % 45 GROUP BY ALL) "
+        "SELECT book_id, CAST(sum(words * n) AS BIGINT) AS selected_words, CAST(sum(words) AS BIGINT) AS union_words, CAST(sum(words * (n - 1)) AS BIGINT) AS overlap_words FROM c GROUP BY book_id"
+    ),
+    "long_bins": _with(
+        f"d AS (SELECT doc_id, {words('text')} AS words, row_number() OVER (ORDER BY doc_id) AS k FROM documents), bins AS (SELECT doc_id, words, k, CAST(1 AS BIGINT) AS chunk, words AS used FROM d WHERE k = 1 UNION ALL "
+        "SELECT d.doc_id, d.words, d.k, CASE WHEN used + d.words > 18000 THEN chunk + 1 ELSE chunk END, CASE WHEN used + d.words > 18000 THEN d.words ELSE used + d.words END FROM bins b JOIN d ON d.k = b.k + 1)",
+        "SELECT doc_id, words, chunk FROM bins",
+        True,
     ),
     "report_lines": _with(
         f"{_SECS}, t AS (SELECT book_id, count(*) AS n, CAST(coalesce(sum(word_count) FILTER (kind <> 'exclude'), 0) AS BIGINT) AS inc, CAST(coalesce(sum(word_count) FILTER (kind = 'exclude'), 0) AS BIGINT) AS exc, "
@@ -472,3 +492,5 @@ ORACLE_SQL: dict[str, str] = {
         "SELECT q.book_id, q.requirement_id, coalesce(string_agg(e.source, ',' ORDER BY e.pos), '') AS supports FROM allreqs q LEFT JOIN edges e ON e.book_id = q.book_id AND e.target = q.requirement_id AND e.relation = 'supports' WHERE q.kind = 'major_proposition' GROUP BY ALL",
     ),
 }
+ORACLE_SQL["selection_one_book"] = _with(f"documents AS (SELECT * REPLACE ('all' AS source) FROM main.documents), {_CHOICE}", "SELECT block_id, reading_pos, protected, protected_for, target FROM choice", True)
+ORACLE_SQL["edition_parts"] = f"SELECT book_id, len(string_split(text, chr(10))) - 1 AS lines, length(text) - len(string_split(text, chr(10))) + 1 AS n_chars FROM ({ORACLE_SQL['edition_lines']})"

@@ -43,7 +43,7 @@ def run_folder(spark: SparkSession, parent: str, source: str, reuse: bool = Fals
 
 def reset(spark: SparkSession, folder: str) -> None:
     """Deletes what a run writes, answers too, and leaves other files alone."""
-    for name in (*ARTEFACTS, "answers", "requests", "extra_keys", "diagnostics", "targets", "caps", "gaps", "texts"):
+    for name in (*ARTEFACTS, "answers", "requests", "schema_faults", "diagnostics", "targets", "caps", "gaps", "texts"):
         files.delete(spark, f"{folder}/{name}")
 
 

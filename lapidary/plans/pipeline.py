@@ -43,7 +43,7 @@ class Run:
         known = self.spark.read.schema("hash string, answer string, error string").parquet(store) if files.exists(self.spark, store) else None
         P.answers(requests, stage, self.provider, self.config.retries, known).write.mode("append").parquet(store)
         found = P.answered(requests, stage, self.spark.read.schema("hash string, answer string, error string").parquet(store))
-        self.keep(P.extra_keys(found, stage), f"extra_keys/{stage}")
+        self.keep(P.schema_faults(found, stage), f"schema_faults/{stage}")
         return P.parsed(found, stage)
 
     # parse
@@ -103,7 +103,7 @@ class Run:
     # nominate and score
 
     def nominate(self, t: dict[str, DataFrame]) -> DataFrame:
-        fits = graph.section_requirements(t["sections"], t["requirements"]).groupBy("book_id", "section_id").agg(F.array_sort(F.collect_set("requirement_id")).alias("requirements"))
+        fits = graph.requirements_of_sections(t["sections"], t["requirements"])
         per = t["chunk_texts"].join(fits, ["book_id", "section_id"], "left").join(t["overview"].select("book_id", P.guidance(F.col("form")).alias("guidance")), "book_id", "left")
         words = F.greatest(F.lit(100).cast("long"), (F.col("words") * F.lit(self.config.candidate_ratio).cast("double")).cast("long"))
         ask = per.select("book_id", "seq", F.to_json(F.struct("section_id", "title", "requirements", words.alias("words"), "guidance", "paragraphs")).alias("request"))
@@ -207,8 +207,10 @@ class Run:
         cover = self.keep(graph.coverage(chosen.withColumn("ord", F.col("reading_pos")), t["requirements"]).join(t["requirements"].select("book_id", "requirement_id", "pos", "kind", "description", "importance"), ["book_id", "requirement_id"]), "coverage")
         selected = chosen.groupBy("book_id").agg(F.sum("word_count").alias("selected"), F.count("*").alias("blocks"))
         said = B.bridge_words(bridges)
-        summary = t["books"].join(targets, "book_id").join(selected, "book_id", "left").join(said, "book_id", "left").join(t["overview"].select("book_id", "form", "overview", F.col("central_question").alias("question"), "thesis"), "book_id", "left")
-        summary = summary.withColumns({x: F.coalesce(x, F.lit(0)).cast("long") for x in ("selected", "blocks", "bridge_words")})
+        spans = chosen.select("book_id", "section_no", F.col("first_index").alias("first"), F.col("last_index").alias("last"))
+        twice = selection.overlap(spans, t["paragraphs"].select("book_id", "section_no", "idx", F.col("word_count").alias("words"))).select("book_id", "overlap_words")
+        summary = t["books"].join(targets, "book_id").join(selected, "book_id", "left").join(said, "book_id", "left").join(twice, "book_id", "left").join(t["overview"].select("book_id", "form", "overview", F.col("central_question").alias("question"), "thesis"), "book_id", "left")
+        summary = summary.withColumns({x: F.coalesce(x, F.lit(0)).cast("long") for x in ("selected", "blocks", "bridge_words", "overlap_words")})
         missing = cover.where(F.col("must") & (F.size("block_ids") == 0)).groupBy("book_id").agg(F.array_sort(F.collect_set("requirement_id")).alias("missing"))
         summary = self.keep(summary.join(missing, "book_id", "left").withColumn("missing", F.coalesce("missing", F.array().cast("array<string>"))), "summary")
         place = text.passage_range("section_id", "first_id", "last_id", "first_page", "last_page")

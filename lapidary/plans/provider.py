@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import schemas
+
 #: Names in the answers of each stage.
 FUNCTIONS = ("setup", "claim", "definition", "evidence", "turning_point", "consequence", "objection", "interpretation", "conclusion", "transition", "supporting")
 FORMS = ("argumentative", "historical_investigative_narrative", "biography_memoir", "technical_explanatory", "case_based_policy_business", "mixed")
@@ -35,6 +37,15 @@ SCHEMAS = {
     "check": "checks array<struct<before_id: string, after_id: string, grounded: boolean, new_claim: boolean, impersonates: boolean, wordy: boolean, approved_text: string, reason: string>>",
 }
 
+#: Rules for single fields of the answers: the words they may be, or their bounds.
+LEVELS, WEIGHTS = ("high", "medium", "low"), ("essential", "important", "contextual")
+RULES: dict[str, dict[str, tuple]] = {
+    "overview": {"form": FORMS, "priorities.priority": LEVELS},
+    "map": {"requirements.kind": KINDS, "requirements.importance": WEIGHTS, "relations.relation": RELATIONS},
+    "nominate": {"blocks.block_function": FUNCTIONS, "blocks.redundancy_risk": LEVELS},
+    "score": {f"scores.{r}": (0, 3 if r in ("readability", "context") else 5) for r in RUBRIC},
+}
+
 #: What each stage asks of a model, in short; a provider for a hosted model sends it with the request.
 INSTRUCTIONS = {
     "overview": "Name the kind of nonfiction, its governing question and thesis, and rate the sections' priority. Return metadata only.",
@@ -199,23 +210,9 @@ def parsed(found: DataFrame, stage: str) -> DataFrame:
     return found.select("book_id", "seq", F.from_json("answer", SCHEMAS[stage]).alias("a")).where("a IS NOT NULL")
 
 
-def extra_keys(found: DataFrame, stage: str) -> DataFrame:
-    """(book_id, seq, keys) of the answers with keys that the stage's schema does not know."""
-    known = F.array(*[F.lit(part.strip().split(" ")[0]) for part in _top(SCHEMAS[stage])])
-    keys = F.array_except(F.json_object_keys("answer"), known)
-    return found.select("book_id", "seq", keys.alias("keys")).where(F.size("keys") > 0)
-
-
-def _top(schema: str) -> list[str]:
-    """The schema's top-level fields."""
-    out, depth = [""], 0
-    for c in schema:
-        depth += (c == "<") - (c == ">")
-        if c == "," and not depth:
-            out.append("")
-        else:
-            out[-1] += c
-    return out
+def schema_faults(found: DataFrame, stage: str) -> DataFrame:
+    """(book_id, seq, path, fault) of the answers: what the stage's schema and rules do not allow, at any depth."""
+    return schemas.checked(found.select("book_id", "seq", "answer"), SCHEMAS[stage], RULES.get(stage))
 
 
 def sound_scores(scores: DataFrame) -> DataFrame:

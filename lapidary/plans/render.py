@@ -32,6 +32,18 @@ def as_text(lines: DataFrame) -> DataFrame:
     return lines.groupBy("book_id").agg(F.concat(F.regexp_replace(F.array_join(listed, "\n"), r"\s+\z", ""), F.lit("\n")).alias("text"))
 
 
+def write_parts(lines: DataFrame, path: str, parts: int | None = None) -> None:
+    """Writes each book's lines in order as text under path/book_id=...: its part files, by name, one after another are as_text(). Lines are
+    range-partitioned by book and place, so a long book fills many parts, and no book has to fit a row or a task."""
+    n = parts or int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    last = lines.where(strip("line") != "").groupBy("book_id").agg(F.max("place").alias("_last"))
+    rows = lines.join(last, "book_id").where(F.col("place") <= F.col("_last"))
+    # a book's last line loses white space at its end, as the text does
+    rows = rows.withColumn("line", F.when(F.col("place") == F.col("_last"), F.regexp_replace("line", r"\s+\z", "")).otherwise(F.col("line")))
+    rows = rows.repartitionByRange(n, "book_id", "place").sortWithinPartitions("book_id", "place")
+    rows.select("book_id", F.col("line").alias("value")).write.partitionBy("book_id").mode("overwrite").text(path)
+
+
 def edition(chosen: DataFrame, sections: DataFrame, bridges: DataFrame, books: DataFrame | None = None) -> DataFrame:
     """The reading edition. chosen: book_id, block_id, section_no, reading_pos, text; sections: book_id, section_no, section_pos, title;
     bridges: book_id, after_id, pos, text, necessary (the last for a block counts); books: book_id, title."""
@@ -88,7 +100,7 @@ def percent(part: Column, whole: Column) -> Column:
 
 def audit(books: DataFrame, sections: DataFrame, chosen: DataFrame, coverage: DataFrame, bridges: DataFrame, review: DataFrame) -> DataFrame:
     """Why the edition is as it is: first the review, then what each section gave, the passages, the requirements, the bridges. books: book_id, title,
-    total_words, target, selected, bridge_words, overview, form, question, thesis; sections: book_id, section_pos, title, word_count, retained (included
+    total_words, target, selected, bridge_words, overlap_words, overview, form, question, thesis; sections: book_id, section_pos, title, word_count, retained (included
     ones); chosen: passages in listing order with pos, range, reason; coverage: book_id, pos, requirement_id, description, kind, importance, must, block_ids; bridges:
     book_id, pos, before_id, after_id, kind, text, grounding_blocks, grounding_requirements; review: book_id, assessment, missing, unsupported, undefined, notes."""
     number = lambda c: F.format_number(c, 0)
@@ -97,6 +109,7 @@ def audit(books: DataFrame, sections: DataFrame, chosen: DataFrame, coverage: Da
     head = [
         F.concat(F.lit("# How this edition was chosen: "), "title"), "",
         F.concat(number("selected"), F.lit(" of "), number("total_words"), F.lit(" words kept ("), percent(F.col("selected"), F.col("total_words")), F.lit("), with a budget of "), number("target"), F.lit("; "), number("bridge_words"), F.lit(" words of bridges added.")), "",
+        F.when(F.col("overlap_words") > 0, F.concat(number("overlap_words"), F.lit(" of these words stand in more than one passage and are counted each time."))), F.when(F.col("overlap_words") > 0, ""),
         line("Kind of book", F.col("form")), line("It asks", F.col("question")), line("It holds", F.col("thesis")), line("In short", F.col("overview")), "",
     ]
     known = lambda c: F.array_compact(F.coalesce(c, F.array().cast("array<string>")))

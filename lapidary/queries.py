@@ -3,6 +3,7 @@ scores, titles and requirement graphs are arithmetic on ids, so that their SQL (
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,8 +12,8 @@ from pyspark.sql.window import Window as W
 
 from .functions import rules, text
 from .operators import bridges, graph, scoring, selection, structure
-from .operators.scans import written
-from .plans import provider, render
+from .operators.scans import shared_folder, written
+from .plans import provider, render, schemas
 from .sources import loaders
 from .sources.html import html_blocks as read_html_blocks
 
@@ -34,6 +35,12 @@ FUNCTION = "CASE doc_id % 4 WHEN 0 THEN 'setup' WHEN 1 THEN 'claim' WHEN 2 THEN
 PRIORITY = "CASE WHEN quality = 1 AND toxic = 0 THEN 'high' WHEN toxic = 1 THEN 'low' ELSE 'medium' END"
 KIND = "CASE WHEN source = 'src3' THEN CASE pos % 2 WHEN 0 THEN 'major_proposition' ELSE 'essential_term' END ELSE CASE pos % 5 WHEN 0 THEN 'major_proposition' WHEN 1 THEN 'supporting_argument' WHEN 2 THEN 'evidence' WHEN 3 THEN 'essential_term' ELSE 'qualification' END END"
 RELATION = "CASE WHEN pos % 2 = 1 THEN 'supports' ELSE 'qualifies' END"
+#: An answer about a document, as JSON; the same expression in SQL.
+ANSWER = (
+    "CASE WHEN doc_id % 23 = 0 THEN '{no json' ELSE concat('{\"kind\": \"', CASE doc_id % 3 WHEN 0 THEN 'claim' WHEN 1 THEN 'evidence' ELSE 'guess' END, '\", ', CASE WHEN doc_id % 7 = 1 THEN '' WHEN doc_id % 7 = 2 THEN '\"sure\": 1, ' ELSE '\"sure\": true, ' END, "
+    "CASE WHEN doc_id % 11 = 3 THEN '\"parts\": {}' ELSE concat('\"parts\": [{\"name\": \"x\", \"weight\": ', doc_id % 9, ', \"tags\": [\"a\", ', CASE WHEN doc_id % 4 = 1 THEN '\"c\"' WHEN doc_id % 4 = 2 THEN '7' ELSE '\"b\"' END, ']}', "
+    "CASE WHEN doc_id % 5 = 2 THEN ', {\"name\": \"y\", \"extra\": null, \"weight\": 1.5}' WHEN doc_id % 5 = 3 THEN ', 3' ELSE '' END, ']') END, '}') END"
+)
 LITERALS = [
     "T he point­ was bro￾ken by   PDF .", "D uring aWorld &GDr. Smith , x", "a�b￾c � alone\n \t next", "A condensed ﬁnal ﬂow", "   ", "aThat THE aAbc aAbcd", "x  y !",
     "Chapter 12", "chapter", "12 monkeys and men", "Part  IV: End", "partial", "INTRODUCTION", "Introductions", "Épilogue", "Index of names", "  notes", "notes\nmore", "References.", "Summary of the frameworks", "7 x", "12 Monkeys",
@@ -51,7 +58,16 @@ def _table(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf: spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-documents, conversations, labels, pages = map(_table, ("documents", "conversations", "labels", "pages"))
+conversations, labels, pages = map(_table, ("conversations", "labels", "pages"))
+
+
+class OneBook(str):
+    """A folder of tables, all documents of which are of one book."""
+
+
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    found = spark.read.parquet(f"{sf}/documents.parquet")
+    return found.withColumn("source", F.lit("all")) if isinstance(sf, OneBook) else found
 
 
 def literals(spark: SparkSession) -> DataFrame:
@@ -279,6 +295,13 @@ def paragraph_ids(spark, sf):
     return structure.paragraphs(rows).select("book_id", "section_id", "paragraph_id", "idx", "word_count")
 
 
+@query
+def long_bins(spark, sf):
+    """All documents as one sequence, in bins of 18,000 words: folds of blocks, joined."""
+    rows = documents(spark, sf).select(F.lit(1).alias("key"), "doc_id", text.word_count("text").alias("words"))
+    return structure.bins(written(rows, "words"), ["key"], "doc_id", "words", 18_000, short=0).select("doc_id", "words", "chunk")
+
+
 @query
 def chunk_bins(spark, sf):
     rows = conversations(spark, sf).select("conv_id", "turn", text.word_count("text").alias("words"))
@@ -426,11 +449,11 @@ def value_pass(spark, sf):
     return selection.value_pass(rows, _caps(spark, sf), targets(spark, sf)).select("book_id", "block_id", "rank")
 
 
-def chosen(spark: SparkSession, sf: str) -> DataFrame:
+def chosen(spark: SparkSession, sf: str, folded: int = selection.FOLDED) -> DataFrame:
     """The selection, written: queries use it several times."""
     s = block_sections(spark, sf).join(_caps(spark, sf), ["book_id", "section_no"], "left").withColumns({"cover": F.lit(True), "included": F.lit(True)})
     goals = graph.mandatory_order(requirements(spark, sf), path(spark, sf))
-    picked = selection.select(candidates(spark, sf), s, goals, targets(spark, sf))
+    picked = selection.select(candidates(spark, sf), s, goals, targets(spark, sf), folded)
     return written(selection.reading_order(picked.join(candidates(spark, sf), ["book_id", "block_id"]), block_sections(spark, sf)), "chosen")
 
 
@@ -439,6 +462,21 @@ def full_selection(spark, sf):
     return chosen(spark, sf).select("book_id", "block_id", "reading_pos", "protected", F.array_join("protected_for", ",").alias("protected_for"), "target")
 
 
+@query
+def selection_one_book(spark, sf):
+    """All documents as one book, selected in rounds."""
+    found = chosen(spark, OneBook(sf), folded=0)
+    return found.select("block_id", "reading_pos", "protected", F.array_join("protected_for", ",").alias("protected_for"), "target")
+
+
+@query
+def overlap_words(spark, sf):
+    """Every candidate as a passage over the documents of its book from its first to its last place."""
+    d = documents(spark, sf).select(F.col("source").alias("book_id"), F.lit(0).alias("section_no"), F.col("doc_id").alias("idx"), text.word_count("text").alias("words"))
+    spans = d.select("book_id", "section_no", F.col("idx").alias("first"), F.expr("idx + idx % 45").alias("last"))
+    return selection.overlap(spans, written(d, "words"))
+
+
 @query
 def reading_order(spark, sf):
     return chosen(spark, sf).select("book_id", "block_id", "reading_pos")
@@ -565,7 +603,14 @@ def mandatory_order(spark, sf):
 @query
 def section_requirements(spark, sf):
     s = documents(spark, sf).select(F.col("source").alias("book_id"), F.concat(F.lit("S"), F.expr("doc_id div 20")).alias("section_id"))
-    return graph.section_requirements(s, requirements(spark, sf).where("size(sections) > 0 OR book_id = 'src6'"))
+    return graph.section_requirements(s, requirements(spark, sf))
+
+
+@query
+def schema_faults(spark, sf):
+    """Answers about every document, with faults at each depth; documents of every twenty-third id have no JSON."""
+    asked = documents(spark, sf).select("doc_id", F.expr(ANSWER).alias("answer"))
+    return schemas.checked(asked, "kind string, sure boolean, parts array<struct<name: string, weight: int, tags: array<string>>>", {"kind": ("claim", "evidence"), "parts.weight": (0, 5), "parts.tags": ("a", "b")})
 
 
 @query
@@ -593,14 +638,27 @@ def report_lines(spark, sf):
     return render.as_text(render.structure_report(secs(spark, sf).withColumns({"section_id": text.numbered("CH", "section_no"), "paragraphs": F.lit(1)})))
 
 
-@query
-def edition_lines(spark, sf):
+def _edition(spark, sf):
     """Passages are whole documents."""
     c = chosen(spark, sf)
     titles = block_sections(spark, sf).withColumn("title", F.concat(F.lit("Section "), "section_no"))
     b = bridges.gaps(c).where("pos % 3 = 0").withColumns({"text": F.concat(F.lit("to "), "after_id"), "necessary": F.lit(True)})
     body = documents(spark, sf).select(F.col("source").alias("book_id"), F.concat(F.lit("K"), "doc_id").alias("block_id"), "text")
-    return render.as_text(render.edition(c.join(body, ["book_id", "block_id"]), titles, b))
+    return render.edition(c.join(body, ["book_id", "block_id"]), titles, b)
+
+
+@query
+def edition_lines(spark, sf):
+    return render.as_text(_edition(spark, sf))
+
+
+@query
+def edition_parts(spark, sf):
+    """Editions written as parts of text files and read again: lines and characters of each book."""
+    path = f"{shared_folder(spark)}/edition-{uuid.uuid4().hex}"
+    render.write_parts(_edition(spark, sf), path)
+    found = spark.read.schema("value string, book_id string").text(path)
+    return found.groupBy("book_id").agg(F.count("*").alias("lines"), F.sum(F.char_length("value")).cast("long").alias("n_chars"))
 
 
 # files: archives are built from the documents' lines, then read as any other
