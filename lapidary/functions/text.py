@@ -21,8 +21,8 @@ SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\
 #: Of them, those that end a line, and runs of the others that are not one blank.
 LINE_END = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 BLANKS = r"[\t\x1f\xa0\u1680\u2000-\u200a\u202f\u205f\u3000][\t\x1f \xa0\u1680\u2000-\u200a\u202f\u205f\u3000]*| [\t\x1f \xa0\u1680\u2000-\u200a\u202f\u205f\u3000]+"
-OMITTED = "\n\n[... omitted for input-length control ...]\n\n"  # fixed value
-NUMBERS = ("one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten")  # fixed values
+#: What stands for the middle of a long text.
+OMITTED = "\n\n(the middle of this text is left out)\n\n"
 
 ColumnLike = Column | str
 
@@ -128,7 +128,7 @@ def clean_block(raw: ColumnLike, noise: ColumnLike, boilerplate: tuple[str, ...]
     noise: an array of repeated_line_key() values. boilerplate: publisher-specific patterns, a parameter."""
     t = F.translate(_c(raw), "\u00ad", "")
     t = F.replace(F.replace(t, F.lit("\ufb01"), F.lit("fi")), F.lit("\ufb02"), F.lit("fl"))
-    t = F.translate(F.regexp_replace(t, f"(?<={W})[\ufffd\ufffe](?={W})", "-"), "\ufffd\ufffe", "")
+    t = F.translate(F.regexp_replace(t, f"[\ufffd\ufffe](?={W})(?<={W}.)", "-"), "\ufffd\ufffe", "")
     for pattern in boilerplate:
         t = F.regexp_replace(t, f"(?im){pattern}", "")
     # as normalize_line() on each line, for all lines at once
@@ -137,9 +137,11 @@ def clean_block(raw: ColumnLike, noise: ColumnLike, boilerplate: tuple[str, ...]
     lines = F.filter(lines, lambda v: (v != "") & ~v.rlike(r"\A\p{Nd}+\z") & ~F.array_contains(_c(noise), line_key(v)))
     hyphen = lambda v, after: F.endswith(v, F.lit("-")) & F.coalesce(after.rlike(r"\A\p{Ll}"), F.lit(False))
     ended = lambda v, after: F.when(hyphen(v, after), F.left(v, F.char_length(v) - 1)).when(after.isNull(), v).otherwise(F.concat(v, F.lit(" ")))
-    joined = F.array_join(F.zip_with(lines, F.slice(lines, F.lit(2), F.greatest(F.size(lines), F.lit(1))), ended), "")
-    joined = F.regexp_replace(joined, rf"(?<={W}){S}*[-‐‑]{S}+(?={W})", "-")
-    return normalize(F.regexp_replace(joined, rf"{S}+([,.;:!?])", "$1"))
+    flowing = lambda own: F.array_join(F.zip_with(own, F.slice(own, F.lit(2), F.greatest(F.size(own), F.lit(1))), ended), "")
+    joined = F.transform(F.array(lines), flowing)[0]  # the lines are made once
+    # blanks are single ones by now
+    joined = F.regexp_replace(joined, rf" ?[-‐‑] (?={W})(?<={W}[-‐‑] |{W} [-‐‑] )", "-")
+    return normalize(F.regexp_replace(joined, " ([,.;:!?])", "$1"))
 
 
 def strip_transition_label(x: ColumnLike) -> Column:
@@ -172,32 +174,15 @@ def passage_range(section: ColumnLike, first: ColumnLike, last: ColumnLike, firs
     return F.concat(_c(section), F.lit(", "), _c(first), F.lit("-"), _c(last), page)
 
 
-def _heading_pattern() -> str:
-    number = rf"(?:[0-9ivxlcdm]+|{'|'.join(NUMBERS)})"
-    # fixed values: words that open a heading line, with any tail
-    openers = ("introduction", "prologue", "preface", "foreword", "epilogue", "conclusion", "afterword", "appendix", "notes", "bibliography", "references", "acknowledgments", "acknowledgements", "index")
-    end = rf"(?!{W})"
-    branches = [
-        rf"(?:chapter|part){S}+{number}{end}.*",
-        rf"\p{{Nd}}+{S}+[A-Z][^\n]{{2,100}}",
-        "summary of the framework.*",
-        rf"(?:{'|'.join(openers)}){end}.*",
-    ]
-    return rf"(?iud)\A{S}*(?:{'|'.join(branches)})\n?\z"
-
-
-HEADING = _heading_pattern()
-
-
-def _main_title_pattern() -> str:
-    # fixed values: titles of page outlines
-    bare = ("introduction", "preface", "prologue", "foreword", "conclusion", "epilogue", "afterword", "bibliography", "references", "index", "illustrations", "plates")
-    open_ended = ("summary of the framework", "list of interviews", "written correspondence", "photo[- ]insert")
-    not_space = "[^" + S[1:]
-    return rf"(?iud)\A(?:(?:{'|'.join(bare)})|(?:{'|'.join(open_ended)}).*|\p{{Nd}}+{S}+{not_space}.*)\n?\z"
-
-
-MAIN_TITLE = _main_title_pattern()
+# fixed values: lines that read like a section heading, and titles of page outlines worth a section (S: white space, W: a word character)
+HEADING = (
+    rf"(?iud)\A{S}*(?:(?:chapter|part){S}+(?:[0-9ivxlcdm]+|one|two|three|four|five|six|seven|eight|nine|ten)(?!{W}).*|\p{{Nd}}+{S}+[A-Z][^\n]{{2,100}}|summary of the framework.*"
+    rf"|(?:introduction|prologue|preface|foreword|epilogue|conclusion|afterword|appendix|notes|bibliography|references|acknowledgments|acknowledgements|index)(?!{W}).*)\n?\z"
+)
+MAIN_TITLE = (
+    r"(?iud)\A(?:(?:introduction|preface|prologue|foreword|conclusion|epilogue|afterword|bibliography|references|index|illustrations|plates)|(?:summary of the framework|list of interviews|written correspondence|photo[- ]insert).*"
+    rf"|\p{{Nd}}+{S}+[^{S[1:-1]}].*)\n?\z"
+)
 
 
 def is_main_title(x: ColumnLike) -> Column:

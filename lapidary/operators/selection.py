@@ -286,6 +286,22 @@ def caps_of(sections: DataFrame, targets: DataFrame, priorities: DataFrame | Non
     return section_caps(sections.join(targets, "book_id"), F.col("target"), priorities)
 
 
+def balance(sections: DataFrame, chosen: DataFrame) -> DataFrame:
+    """sections (book_id, section_no, word_count, ...) with retained (chosen words), of_section and of_edition (shares)."""
+    kept = chosen.groupBy("book_id", "section_no").agg(F.sum("word_count").alias("retained"))
+    rows = sections.join(kept, ["book_id", "section_no"], "left").withColumn("retained", F.coalesce("retained", F.lit(0)).cast("long"))
+    edition = rows.groupBy("book_id").agg(F.sum("retained").alias("_edition"))
+    share = lambda whole: F.col("retained") / F.greatest(whole, F.lit(1))
+    return rows.join(edition, "book_id").withColumns({"of_section": share(F.col("word_count")), "of_edition": share(F.col("_edition"))}).drop("_edition")
+
+
+def totals(books: DataFrame, targets: DataFrame, chosen: DataFrame) -> DataFrame:
+    """books (book_id, total_words, ...) with target, selected (words), blocks and share; books without passages keep 0."""
+    kept = chosen.groupBy("book_id").agg(F.sum("word_count").alias("selected"), F.count("*").alias("blocks"))
+    rows = books.join(targets, "book_id").join(kept, "book_id", "left").fillna(0, ["selected", "blocks"])
+    return rows.withColumn("share", F.col("selected") / F.greatest("total_words", F.lit(1)))
+
+
 def overlap(passages: DataFrame, paragraphs: DataFrame) -> DataFrame:
     """book_id, selected_words, union_words, overlap_words: words of passages (book_id, section_no, first, last: places of paragraphs), those of
     the paragraphs they cover, and what they hold more than once. A sweep over the passages' ends: at each place, how many have begun and

@@ -231,7 +231,7 @@ def run_blocks(rows: DataFrame, keys: list[str], position: str = "pos") -> DataF
     listed = F.array_sort(F.collect_list(F.struct(position, "paragraph_id", "text")))
     per = marked.groupBy(*keys, "run").agg(listed.alias("all"), F.sum("word_count").alias("word_count"), F.first("reason").alias("reason"))
     n = F.count("*").over(W.partitionBy(*keys))
-    note = F.when(n > 1, F.format_string(" [Split non-contiguous candidate %d of %d.]", "run", n)).otherwise("")
+    note = F.when(n > 1, F.format_string(" (run %d of %d of a passage with gaps)", "run", n)).otherwise("")
     return per.select(*keys, "run", F.col("all.paragraph_id").alias("paragraph_ids"), F.array_join(F.col("all.text"), "\n\n").alias("text"), "word_count", F.concat("reason", note).alias("reason"))
 
 

@@ -87,7 +87,7 @@ def line_key(x: str) -> str:
 
 def truncated(x: str, most: int) -> str:
     w, front = f"list_filter(string_split_regex({x}, '{_S}+'), lambda v: v <> '')", most * 2 // 3
-    mark = "chr(10) || chr(10) || '[... omitted for input-length control ...]' || chr(10) || chr(10)"
+    mark = "chr(10) || chr(10) || '(the middle of this text is left out)' || chr(10) || chr(10)"
     return f"CASE WHEN len({w}) <= {most} THEN {x} ELSE array_to_string(({w})[1:{front}], ' ') || {mark} || array_to_string(({w})[{front - most}:], ' ') END"
 
 
@@ -314,7 +314,7 @@ ORACLE_SQL: dict[str, str] = {
     "contiguous_runs": _with(_KEPT, "SELECT section_no, idx, run FROM runs"),
     "run_blocks": _with(
         f"{_KEPT}, per AS (SELECT section_no, run, string_agg(printf('P%04d', idx), ',' ORDER BY idx) AS ids, CAST(sum(word_count) AS BIGINT) AS word_count, CAST(length(string_agg(text, chr(10) || chr(10) ORDER BY idx)) AS BIGINT) AS n_chars FROM runs GROUP BY section_no, run)",
-        "SELECT section_no, run, ids, word_count, 'why' || CASE WHEN count(*) OVER (PARTITION BY section_no) > 1 THEN ' [Split non-contiguous candidate ' || run || ' of ' || count(*) OVER (PARTITION BY section_no) || '.]' ELSE '' END AS reason, n_chars FROM per",
+        "SELECT section_no, run, ids, word_count, 'why' || CASE WHEN count(*) OVER (PARTITION BY section_no) > 1 THEN ' (run ' || run || ' of ' || count(*) OVER (PARTITION BY section_no) || ' of a passage with gaps)' ELSE '' END AS reason, n_chars FROM per",
     ),
     "overview_excerpt": _with(
         f"{_SECS}, has AS (SELECT book_id, count(*) FILTER (kind = 'front') AS fronts, count(*) FILTER (kind = 'ending') AS ends, min(section_no) FILTER (kind = 'body') AS first, max(section_no) FILTER (kind = 'body') AS last FROM secs GROUP BY book_id), "
@@ -451,7 +451,7 @@ ORACLE_SQL: dict[str, str] = {
     ),
     "report_lines": _with(
         f"{_SECS}, t AS (SELECT book_id, count(*) AS n, CAST(coalesce(sum(word_count) FILTER (kind <> 'exclude'), 0) AS BIGINT) AS inc, CAST(coalesce(sum(word_count) FILTER (kind = 'exclude'), 0) AS BIGINT) AS exc, "
-        "string_agg('| ' || printf('CH%03d', section_no) || ' | ' || replace(title, '|', '\\|') || ' | ' || kind || ' | 1 | ' || word_count || ' |', chr(10) ORDER BY section_no) AS rows FROM secs GROUP BY book_id)",
+        "string_agg('| ' || printf('CH%03d', section_no) || ' | ' || replace(title || CASE WHEN section_no % 13 = 0 THEN ' | more' ELSE '' END, '|', '\\|') || ' | ' || kind || ' | ' || paragraphs || ' | ' || word_count || ' |', chr(10) ORDER BY section_no) AS rows FROM secs JOIN (SELECT section_no, count(*) AS paragraphs FROM paras GROUP BY section_no) USING (section_no) GROUP BY book_id)",
         "SELECT book_id, array_to_string(['# What was read: ' || book_id, '', n || ' sections; ' || inc || ' words to choose from, ' || exc || ' words set aside.', '', '| Section | Heading | Use | Paragraphs | Words |', '|---|---|---|---:|---:|', rows], chr(10)) || chr(10) AS text FROM t",
     ),
     "edition_lines": _with(

@@ -202,15 +202,13 @@ class Run:
         secs = t["sections"].withColumn("section_pos", F.col("section_no"))
         titles = t["books"].select("book_id", "title")
         self.keep(render.as_text(render.edition(chosen.select("book_id", "block_id", "section_no", "reading_pos", "text"), secs, bridges, titles)), "edition")
-        kept = chosen.groupBy("book_id", "section_no").agg(F.sum("word_count").alias("retained"))
-        balance = secs.where("kind <> 'exclude'").join(kept, ["book_id", "section_no"], "left").withColumn("retained", F.coalesce("retained", F.lit(0)).cast("long"))
+        balance = selection.balance(secs.where("kind <> 'exclude'"), chosen)
         cover = self.keep(graph.coverage(chosen.withColumn("ord", F.col("reading_pos")), t["requirements"]).join(t["requirements"].select("book_id", "requirement_id", "pos", "kind", "description", "importance"), ["book_id", "requirement_id"]), "coverage")
-        selected = chosen.groupBy("book_id").agg(F.sum("word_count").alias("selected"), F.count("*").alias("blocks"))
         said = B.bridge_words(bridges)
         spans = chosen.select("book_id", "section_no", F.col("first_index").alias("first"), F.col("last_index").alias("last"))
         twice = selection.overlap(spans, t["paragraphs"].select("book_id", "section_no", "idx", F.col("word_count").alias("words"))).select("book_id", "overlap_words")
-        summary = t["books"].join(targets, "book_id").join(selected, "book_id", "left").join(said, "book_id", "left").join(twice, "book_id", "left").join(t["overview"].select("book_id", "form", "overview", F.col("central_question").alias("question"), "thesis"), "book_id", "left")
-        summary = summary.withColumns({x: F.coalesce(x, F.lit(0)).cast("long") for x in ("selected", "blocks", "bridge_words", "overlap_words")})
+        summary = selection.totals(t["books"], targets, chosen).join(said, "book_id", "left").join(twice, "book_id", "left").join(t["overview"].select("book_id", "form", "overview", F.col("central_question").alias("question"), "thesis"), "book_id", "left")
+        summary = summary.withColumns({x: F.coalesce(x, F.lit(0)).cast("long") for x in ("bridge_words", "overlap_words")})
         missing = cover.where(F.col("must") & (F.size("block_ids") == 0)).groupBy("book_id").agg(F.array_sort(F.collect_set("requirement_id")).alias("missing"))
         summary = self.keep(summary.join(missing, "book_id", "left").withColumn("missing", F.coalesce("missing", F.array().cast("array<string>"))), "summary")
         place = text.passage_range("section_id", "first_id", "last_id", "first_page", "last_page")

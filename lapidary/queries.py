@@ -539,18 +539,15 @@ def transition_budget(spark, sf):
 
 @query
 def section_balance(spark, sf):
-    s = block_sections(spark, sf).select("book_id", "section_no", "word_count")
-    kept = chosen(spark, sf).groupBy("book_id", "section_no").agg(F.sum("word_count").alias("retained"))
-    rows = s.join(kept, ["book_id", "section_no"], "left").withColumn("retained", F.coalesce("retained", F.lit(0)).cast("long"))
-    edition = F.sum("retained").over(W.partitionBy("book_id"))
-    return rows.select("book_id", "section_no", "retained", F.round(F.col("retained") / F.greatest("word_count", F.lit(1)), 6).alias("of_section"), F.round(F.col("retained") / F.greatest(edition, F.lit(1)), 6).alias("of_edition"))
+    rows = selection.balance(block_sections(spark, sf).select("book_id", "section_no", "word_count"), chosen(spark, sf))
+    return rows.select("book_id", "section_no", "retained", F.round("of_section", 6).alias("of_section"), F.round("of_edition", 6).alias("of_edition"))
 
 
 @query
 def edition_summary(spark, sf):
-    c = chosen(spark, sf).groupBy("book_id").agg(F.sum("word_count").alias("selected"), F.count("*").alias("blocks"))
-    t = block_sections(spark, sf).groupBy("book_id").agg(F.sum("word_count").alias("source_words")).join(targets(spark, sf), "book_id")
-    return t.join(c, "book_id").select("book_id", "source_words", "target", "selected", "blocks", F.round(F.col("selected") / F.greatest("source_words", F.lit(1)), 6).alias("share"))
+    books = block_sections(spark, sf).groupBy("book_id").agg(F.sum("word_count").alias("total_words"))
+    rows = selection.totals(books, targets(spark, sf), chosen(spark, sf)).where("blocks > 0")
+    return rows.select("book_id", F.col("total_words").alias("source_words"), "target", "selected", "blocks", F.round("share", 6).alias("share"))
 
 
 # requirement graph
@@ -635,7 +632,11 @@ def html_fallback(spark, sf):
 
 @query
 def report_lines(spark, sf):
-    return render.as_text(render.structure_report(secs(spark, sf).withColumns({"section_id": text.numbered("CH", "section_no"), "paragraphs": F.lit(1)})))
+    """Every thirteenth title has a bar."""
+    lines_of = counts(spark, sf)
+    s = secs(spark, sf, lines_of).join(lines_of.groupBy("book_id", "section_no").agg(F.count("*").alias("paragraphs")), ["book_id", "section_no"])
+    title = F.expr("CASE WHEN section_no % 13 = 0 THEN concat(title, ' | more') ELSE title END")
+    return render.as_text(render.structure_report(s.withColumns({"section_id": text.numbered("CH", "section_no"), "title": title})))
 
 
 def _edition(spark, sf):

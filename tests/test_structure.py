@@ -65,7 +65,7 @@ def test_runs_and_blocks(spark):
     rows = [("n", p, f"P{p}", f"text {p}", 2, "why") for p in (5, 1, 2, 2, 3, 7)]
     out = structure.run_blocks(spark.createDataFrame(rows, "n string, pos long, paragraph_id string, text string, word_count long, reason string"), ["n"]).orderBy("run").collect()
     assert [(r.paragraph_ids, r.word_count) for r in out] == [(["P1", "P2", "P3"], 6), (["P5"], 2), (["P7"], 2)]
-    assert out[0].reason == "why [Split non-contiguous candidate 1 of 3.]" and out[0].text == "text 1\n\ntext 2\n\ntext 3"
+    assert out[0].reason == "why (run 1 of 3 of a passage with gaps)" and out[0].text == "text 1\n\ntext 2\n\ntext 3"
 
 
 def test_caps(spark):
