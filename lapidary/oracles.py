@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from .plans.provider import GUIDANCE
 from .plans.render import NOTE
-from .queries import FORM, FUNCTION, KIND, LITERALS, PRIORITY, RELATION, RUBRIC, TITLE
+from .queries import FORM, FUNCTION, KIND, LITERALS, OPENING, PRIORITY, RELATION, RUBRIC, TITLE
 
 _W = r"[\p{L}\p{N}_]"
 _N = r"[^\p{L}\p{N}_]"
@@ -102,10 +102,10 @@ def _literal_rows() -> str:
         parts = [quoted(p) for p in s.split("\n")]
         text = " || chr(10) || ".join(parts)
         out.append(f"({i}, replace({text}, chr(0), ''))" if "\r" not in s else f"({i}, {text})")
-    return f"literals(id, s) AS (SELECT CAST(a AS BIGINT), b FROM (VALUES {', '.join(out)}) v(a, b))"
+    return f"odd(id, s) AS (SELECT CAST(a AS BIGINT), b FROM (VALUES {', '.join(out)}) v(a, b))"
 
 
-_LIT = _literal_rows()
+_LIT = f"{_literal_rows()}, literals AS (SELECT * FROM odd UNION ALL SELECT doc_id + 1000, ({OPENING}) || string_split(text, chr(10))[1] FROM documents)"
 _LINES = "lines AS (SELECT source AS book_id, doc_id AS section_no, unnest(generate_series(1, len(string_split(text, chr(10))))) AS idx, unnest(string_split(text, chr(10))) AS line FROM documents)"
 _PARAS = f"{_LINES}, paras AS (SELECT * FROM (SELECT book_id, section_no, idx, t AS text, {words('t')} AS word_count FROM (SELECT *, {normalize('line')} AS t FROM lines)) WHERE word_count >= 2)"
 _SECS = (

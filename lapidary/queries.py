@@ -41,6 +41,8 @@ ANSWER = (
     "CASE WHEN doc_id % 11 = 3 THEN '\"parts\": {}' ELSE concat('\"parts\": [{\"name\": \"x\", \"weight\": ', doc_id % 9, ', \"tags\": [\"a\", ', CASE WHEN doc_id % 4 = 1 THEN '\"c\"' WHEN doc_id % 4 = 2 THEN '7' ELSE '\"b\"' END, ']}', "
     "CASE WHEN doc_id % 5 = 2 THEN ', {\"name\": \"y\", \"extra\": null, \"weight\": 1.5}' WHEN doc_id % 5 = 3 THEN ', 3' ELSE '' END, ']') END, '}') END"
 )
+#: What stands before a document's first line; the same expression in SQL.
+OPENING = "CASE doc_id % 9 WHEN 0 THEN 'Editorial transition: ' WHEN 1 THEN '# ' WHEN 2 THEN 'Chapter 7 ' WHEN 3 THEN 'a | b ' WHEN 4 THEN ' transition:  ' WHEN 5 THEN 'Notes ' WHEN 6 THEN '12 Monkeys & <men> ' WHEN 7 THEN '--..' ELSE '' END"
 LITERALS = [
     "T he point­ was bro￾ken by   PDF .", "D uring aWorld &GDr. Smith , x", "a�b￾c � alone\n \t next", "A condensed ﬁnal ﬂow", "   ", "aThat THE aAbc aAbcd", "x  y !",
     "Chapter 12", "chapter", "12 monkeys and men", "Part  IV: End", "partial", "INTRODUCTION", "Introductions", "Épilogue", "Index of names", "  notes", "notes\nmore", "References.", "Summary of the frameworks", "7 x", "12 Monkeys",
@@ -70,8 +72,10 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
     return found.withColumn("source", F.lit("all")) if isinstance(sf, OneBook) else found
 
 
-def literals(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(LITERALS)), "id long, s string")
+def literals(spark: SparkSession, sf: str) -> DataFrame:
+    """Odd strings, and the first line of every document behind something odd."""
+    odd = spark.createDataFrame(list(enumerate(LITERALS)), "id long, s string")
+    return odd.unionByName(documents(spark, sf).select((F.col("doc_id") + 1000).alias("id"), F.concat(F.expr(OPENING), F.split("text", "\n")[0]).alias("s")))
 
 
 def lines(spark: SparkSession, sf: str) -> DataFrame:
@@ -172,7 +176,7 @@ def normalize_docs(spark, sf):
 
 @query
 def normalize_literals(spark, sf):
-    return literals(spark).select("id", text.normalize("s").alias("s"), text.word_count("s").alias("words"))
+    return literals(spark, sf).select("id", text.normalize("s").alias("s"), text.word_count("s").alias("words"))
 
 
 @query
@@ -182,12 +186,12 @@ def paragraph_lines(spark, sf):
 
 @query
 def blankline_split(spark, sf):
-    return literals(spark).select("id", F.posexplode(text.split_paragraphs("s")).alias("pos", "text")).select("id", F.col("pos").cast("long").alias("pos"), "text")
+    return literals(spark, sf).select("id", F.posexplode(text.split_paragraphs("s")).alias("pos", "text")).select("id", F.col("pos").cast("long").alias("pos"), "text")
 
 
 @query
 def canonical_titles(spark, sf):
-    return literals(spark).select("id", text.canonical_title("s").alias("title"))
+    return literals(spark, sf).select("id", text.canonical_title("s").alias("title"))
 
 
 @query
@@ -197,7 +201,7 @@ def classify_section(spark, sf):
 
 @query
 def classify_literals(spark, sf):
-    return literals(spark).select("id", rules.section_kind("s").alias("kind"))
+    return literals(spark, sf).select("id", rules.section_kind("s").alias("kind"))
 
 
 @query
@@ -207,7 +211,7 @@ def short_part_rule(spark, sf):
 
 @query
 def heading_predicate(spark, sf):
-    return literals(spark).select("id", text.is_heading("s").alias("heading"), text.is_main_title("s").alias("main_title"), text.is_markdown_heading("s").alias("markdown"))
+    return literals(spark, sf).select("id", text.is_heading("s").alias("heading"), text.is_main_title("s").alias("main_title"), text.is_markdown_heading("s").alias("markdown"))
 
 
 @query
@@ -217,7 +221,7 @@ def slug_ids(spark, sf):
 
 @query
 def dir_slug(spark, sf):
-    return literals(spark).select("id", text.directory_slug("s").alias("slug"))
+    return literals(spark, sf).select("id", text.directory_slug("s").alias("slug"))
 
 
 @query
@@ -237,7 +241,7 @@ def page_line_keys(spark, sf):
 
 @query
 def transition_labels(spark, sf):
-    return literals(spark).select("id", text.strip_transition_label("s").alias("s"), text.escape_cell("s").alias("cell"), text.markup_safe("s").alias("safe"))
+    return literals(spark, sf).select("id", text.strip_transition_label("s").alias("s"), text.escape_cell("s").alias("cell"), text.markup_safe("s").alias("safe"))
 
 
 @query
