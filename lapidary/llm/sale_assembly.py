@@ -37,7 +37,7 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .common import dropped, freed, mapped, saved, scratch_root
 
-FIRST_DAY, DAYS, BATCHES, WAIT_DAYS, SALES_PER_KEY = 19723, 160, 10, 10, 2_000
+FIRST_DAY, DAYS, BATCHES, WAIT_DAYS, SALES_PER_KEY = 19723, 160, 10, 10, 8_000
 #: In event time a day is a second and days are counted from long before year 1: every day that a timestamp can hold is then after the
 #: first watermark and within the range of pandas.
 SHIFT, DAY_MS, SENTINEL_DAY = 1_000_000, 1_000, 4_000_000
