@@ -1,5 +1,9 @@
 from __future__ import annotations
 
+import math
+import random
+from collections import Counter, defaultdict
+
 import numpy as np
 
 from lapidary.llm import topk, url_filter
@@ -91,3 +95,46 @@ def test_markov_sums_to_one():
     code = base | np.arange(256, dtype=np.uint64)
     total = np.exp([m.log_likelihood(code[i : i + 1], np.zeros(1, int), 1)[0] for i in range(256)]).sum()
     assert abs(total - 1) < 1e-9
+
+
+def _witten_bell(texts: list[str], order: int):
+    """The smoothed probability of a byte after a context, by dictionaries and recursion."""
+    counts = defaultdict(Counter)
+    for t in texts:
+        b = b"\x02" * order + t.encode() + b"\x03"
+        for i in range(order, len(b)):
+            for o in range(order + 1):
+                counts[b[i - o : i]][b[i]] += 1
+
+    def p(context: bytes, x: int) -> float:
+        lower = p(context[1:], x) if context else 1 / 256
+        own = counts.get(context)
+        return (own[x] + len(own) * lower) / (sum(own.values()) + len(own)) if own else lower
+
+    def score(t: str) -> float:
+        b = b"\x02" * order + t.encode() + b"\x03"
+        return sum(math.log(p(b[i - order : i], b[i])) for i in range(order, len(b)))
+
+    return score
+
+
+def test_model_and_threshold_against_dictionaries():
+    rng = random.Random(6)
+    make = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randint(0, 12)))
+    good, bad = [make("aab/é") for _ in range(60)], [make("bcc/") for _ in range(60)]
+    ratio = url_filter.Ratio(good, bad, order=3)
+    part = lambda x, out: [t for i, t in enumerate(x) if (i % 5 == 0) == out]
+    a, b = _witten_bell(part(good, False), 3), _witten_bell(part(bad, False), 3)
+    want = lambda t: (a(t) - b(t)) / (len(t.encode()) + 1)
+    texts = [make("abc/éx") for _ in range(80)] + ["", "never seen"]
+    assert np.allclose(ratio.score(texts), [want(t) for t in texts])
+    held = [(want(t), True) for t in part(good, True)] + [(want(t), False) for t in part(bad, True)]
+    share = lambda at: sum((s >= at) == own for s, own in held if own) / len(part(good, True)) + sum((s >= at) == own for s, own in held if not own) / len(part(bad, True))
+    assert share(ratio.threshold) >= max(share(s) for s, _ in held) - 1e-9
+
+
+def test_url_ids_are_carried_as_they_are(spark):
+    ids = [2**53 + 1, None, 2**53 + 3, None]
+    rows = spark.createDataFrame([(i, "http://a.net/de/1") for i in ids], "page_id long, url string")
+    assert sorted((r.page_id for r in url_filter.filter_urls(rows.coalesce(1)).collect()), key=str) == sorted(ids, key=str)
+    assert url_filter.filter_urls(rows.limit(0)).collect() == []
