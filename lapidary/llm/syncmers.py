@@ -4,7 +4,9 @@ A text's tokens are the pieces of its words, up to PIECE characters each, counte
 blanks between them have tokens enough, and all texts are taken alike. A k-mer of K = 5 tokens holds four inner substrings
 (s-mers) of two tokens; it is chosen if the least of their hashes stands first or last. Whether a k-mer is chosen depends on nothing
 outside it, so equal passages have the same anchors in every text, at positions that differ by one shift; one of two k-mers is chosen
-on average. Likeness is the Jaccard coefficient of the sets of chosen k-mers.
+on average. Texts are matched by position: an anchor counts together with the next one and the distance between them, which no shift of
+the text changes, and likeness is the Jaccard coefficient of these links. So a passage that moves as a whole keeps its links, and one
+whose anchors stand in another order or at other distances does not.
 
 The fingerprint string lists position:hash (the k-mer's first token, 32 bits) in text order. Neighbours: a bounded sample of the rows'
 places in the order (about PER_BLOCK for each block) gives the blocks' borders, as in a range partitioning, so that neither an
@@ -49,12 +51,24 @@ def _with_syncmers(df: DataFrame, text: str, into: str) -> DataFrame:
     return df.withColumn(into, made).drop("_t", "_s", "_i")
 
 
+def _links(f: str) -> Column:
+    """Each anchor with the next one and the distance to it; the last stands alone."""
+    following = F.slice(f, F.lit(2), F.greatest(F.size(f), F.lit(1)))
+    return F.zip_with(f, following, lambda a, b: F.xxhash64(a["hash"], b["hash"], b["position"] - a["position"]))
+
+
 def _likeness(a: str, b: str) -> Column:
-    x, y = F.col(f"{a}.hash"), F.col(f"{b}.hash")
-    both, either = F.size(F.array_intersect(x, y)), F.size(F.array_union(x, y))
+    """Of columns of links."""
+    both, either = F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))
     return F.when(either == 0, 1.0).otherwise(both / either)
 
 
+def likeness(df: DataFrame, one: str, other: str, into: str = "near") -> DataFrame:
+    """Adds the positional likeness of the texts in two columns."""
+    df = _with_syncmers(_with_syncmers(df, one, "_a"), other, "_b").withColumns({"_la": _links("_a"), "_lb": _links("_b")})
+    return df.withColumn(into, _likeness("_la", "_lb")).drop("_a", "_b", "_la", "_lb")
+
+
 def _string(a: str) -> Column:
     return F.array_join(F.transform(a, lambda x: F.concat_ws(":", x["position"], x["hash"])), " ")
 
@@ -115,7 +129,8 @@ def op8_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.withColumn("n_chars", F.char_length("text")).withColumn("_cut", F.floor(F.col("n_chars") / 4).cast("int"))
     rows = rows.withColumn("edited", F.concat(F.substr("text", F.lit(1), F.col("n_chars") - F.col("_cut")), F.substr("next_text", F.lit(1), F.col("_cut"))))
     rows = _with_syncmers(rows.drop("text", "next_text"), "edited", "e")
+    rows = rows.withColumns({"lf": _links("f"), "le": _links("e"), "ln": _links("next_f")})
     return rows.select(
         F.col("id").alias("doc_id"), F.col("n_chars").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
-        _string("f").alias("fingerprint"), _string("e").alias("edited_fingerprint"), _likeness("f", "e").alias("near_edited"), _likeness("f", "next_f").alias("near_next"),
+        _string("f").alias("fingerprint"), _string("e").alias("edited_fingerprint"), _likeness("lf", "le").alias("near_edited"), _likeness("lf", "ln").alias("near_next"),
     )

@@ -6,6 +6,7 @@ import zlib
 from collections import defaultdict
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 
 from lapidary.llm import sale_assembly as sa
@@ -87,12 +88,13 @@ def _random_shop(seed, n, hot=0, days=150):
     return sales, lines
 
 
-@pytest.mark.parametrize(("seed", "n", "hot", "per_key"), [(1, 300, 400, 2000), (2, 60, 5, 1), (3, 200, 3, 20)])
-def test_closings_against_the_contract(spark, seed, n, hot, per_key):
+@pytest.mark.parametrize(("seed", "n", "hot", "per_key", "batches"), [(1, 300, 400, sa.SALES_PER_KEY, 10), (2, 60, 5, 1, 4), (3, 200, 3, 20, 3)])
+def test_closings_against_the_contract(spark, seed, n, hot, per_key, batches):
+    """Many sales a key, one, and some; the hot sale has rows on nearly every day."""
     sales, lines = _random_shop(seed, n, hot)
     before = spark.conf.get(sa.EMPTY_BATCHES)
-    found = sa.assemble(spark.createDataFrame(sales, SALES), spark.createDataFrame(lines, LINES), sales_per_key=per_key)
-    assert sorted(map(tuple, found.collect()), key=str) == _want(sales, lines)
+    found = sa.assemble(spark.createDataFrame(sales, SALES), spark.createDataFrame(lines, LINES), sales_per_key=per_key, batches=batches)
+    assert sorted(map(tuple, found.collect()), key=str) == _want(sales, lines, batches)
     assert spark.conf.get(sa.EMPTY_BATCHES) == before
     assert {r.status for r in found.collect()} >= {"complete", "orphan", "short", "headless"} or n < 100
 
@@ -107,6 +109,32 @@ def test_batches_without_rows_and_far_days(spark):
 
 
 def test_empty_tables(spark):
-    found = sa.assemble(spark.createDataFrame([], SALES), spark.createDataFrame([], LINES))
+    found = sa.assemble(spark.createDataFrame([], SALES), spark.createDataFrame([], LINES), batches=2)
     assert found.collect() == []
     assert found.columns == ["sale_id", "first_day", "last_day", "n_lines", "cents", "due", "status", "closing_batch"]
+
+
+def test_days_are_folded_as_row_by_row():
+    """The vectorised steps of a batch against a fold over rows, with assemblies that are open before it."""
+    rng = np.random.default_rng(8)
+    for _ in range(200):
+        rows = np.zeros(int(rng.integers(1, 60)), sa.ROW)
+        rows["sale_id"], rows["day"] = rng.integers(0, 6, len(rows)), rng.integers(10, 22, len(rows))
+        rows["held"] = rng.random(len(rows)) < 0.3
+        rows["n_lines"] = np.where(rows["held"], 0, rng.integers(1, 3, len(rows)))
+        rows["cents"] = np.where(rows["held"], 0, rng.integers(-2, 9, len(rows)))
+        rows["due"] = np.array([7, 0, 12, 5, 9, 3])[rows["sale_id"]]
+        start = np.zeros(2, sa.OPEN)
+        start["sale_id"], start["first_day"], start["last_day"], start["n_lines"], start["cents"] = [1, 9], 5, 7, 2, 4
+        live, done = {int(r["sale_id"]): r.tolist() for r in start}, []
+        for day, sale in sorted({(int(r["day"]), int(r["sale_id"])) for r in rows}):
+            own = rows[(rows["day"] == day) & (rows["sale_id"] == sale)]
+            _, first, _, n, cents, due, held = live.get(sale, (sale, day, day, 0, 0, 0, False))
+            held = bool(held or own["held"].any())
+            due = int(own["due"].max()) if own["held"].any() else due
+            live[sale] = (sale, first, day, n + int(own["n_lines"].sum()), cents + int(own["cents"].sum()), due, held)
+            if held and live[sale][3] and live[sale][4] == due:
+                done.append(live.pop(sale))
+        open_, complete = sa.assembled(start, rows)
+        assert sorted(map(tuple, open_.tolist())) == sorted(map(tuple, live.values()))
+        assert sorted(map(tuple, complete.tolist())) == sorted(done)

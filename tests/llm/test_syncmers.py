@@ -49,7 +49,7 @@ def test_edited_text_and_likeness(spark, tmp_path, monkeypatch):
     alike = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
     want = {}
     for i, t, nxt, e in edits:
-        sets = [{x for _, x in kmers[y]} for y in (t, e, nxt)]
+        sets = [{(x, *((b[1], b[0] - at) for b in kmers[y][k + 1 : k + 2])) for k, (at, x) in enumerate(kmers[y])} for y in (t, e, nxt)]
         known = all(size[y] == 0 or kmers[y] for y in (t, e)), all(size[y] == 0 or kmers[y] for y in (t, nxt))
         want.setdefault(i, []).append((len(t), hashlib.sha256(e.encode()).hexdigest(), alike(sets[0], sets[1]) if known[0] else None, alike(sets[0], sets[2]) if known[1] else None))
     assert set(out) == set(want)
@@ -91,6 +91,20 @@ def test_anchors_are_context_free(spark):
     assert len(shifts) > 200 and shifts.count(300) > 0.98 * len(shifts)
 
 
+def test_order_and_distance_count(spark):
+    """A text behind another opening stays alike, one whose words stand in another order is not, though it has the same words."""
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(4)) for _ in range(400)]
+    parts = [words[i : i + 8] for i in range(0, 400, 8)]
+    rng.shuffle(parts)
+    text = " ".join(words)
+    pairs = [("same", text), ("moved", "another opening of it all " + text), ("shuffled", " ".join(w for p in parts for w in p)), ("none", "")]
+    near = {r.k: r.near for r in S.likeness(spark.createDataFrame([(k, text, o) for k, o in pairs], "k string, one string, other string"), "one", "other").collect()}
+    assert near["same"] == 1.0 and near["moved"] > 0.95 and near["none"] == 0.0
+    plain = {r.k: {x.split(":")[1] for x in r.fingerprint.split()} for r in S.fingerprint(spark.createDataFrame(pairs, "k string, text string"), "k").collect()}
+    assert near["shuffled"] < 0.35 and near["shuffled"] < 0.8 * len(plain["same"] & plain["shuffled"]) / len(plain["same"] | plain["shuffled"])
+
+
 def test_measure_is_the_same_for_all_lengths(spark, tmp_path):
     """Texts of growing length, all edited alike: likeness has no jump."""
     rng = random.Random(11)
