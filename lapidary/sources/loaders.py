@@ -39,10 +39,13 @@ def read_text(found: DataFrame) -> DataFrame:
 def read_archives(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Raw blocks and diagnostics of Word and EPUB files (book_id, stem, format, content)."""
     found = found.where("format IN ('docx', 'epub')")
-    entries = written(archives.members(found).join(found.select("book_id", "format"), "book_id"), "members")
-    of = lambda kind: entries.where(F.col("format") == kind).drop("format")
-    epub, about_epub = epub_blocks(of("epub"))
-    docx, failed = docx_blocks(of("docx"))
+    kinds = {r[0] for r in found.select("format").distinct().collect()}
+    entries = written(archives.members(found).join(found.select("book_id", "format"), "book_id"), "members") if kinds else None
+    none = lambda schema: found.sparkSession.createDataFrame([], schema)
+    epub, about_epub = epub_blocks(entries.where("format = 'epub'").drop("format")) if "epub" in kinds else (none(BLOCKS), none("book_id string, title string, proceed boolean, diagnostics string, error string"))
+    docx, failed = docx_blocks(entries.where("format = 'docx'").drop("format")) if "docx" in kinds else (none(BLOCKS), none("book_id string, error string"))
+    if not kinds:
+        return docx, found.select("book_id", F.col("stem").alias("title"), "format", F.lit(None).cast("boolean").alias("proceed"), F.lit("{}").alias("diagnostics"), F.lit(None).cast("string").alias("error"))
     broken = entries.where("error IS NOT NULL").select("book_id", F.col("error").alias("broken"))
     failed = failed.withColumnRenamed("error", "no_body")
     about = found.select("book_id", "stem", "format").join(about_epub, "book_id", "left").join(failed, "book_id", "left").join(broken, "book_id", "left")

@@ -8,7 +8,7 @@ from pathlib import Path
 import pytest
 
 from lapidary.operators import structure
-from lapidary.plans import config, files, outputs, pipeline, provider
+from lapidary.plans import config, files, outputs, pipeline, provider, render
 from lapidary.sources import html, loaders
 from lapidary.streaming import inbox
 
@@ -173,6 +173,18 @@ def test_all_formats(spark, shelf):
     assert {name(r.book_id) for r in bare.where("error = 'unsupported input type'").collect()} == {"d.xyz", "p.pdf"}
 
 
+def test_editions_as_parts_of_text(spark, tmp_path):
+    """Part files of a book, by name, one after another are its text."""
+    lines = [("a", (1, i), f"line {i}" if i % 3 else "") for i in range(1, 400)] + [("a", (0, 0), "# A"), ("a", (2, 0), "end  "), ("a", (2, 1), " "), ("b", (5, 5), "only")]
+    df = spark.createDataFrame([(b, list(p), x) for b, p, x in lines], "book_id string, place array<long>, line string")
+    render.write_parts(df, str(tmp_path / "parts"), parts=5)
+    want = {r.book_id: r.text for r in render.as_text(df).collect()}
+    for book in "ab":
+        files_ = sorted((tmp_path / f"parts/book_id={book}").glob("part-*"))
+        assert "".join(f.read_text() for f in files_) == want[book]
+        assert book == "b" or len(files_) > 2
+
+
 def test_chapter_map(spark, tmp_path):
     good, bad = tmp_path / "g.json", tmp_path / "b.json"
     good.write_text(json.dumps([{"title": "A", "start_page": 1}, {"title": "B", "start_page": 5, "end_page": 9}]))
@@ -241,7 +253,14 @@ def test_provider_retries_and_replay(spark):
     assert [r.answer for r in provider.answers(df, "map", provider.Replay({}), 1, known).collect()] == [None]  # only the one that failed
     found = provider.answered(df, "map", known)
     assert sorted(r.book_id for r in found.collect()) == ["b", "b2"]
-    assert [r["keys"] for r in provider.extra_keys(found, "map").collect()] == [["odd"]] * 2
+    told = {(r.path, r.fault) for r in provider.schema_faults(found, "map").collect()}
+    assert told == {("$.odd", "unknown"), *((f"$.{k}", "missing") for k in ("unity", "requirements", "relations", "path"))}
+    deep = {"problem": "p", "unity": 3, "path": [], "relations": [{"source": "a", "target": "b", "relation": "likes"}], "requirements": [{"requirement_id": "r", "kind": "evidence", "description": "d", "importance": "essential", "claims": [1], "sections": [], "must": "no", "note": {}}]}
+    answers = spark.createDataFrame([("b", 0, json.dumps(deep)), ("b", 1, None), ("b", 2, "[1]"), ("b", 3, "{")], "book_id string, seq long, answer string")
+    got = sorted((r.seq, r.path, r.fault[:12]) for r in provider.schema_faults(answers, "map").collect())
+    assert got == sorted([(0, "$.unity", "not a string"), (0, "$.relations[0].relation", "not one of d"), (0, "$.requirements[0].claims[0]", "not a string"), (0, "$.requirements[0].must", "not a boolea"), (0, "$.requirements[0].note", "unknown"), (1, "$", "no JSON"), (2, "$", "not an objec"), (3, "$", "no JSON")])
+    score = spark.createDataFrame([("b", 0, json.dumps({"scores": [{"block_id": "x", **{k: 4 for k in provider.RUBRIC}, "redundant_with": [], "rationale": ""}]}))], "book_id string, seq long, answer string")
+    assert sorted(r.path for r in provider.schema_faults(score, "score").collect()) == ["$.scores[0].context", "$.scores[0].readability"]
     assert [r.a.problem for r in provider.parsed(found, "map").collect()] == ["p"] * 2
 
 
