@@ -71,72 +71,83 @@ def test_rows_of_equal_ids_are_pages_of_their_own(spark):
     assert sorted((str(r.page_id), r.text) for r in html.html_blocks(pages).collect()) == [("9007199254740993", "third page here"), ("None", "first page here"), ("None", "other page here")]
 
 
-def _read(spark, data, kind="epub"):
-    """Sections [(title, texts)] and the row of diagnostics of one archive."""
-    found = spark.createDataFrame([("b", "stem", kind, bytearray(data))], "book_id string, stem string, format string, content binary")
+def _docx(paragraphs):
+    ns = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    body = "".join(f'<w:p><w:pPr><w:pStyle w:val="{s}"/></w:pPr><w:r><w:t>{t[:3]}</w:t></w:r><w:r><w:t>{t[3:]}</w:t></w:r></w:p>' for s, t in paragraphs)
+    return _zip({"word/document.xml": f"<w:document {ns}><w:body>{body}<w:tbl><w:tr><w:tc><w:p><w:r><w:t>in a table</w:t></w:r></w:p></w:tc></w:tr></w:tbl></w:body></w:document>", "word/styles.xml": f'<w:styles {ns}><w:style w:styleId="T1"><w:name w:val="Heading 1"/></w:style></w:styles>'})
+
+
+def _read_all(spark, books):
+    """For each archive of {name: (kind, data)}: its sections [(title, texts)], its row of diagnostics, and these as JSON."""
+    found = spark.createDataFrame([(k, "stem", kind, bytearray(data)) for k, (kind, data) in books.items()], "book_id string, stem string, format string, content binary")
     blocks, about = loaders.read_archives(found)
-    out: dict = {}
-    for r in blocks.orderBy("section_pos", "block_pos").collect():
-        out.setdefault((r.section_pos, r.title), []).append(r.text)
-    assert [k for k, _ in out] == list(range(1, len(out) + 1))
-    (row,) = about.collect()
-    return [(title, texts) for (_, title), texts in out.items()], row, json.loads(row.diagnostics)
+    out: dict = {k: {} for k in books}
+    for r in blocks.orderBy("book_id", "section_pos", "block_pos").collect():
+        out[r.book_id].setdefault((r.section_pos, r.title), []).append(r.text)
+    rows = {r.book_id: r for r in about.collect()}
+    assert rows.keys() == books.keys() and all([n for n, _ in own] == list(range(1, len(own) + 1)) for own in out.values())
+    return {k: ([(title, texts) for (_, title), texts in out[k].items()], rows[k], json.loads(rows[k].diagnostics)) for k in books}
+
+
+def _fixed_layout() -> bytes:
+    out = io.BytesIO()
+    with zipfile.ZipFile(io.BytesIO(_epub({"a.xhtml": f"<p>{LONG * 2}</p>"}))) as z, zipfile.ZipFile(out, "w") as w:
+        for n in z.namelist():
+            w.writestr(n, z.read(n).decode().replace("<metadata ", '<metadata><meta property="rendition:layout">pre-paginated</meta></metadata><metadata '))
+    return out.getvalue()
 
 
-def test_epub_by_navigation(spark):
+@pytest.fixture(scope="module")
+def library(spark):
+    """Archives of all kinds, read together."""
     nav = '<html xmlns="http://www.w3.org/1999/xhtml" xmlns:epub="http://www.idpf.org/2007/ops"><body><nav epub:type="toc"><ol><li><a href="a.xhtml">First</a></li><li><a href="b.xhtml#x">Second</a><ol><li><a href="b.xhtml#y">Third</a></li></ol></li><li><a href="n.xhtml">Notes</a><ol><li><a href="n2.xhtml">Chapter one</a></li></ol></li></ol></nav><nav epub:type="landmarks"><ol><li><a epub:type="bibliography" href="bib.xhtml">Works</a></li></ol></nav></body></html>'
     spine = {"a.xhtml": f"<p>{LONG}</p>", "b.xhtml": f'<h1 id="x">S</h1><p>in the second</p><p id="y">{LONG}</p>', "n.xhtml": "<p>note number one</p>", "n2.xhtml": "<p>note number two</p>", "n3.xhtml": "<p>a late note</p>", "bib.xhtml": "<p>some old works</p>"}
-    sections, row, d = _read(spark, _epub(spine, nav))
+    ncx = lambda src: f'<ncx xmlns="http://www.daisy.org/z3986/2005/ncx/"><navMap><navPoint><navLabel><text>One</text></navLabel><content src="{src}"/></navPoint></navMap></ncx>'
+    headings = {"f.xhtml": "<p>for my friends</p>", "a.xhtml": f"<p>{LONG}</p>", "h.xhtml": f"<p>dropped before heading</p><h2>Found</h2><p>{LONG}</p>", "c.xhtml": "<p>goes on here</p>"}
+    roles = {"a.xhtml": f"<p>{LONG}</p>", "n.xhtml": '<section epub:type="footnotes"><p>note number one</p></section>', "h.xhtml": "<h2>Found</h2><p>still a note</p>"}
+    words = _docx([("x", "before all"), ("T1", "The Start"), ("x", "some text"), ("x", "Chapter 2 goes"), ("x", "more text")])
+    epubs = {"nav": _epub(spine, nav), "ncx": _epub(headings, ncx=ncx("a.xhtml")), "roles": _epub(roles, ncx=ncx("../OEBPS/./a.xhtml#top")), "images": _epub({"a.xhtml": "<p>two words</p>" + "<img/>" * 9}), "fixed": _fixed_layout(), "broken": b"no zip", "other": _zip({"x.txt": "x"}), "bare": _epub({"a.xhtml": "<p>one</p>"})}
+    return _read_all(spark, {k: ("epub", v) for k, v in epubs.items()} | {"words": ("docx", words), "wordless": ("docx", _zip({"x.txt": "x"}))})
+
+
+def test_epub_by_navigation(library):
+    sections, row, d = library["nav"]
     assert (row.title, row.error) == ("My Book", None)
     assert [(t, len(b)) for t, b in sections] == [("First", 1), ("Second", 1), ("Third", 1), ("Notes", 1), ("Notes: Chapter one", 2), ("Notes: Works", 1)]
     assert (d["contents_from"], d["proceed"], d["confidence"], d["members"]) == ("navigation document", True, "high", 6)
 
 
-def test_epub_by_ncx_headings_and_front_matter(spark):
-    ncx = '<ncx xmlns="http://www.daisy.org/z3986/2005/ncx/"><navMap><navPoint><navLabel><text>One</text></navLabel><content src="a.xhtml"/></navPoint></navMap></ncx>'
-    sections, _, d = _read(spark, _epub({"f.xhtml": "<p>for my friends</p>", "a.xhtml": f"<p>{LONG}</p>", "h.xhtml": f"<p>dropped before heading</p><h2>Found</h2><p>{LONG}</p>", "c.xhtml": "<p>goes on here</p>"}, ncx=ncx))
+def test_epub_by_ncx_headings_and_front_matter(library):
+    sections, _, d = library["ncx"]
     assert [(t, len(b)) for t, b in sections] == [("Unmapped front matter", 1), ("One", 1), ("Found", 2)]
     assert d["contents_from"] == "contents file" and d["front_words"] == 3
     assert d["notes"] == ["3 members have no place in the contents"]
 
 
-def test_epub_roles_and_repeated_members(spark):
+def test_epub_roles_and_climbing_links(library):
     """A page's own role names its section; free pages after it go on with it; links climb folders."""
-    ncx = '<ncx xmlns="http://www.daisy.org/z3986/2005/ncx/"><navMap><navPoint><navLabel><text>One</text></navLabel><content src="../OEBPS/./a.xhtml#top"/></navPoint></navMap></ncx>'
-    sections, _, _ = _read(spark, _epub({"a.xhtml": f"<p>{LONG}</p>", "n.xhtml": '<section epub:type="footnotes"><p>note number one</p></section>', "h.xhtml": "<h2>Found</h2><p>still a note</p>"}, ncx=ncx))
-    assert [(t, len(b)) for t, b in sections] == [("One", 1), ("Notes", 2)]
+    assert [(t, len(b)) for t, b in library["roles"][0]] == [("One", 1), ("Notes", 2)]
 
 
-def test_image_books_are_not_trusted(spark):
-    _, _, d = _read(spark, _epub({"a.xhtml": "<p>two words</p>" + "<img/>" * 9}))
+def test_image_books_are_not_trusted(library):
+    d = library["images"][2]
     assert d["image_risk"] == "high" and d["proceed"] is False and d["images_shown"] == 9
 
 
-def test_fixed_layout_is_reported(spark):
-    data = _epub({"a.xhtml": f"<p>{LONG * 2}</p>"})
-    out = io.BytesIO()
-    with zipfile.ZipFile(io.BytesIO(data)) as z, zipfile.ZipFile(out, "w") as w:
-        for n in z.namelist():
-            w.writestr(n, z.read(n).decode().replace("<metadata ", '<metadata><meta property="rendition:layout">pre-paginated</meta></metadata><metadata '))
-    _, _, d = _read(spark, out.getvalue())
+def test_fixed_layout_is_reported(library):
+    d = library["fixed"][2]
     assert d["fixed_layout"] == ["metadata"] and d["image_risk"] == "medium" and d["notes"][-1].startswith("pages are drawn")
 
 
-def test_archives_that_hold_no_book(spark):
-    assert _read(spark, b"no zip")[1].error.startswith("BadZipFile")
-    assert _read(spark, _zip({"x.txt": "x"}))[1].error == "ValueError: no package document"
-    assert _read(spark, _epub({"a.xhtml": "<p>one</p>"}))[1].error == "ValueError: no readable content"
-    assert _read(spark, _zip({"x.txt": "x"}), "docx")[1].error == "ValueError: no document body"
-
-
-def _docx(paragraphs):
-    ns = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
-    body = "".join(f'<w:p><w:pPr><w:pStyle w:val="{s}"/></w:pPr><w:r><w:t>{t[:3]}</w:t></w:r><w:r><w:t>{t[3:]}</w:t></w:r></w:p>' for s, t in paragraphs)
-    return _zip({"word/document.xml": f"<w:document {ns}><w:body>{body}<w:tbl><w:tr><w:tc><w:p><w:r><w:t>in a table</w:t></w:r></w:p></w:tc></w:tr></w:tbl></w:body></w:document>", "word/styles.xml": f'<w:styles {ns}><w:style w:styleId="T1"><w:name w:val="Heading 1"/></w:style></w:styles>'})
+def test_archives_that_hold_no_book(library):
+    assert library["broken"][1].error.startswith("BadZipFile")
+    assert library["other"][1].error == "ValueError: no package document"
+    assert library["bare"][1].error == "ValueError: no readable content"
+    assert library["wordless"][1].error == "ValueError: no document body"
 
 
-def test_docx(spark):
-    sections, row, _ = _read(spark, _docx([("x", "before all"), ("T1", "The Start"), ("x", "some text"), ("x", "Chapter 2 goes"), ("x", "more text")]), "docx")
+def test_docx(library):
+    sections, row, _ = library["words"]
     assert sections == [("Opening", ["before all"]), ("The Start", ["some text"]), ("Chapter 2 goes", ["more text"])]
     assert (row.title, row.error) == ("stem", None)
 
@@ -229,7 +240,7 @@ def test_whole_run(spark, tmp_path):
     texts = outputs.export(spark, c.output)
     assert len(texts) == 14 and all(files.exists(spark, f) for f in texts)
     data = {f.rsplit("/", 1)[1]: Path(f).read_bytes() for f in texts}
-    assert _read(spark, data["book0.edition.docx"], "docx")[0]
+    assert _read_all(spark, {"e": ("docx", data["book0.edition.docx"])})["e"][0]
     assert data["book0.edition.pdf"].startswith(b"%PDF") and json.loads(data["book1.summary.json"])["missing"] == []
     assert b"How this edition was chosen" in data["book0.audit.md"] and b"## Bridges" in data["book0.audit.md"]
     # a second run asks nothing: its provider cannot answer, and the result is the same
