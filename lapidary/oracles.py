@@ -498,5 +498,5 @@ ORACLE_SQL["epub_diagnostics"] = (
     f"WITH per AS (SELECT book_id, count(*) AS sections, sum(word_count) AS words FROM ({ORACLE_SQL['epub_sections']}) GROUP BY book_id), m AS (SELECT source || '-' || doc_id // 100 AS book_id, count(*) AS members, CAST(sum(doc_id % 3 * 4) AS BIGINT) AS images_shown FROM documents GROUP BY 1), "
     "r AS (SELECT *, CASE WHEN words < 500 AND images_shown > 5 THEN 'high' WHEN images_shown > members AND words < 5000 THEN 'medium' ELSE 'low' END AS image_risk FROM per JOIN m USING (book_id)) "
     "SELECT book_id, book_id AS title, image_risk <> 'high' AND words >= 500 AS proceed, 'headings' AS contents_from, members, sections, CAST(0 AS BIGINT) AS front_words, CAST(0 AS BIGINT) AS loose_members, images_shown, image_risk, "
-    "CASE WHEN image_risk <> 'high' AND words >= 500 THEN 'medium' ELSE 'low' END AS confidence, members || ' members have no place in the contents' AS notes, CAST(NULL AS VARCHAR) AS error FROM r"
+    "CASE WHEN image_risk <> 'high' AND words >= 500 THEN 'medium' ELSE 'low' END AS confidence, sections || ' members have no place in the contents' AS notes, CAST(NULL AS VARCHAR) AS error FROM r"
 )
