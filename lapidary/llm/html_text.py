@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import mapped
 
-WINDOW, LEAST, SHORT, PREFER = 3, 80, 40, 8
+WINDOW, LEAST, SHORT, PREFER = 3, 80, 40, 16
 
 _TAG = re.compile(r"""<(?:(?P<comment>!--)|[!?][^>]*+(?:>|\Z)|(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)(?:>|\Z)|/?[a-zA-Z][^>]*+(?:>|\Z))""")
 _ATTR = re.compile(r"""([^\s"'<>/=]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
