@@ -6,7 +6,7 @@ carried on, numbers, words so far, chunks) is scanned in two levels, so a book o
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -19,12 +19,12 @@ from . import scans
 from .scans import running
 
 
-def segment_lines(lines: DataFrame) -> DataFrame:
-    """Text lines (book_id, line_no, line) to sections (book_id, section_pos, title, text). A heading line starts a section, of
+def segment_lines(lines: DataFrame, is_heading: Callable[[Column], Column] = text.is_heading) -> DataFrame:
+    """Text lines (book_id, line_no, line) to sections (book_id, section_pos, title, text). A heading line (in Markdown, or by is_heading) starts a section, of
     stacked headings the last names it; lines before any heading are "Opening"; a book without text lines under headings is one
     section "Book text" of all its lines."""
     title = text.heading_title("line")
-    heading = text.is_markdown_heading("line") | ((F.char_length(title) < 120) & text.is_heading(title))
+    heading = text.is_markdown_heading("line") | ((F.char_length(title) < 120) & is_heading(title))
     marked = running(lines.withColumn("heading", heading), ["book_id"], "line_no", {"segment": F.col("heading").cast("int")})
     marked = marked.withColumn("title", F.when(F.col("heading"), title))
     body = F.array_sort(F.collect_list(F.when(~F.col("heading"), F.struct("line_no", "line"))))

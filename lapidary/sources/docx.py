@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.text import is_heading, normalize
+from ..functions.text import normalize, opens_section
 from ..operators.scans import running, written
 from .archives import attribute, elements
 
@@ -26,7 +26,7 @@ def docx_blocks(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
     runs = doc.where(under("(hyperlink/)?r/(t|tab|br|cr)")).groupBy("book_id", paragraph.alias("p")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", piece.alias("x")))), lambda x: x["x"]), "").alias("text"))
     rows = runs.select("book_id", F.col("p").cast("long").alias("p"), F.explode(F.array(normalize("text"))).alias("text")).where("text <> ''")
     rows = rows.join(style.withColumn("p", F.col("p").cast("long")), ["book_id", "p"], "left").join(styles, ["book_id", "style"], "left")
-    heading = F.lower(F.coalesce("name", "style", F.lit(""))).startswith("heading") | ((F.char_length("text") < 120) & is_heading("text"))
+    heading = F.lower(F.coalesce("name", "style", F.lit(""))).startswith("heading") | ((F.char_length("text") < 120) & opens_section("text"))
     rows = running(rows.withColumn("heading", heading), ["book_id"], "p", {"part": F.col("heading").cast("int")}, {"title": F.when(F.col("heading"), F.col("text"))})
     rows = written(rows.where("NOT heading"), "paragraphs")
     order = running(rows.select("book_id", F.col("part").cast("long").alias("part")).distinct(), ["book_id"], "part", {"section_pos": F.lit(1).cast("long")})

@@ -33,7 +33,7 @@ def read_text(found: DataFrame) -> DataFrame:
     """Raw blocks of plain and Markdown text; broken UTF-8 is replaced."""
     lines = F.posexplode(F.split(F.make_valid_utf8(F.col("content").cast("string")), text.LINE_END))
     rows = found.where(F.col("format").isin("txt", "md")).select("book_id", lines.alias("line_no", "line"))
-    return structure.section_blocks(structure.segment_lines(rows))
+    return structure.section_blocks(structure.segment_lines(rows, text.opens_section))
 
 
 def read_archives(found: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -337,3 +337,16 @@ def test_run_folders(spark, tmp_path):
 def test_paragraph_ids_of_a_text_book(spark, shelf):
     blocks, _ = loaders.load_books(spark, str(shelf / "A.TXT"))
     assert sorted(r.paragraph_id for r in structure.paragraphs(blocks).collect()) == ["CH001-P0001", "CH002-P0001", "CH002-P0002"]
+
+
+def test_long_numbers_open_no_section(spark):
+    """A line that begins with a card's or account's number is text in every kind of file; a chapter's number and a year still open a section."""
+    number, chapter = "4763047826333361 Of one thing and another.", "1984 Begins the second part"
+    ns = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    word = _zip({"word/document.xml": f"<w:document {ns}><w:body>" + "".join(f"<w:p><w:r><w:t>{x}</w:t></w:r></w:p>" for x in ("Chapter 1", "some words here", number, chapter, "more words here")) + "</w:body></w:document>"})
+    plain = f"Chapter 1\n\nsome words here\n\n{number}\n\n{chapter}\n\nmore words here".encode()
+    book = _epub({"a.xhtml": f"<h1>Chapter 1</h1><p>some words here</p><p>{number}</p><p>{chapter}</p><p>more words here</p><p>{LONG}</p>"})
+    rows = [("a.docx", "a", "docx", word), ("b.txt", "b", "txt", plain), ("c.epub", "c", "epub", book)]
+    blocks, _ = loaders.read_books(spark.createDataFrame(rows, "book_id string, stem string, format string, content binary"))
+    got = {(r.book_id, r.title, r.text) for r in blocks.collect() if r.text != LONG}
+    assert got == {(b, t, x) for b, *_ in rows for t, x in (("Chapter 1", "some words here"), ("Chapter 1", number), (chapter, "more words here"))}
