@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.text import support_link_score
+from .scans import written
 
 SUPPORT_KINDS = ("supporting_argument", "evidence")
 
@@ -95,7 +96,7 @@ def mandatory_order(requirements: DataFrame, path: DataFrame) -> DataFrame:
     return rows.select("book_id", place.cast("long").alias("ord"), "requirement_id")
 
 
-def section_requirements(sections: DataFrame, requirements: DataFrame) -> DataFrame:
+def requirement_classes(sections: DataFrame, requirements: DataFrame) -> DataFrame:
     """book_id, section_id, requirement_id as classes: requirements that name a section; those that name none fit all the book's sections (one
     row, section_id null); a section that none fits takes all of the book's (one row, requirement_id null)."""
     known = sections.select("book_id", "section_id").distinct()
@@ -106,9 +107,25 @@ def section_requirements(sections: DataFrame, requirements: DataFrame) -> DataFr
     return named.select("book_id", "section_id", "requirement_id").distinct().unionByName(general.distinct()).unionByName(bare)
 
 
+def section_requirements(sections: DataFrame, requirements: DataFrame) -> DataFrame:
+    """book_id, section_id, requirement_id: every section with each requirement that names it or no section, or with all of the book's if that
+    leaves none. A book's sections are dealt over slices, so that no task pairs all of them."""
+    classes = written(requirement_classes(sections, requirements), "classes")
+    known = sections.select("book_id", "section_id").distinct()
+    n = int(sections.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = lambda df: df.withColumn("_slice", F.pmod(F.xxhash64("section_id"), F.lit(n)).cast("int"))
+    every = lambda df: df.select("book_id", "requirement_id").distinct().withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    paired = lambda some, wanted: dealt(some).join(every(wanted), ["book_id", "_slice"]).select("book_id", "section_id", "requirement_id")
+    bare = classes.where("requirement_id IS NULL").select("book_id", "section_id")
+    general = classes.where("section_id IS NULL")
+    # a requirement with one row that names sections and one that names none is paired once
+    named = classes.where("section_id IS NOT NULL AND requirement_id IS NOT NULL").join(general, ["book_id", "requirement_id"], "left_anti")
+    return named.select("book_id", "section_id", "requirement_id").unionByName(paired(known, general)).unionByName(paired(bare, requirements))
+
+
 def requirements_of_sections(sections: DataFrame, requirements: DataFrame) -> DataFrame:
     """book_id, section_id, requirements: the list for each section, put together from the classes."""
-    classes = section_requirements(sections, requirements)
+    classes = requirement_classes(sections, requirements)
     listed = lambda df, *keys: df.groupBy(*keys).agg(F.array_sort(F.collect_set("requirement_id")).alias("ids"))
     named = listed(classes.where("section_id IS NOT NULL AND requirement_id IS NOT NULL"), "book_id", "section_id").withColumnRenamed("ids", "named")
     general = listed(classes.where("section_id IS NULL"), "book_id").withColumnRenamed("ids", "general")

@@ -428,8 +428,8 @@ ORACLE_SQL: dict[str, str] = {
     "section_requirements": _with(
         f"{_REQS}, s AS (SELECT DISTINCT source AS book_id, 'S' || doc_id // 20 AS section_id FROM documents), named AS (SELECT DISTINCT book_id, section_id, requirement_id FROM s JOIN reqs USING (book_id) WHERE list_contains(sections, section_id)), "
         "general AS (SELECT DISTINCT book_id, requirement_id FROM reqs WHERE len(sections) = 0)",
-        "SELECT book_id, section_id, requirement_id FROM named UNION ALL SELECT book_id, NULL, requirement_id FROM general "
-        "UNION ALL SELECT book_id, section_id, NULL FROM s WHERE (book_id, section_id) NOT IN (SELECT (book_id, section_id) FROM named) AND book_id NOT IN (SELECT book_id FROM general)",
+        "SELECT book_id, section_id, requirement_id FROM named UNION SELECT book_id, section_id, requirement_id FROM s JOIN general USING (book_id) "
+        "UNION SELECT book_id, section_id, requirement_id FROM s JOIN reqs USING (book_id) WHERE (book_id, section_id) NOT IN (SELECT (book_id, section_id) FROM named) AND book_id NOT IN (SELECT book_id FROM general)",
     ),
     "schema_faults": (
         "WITH d AS (SELECT doc_id, doc_id % 11 <> 3 AS listed FROM documents WHERE doc_id % 23 <> 0) SELECT doc_id, '$' AS path, 'no JSON' AS fault FROM documents WHERE doc_id % 23 = 0 "

@@ -206,3 +206,11 @@ def test_greedy_rounds_equal_the_rule(spark, seed):
             rows.append((*r, total, caps[r[3]], 7, 3, enough))
     schema = "book_id string, block_id string, pos long, section_no long, word_count long, total_limit long, section_limit long, used long, section_used long, enough long"
     assert sorted((r.book_id, r.block_id) for r in greedy.fill(spark.createDataFrame(rows, schema)).collect()) == sorted(want)
+
+
+def test_requirements_fit_every_section(spark):
+    """What names no section is paired with each; a section that nothing fits takes all of its book's; nothing is paired twice."""
+    s = spark.createDataFrame([("a", "S1"), ("a", "S2"), ("a", "S2"), ("b", "S1"), ("b", "S2"), ("c", "S1")], "book_id string, section_id string")
+    r = spark.createDataFrame([("a", "R1", []), ("a", "R2", ["S2"]), ("a", "R1", ["S1"]), ("b", "R1", ["S1", "S1"]), ("b", "R2", ["S9"])], "book_id string, requirement_id string, sections array<string>")
+    got = sorted(tuple(x) for x in graph.section_requirements(s, r).collect())
+    assert got == [("a", "S1", "R1"), ("a", "S2", "R1"), ("a", "S2", "R2"), ("b", "S1", "R1"), ("b", "S2", "R1"), ("b", "S2", "R2")]
