@@ -23,8 +23,8 @@ from .structure import section_caps
 #: How far past the target protected and late additions may go, and when the last pass starts and stops.
 PROTECTED, OVERSHOOT, REVIEW_TOTAL, REVIEW_SECTION, START_BELOW, ENOUGH = 1.12, 1.03, 1.12, 1.15, 0.94, 0.97
 LEAST_CAP = 600
-#: The most candidates of a book that one task folds.
-FOLDED = 20_000
+#: The most candidates of a book that one task folds: numbers and tags of some 1 KB each. Rounds take about a hundred jobs, whatever they hold.
+FOLDED = 200_000
 CHOSEN = "book_id string, block_id string, step int, protected boolean, protected_for array<string>, target long"
 
 
@@ -112,7 +112,8 @@ def _select_folded(c: DataFrame, sections: DataFrame, goals: DataFrame, targets:
         row = about.iloc[0]
         sections = [dict(s) for s in (row["sections"] if row["sections"] is not None else []) if s["included"]]
         goals = [g["requirement_id"] for g in (row["goals"] if row["goals"] is not None else [])]
-        rows = [r | {"tags": set(r["tags"]), "redundant_with": list(r["redundant_with"])} for r in blocks.to_dict("records")]
+        names = ("block_id", "cand_pos", "section_no", "word_count", "utility", "tags", "redundant_with")
+        rows = [dict(zip(names, r, strict=True)) for r in zip(*(blocks[k].tolist() for k in names), strict=True)]
         chosen = select_book(rows, goals, sections, int(row["target"]))
         return pd.DataFrame([{"book_id": row["book_id"], "block_id": k, "step": i, "protected": v["protected"], "protected_for": v["for"], "target": int(row["target"])} for i, (k, v) in enumerate(chosen.items())], columns=["book_id", "block_id", "step", "protected", "protected_for", "target"])
 

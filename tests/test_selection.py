@@ -99,3 +99,27 @@ def test_review_additions_in_order(spark, folded):
     out = selection.review_additions(kept, c, asked, caps, spark.createDataFrame([("b", 1000)], "book_id string, target long"), folded=folded).collect()
     # 300 kept; B2 fits (600 of 690); B4 passes its section's cap; B5 is protected, so its cap does not count; B7 passes its cap
     assert sorted(r.block_id for r in out) == ["B2", "B5"]
+
+
+def test_passages_are_made_from_counted_documents(spark):
+    """Texts are read and counted once; what selects moves numbers only."""
+    from lapidary import queries
+
+    for made in (queries.blocks, queries.block_sections, queries.candidates):
+        plan = made(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "text#" not in plan
+
+
+def test_long_budgets_are_folded_in_one_job(spark):
+    """More bridges than an array fold could hold, with what greedy taking in order gives."""
+    from lapidary.operators import bridges
+
+    n = 5000
+    rows = spark.range(n).selectExpr("'b' AS book_id", "id AS pos", "id * 7 % 23 + 5 AS words")
+    left, want = 6000, []
+    for i in range(n):
+        if (w := i * 7 % 23 + 5) <= left:
+            want.append(i)
+            left -= w
+    got = bridges.within_budget(rows, spark.createDataFrame([("b", 300_000)], "book_id string, words long"), 0.02)
+    assert sorted(r.pos for r in got.collect()) == want and bridges.SHORT > n
