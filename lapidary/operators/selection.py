@@ -23,7 +23,7 @@ from .structure import section_caps
 #: How far past the target protected and late additions may go, and when the last pass starts and stops.
 PROTECTED, OVERSHOOT, REVIEW_TOTAL, REVIEW_SECTION, START_BELOW, ENOUGH = 1.12, 1.03, 1.12, 1.15, 0.94, 0.97
 LEAST_CAP = 600
-#: The most candidates of a book that one task folds: numbers and tags of some 1 KB each. Rounds take about a hundred jobs, whatever they hold.
+#: The most candidates of a book that one task folds: numbers and tags, an estimated 1 KB each.
 FOLDED = 200_000
 CHOSEN = "book_id string, block_id string, step int, protected boolean, protected_for array<string>, target long"
 
