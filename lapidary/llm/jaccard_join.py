@@ -15,8 +15,9 @@ documents link when 100 * |A and B| >= percent * |A or B|. The way there, all of
    tile, popcounts of A & ~B and B & ~A bound the overlap from above, for all pairs at once; pairs within one component are
    skipped, since they can join nothing.
 5. Of what the bound leaves, each row's closest is checked exactly and joined first; then, for rows with further pairs, the
-   closest in each component; then, for rows that still have some, all, but those that an earlier key of both finds. Each
-   round ends with new components.
+   closest in each component; then, for rows that still have some, all. The last two have wide bitmaps of the nodes they look at,
+   as a large group whose members nearly link would otherwise give almost all its pairs, and leave out pairs that an earlier key of
+   both finds. Each round ends with new components.
 
 So every link between different components' nodes is found, and no link can be lost for the components: a pair left out lies within
 one. A frequent key's rows are dealt over several tasks wherever they are joined by the key.
@@ -28,7 +29,7 @@ same. An empty table gives an empty result. Only the id and text columns are rea
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -43,6 +44,8 @@ WORDS, PERCENT = 5, 75
 #: Documents in the sample that finds frequent shingles, documents there that make one frequent, and how many are kept at most.
 SAMPLE, FREQUENT, MOST_FREQUENT = 4_096, 6, 100_000
 TILE = 2_048
+#: Bits for an element in wide bitmaps, and how many bits a wide one has at most (but no fewer than the narrow one).
+WIDE, MOST_WIDE = 16, 65_536
 #: Keys of a row that the last round looks at to leave out pairs that another tile finds too.
 FIRST_KEYS = 8
 #: Up to so many ids (8 bytes each) are broadcast to pick documents; more are joined by a shuffle.
@@ -84,10 +87,12 @@ def shingle_sets(column: pa.Array, words: int = WORDS) -> Iterator[np.ndarray]:
                 yield np.zeros(0, _U)
 
 
-def bitmap(s: np.ndarray) -> bytes:
-    """A power of two of bits: two or more for each element of a small set, one of a large one; a set's bits are its hashes' low ones."""
+def bitmap(s: np.ndarray, wide: bool = False) -> bytes:
+    """A power of two of bits: two or more for each element of a small set, one of a large one; a set's bits are its hashes' low ones.
+    Folding a wide bitmap gives the narrow one."""
     n = len(s)
-    bits = max(64, 1 << int(min(2 * n, max(n, 2_048)) - 1).bit_length())
+    least = min(2 * n, max(n, 2_048))
+    bits = max(64, 1 << int((max(least, min(WIDE * n, MOST_WIDE)) if wide else least) - 1).bit_length())
     out = np.zeros(bits, np.uint8)
     out[(s & _U(bits - 1)).astype(np.int64)] = 1
     return np.packbits(out, bitorder="little").tobytes()
@@ -196,17 +201,24 @@ def _bounded(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
     return sized.select("a", "b", "shared", "na", "nb", "ba", "bb").mapInPandas(run, "a long, b long, shared long")
 
 
-def _linked(pairs: DataFrame, info: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that link, by exact intersection of their sets."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+def _of_nodes(nodes: DataFrame, info: DataFrame, rows: DataFrame, words: int, value: Callable[[np.ndarray], bytes], name: str) -> DataFrame:
+    """node, s: a value of the set of each of the nodes, a written table."""
     ids = saved(nodes.join(info.select("node", F.col("doc_id").alias("_doc"), F.col("t").alias("_t")), "node").select("_doc", "_t").distinct(), "checked")
     few = ids.count() <= BROADCAST_IDS
 
     def make(_, sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "s"])
+        yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in sets], pa.int64()), pa.array([value(s) for s in sets], pa.binary())], names=["node", "s"])
 
     picked = rows.join(F.broadcast(ids) if few else ids, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("t") == F.col("_t")), "left_semi")
-    sets = saved(_each(picked.select("text"), make, "node long, s binary", words).dropDuplicates(["node"]), "sets")
+    out = saved(_each(picked.select("text"), make, "node long, s binary", words).dropDuplicates(["node"]), name)
+    dropped(ids)
+    return out
+
+
+def _linked(pairs: DataFrame, info: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that link, by exact intersection of their sets."""
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = _of_nodes(nodes, info, rows, words, lambda s: s.tobytes(), "sets")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -221,7 +233,7 @@ def _linked(pairs: DataFrame, info: DataFrame, rows: DataFrame, words: int, perc
 
     with_sets = pairs.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
     out = saved(mapped(with_sets.select("a", "b", "sa", "sb"), check, "a long, b long"), "linked")
-    dropped(ids, sets)
+    dropped(sets)
     return out
 
 
@@ -232,8 +244,8 @@ def _found_before(a: list, b: list, key: int) -> bool:
 
 def _tile(key: int, x: list, y: list, percent: int, mode: str) -> np.ndarray:
     """Pairs (a of x, b of y, more) of rows (node, n, bits, comp, first keys) that sizes and bitmaps allow and that lie in different
-    components. Modes: one, each a's closest by the bound; component, its closest in each component; all, but those found before.
-    more: a has others."""
+    components. Modes: one, each a's closest by the bound; component, its closest in each component; all. The last two have wide bitmaps,
+    whose folds are tried first, and leave out pairs found before. more: a has others."""
     found = [np.zeros((0, 3), np.int64)]
 
     def bands(rows: list) -> dict[int, list]:
@@ -251,15 +263,21 @@ def _tile(key: int, x: list, y: list, percent: int, mode: str) -> np.ndarray:
             q, w = ys[wy], min(wx, wy) // 8
             a, b = _folded(_words_of([r[2] for r in p]), w), _folded(_words_of([r[2] for r in q]), w)
             (na, ca), (nb, cb, ib) = np.array([(r[1], r[3]) for r in p], np.int64).T, np.array([(r[1], r[3], r[0]) for r in q], np.int64).T
+            few = w if mode == "one" else max(1, w * 2 // WIDE)
+            fa, fb = _folded(a, few), _folded(b, few)
             step = max(1, (1 << 20) // max(1, b.size))
             for s in range(0, len(a), step):
                 t = slice(s, s + step)
-                o = most_overlap(a[t, None, :], na[t, None], b[None], nb[None])
+                o = most_overlap(fa[t, None, :], na[t, None], fb[None], nb[None])
                 i, j = np.nonzero(_may_link(na[t, None], nb[None], o, percent) & (ca[t, None] != cb[None]))
-                if mode == "all":
-                    first = [not _found_before(p[u + s][4], q[v][4], key) for u, v in zip(i.tolist(), j.tolist(), strict=True)]
-                    i, j = i[first], j[first]
-                far = -(o[i, j] * 1_000_000 // (na[t][i] + nb[j] - o[i, j]))
+                o = o[i, j]
+                if mode != "one":
+                    o = most_overlap(a[t][i], na[t][i], b[j], nb[j])
+                    close = _may_link(na[t][i], nb[j], o, percent)
+                    i, j, o = i[close], j[close], o[close]
+                    first = np.array([not _found_before(p[u + s][4], q[v][4], key) for u, v in zip(i.tolist(), j.tolist(), strict=True)], bool)
+                    i, j, o = i[first], j[first], o[first]
+                far = -(o * 1_000_000 // (na[t][i] + nb[j] - o))
                 near.append(np.stack([i + s, cb[j], far, ib[j]], 1))
         if near and len(n := np.concatenate(near)):
             columns = {"one": 1, "component": 2, "all": 4}[mode]
@@ -294,7 +312,7 @@ def _tiled(rows: DataFrame, info: DataFrame, percent: int, mode: str) -> DataFra
     large = large.withColumn("mine", mine).withColumn("other", other)
     large = large.select("key", "band", F.when(F.col("side") == 1, F.col("mine")).otherwise(F.col("other")).alias("x"), F.when(F.col("side") == 1, F.col("other")).otherwise(F.col("mine")).alias("y"), "side", "node", "comp")
     dealt = small.unionByName(large)
-    first = F.col("first") if mode == "all" else F.array().cast("array<long>").alias("first")
+    first = F.col("first") if mode != "one" else F.array().cast("array<long>").alias("first")
     dealt = dealt.join(info.select("node", "n", "bits", first), "node").select(*names[:5], "node", "n", "bits", "comp", "first")
     sorted_rows = dealt.repartition("key", "band", "x", "y").sortWithinPartitions("key", "band", "x", "y")
 
@@ -369,7 +387,12 @@ def _groups(df: DataFrame, id_col: str, text_col: str, words: int, percent: int)
             found = spread_join(placed, about, "key", "m", ["node"]).withColumn("core", ~F.col("open"))
             found = found.where((F.col("n") * 100 >= F.col("low") * percent) & (F.col("n") * percent <= F.col("high") * 100))
         found = saved(found.select("key", "node", "n", "comp", "core"), "rows")
-        candidates = saved(_tiled(found, info, percent, mode), "pairs")
+        seen = info
+        if mode != "one":
+            wide = _of_nodes(found.select("node").distinct(), info, rows, words, lambda s: bitmap(s, True), "wide")
+            seen = info.drop("bits").join(wide.withColumnRenamed("s", "bits"), "node")
+            done.append(wide)
+        candidates = saved(_tiled(found, seen, percent, mode), "pairs")
         pairs = saved(ordered(candidates).join(tested, ["a", "b"], "left_anti"), "untested")
         open_ = saved(candidates.where("more").select(F.col("a").alias("node")).distinct(), "open")
         dropped(placed, found, candidates)

@@ -142,3 +142,35 @@ def test_components_of_long_chains(spark):
     links = [(i, i + 1) for i in range(60)] + [(100, 101), (103, 101), (200, 200)]
     got = {r.node: r.comp for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100, 103: 100}
+
+
+def test_a_group_that_nearly_links_makes_few_pairs(spark, monkeypatch):
+    """Most pairs of the group are about 0.70 alike, which narrow bitmaps do not tell from 0.75."""
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(120):
+        t = list(base)
+        p, q = rng.sample(range(0, 140, 10), 2)
+        for j in (p, q, q + 3):
+            t[j] = f"x{i}_{j}"
+        rows.append((i, " ".join(t)))
+    made, tiled = [], J._tiled
+
+    def counted(rows, info, percent, mode):
+        out = J.saved(tiled(rows, info, percent, mode), "counted")
+        made.append((mode, out.count()))
+        return out
+
+    monkeypatch.setattr(J, "_tiled", counted)
+    got = sorted(map(tuple, J.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == _brute(rows)
+    assert sum(n for mode, n in made if mode != "one") <= 5 * len(rows), made
+
+
+def test_wide_bitmaps_fold_to_narrow_ones():
+    rng = np.random.default_rng(7)
+    for n in (1, 7, 150, 3_000, 40_000):
+        s = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        narrow, wide = J._words_of([J.bitmap(s)]), J._words_of([J.bitmap(s, True)])
+        assert (J._folded(wide, narrow.shape[1]) == narrow).all()
