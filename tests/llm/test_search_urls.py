@@ -138,3 +138,48 @@ def test_url_ids_are_carried_as_they_are(spark):
     rows = spark.createDataFrame([(i, "http://a.net/de/1") for i in ids], "page_id long, url string")
     assert sorted((r.page_id for r in url_filter.filter_urls(rows.coalesce(1)).collect()), key=str) == sorted(ids, key=str)
     assert url_filter.filter_urls(rows.limit(0)).collect() == []
+
+
+def test_every_labelled_url_is_counted(spark):
+    """The models and the threshold are those of all labelled URLs, not of a sample: held against the models in memory."""
+    from inspect import signature
+
+    from pyspark.sql import functions as F
+
+    assert "fit_rows" not in signature(url_filter.filter_urls).parameters
+    rng = random.Random(9)
+    make = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randint(1, 9)))
+    urls = [f"http://{make('abc')}.net/de/{make('aabé')}" for _ in range(150)] + [f"http://{make('abc')}.com/en/{make('abb')}" for _ in range(150)] + [f"http://{make('abc')}.org/fr/{make('abé')}" for _ in range(100)] + ["", None, "x" * 300]
+    urls += urls[:20]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").repartition(3)
+    out = url_filter.filter_urls(df).collect()
+    held = {r.url: r.h for r in df.select("url", (F.pmod(F.xxhash64("url"), F.lit(5)) == 0).alias("h")).collect()}
+    of = lambda rule, part: [u for u in urls if u and f"{rule}/" in u and held[u] == part]
+    a, b = url_filter.Markov(of(".net/de", False)), url_filter.Markov(of(".com/en", False))
+
+    def want(u):
+        code, row = url_filter._codes([u or ""], url_filter.ORDER)
+        return float((a.log_likelihood(code, row, 1) - b.log_likelihood(code, row, 1))[0]) / len(code)
+
+    assert np.allclose([r.score for r in out], [want(urls[r.page_id]) for r in out], atol=1e-7)
+    score = {urls[r.page_id]: r.score for r in out}
+    good, bad = [score[u] for u in of(".net/de", True)], [score[u] for u in of(".com/en", True)]
+    at = sorted({*good, *bad, 0.0})
+    share = {t: sum(s >= t for s in good) * len(bad) + sum(s < t for s in bad) * len(good) for t in at}
+    threshold = min((t for t in at if share[t] == max(share.values())), key=abs)
+    assert all(r.verdict == ("block" if r.score < threshold else "allow") for r in out if r.rule is None)
+
+
+def test_more_labelled_urls_than_a_sample_held(spark):
+    """22,000 URLs a class, of which 20,000 were counted once."""
+    from pyspark.sql import functions as F
+
+    df = spark.range(44_000).selectExpr("id AS page_id", "concat('http://a', id % 7, CASE WHEN id % 2 = 0 THEN '.net/de/' ELSE '.com/en/' END, id) AS url")
+    fit = [(r.page_id, r.url) for r in df.where(F.pmod(F.xxhash64("url"), F.lit(5)) != 0).collect()]
+    a, b = (url_filter.Markov([u for i, u in fit if i % 2 == kind]) for kind in (0, 1))
+    out = url_filter.filter_urls(df).collect()
+    assert len(out) == 44_000
+    out = out[:200]
+    code, row = url_filter._codes([f"http://{r.host}{r.path}" for r in out], url_filter.ORDER)
+    want = (a.log_likelihood(code, row, 200) - b.log_likelihood(code, row, 200)) / np.bincount(row)
+    assert np.allclose([r.score for r in out], want, atol=1e-8)
