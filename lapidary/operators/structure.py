@@ -274,6 +274,14 @@ def section_caps(secs: DataFrame, target: Column, priorities: DataFrame | None =
     return rows.select("book_id", "section_no", F.when(F.col("priority") == "high", (F.col("cap") * F.lit(high).cast("double")).cast("long")).otherwise(F.col("cap")).alias("cap"))
 
 
+def page_edges(lines: DataFrame, top: int = 12, bottom: int = 4) -> DataFrame:
+    """The lines at both ends of each page. margin_noise() and page_headings() find in them what they find in all lines, as long as they look
+    at no more; whole pages with up to top + bottom lines stay."""
+    page = W.partitionBy("book_id", "page_no")
+    placed = lines.select("book_id", "page_no", "line_no", "text", F.row_number().over(page.orderBy("line_no")).alias("_down"), F.count("*").over(page).alias("_n"))
+    return placed.where((F.col("_down") <= top) | (F.col("_n") - F.col("_down") < bottom)).drop("_down", "_n")
+
+
 def margin_noise(lines: DataFrame, top: int = 3, bottom: int = 4) -> DataFrame:
     """Keys of short lines that recur at page margins: lines (book_id, page_no, line_no, text) to (book_id, key). On short pages a line
     can count at both ends."""
@@ -281,6 +289,8 @@ def margin_noise(lines: DataFrame, top: int = 3, bottom: int = 4) -> DataFrame:
     placed = lines.select("book_id", "page_no", "text", F.row_number().over(page.orderBy("line_no")).alias("down"), F.count("*").over(page).alias("n"))
     # keys are made for margin lines only, and once: what an explode has made is filtered after it
     ends = placed.withColumn("times", (F.col("down") <= top).cast("int") + (F.col("n") - F.col("down") < bottom).cast("int")).where("times > 0")
+    # a long line's key is too long; that is told before it is made
+    ends = ends.where(F.col("text").isNotNull() & ~text.has_letters("text", 101))
     keyed = ends.select("book_id", "times", F.explode(F.array(text.repeated_line_key("text"))).alias("key"))
     counts = keyed.where((F.col("key") != "") & (F.char_length("key") <= 100)).groupBy("book_id", "key").agg(F.sum("times").alias("n"))
     pages = lines.groupBy("book_id").agg(F.countDistinct("page_no").alias("pages"))
@@ -305,7 +315,7 @@ def page_headings(lines: DataFrame, noise: DataFrame, top: int = 12, longest: in
     """Without an outline: per page the first of its top lines that reads like a heading and is no margin noise; books with fewer than
     `least` such pages have none. (book_id, start_page, title)"""
     place = F.row_number().over(W.partitionBy("book_id", "page_no").orderBy("line_no"))
-    rows = lines.withColumn("place", place).where(F.col("place") <= top)
+    rows = lines.withColumn("place", place).where((F.col("place") <= top) & ~text.has_letters("text", longest + 1))
     rows = rows.select("book_id", "page_no", "place", F.explode(F.array(text.normalize_line("text"))).alias("line")).where((F.col("line") != "") & (F.char_length("line") <= longest))
     rows = rows.withColumn("key", F.explode(F.array(text.line_key("line"))))
     rows = rows.join(noise, ["book_id", "key"], "left_anti").where(text.is_main_title("line") | text.is_heading("line"))
@@ -326,11 +336,11 @@ def page_ranges(outline: DataFrame, pages: DataFrame) -> DataFrame:
 def page_blocks(ranges: DataFrame, blocks: DataFrame) -> DataFrame:
     """Joins page blocks (book_id, page_no, block_no, text) to the ranges that hold them. A range of up to 2^k pages lies in at most two
     buckets of 2^k pages, so it is two rows however long it is; a page is a row for each k in use (there are at most 63), and they meet
-    by book, k and bucket."""
+    by book, k and bucket. Only the pages' numbers take part in that; their blocks are joined once the ranges of each page are known."""
     rows = ranges.select("book_id", F.col("pos").alias("section_pos"), "title", F.col("start_page").cast("long").alias("_from"), F.col("end_page").cast("long").alias("_to")).where("_from <= _to")
     rows = rows.withColumn("_k", F.expr("CASE WHEN _from = _to THEN 0 ELSE char_length(bin(_to - _from)) END"))
     rows = rows.withColumn("_bucket", F.explode(F.expr("sequence(shiftright(_from, _k), shiftright(_to, _k))")))
     used = sorted(r[0] for r in rows.select("_k").distinct().collect())
-    at = blocks.withColumn("_k", F.explode(F.array(*map(F.lit, used)).cast("array<int>"))).withColumn("_bucket", F.expr("shiftright(CAST(page_no AS BIGINT), _k)"))
+    at = blocks.select("book_id", "page_no").distinct().withColumn("_k", F.explode(F.array(*map(F.lit, used)).cast("array<int>"))).withColumn("_bucket", F.expr("shiftright(CAST(page_no AS BIGINT), _k)"))
     found = rows.join(at, ["book_id", "_k", "_bucket"]).where("page_no BETWEEN _from AND _to")
-    return found.drop("_k", "_bucket", "_from", "_to")
+    return found.select("book_id", "page_no", "section_pos", "title").join(blocks, ["book_id", "page_no"])

@@ -81,7 +81,9 @@ def read_pages(found: DataFrame, extract: PageExtractor) -> tuple[DataFrame, Dat
 
 def page_sections(lines: DataFrame, blocks: DataFrame, outline: DataFrame, pages: DataFrame, manual: DataFrame | None = None, boilerplate: tuple[str, ...] = ()) -> DataFrame:
     """Raw blocks of paged books: a manual chapter map, else bookmarks, else headings on pages, then cleaned blocks of three words or more."""
-    noise = structure.margin_noise(lines)
+    # all lines are read once; what comes of them is small and written, so that nothing after it reads them again
+    lines = written(structure.page_edges(lines), "edges")
+    noise = written(structure.margin_noise(lines), "noise")
     none = F.lit(None).cast("int").alias("end_page")
     marks = structure.outline_sections(outline).select("book_id", "pos", "title", "start_page", none)
     if manual is not None:
@@ -89,12 +91,12 @@ def page_sections(lines: DataFrame, blocks: DataFrame, outline: DataFrame, pages
     seen = structure.page_headings(lines, noise).join(marks.select("book_id").distinct(), "book_id", "left_anti")
     seen = seen.withColumn("key", text.canonical_title("title")).dropDuplicates(["book_id", "key", "start_page"])
     marks = marks.unionByName(seen.select("book_id", F.col("start_page").cast("long").alias("pos"), "title", "start_page", none))
-    placed = structure.page_blocks(structure.page_ranges(marks, pages), blocks)
+    placed = structure.page_blocks(written(structure.page_ranges(marks, pages), "ranges"), blocks)
     keys = noise.groupBy("book_id").agg(F.collect_set("key").alias("noise"))
     placed = placed.join(keys, "book_id", "left").withColumn("noise", F.coalesce("noise", F.array().cast("array<string>")))
     # made once: what an explode has made is filtered after it
     made = F.explode(F.array(text.clean_block("text", "noise", boilerplate)))
-    placed = placed.select("book_id", "section_pos", "title", "page_no", "block_no", made.alias("text")).where(text.word_count("text") >= 3)
+    placed = placed.select("book_id", "section_pos", "title", "page_no", "block_no", made.alias("text")).where(text.has_words("text", 3))
     return placed.select("book_id", "section_pos", "title", (F.col("page_no").cast("long") * 100_000 + F.col("block_no")).alias("block_pos"), "text", F.col("page_no").cast("int").alias("page"))
 
 

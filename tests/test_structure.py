@@ -176,6 +176,30 @@ def test_a_long_range_is_two_rows(spark):
     assert sorted(found.columns) == sorted(["book_id", "section_pos", "title", "page_no", "block_no", "text"])
 
 
+def test_texts_stay_out_of_the_search_for_ranges(spark):
+    """A page is a row for each power of two in use, but its text is not: it is joined to the page's ranges."""
+    ranges = spark.createDataFrame([("b", i, "t", 1, 2**i) for i in range(12)], "book_id string, pos long, title string, start_page int, end_page int")
+    pages = spark.range(100).select(F.lit("b").alias("book_id"), F.col("id").alias("page_no"), F.lit(0).alias("block_no"), F.concat(F.lit("x"), "id").alias("text"))
+    plan = structure.page_blocks(ranges, pages)._jdf.queryExecution().optimizedPlan()
+    copies = [plan.p(i) for i in range(200) if plan.p(i) is not None and plan.p(i).nodeName() == "Generate"]
+    assert copies
+    for node in copies:
+        assert "text" not in [node.output().apply(i).name() for i in range(node.output().size())]
+
+
+def test_edges_hold_what_all_lines_hold(spark):
+    rng = random.Random(5)
+    words = ["Page 7", "Chapter 3", "a line", "Notes", "12 Monkeys and men", "x" * 120, "", "Running head 4"]
+    rows = [("b", p, i, rng.choice(words)) for p in range(40) for i in range(rng.choice([1, 3, 9, 16, 17, 40]))]
+    lines = spark.createDataFrame(rows, "book_id string, page_no long, line_no long, text string")
+    edges = structure.page_edges(lines)
+    assert edges.count() < len(rows)
+    noise, found = (sorted(map(tuple, structure.margin_noise(x).collect())) for x in (lines, edges))
+    assert noise == found and noise
+    noise = structure.margin_noise(lines)
+    assert sorted(map(tuple, structure.page_headings(lines, noise).collect())) == sorted(map(tuple, structure.page_headings(edges, noise).collect()))
+
+
 def test_bridge_budget_in_rounds(spark, monkeypatch):
     monkeypatch.setattr(bridges, "SHORT", 10)
     words = [(k, i, (i * 7) % 13) for k, n in (("a", 60), ("b", 9)) for i in range(n)]
