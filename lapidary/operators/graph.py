@@ -14,6 +14,8 @@ from ..functions.text import support_link_score
 from .scans import written
 
 SUPPORT_KINDS = ("supporting_argument", "evidence")
+#: Ids in a list of tiles(), about. A task holds the rows of a pair of lists at once: so many squared.
+TILE = 256
 
 
 def orphans(requirements: DataFrame, relations: DataFrame) -> DataFrame:
@@ -109,20 +111,32 @@ def requirement_classes(sections: DataFrame, requirements: DataFrame) -> DataFra
 
 def section_requirements(sections: DataFrame, requirements: DataFrame) -> DataFrame:
     """book_id, section_id, requirement_id: every section with each requirement that names it or no section, or with all of the book's if that
-    leaves none. A book's sections are dealt over slices, so that no task pairs all of them."""
+    leaves none. What fits whole books is paired as lists of some TILE ids, which tasks explode, so that neither a task nor a broadcast holds the pairs."""
     classes = written(requirement_classes(sections, requirements), "classes")
     known = sections.select("book_id", "section_id").distinct()
     n = int(sections.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = lambda df: df.withColumn("_slice", F.pmod(F.xxhash64("section_id"), F.lit(n)).cast("int"))
-    every = lambda df: df.select("book_id", "requirement_id").distinct().withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    paired = lambda some, wanted: dealt(some).join(every(wanted), ["book_id", "_slice"]).select("book_id", "section_id", "requirement_id")
+    paired = lambda some, wanted: tiles(some, "section_id", wanted, "requirement_id", n)
     bare = classes.where("requirement_id IS NULL").select("book_id", "section_id")
     general = classes.where("section_id IS NULL")
     # a requirement with one row that names sections and one that names none is paired once
-    named = classes.where("section_id IS NOT NULL AND requirement_id IS NOT NULL").join(general, ["book_id", "requirement_id"], "left_anti")
+    named = classes.where("section_id IS NOT NULL AND requirement_id IS NOT NULL").join(general.hint("merge"), ["book_id", "requirement_id"], "left_anti")
     return named.select("book_id", "section_id", "requirement_id").unionByName(paired(known, general)).unionByName(paired(bare, requirements))
 
 
+def tiles(left: DataFrame, a: str, right: DataFrame, b: str, parts: int) -> DataFrame:
+    """book_id, a, b: all pairs of a book's distinct ids in left and right. Ids are put in lists of about TILE by hash, lists are paired and dealt
+    over at least `parts` tasks, and only then do lists become rows: what is shuffled is a list for every TILE rows."""
+
+    def lists(df: DataFrame, column: str) -> DataFrame:
+        rows = df.select("book_id", column).distinct()
+        per = rows.groupBy("book_id").agg(F.ceil(F.count("*") / TILE).alias("_lists"))
+        rows = rows.join(per, "book_id").withColumn(f"_{column}", F.pmod(F.xxhash64(column), F.col("_lists")))
+        return rows.groupBy("book_id", f"_{column}").agg(F.collect_list(column).alias(f"{column}s"))
+
+    paired = lists(left, a).join(lists(right, b).hint("merge"), "book_id").repartition(parts, "book_id", f"_{a}", f"_{b}")
+    return paired.select("book_id", F.explode(f"{a}s").alias(a), f"{b}s").select("book_id", a, F.explode(f"{b}s").alias(b))
+
+
 def requirements_of_sections(sections: DataFrame, requirements: DataFrame) -> DataFrame:
     """book_id, section_id, requirements: the list for each section, put together from the classes."""
     classes = requirement_classes(sections, requirements)

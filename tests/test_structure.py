@@ -246,3 +246,20 @@ def test_headings_are_put_in_by_one_reading(spark):
 
     plan = queries.QUERIES["heading_segments"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "section_no#" in plan and not any("Join" in line and "section_no#" in line for line in plan.split("\n"))
+
+
+def test_pairs_of_books_go_as_lists(spark):
+    """More sections and requirements than a list holds are paired in full, and what is broadcast is no exploded table."""
+    s = spark.range(600).selectExpr("if(id < 590, 'b', 'c') AS book_id", "concat('S', id) AS section_id")
+    r = spark.range(700).selectExpr("if(id < 695, 'b', 'c') AS book_id", "concat('R', id) AS requirement_id", "if(id = 3, array('S7'), cast(array() AS array<string>)) AS sections")
+    df = graph.section_requirements(s, r)
+    want = {("b", f"S{i}", f"R{j}") for i in range(590) for j in range(695) if j != 3 or i == 7} | {("c", f"S{i}", f"R{j}") for i in range(590, 600) for j in range(695, 700)}
+    got = [tuple(x) for x in df.collect()]
+    assert len(got) == len(want) and set(got) == want
+    depths: list[int] = []
+    for line in df._jdf.queryExecution().executedPlan().toString().split("\n"):
+        at = len(line) - len(line.lstrip(" :+-*(0123456789)"))
+        depths = [d for d in depths if d < at]
+        assert not (depths and "Generate" in line), line
+        if "BroadcastExchange" in line:
+            depths.append(at)
