@@ -27,13 +27,15 @@ def segment_lines(lines: DataFrame, is_heading: Callable[[Column], Column] = tex
     heading = text.is_markdown_heading("line") | ((F.char_length(title) < 120) & is_heading(title))
     marked = running(lines.withColumn("heading", heading), ["book_id"], "line_no", {"segment": F.col("heading").cast("int")})
     marked = marked.withColumn("title", F.when(F.col("heading"), title))
-    body = F.array_sort(F.collect_list(F.when(~F.col("heading"), F.struct("line_no", "line"))))
-    parts = marked.groupBy("book_id", "segment").agg(F.max("title").alias("title"), text.strip(F.array_join(F.transform(body, lambda x: x["line"]), "\n")).alias("text"))
-    parts = parts.where("text <> ''").withColumn("title", F.coalesce("title", F.lit("Opening")))
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
-    bare = lines.groupBy("book_id").agg(whole.alias("text")).join(parts.select("book_id").distinct(), "book_id", "left_anti")
+    line = lambda rows: F.array_join(F.transform(rows, lambda x: x["line"]), "\n")
+    parts = marked.groupBy("book_id", "segment").agg(F.max("title").alias("title"), F.array_sort(F.collect_list(F.struct("line_no", "heading", "line"))).alias("all"))
+    parts = parts.select("book_id", "segment", "title", text.strip(line(F.filter("all", lambda x: ~x["heading"]))).alias("text"), line(F.col("all")).alias("whole"))
+    # texts are put together once, and stay out of what follows
+    parts = scans.written(parts.withColumn("whole", F.when(F.col("text") == "", F.col("whole"))), "segments")
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("segment", "whole"))), lambda x: x["whole"]), "\n")
+    bare = parts.where("text = ''").join(parts.where("text <> ''").select("book_id").distinct(), "book_id", "left_anti").groupBy("book_id").agg(whole.alias("text"))
+    parts = parts.where("text <> ''").select("book_id", "segment", F.coalesce("title", F.lit("Opening")).alias("title"), "text")
     parts = parts.unionByName(bare.select("book_id", F.lit(0).cast("long").alias("segment"), F.lit("Book text").alias("title"), "text"))
-    # texts stay out of the numbering
     places = running(parts.select("book_id", "segment"), ["book_id"], "segment", {"section_pos": F.lit(1).cast("long")})
     return parts.join(places, ["book_id", "segment"]).select("book_id", "section_pos", "title", "text")
 
@@ -44,11 +46,15 @@ def section_blocks(sections: DataFrame) -> DataFrame:
     return blocks.where("block IS NOT NULL").select("book_id", "section_pos", "title", (F.col("block_pos") + 1).cast("long").alias("block_pos"), F.col("block").alias("text"), F.lit(None).cast("int").alias("page"))
 
 
+def _section_title() -> Column:
+    title = text.strip("title")
+    return F.when(title == "", F.concat(F.lit("Section "), F.col("section_pos"))).otherwise(title)
+
+
 def paragraphs(blocks: DataFrame) -> DataFrame:
     """Raw blocks to paragraphs with identifiers: sections with a raw block are numbered from 1, paragraphs by their place among the
     section's raw blocks, so that dropped blocks leave gaps. Titles that are blank become "Section n" by section_pos."""
-    title = text.strip("title")
-    title = F.when(title == "", F.concat(F.lit("Section "), F.col("section_pos"))).otherwise(title)
+    title = _section_title()
     one = F.lit(1).cast("long")
     numbers = running(blocks.select("book_id", "section_pos").distinct(), ["book_id"], "section_pos", {"section_no": one})
     placed = running(blocks, ["book_id", "section_pos"], "block_pos", {"idx": one}).join(numbers, ["book_id", "section_pos"])
@@ -67,6 +73,19 @@ def sections(paras: DataFrame) -> DataFrame:
     return per.withColumn("kind", rules.section_kind_by_words("title", F.col("word_count")))
 
 
+def sections_of_blocks(blocks: DataFrame) -> DataFrame:
+    """sections(paragraphs(blocks)) by one reading of the blocks: what they hold is counted before sections are numbered, so no text moves."""
+    made = blocks.select("book_id", "section_pos", _section_title().alias("title"), F.explode(F.array(text.normalize("text"))).alias("text"))
+    words = made.select("book_id", "section_pos", "title", F.explode(F.array(text.word_count("text"))).alias("words"))
+    kept = F.col("words") >= 2
+    per = words.groupBy("book_id", "section_pos", "title").agg(F.count_if(kept).cast("long").alias("paragraphs"), F.sum(F.when(kept, F.col("words"))).alias("word_count"))
+    per = scans.written(per, "sections")
+    numbers = running(per.select("book_id", "section_pos").distinct(), ["book_id"], "section_pos", {"section_no": F.lit(1).cast("long")})
+    rows = per.where("paragraphs > 0").join(numbers.hint("merge"), ["book_id", "section_pos"])
+    rows = rows.select("book_id", "section_no", text.numbered("CH", "section_no").alias("section_id"), "title", "paragraphs", "word_count")
+    return rows.withColumn("kind", rules.section_kind_by_words("title", F.col("word_count")))
+
+
 def books(secs: DataFrame) -> DataFrame:
     """book_id and total_words, over sections that are not excluded."""
     return secs.groupBy("book_id").agg(F.coalesce(F.sum(F.when(F.col("kind") != "exclude", F.col("word_count"))), F.lit(0)).alias("total_words"))

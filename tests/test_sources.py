@@ -362,3 +362,19 @@ def test_tasks_follow_the_number_of_events(spark, monkeypatch):
     found = read()
     assert found.rdd.getNumPartitions() >= 12
     assert sorted(map(tuple, found.collect())) == want
+
+
+def test_text_files_equal_their_sql_on_odd_texts(spark, tmp_path):
+    """Texts without a word, lines that read like headings, other line ends and white space: each document is one section, as in the SQL."""
+    import duckdb
+
+    from lapidary import oracles, queries
+
+    texts = ["", " ", "one", "\n\n", "two words\n# Notes on it\nmore words", "12 Monkeys and men\nsome words", "Chapter 3\n\n## x y", "#7 Abcdef", " T he start", "one\x85two", "one  two", "a b\rNotes\rc d", "\tIndex of names\n\t \n\t# One two", "plain words here\nand others", "##", "#", "!!\n??", "PART two: x", None] * 11
+    rows = [(i, x, "en", "src0", len(x or "")) for i, x in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    df = queries.QUERIES["text_file_sections"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.sql(f"SELECT {', '.join(df.columns)} FROM ({oracles.ORACLE_SQL['text_file_sections']})").fetchall()
+    assert sorted(map(tuple, df.collect())) == sorted(want)
