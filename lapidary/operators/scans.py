@@ -33,6 +33,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def freed(spark: SparkSession) -> None:
+    """Shuffle files of finished plans go when the driver collects its garbage."""
+    if jvm := getattr(spark, "_jvm", None):
+        jvm.System.gc()
+
+
 def apart(rows: DataFrame, keys: list[str], most: int, small: Callable[[DataFrame], DataFrame], large: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """small() of the keys with up to `most` rows, large() of the others; both give equal results, and a task of small() holds at most
     `most` rows of a key."""

@@ -20,23 +20,55 @@ ELEMENTS = "n int, parent int, path array<int>, tag string, tags array<string>,
 LABELS = ("a", "text", "title", "meta")
 
 
-def members(found: DataFrame) -> DataFrame:
-    """book_id, place, member, data of archives (book_id, content); one that cannot be opened is a row with an error."""
+def members(found: DataFrame, wanted: tuple[str, ...] | None = None) -> DataFrame:
+    """book_id, format, place, member, data of archives (book_id, format, content); one that cannot be opened or read is a row with an error. Of
+    members that are not wanted the data are read and left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.string(), pa.int32(), pa.string(), pa.string(), pa.string())
-        batch_of = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["book_id", "place", "member", "data", "error"])
+        kinds = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string())
+        batch_of = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["book_id", "format", "place", "member", "data", "error"])
         for batch in batches:
-            for book, content in zip(batch.column(0), batch.column(1), strict=True):
+            for book, kind, content in zip(*batch.columns, strict=True):
                 try:
                     with zipfile.ZipFile(io.BytesIO(content.as_py() or b"")) as z:
                         for i, name in enumerate(z.namelist()):
-                            data = "" if name.lower().endswith(BINARY) else z.read(name).decode("utf-8", "replace")
-                            yield batch_of([(book.as_py(), i, name, data, None)])
+                            data = "" if name.lower().endswith(BINARY) else z.read(name)
+                            data = data.decode("utf-8", "replace") if data and (wanted is None or name in wanted) else ""
+                            yield batch_of([(book.as_py(), kind.as_py(), i, name, data, None)])
                 except Exception as e:  # a broken file is reported, not raised: others go on
-                    yield batch_of([(book.as_py(), -1, None, None, f"{type(e).__name__}: {e}")])
+                    yield batch_of([(book.as_py(), kind.as_py(), -1, None, None, f"{type(e).__name__}: {e}")])
 
-    return found.select("book_id", "content").mapInArrow(run, f"book_id string, {MEMBERS}")
+    return found.select("book_id", "format", "content").mapInArrow(run, f"book_id string, format string, {MEMBERS}")
+
+
+def body_paragraphs(docs: DataFrame) -> DataFrame:
+    """book_id, p (number of the element), style, pieces (tag, text) of the paragraphs in the bodies of Word documents (book_id, data): what stands
+    in their runs, in order; a row without p for each body. What is no XML has no rows."""
+    local = lambda e: e.tag.rsplit("}", 1)[-1] if isinstance(e.tag, str) else ""
+    of = lambda e, *names: [c for c in e if local(c) in names]
+
+    def rows(book: str, data: str) -> Iterator[tuple]:
+        try:
+            root = ET.fromstring(data)
+        except (ET.ParseError, ValueError):
+            return
+        numbers = {e: n for n, e in enumerate(root.iter()) if local(e) == "p"}
+        for body in of(root, "body") if local(root) == "document" else []:
+            yield book, None, None, None
+            for p in of(body, "p"):
+                styles = [s for pr in of(p, "pPr") for s in of(pr, "pStyle")]
+                style = next((v for k, v in styles[0].attrib.items() if k.rsplit("}", 1)[-1] == "val"), "") if styles else None
+                runs = [r for c in p for r in (of(c, "r") if local(c) == "hyperlink" else [c]) if local(r) == "r"]
+                yield book, numbers[p], style, [{"tag": local(t), "text": t.text or ""} for r in runs for t in of(r, "t", "tab", "br", "cr")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.string(), pa.int64(), pa.string(), pa.list_(pa.struct([("tag", pa.string()), ("text", pa.string())])))
+        for batch in batches:
+            for record in batch.to_pylist():
+                if found := list(rows(*record.values())):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), kinds, strict=True)], names=["book_id", "p", "style", "pieces"])
+
+    return docs.select("book_id", "data").mapInArrow(run, "book_id string, p long, style string, pieces array<struct<tag: string, text: string>>")
 
 
 def elements(docs: DataFrame) -> DataFrame:

@@ -7,31 +7,41 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.text import normalize, opens_section
-from ..operators.scans import running, written
-from .archives import attribute, elements
+from ..operators.scans import freed, running, written
+from .archives import attribute, body_paragraphs, elements, members
 
 
-def docx_blocks(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Blocks (book_id, section_pos, title, block_pos, text, page) and errors (book_id, error) of written members."""
-    parts = written(elements(entries.where("member IN ('word/document.xml', 'word/styles.xml')")), "elements")
-    doc = parts.where("member = 'word/document.xml'")
-    named = parts.where("member = 'word/styles.xml' AND tag = 'name'").select("book_id", F.col("parent").alias("n"), attribute("val").alias("name"))
-    styles = parts.where("member = 'word/styles.xml' AND tag = 'style'").select("book_id", "n", attribute("styleId").alias("style")).join(named, ["book_id", "n"])
+def docx_blocks(found: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Blocks (book_id, section_pos, title, block_pos, text, page), errors (book_id, error) of readable archives, and errors of others. Archives
+    (book_id, format, content) are opened again for each part that is asked for, so that their members are not written."""
+    member = lambda name: members(found, (name,)).where(F.col("member") == name)
+    listed = written(members(found, ()).select("book_id", "error").distinct(), "listed")
+    parts = written(elements(member("word/styles.xml")).where("tag IN ('style', 'name')").select("book_id", "n", "parent", "tag", "attributes"), "styles")
+    named = parts.where("tag = 'name'").select("book_id", F.col("parent").alias("n"), attribute("val").alias("name"))
+    styles = parts.where("tag = 'style'").select("book_id", "n", attribute("styleId").alias("style")).join(named.hint("merge"), ["book_id", "n"])
     styles = styles.groupBy("book_id", "style").agg(F.max_by("name", "n").alias("name"))
 
-    under = lambda *names: F.array_join("tags", "/").rlike(f"^document/body/p/({'|'.join(names)})$")
-    paragraph = F.element_at("path", 3)  # document, body, p
-    style = doc.where(under("pPr/pStyle")).groupBy("book_id", paragraph.alias("p")).agg(F.min_by(attribute("val"), "n").alias("style"))
-    piece = F.when(F.col("tag") == "t", F.col("text")).when(F.col("tag") == "tab", "\t").when(F.col("tag").isin("br", "cr"), "\n")
-    runs = doc.where(under("(hyperlink/)?r/(t|tab|br|cr)")).groupBy("book_id", paragraph.alias("p")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", piece.alias("x")))), lambda x: x["x"]), "").alias("text"))
-    rows = runs.select("book_id", F.col("p").cast("long").alias("p"), F.explode(F.array(normalize("text"))).alias("text")).where("text <> ''")
-    rows = rows.join(style.withColumn("p", F.col("p").cast("long")), ["book_id", "p"], "left").join(styles, ["book_id", "style"], "left")
-    heading = F.lower(F.coalesce("name", "style", F.lit(""))).startswith("heading") | ((F.char_length("text") < 120) & opens_section("text"))
-    rows = running(rows.withColumn("heading", heading), ["book_id"], "p", {"part": F.col("heading").cast("int")}, {"title": F.when(F.col("heading"), F.col("text"))})
-    rows = written(rows.where("NOT heading"), "paragraphs")
-    order = running(rows.select("book_id", F.col("part").cast("long").alias("part")).distinct(), ["book_id"], "part", {"section_pos": F.lit(1).cast("long")})
+    piece = lambda x: F.when(x["tag"] == "t", x["text"]).when(x["tag"] == "tab", "\t").otherwise("\n")
+    pieces = F.array_join(F.transform("pieces", piece), "")
+    rows = body_paragraphs(member("word/document.xml")).withColumn("text", pieces)
+    rows = rows.select("book_id", "p", "style", F.explode(F.array(normalize("text"))).alias("text")).where("p IS NULL OR text <> ''")
+    rows = written(rows.withColumn("opens", (F.char_length("text") < 120) & opens_section("text")), "paragraphs")
+    freed(found.sparkSession)
+    body, rows = rows.where("p IS NULL").select("book_id").distinct(), rows.where("p IS NOT NULL")
+
+    # texts stay where they are until their places are known
+    places = rows.select("book_id", "p", "style", "opens").join(styles.hint("merge"), ["book_id", "style"], "left")
+    heading = F.lower(F.coalesce("name", "style", F.lit(""))).startswith("heading") | F.col("opens")
+    places = places.select("book_id", "p", heading.alias("heading"))
+    places = written(running(places, ["book_id"], "p", {"part": F.col("heading").cast("int")}), "places")
+    heads = places.where("heading").join(rows.select("book_id", "p", F.col("text").alias("title")), ["book_id", "p"]).select("book_id", "part", "title")
+    lines = places.where("NOT heading")
+    order = running(lines.select("book_id", F.col("part").cast("long").alias("part")).distinct(), ["book_id"], "part", {"section_pos": F.lit(1).cast("long")})
+    sections = written(order.join(heads.hint("merge"), ["book_id", "part"], "left"), "sections")
     place = F.row_number().over(W.partitionBy("book_id", "part").orderBy("p")).cast("long")
-    blocks = rows.withColumn("block_pos", place).join(order, ["book_id", "part"])
+    lines = written(lines.withColumn("block_pos", place).join(sections.hint("merge"), ["book_id", "part"]), "lines")
+    freed(found.sparkSession)
+    blocks = rows.select("book_id", "p", "text").join(lines.hint("merge"), ["book_id", "p"])
     blocks = blocks.select("book_id", "section_pos", F.coalesce("title", F.lit("Opening")).alias("title"), "block_pos", "text", F.lit(None).cast("int").alias("page"))
-    body = doc.where("tag = 'body'").select("book_id").distinct()
-    return blocks, entries.where("error IS NULL").select("book_id").distinct().join(body, "book_id", "left_anti").withColumn("error", F.lit("ValueError: no document body"))
+    failed = listed.where("error IS NULL").select("book_id").join(body, "book_id", "left_anti").withColumn("error", F.lit("ValueError: no document body"))
+    return blocks, failed, listed.where("error IS NOT NULL")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import structure
-from ..operators.scans import written
+from ..operators.scans import freed, written
 from . import archives
 from .docx import docx_blocks
 from .epub import epub_blocks
@@ -40,13 +40,20 @@ def read_archives(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Raw blocks and diagnostics of Word and EPUB files (book_id, stem, format, content)."""
     found = found.where("format IN ('docx', 'epub')")
     kinds = {r[0] for r in found.select("format").distinct().collect()}
-    entries = written(archives.members(found).join(found.select("book_id", "format"), "book_id"), "members") if kinds else None
     none = lambda schema: found.sparkSession.createDataFrame([], schema)
-    epub, about_epub = epub_blocks(entries.where("format = 'epub'").drop("format")) if "epub" in kinds else (none(BLOCKS), none("book_id string, title string, proceed boolean, diagnostics string, error string"))
-    docx, failed = docx_blocks(entries.where("format = 'docx'").drop("format")) if "docx" in kinds else (none(BLOCKS), none("book_id string, error string"))
+    epub, about_epub, broken = none(BLOCKS), none("book_id string, title string, proceed boolean, diagnostics string, error string"), none("book_id string, error string")
+    docx, failed = none(BLOCKS), none("book_id string, error string")
+    if "epub" in kinds:
+        entries = written(archives.members(found.where("format = 'epub'")).drop("format"), "members")
+        freed(found.sparkSession)
+        epub, about_epub = epub_blocks(entries.hint("merge"))
+        broken = broken.unionByName(entries.where("error IS NOT NULL").select("book_id", "error"))
+    if "docx" in kinds:
+        docx, failed, unread = docx_blocks(found.where("format = 'docx'"))
+        broken = broken.unionByName(unread)
     if not kinds:
         return docx, found.select("book_id", F.col("stem").alias("title"), "format", F.lit(None).cast("boolean").alias("proceed"), F.lit("{}").alias("diagnostics"), F.lit(None).cast("string").alias("error"))
-    broken = entries.where("error IS NOT NULL").select("book_id", F.col("error").alias("broken"))
+    broken = broken.withColumnRenamed("error", "broken")
     failed = failed.withColumnRenamed("error", "no_body")
     about = found.select("book_id", "stem", "format").join(about_epub, "book_id", "left").join(failed, "book_id", "left").join(broken, "book_id", "left")
     about = about.select("book_id", F.coalesce("title", "stem").alias("title"), "format", "proceed", F.coalesce("diagnostics", F.lit("{}")).alias("diagnostics"), F.coalesce("broken", "error", "no_body").alias("error"))
